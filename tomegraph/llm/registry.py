@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .exact_dedup import ORACLE as _op10
-from .exact_dedup import op10_exact_dedup
+from . import exact_dedup, packing, token_file
 
-QUERIES = {f.__name__: f for f in (op10_exact_dedup,)}
-ORACLE_SQL = {**_op10}
+_MODULES = (exact_dedup, packing, token_file)
+QUERIES = {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and "_" in name and callable(f)}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
