@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_file
+from . import decontamination, exact_dedup, packing, simhash, token_file
 
-_MODULES = (exact_dedup, packing, token_file)
+_MODULES = (simhash, token_file, packing, decontamination, exact_dedup)
 QUERIES = {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and "_" in name and callable(f)}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
