@@ -1,3 +1,71 @@
-"""Corpus pipeline: quality classifier, line dedup, near-dedup, decontamination, packing."""
+"""Corpus pipeline: quality classifier, line dedup, near-dedup, decontamination, best-fit packing.
 
-STAGES = []
+Each stage works on all its predecessor kept, takes (spark, docs, sf_dir) and, but for the last,
+returns the columns of documents. The results can't be told in SQL (a trained network, edit
+distances, similarity groups, packing), so ORACLE_SQL is None and tests hold the stages against
+brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tomegraph.llm import decontamination, line_dedup, packing, quality, simhash
+from tomegraph.llm.common import materialise, table
+from tomegraph.llm.tokens import vocabulary
+
+CAPACITY, END_ID = 4096, 1
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels of these documents, accepts."""
+    return quality.Classifier.fit(docs, table(spark, sf_dir, "labels")).accepted(docs)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less the lines that an earlier document or line has; documents made of such lines go."""
+    cleaned = line_dedup.clean(docs).where("NOT _gone")
+    changed = F.col("_dropped") > 0
+    new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("_text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumns(new).select(docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group linked by five-word shingle similarities of 0.8 or more."""
+    groups = simhash.near_groups(docs.select("doc_id", "text"))
+    gone = materialise(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")), "near-copies")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages are no more than one word in twenty."""
+    index = decontamination.build_index(docs)
+    found = decontamination.verdicts(decontamination.matches(index, table(spark, sf_dir, "benchmark")))
+    gone = materialise(found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids and their places in sequences."""
+    return packing.pack(packing.pieces(docs, vocabulary(), END_ID, CAPACITY), CAPACITY)
+
+
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("line_dedup", without_repeated_lines),
+    ("simhash_near_dedup", one_of_near_copies),
+    ("decontamination", without_benchmarks),
+    ("best_fit_packing", packed),
+]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each one's result written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -196,35 +196,65 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
-    spark = docs.sparkSession
-    vectors = word_vectors(docs)
-    index = index_vectors()
-    sent = spark.sparkContext.broadcast((vectors, index))
+class Classifier:
+    """Vectors and network sent to the tasks; scores whole texts."""
 
-    def pool(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots()
-        for b in it:
-            x = pooled(b.column(1).to_pylist(), *sent.value, slots)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+    def __init__(self, spark: SparkSession, vectors: np.ndarray):
+        self.spark = spark
+        self.vectors = spark.sparkContext.broadcast((vectors, index_vectors()))
+        self.network = None
 
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
-    chosen = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labels")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most train_rows labels
-    sample = rows.select("doc_id", "text").mapInArrow(pool, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
-    x = np.array(sample["x"].tolist()).reshape(len(sample), 3 * WIDTH + 1)
-    model = spark.sparkContext.broadcast(Network().fit(x, (sample["y"].to_numpy(float) >= 0.5).astype(float)))
+    @classmethod
+    def fit(cls, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
+        own = cls(docs.sparkSession, word_vectors(docs))
+        vectors = own.vectors
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots()
-        for b in it:
-            score = model.value.predict(pooled(b.column(1).to_pylist(), *sent.value, slots))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
+        def pool(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slots = Slots()
+            for b in it:
+                x = pooled(b.column(1).to_pylist(), *vectors.value, slots)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+
+        known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
+        chosen = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labels")
+        rows = _texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most train_rows labels
+        sample = rows.select("doc_id", "text").mapInArrow(pool, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
+        x = np.array(sample["x"].tolist()).reshape(len(sample), 3 * WIDTH + 1)
+        own.network = own.spark.sparkContext.broadcast(Network().fit(x, (sample["y"].to_numpy(float) >= 0.5).astype(float)))
+        return own
+
+    def scores(self, docs: DataFrame, cut: float = CUT) -> DataFrame:
+        """doc_id, held_out, score, predicted of every document."""
+        vectors, network = self.vectors, self.network
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slots = Slots()
+            for b in it:
+                score = network.value.predict(pooled(b.column(1).to_pylist(), *vectors.value, slots))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+        out = _texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+        return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
-    out = texts.mapInArrow(run, "doc_id long, score double, predicted int")
-    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+    def accepted(self, docs: DataFrame, cut: float = CUT) -> DataFrame:
+        """The rows of docs, all columns, whose score reaches the cut."""
+        vectors, network, at = self.vectors, self.network, docs.columns.index("text")
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slots = Slots()
+            for b in it:
+                yield b.filter(pa.array(network.value.predict(pooled(b.column(at).to_pylist(), *vectors.value, slots)) >= cut))
+
+        return docs.mapInArrow(run, docs.schema)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cut: float = CUT) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return Classifier.fit(docs, labels, train_rows).scores(docs, cut)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

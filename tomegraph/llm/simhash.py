@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import components, materialise, table
+from .common import BROADCAST_BYTES, components, materialise, table
 
 _SEG = ((0, 22), (22, 21), (43, 21))
 #: Members up to which a bucket's pairs are verified one by one; larger ones meet at midpoints.
@@ -128,6 +128,205 @@ def near_components(docs: DataFrame, size: int = 3) -> DataFrame:
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- whole texts of a given shingle similarity ---------------------------------------------------
+
+#: Keys of a text, and 23-bit segments in a key.
+BANDS, ROWS = 12, 3
+#: Shingles that vote in a segment: the first ones in the segment's own order.
+VOTES = 3
+#: Texts in a block that is held against another block at a time.
+BLOCK = 256
+_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(33))) * _M1
+        x = (x ^ (x >> np.uint64(29))) * _M2
+        return x ^ (x >> np.uint64(32))
+
+
+_SALTS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def first_votes(h: np.ndarray) -> np.ndarray:
+    """Per segment the VOTES smallest 32-bit ranks of the (distinct) shingles in the segment's order."""
+    best = np.full((len(_SALTS), VOTES), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(h), 4096):
+        with np.errstate(over="ignore"):
+            ranks = ((h[None, i : i + 4096] ^ (_SALTS[:, None] >> np.uint64(7))) * _SALTS[:, None] >> np.uint64(32)).astype(np.uint32)
+        both = np.concatenate([best, ranks], 1)
+        best = np.sort(np.partition(both, VOTES - 1, axis=1)[:, :VOTES], axis=1)
+    return best
+
+
+def band_keys(votes: np.ndarray) -> np.ndarray:
+    """votes (texts, segments, VOTES) to keys (texts, BANDS): weighted SimHash bits, nearest codewords, joined by ROWS."""
+    with np.errstate(over="ignore"):
+        bits = _mix(votes.astype(np.uint64) * np.uint64(len(_SALTS)) + np.arange(len(_SALTS), dtype=np.uint64)[None, :, None])
+    weight = 1.0 / (votes.astype(np.float64) + 1) ** 2
+    weight /= weight[:, :, :1]
+    word = np.zeros(votes.shape[:2], np.int64)
+    for b in range(golay.WIDTH):
+        sign = ((bits >> np.uint64(b)) & np.uint64(1)).astype(np.float64) * 2 - 1
+        word |= ((sign * weight).sum(2) > 0).astype(np.int64) << b
+    index = golay.nearest(word.ravel()).reshape(len(votes), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.int64), (len(votes), BANDS)).copy()
+    for r in range(ROWS):
+        key = key << 12 | index[:, :, r]
+    return key
+
+
+def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, copy (digest of the word sequence), keys (none for texts without words)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in it:
+            texts = b.column(1).to_pylist()
+            for lo in range(0, len(texts), 512):
+                part = texts[lo : lo + 512]
+                copy = [xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8", "surrogatepass").translate(_UPPER).split())) for x in part]
+                sets = [np.unique(shingle_hashes(x, size)) for x in part]
+                keys = band_keys(np.stack([first_votes(h) for h in sets]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), pa.array(copy, pa.binary()), pa.array([k if len(h) else [] for k, h in zip(keys, sets, strict=True)], pa.list_(pa.int64()))], ["doc_id", "copy", "keys"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, copy binary, keys array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id and shingles (sorted distinct 32-bit hashes, little-endian) of the documents in ids (id).
+
+    The ids go to the tasks as a filter while they are below BROADCAST_BYTES, else they are joined.
+    """
+    spark = docs.sparkSession
+    texts = _texts(docs)
+    n = ids.count()
+    if n * 8 < BROADCAST_BYTES // 4:
+        wanted = np.sort(np.fromiter((r[0] for r in ids.toLocalIterator()), np.int64, n))
+        sent = spark.sparkContext.broadcast(wanted)
+    else:
+        texts, sent = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id"), None
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if sent is not None:
+                b = b.filter(pa.array(np.isin(b.column(0).to_numpy(zero_copy_only=False), sent.value)))
+            got = [np.unique((shingle_hashes(x, size) >> np.uint64(16)).astype("<u4")).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["id", "shingles"])
+
+    return texts.where("doc_id IS NOT NULL").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def block_links(a: list[bytes], b: list[bytes], threshold: float) -> np.ndarray:
+    """(i, j) of all pairs between two lists of shingle sets that reach the threshold, by 0/1 matrix products."""
+    xs, ys = [np.frombuffer(v, "<u4") for v in a], [np.frombuffer(v, "<u4") for v in b]
+    universe = np.intersect1d(np.concatenate([*xs, np.zeros(0, "<u4")]), np.concatenate([*ys, np.zeros(0, "<u4")]))
+    both = np.zeros((len(xs), len(ys)), np.float32)
+    for lo in range(0, len(universe), 8192):
+        part = universe[lo : lo + 8192]
+        dense = []
+        for sets in (xs, ys):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, v in enumerate(sets):
+                own = v[np.searchsorted(v, part[0]) : np.searchsorted(v, part[-1], "right")]
+                at = np.searchsorted(part, own)
+                m[i, at[part[np.minimum(at, len(part) - 1)] == own]] = 1
+            dense.append(m)
+        both += dense[0] @ dense[1].T
+    size = np.array([len(v) for v in xs])[:, None] + np.array([len(v) for v in ys])[None] - both
+    return np.argwhere(both >= threshold * np.maximum(size, 1) - 1e-6)
+
+
+def similar_links(docs: DataFrame, shared: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) between ids of shared (key, id, n): every pair under a common key is verified.
+
+    Keys of at most PAIR_BUCKET ids give their pairs. Ids of larger ones are gathered to clusters by
+    those keys and held against each other in blocks of BLOCK texts, without a row for each pair.
+    """
+    shared = materialise(shared, "keys")
+    ids = materialise(shared.select("id").distinct(), "candidates")
+    sets = materialise(shingle_sets(docs, ids, size), "shingles")
+    few = shared.where(F.col("n") <= PAIR_BUCKET)
+    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+
+    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ok = [jaccard(x, y) >= threshold - 1e-9 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    links = full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    crowded = shared.where(F.col("n") > PAIR_BUCKET)
+    if crowded.isEmpty():
+        return links
+    low = crowded.groupBy("key").agg(F.min("id").alias("a"))
+    cluster = materialise(components(crowded.join(low, "key").select("a", F.col("id").alias("b"))), "clusters")
+    counts = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = cluster.join(counts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = placed.select("root", F.col("node").alias("id"), "own", other).select("root", "id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def block(pdf):
+        import pandas as pd
+
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
+        got = block_links(left["shingles"].tolist(), right["shingles"].tolist(), threshold)
+        a, b = left["id"].to_numpy()[got[:, 0]], right["id"].to_numpy()[got[:, 1]]
+        return pd.DataFrame(_forest(a, b), columns=["a", "b"])
+
+    dense = spread.join(sets, "id").groupBy("root", "i", "j").applyInPandas(block, "a long, b long")
+    return links.unionByName(dense)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Links that join the same nodes as the given ones, one less than nodes at most."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    kept = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = top(x), top(y)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            kept.append((min(x, y), max(x, y)))
+    return np.array(kept, np.int64).reshape(-1, 2)
+
+
+def near_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """doc_id, group_id (its smallest doc_id) of all documents: links are similarities of at least the threshold.
+
+    Texts of the same words count as copies and meet first, so each distinct text is searched once;
+    texts without words are copies of each other. Null doc_ids are absent from the result, equal ones
+    come once, with the text that sorts first among their copies; an empty table gives no rows.
+    """
+    rows = materialise(sketches(docs.where("doc_id IS NOT NULL"), size), "sketches")
+    texts = materialise(rows.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")
+    keyed = texts.select("id", F.explode("keys").alias("key"))
+    held = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    links = materialise(similar_links(docs, keyed.join(held, "key"), size, threshold), "links")
+    group = materialise(components(links), "near-groups")
+    by_copy = texts.join(group, texts.id == group.node, "left").select("copy", F.coalesce("root", "id").alias("group_id"))
+    return rows.join(by_copy, "copy").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
