@@ -135,7 +135,7 @@ def relations(text: Column) -> Column:
 
 def resolution_map(text: Column) -> Column:
     """map of `a -> b` or `a: b` lines; comments, blanks and identities are skipped, the last of a key wins."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
     part = lambda x, i: F.trim(F.when(F.contains(x, F.lit("->")), F.get(F.split(x, "->", 2), i)).otherwise(F.get(F.split(x, ":", 2), i)))
     pairs = F.filter(F.transform(lines, lambda x: F.struct(part(x, 0).alias("key"), part(x, 1).alias("value"))), lambda p: p["value"].isNotNull() & (p["key"] != "") & (p["value"] != "") & (p["key"] != p["value"]))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
