@@ -43,7 +43,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages are no more than one word in twenty."""
     index = decontamination.build_index(docs)
-    found = decontamination.verdicts(decontamination.matches(index, table(spark, sf_dir, "benchmark")))
+    found = decontamination.verdicts(index, table(spark, sf_dir, "benchmark"))
     gone = materialise(found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 

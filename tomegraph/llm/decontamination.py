@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import id_text, scratch_path, slices, table
 
-SEGMENT_TOKENS = 1_000_000
+SEGMENT_TOKENS = 500_000
 #: Benchmark text sent to the tasks at once, in bytes.
 QUERY_BLOCK_BYTES = 8 << 20
 INDEX = "segment string, doc_ids binary, starts binary, terms binary, offsets binary, positions binary"
@@ -62,7 +62,7 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids.clear(), counts.clear(), held.clear()
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.string()), *(pa.array([x], pa.binary()) for x in row[1:])], ["segment", "doc_ids", "starts", "terms", "offsets", "positions"])
 
-        for b in it:
+        for b in slices(it):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = words(text)
                 ids.append(doc_id)
@@ -73,8 +73,7 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
         if ids:
             yield segment()
 
-    cols = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cols.mapInArrow(run, INDEX).write.option("compression", "zstd").parquet(path)
+    id_text(docs.where("doc_id IS NOT NULL")).mapInArrow(run, INDEX).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 
@@ -146,8 +145,8 @@ def _near(phrase: tuple[int, ...], df: np.ndarray, post, slop: int) -> tuple[np.
     return begin[ok], now[ok] + 1
 
 
-def matches(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 0) -> DataFrame:
-    """Per document of the index: doc_id, n_words and spans (start, stop, item) of all occurring windows."""
+def _blocks(benchmark: DataFrame, window: int) -> list[Queries]:
+    """The items as queries, in blocks of QUERY_BLOCK_BYTES."""
     blocks: list[list[tuple[str, str | None]]] = [[]]
     held = 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -157,7 +156,12 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int
             held = 0
         blocks[-1].append((r.item_id, r.text))
         held += len(r.text or "") + 64
-    parts = [_block(index, Queries(b, window), slop) for b in blocks]
+    return [Queries(b, window) for b in blocks]
+
+
+def matches(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 0) -> DataFrame:
+    """Per document of the index: doc_id, n_words and spans (start, stop, item) of all occurring windows."""
+    parts = [_searched(index, q, slop) for q in _blocks(benchmark, window)]
     if len(parts) == 1:
         return parts[0].drop("segment", "ord")
     out = parts[0]
@@ -167,55 +171,67 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int
     return merged.select("doc_id", "n_words", "spans")
 
 
-def _block(index: DataFrame, q: Queries, slop: int) -> DataFrame:
-    spark = index.sparkSession
-    sent = spark.sparkContext.broadcast(q)  # bounded by QUERY_BLOCK_BYTES
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("item", pa.string())]))
+_KIND = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("item", pa.string())]))
+_VERDICT = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+
+
+def _searched(index: DataFrame, q: Queries, slop: int, share: int | None = None) -> DataFrame:
+    """Rows of all documents: their spans, or with a share the verdict's columns."""
+    sent = index.sparkSession.sparkContext.broadcast(q)  # bounded by QUERY_BLOCK_BYTES
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
-        for b in it:
-            for k in range(b.num_rows):
-                name, ids, starts, terms, offsets, positions = (b.column(c)[k].as_py() for c in range(6))
-                ids, starts = np.frombuffer(ids, "<i8"), np.frombuffer(starts, "<i8")
-                hits: dict[int, list[dict]] = {}
-                for s, e, p in search(terms, np.frombuffer(offsets, "<u4"), np.frombuffer(positions, "<u4"), starts, q, slop):
-                    d = int(np.searchsorted(starts, s, "right")) - 1
-                    hits.setdefault(d, []).extend({"start": s - int(starts[d]), "stop": e - int(starts[d]), "item": x} for x in q.items[p])
-                n = len(ids)
-                for lo in range(0, n, 10_000):
-                    hi = min(n, lo + 10_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * (hi - lo)), pa.array(np.arange(lo, hi)), pa.array(ids[lo:hi]), pa.array(np.diff(starts)[lo:hi]), pa.array([hits.get(d, []) for d in range(lo, hi)], kind)],
-                        ["segment", "ord", "doc_id", "n_words", "spans"],
-                    )
-
-    return index.mapInArrow(run, f"segment string, ord long, doc_id long, n_words long, spans {SPANS}")
-
-
-def verdicts(found: DataFrame, share: int = 20) -> DataFrame:
-    """From matches(): words hit, items and the verdict (hit words are at least one in `share`)."""
+        for b in slices(it, 1):
+            name, ids, starts, terms, offsets, positions = (b.column(c)[0].as_py() for c in range(6))
+            ids, starts = np.frombuffer(ids, "<i8"), np.frombuffer(starts, "<i8")
+            hits: dict[int, list[dict]] = {}
+            for s, e, p in search(terms, np.frombuffer(offsets, "<u4"), np.frombuffer(positions, "<u4"), starts, q, slop):
+                d = int(np.searchsorted(starts, s, "right")) - 1
+                hits.setdefault(d, []).extend({"start": s - int(starts[d]), "stop": e - int(starts[d]), "item": x} for x in q.items[p])
+            n_words = np.diff(starts)
+            for lo in range(0, len(ids), 10_000):
+                hi = min(len(ids), lo + 10_000)
+                spans = [hits.get(d, []) for d in range(lo, hi)]
+                if share is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * (hi - lo)), pa.array(np.arange(lo, hi)), pa.array(ids[lo:hi]), pa.array(n_words[lo:hi]), pa.array(spans, _KIND)], ["segment", "ord", "doc_id", "n_words", "spans"])
+                else:
+                    yield _judged(pa.array(ids[lo:hi]), pa.array(n_words[lo:hi]), spans, share)
+
+    return index.mapInArrow(run, f"segment string, ord long, doc_id long, n_words long, spans {SPANS}" if share is None else VERDICTS)
+
+
+VERDICTS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _judged(ids: pa.Array, n_words: pa.Array, spans: list[list[dict]], share: int) -> pa.RecordBatch:
+    cols: list[list] = [[], [], [], []]
+    for n, found in zip(n_words.to_pylist(), spans, strict=True):
+        hit, end = 0, 0
+        for s, e in sorted({(x["start"], x["stop"]) for x in found}):
+            hit += max(0, e - max(s, end))
+            end = max(end, e)
+        items = sorted({x["item"] for x in found})
+        for c, x in zip(cols, (hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and share * hit >= n), strict=True):
+            c.append(x)
+    return pa.RecordBatch.from_arrays([ids, n_words, *(pa.array(c, t) for c, t in zip(cols, _VERDICT, strict=True))], [c.split(" ")[0] for c in VERDICTS.split(", ")])
+
+
+def verdicts(index: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """Per document: words, words hit, items and whether hit words are at least one in `share`."""
+    blocks = _blocks(benchmark, window)
+    if len(blocks) == 1:
+        return _searched(index, blocks[0], 0, share)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            n_words = b.column(1).to_pylist()
-            cols: list[list] = [[], [], [], []]
-            for n, spans in zip(n_words, b.column(2).to_pylist(), strict=True):
-                hit, end = 0, 0
-                for s, e in sorted({(x["start"], x["stop"]) for x in spans}):
-                    hit += max(0, e - max(s, end))
-                    end = max(end, e)
-                items = sorted({x["item"] for x in spans})
-                for c, x in zip(cols, (hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and share * hit >= n), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield _judged(b.column(0), b.column(1), b.column(2).to_pylist(), share)
 
-    return found.select("doc_id", "n_words", "spans").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return matches(index, benchmark, window).mapInArrow(run, VERDICTS)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(table(spark, sf_dir, "documents"))
-    return verdicts(matches(index, table(spark, sf_dir, "benchmark")))
+    return verdicts(index, table(spark, sf_dir, "benchmark"))
 
 
 ORACLE: dict[str, str] = {}

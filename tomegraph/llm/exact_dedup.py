@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
-from .common import BROADCAST_BYTES, materialise, scratch_path, table
+from .common import BROADCAST_BYTES, id_text, materialise, scratch_path, slices, table
 
 #: Distinct digests aimed at for each bucket of a snapshot.
 BUCKET_KEYS = 100_000
@@ -40,12 +40,12 @@ def digests(docs: DataFrame, batches: int = 2, digest_bytes: int = 32) -> DataFr
     """doc_id, sha256 (hex), digest (its first digest_bytes), key (uint64 as long), batch (by a hash of doc_id)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             full = [hashlib.sha256(normalise(x)).digest() for x in b.column(1).to_pylist()]
             keys = np.array([int.from_bytes(hashlib.blake2b(d[:digest_bytes], digest_size=8).digest(), "little", signed=True) for d in full], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d.hex() for d in full], pa.string()), pa.array([d[:digest_bytes] for d in full], pa.binary()), pa.array(keys)], ["doc_id", "sha256", "digest", "key"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, sha256 string, digest binary, key long")
+    out = id_text(docs).mapInArrow(run, "doc_id long, sha256 string, digest binary, key long")
     return out.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
 
 
@@ -162,7 +162,7 @@ def _texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
         blob = spark.sparkContext.broadcast(fuse.build(keys.view(np.uint64)) if n else b"")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             bodies = [normalise(x) for x in b.column(1).to_pylist()]
             cut = [hashlib.sha256(x).digest()[:width] for x in bodies]
             if blob is not None:
@@ -172,7 +172,7 @@ def _texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 take = range(len(cut))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array([cut[i] for i in take], pa.binary()), pa.array([bodies[i] for i in take], pa.binary())], ["doc_id", "digest", "body"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, body binary")
+    return id_text(docs).mapInArrow(run, "doc_id long, digest binary, body binary")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

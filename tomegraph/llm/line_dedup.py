@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialise, table
+from .common import BROADCAST_BYTES, id_text, materialise, slices, table
 
 MIN_WORDS, NEAR_WORDS = 4, 10
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -101,7 +101,7 @@ def _digest(words: list[bytes]) -> bytes:
 
 def _lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             cols: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k, words in enumerate(line_words(text)):
@@ -110,11 +110,7 @@ def _lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
                             c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["doc_id", "line_no", "h", "n", "halves"])
 
-    return _id_text(docs).mapInArrow(run, "doc_id long, line_no long, h binary, n int, halves array<long>")
-
-
-def _id_text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return id_text(docs).mapInArrow(run, "doc_id long, line_no long, h binary, n int, halves array<long>")
 
 
 def _candidates(first: DataFrame, near_words: int) -> DataFrame:
@@ -151,7 +147,7 @@ def _variant_rows(docs: DataFrame, candidates: DataFrame, near_words: int) -> Da
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, masks = sent.value
             seen: set[bytes] = set()  # at most the candidates
-            for b in it:
+            for b in slices(it):
                 cols: list[list] = [[], [], [], []]
                 for text in b.column(1).to_pylist():
                     for words in line_words(text):
@@ -166,10 +162,10 @@ def _variant_rows(docs: DataFrame, candidates: DataFrame, near_words: int) -> Da
                                 c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-        return _id_text(docs).mapInArrow(run, fields)
+        return id_text(docs).mapInArrow(run, fields)
 
     def all_lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             got = [w for text in b.column(1).to_pylist() for w in line_words(text) if len(w) >= near_words]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(w) for w in got], pa.binary()), pa.array([b" ".join(w) for w in got], pa.binary())], ["h", "line"])
 
@@ -179,7 +175,7 @@ def _variant_rows(docs: DataFrame, candidates: DataFrame, near_words: int) -> Da
             got = [variants(x.split(), m) for x, m in zip(lines, b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.binary()), pa.array([k for k, _ in got], kinds[2]), pa.array([k for _, k in got], kinds[3])], names)
 
-    joined = _id_text(docs).mapInArrow(all_lines, "h binary, line binary").join(candidates, "h")
+    joined = id_text(docs).mapInArrow(all_lines, "h binary, line binary").join(candidates, "h")
     return joined.select("h", "line", "mask").mapInArrow(expand, fields)
 
 

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bound_batches, id_text, materialise, slices, table
 
 SLOTS, WIDTH, WINDOW = 1 << 13, 48, 2
 TRAIN_ROWS, HIDDEN, EPOCHS = 20_000, 24, 60
 CUT = 0.7
 #: Words of a text handled at a time.
-CHUNK = 200_000
+CHUNK = 50_000
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\s]+")
 
 
@@ -104,7 +104,7 @@ def word_vectors(docs: DataFrame, label: str = "word-vectors") -> np.ndarray:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, slots = index_vectors(), Slots()
         total = np.zeros((SLOTS, WIDTH))
-        for b in it:
+        for b in slices(it):
             for _, _, word, bounds in _batches(b.column(0).to_pylist(), slots):
                 _context(word, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), index, total)
         used = np.flatnonzero(total.any(axis=1))
@@ -112,6 +112,7 @@ def word_vectors(docs: DataFrame, label: str = "word-vectors") -> np.ndarray:
             part = used[lo : lo + 1024]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(total[part]), pa.list_(pa.float64()))], ["slot", "v"])
 
+    bound_batches(docs.sparkSession)
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "slot long, v array<double>")
     # sums of whole numbers: exact in any order
     summed = parts.groupBy("slot").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(WIDTH))).alias("v"))
@@ -211,13 +212,13 @@ class Classifier:
 
         def pool(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = Slots()
-            for b in it:
+            for b in slices(it):
                 x = pooled(b.column(1).to_pylist(), *vectors.value, slots)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
         known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
         chosen = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labels")
-        rows = _texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most train_rows labels
+        rows = id_text(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most train_rows labels
         sample = rows.select("doc_id", "text").mapInArrow(pool, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
         x = np.array(sample["x"].tolist()).reshape(len(sample), 3 * WIDTH + 1)
         own.network = own.spark.sparkContext.broadcast(Network().fit(x, (sample["y"].to_numpy(float) >= 0.5).astype(float)))
@@ -229,29 +230,26 @@ class Classifier:
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = Slots()
-            for b in it:
+            for b in slices(it):
                 score = network.value.predict(pooled(b.column(1).to_pylist(), *vectors.value, slots))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-        out = _texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+        out = id_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
         return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
     def accepted(self, docs: DataFrame, cut: float = CUT) -> DataFrame:
         """The rows of docs, all columns, whose score reaches the cut."""
+        bound_batches(self.spark)
         vectors, network, at = self.vectors, self.network, docs.columns.index("text")
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = Slots()
-            for b in it:
+            for b in slices(it):
                 yield b.filter(pa.array(network.value.predict(pooled(b.column(at).to_pylist(), *vectors.value, slots)) >= cut))
 
         return docs.mapInArrow(run, docs.schema)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     return Classifier.fit(docs, labels, train_rows).scores(docs, cut)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import BROADCAST_BYTES, components, materialise, table
+from .common import BROADCAST_BYTES, components, id_text, materialise, slices, table
 
 _SEG = ((0, 22), (22, 21), (43, 21))
 #: Members up to which a bucket's pairs are verified one by one; larger ones meet at midpoints.
@@ -68,11 +68,11 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a long) of every whole text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             fp = np.array([fingerprint(shingle_hashes(x, size)) for x in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def pigeonhole_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,20 +183,14 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in it:
-            texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 512):
-                part = texts[lo : lo + 512]
-                copy = [xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8", "surrogatepass").translate(_UPPER).split())) for x in part]
-                sets = [np.unique(shingle_hashes(x, size)) for x in part]
-                keys = band_keys(np.stack([first_votes(h) for h in sets]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), pa.array(copy, pa.binary()), pa.array([k if len(h) else [] for k, h in zip(keys, sets, strict=True)], pa.list_(pa.int64()))], ["doc_id", "copy", "keys"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, copy binary, keys array<long>")
+        for b in slices(it, 256):
+            part = b.column(1).to_pylist()
+            copy = [xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8", "surrogatepass").translate(_UPPER).split())) for x in part]
+            sets = [np.unique(shingle_hashes(x, size)) for x in part]
+            keys = band_keys(np.stack([first_votes(h) for h in sets]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copy, pa.binary()), pa.array([k if len(h) else [] for k, h in zip(keys, sets, strict=True)], pa.list_(pa.int64()))], ["doc_id", "copy", "keys"])
 
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return id_text(docs).mapInArrow(run, "doc_id long, copy binary, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -205,7 +199,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     The ids go to the tasks as a filter while they are below BROADCAST_BYTES, else they are joined.
     """
     spark = docs.sparkSession
-    texts = _texts(docs)
+    texts = id_text(docs)
     n = ids.count()
     if n * 8 < BROADCAST_BYTES // 4:
         wanted = np.sort(np.fromiter((r[0] for r in ids.toLocalIterator()), np.int64, n))
@@ -214,7 +208,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         texts, sent = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id"), None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             if sent is not None:
                 b = b.filter(pa.array(np.isin(b.column(0).to_numpy(zero_copy_only=False), sent.value)))
             got = [np.unique((shingle_hashes(x, size) >> np.uint64(16)).astype("<u4")).tobytes() for x in b.column(1).to_pylist()]

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, shuffle_partitions, table
+from .common import id_text, materialise, scratch_path, shuffle_partitions, slices, table
 from .tokens import encoder, vocabulary
 
 FRAME_TOKENS = 1 << 15
@@ -146,14 +146,14 @@ def _fs(path: str):
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Write all documents in ascending doc_id order; returns the manifest (part, path, n_docs, n_tokens)."""
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ordered = id_text(docs)
     ordered = ordered.repartitionByRange(partitions or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], np.uint32)
         part = TaskContext.get().partitionId()
         out = sink = fs = place = None
-        for b in it:
+        for b in slices(it):
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.many(b.column(1).to_pylist()), strict=True):
                 if out is None:
                     fs, place = _fs(f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst")

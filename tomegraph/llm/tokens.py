@@ -17,11 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks of the young cache; when it is full it becomes the elder one, whose entries go unless used again. About 190 bytes each.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 #: Longer chunks are encoded each time they come.
 CACHE_CHARS = 64
 #: Characters of text split at a time; a longer text is a slice of its own.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 _PROBE = "Don't  stop\tat 12,345 cafés; Élèves ́ ΙΣ x<|endoftext|>y ​ \n à 'S ẞ--()"
 
 #: Words of Latin letters that normalisation only lower-cases, and at most one mark after them.
