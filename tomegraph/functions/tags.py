@@ -15,7 +15,7 @@ GROUPS = {
     "navigation": ("area", "adventure", "book", "quickref", "5etoolsImg"),
     "mechanic": ("dc", "dice", "skill", "condition", "sense"),
 }
-#: Tags nested deeper than this make clean_text raise.
+#: Tags are resolved from the inside out so many times; deeper ones stay in the text.
 MAX_NESTING = 8
 
 
@@ -42,7 +42,8 @@ def _links(text: Column, raw: bool = False) -> Column:
 def parse_and_clean(text: Column) -> Column:
     """struct<text, links>: tags resolved from the inside out, links de-duplicated, formatting tags left out."""
     state = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast(f"array<{LINK}>").alias("links"))
-    step = lambda s, _: F.struct(_strip(s["text"]).alias("text"), F.concat(s["links"], _links(s["text"])).alias("links"))
+    once = lambda s: F.struct(_strip(s["text"]).alias("text"), F.concat(s["links"], _links(s["text"])).alias("links"))
+    step = lambda s, _: F.when(F.contains(s["text"], F.lit("{@")), once(s)).otherwise(s)
     out = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_NESTING)), state, step, lambda s: F.struct(s["text"].alias("text"), F.array_distinct(F.filter(s["links"], lambda x: ~x["tag"].isin(*FORMATTING))).alias("links")))
     plain = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast(f"array<{LINK}>").alias("links"))
     return F.when(F.contains(text, F.lit("{@")), out).otherwise(plain)

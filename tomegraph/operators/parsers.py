@@ -128,9 +128,16 @@ def relations(text: Column) -> Column:
     """array<struct<source, target, relation, desc>> of blocks between blank lines; blocks lacking one of three are dropped."""
     body = F.coalesce(F.when(F.contains(text, F.lit("<relations>")), F.regexp_extract(text, r"(?s)<relations>(.*?)(?:</relations>|$)", 1)), text)
     blocks = F.split(body, r"\n\s*\n")
-    value = lambda b, key: F.trim(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(b, F.lit(rf"(?im)^[ \t]*{key}[ \t]*:[ \t]*(.*)$"), F.lit(1))), -1))
-    each = F.transform(blocks, lambda b: F.struct(value(b, "source").alias("source"), value(b, "target").alias("target"), value(b, "relation").alias("relation"), value(b, "description").alias("desc")))
-    return F.filter(each, lambda r: (r["source"] != "") & (r["target"] != "") & (r["relation"] != ""))
+
+    def record(block: Column) -> Column:
+        """The last value of each key, by one pass over the block's lines."""
+        lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.split(x, ":", 2)), lambda p: F.size(p) == 2)
+        pairs = F.transform(lines, lambda p: F.struct(F.lower(F.trim(F.get(p, 0))).alias("k"), F.trim(F.get(p, 1)).alias("v")))
+        blank = F.struct(*(F.lit("").alias(n) for n in ("source", "target", "relation", "desc")))
+        keep = lambda s, p, n, k: F.when(p["k"] == k, p["v"]).otherwise(s[n]).alias(n)
+        return F.aggregate(pairs, blank, lambda s, p: F.struct(keep(s, p, "source", "source"), keep(s, p, "target", "target"), keep(s, p, "relation", "relation"), keep(s, p, "desc", "description")))
+
+    return F.filter(F.transform(blocks, record), lambda r: (r["source"] != "") & (r["target"] != "") & (r["relation"] != ""))
 
 
 def resolution_map(text: Column) -> Column:
