@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import BROADCAST_BYTES, materialise, table
 
 TRAIN_ROWS = 20_000
 #: The rules of the query.
@@ -130,7 +130,10 @@ def judge(pages: DataFrame, rules: dict[str, str], train_rows: int = TRAIN_ROWS,
     spark = pages.sparkSession
     urls = apply_rules(split_url(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))), rules)
     labelled = urls.where("ruled IS NOT NULL").withColumn("label", (F.col("ruled") == "block").cast("int"))
-    suffixes = labelled.groupBy("suffix").agg(F.count("*").alias("suffix_rows"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_rate"))
+    suffixes = materialise(labelled.groupBy("suffix").agg(F.count("*").alias("suffix_rows"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_rate")), "suffixes")
+    if suffixes.count() * 256 <= BROADCAST_BYTES:  # a host label has 63 bytes at most; longer text is no host but may occur
+        longest = suffixes.agg(F.max(F.octet_length("suffix"))).first()[0] or 0
+        suffixes = F.broadcast(suffixes) if longest <= 128 else suffixes
     known = lambda df: df.join(suffixes, "suffix", "left").withColumns({"suffix_rows": F.coalesce("suffix_rows", F.lit(0)), "suffix_rate": F.coalesce("suffix_rate", F.lit(0.5))})
     fields = ["url", "host", "path", "suffix_rows", "suffix_rate"]
     sample = known(labelled.orderBy(F.xxhash64("url"), "page_id").limit(train_rows)).select(*fields, "label").toPandas().sort_values("url", kind="stable")
