@@ -98,3 +98,32 @@ def test_build(spark, tmp_path):
 def test_in_order(spark):
     out = stages.extract_in_order(tree(spark), RuleClient())
     assert out.count() == 5
+
+
+class Scripted:
+    """Fixed replies by stage."""
+
+    def __init__(self, **replies):
+        self.replies = replies
+
+    def complete(self, prompt, params):
+        return self.replies.get(params["stage"], ""), "stop"
+
+
+def test_two_phase(spark):
+    client = Scripted(ner="<entities>\nEntity: Old Mill\nType: Location\nEntity: Ann\nType: Creature\n</entities>", relations="Source: ann\nRelation: lives_in\nTarget: old_mill\nDescription: d")
+    sections = spark.createDataFrame([("s1", "Ann went to the Old Mill and stayed there for the long cold winter."), ("s2", "short")], "section_id string, content string")
+    n, e = stages.two_phase(sections, client)
+    assert {r.id for r in n.collect()} == {"ann", "old_mill"}
+    assert [(r.source, r.relation, r.target) for r in e.collect()] == [("ann", "lives_in", "old_mill")]
+
+
+def test_semantic(spark):
+    client = Scripted(events="<entities>\nEntity: Harbour\nType: Location\nID: harbour\n</entities>\n<events>\nEvent: Storm\nType: encounter\nLocation: harbour\nParticipants: marsh_wolf\n</events>")
+    from tomegraph.sources.catalogs import read_catalog
+
+    catalog = read_catalog(docs(spark, {"monster": [{"name": "Marsh Wolf", "source": "ABC"}]}), "creature")
+    out = stages.semantic(docs(spark, BOOK), {"creature": catalog}, client)
+    assert {r.id: r.node_type for r in out["nodes"].collect()} == {"marsh_wolf": "entity", "harbour": "entity", "storm": "event"}
+    assert {(r.source, r.relation, r.target) for r in out["edges"].collect()} == {("storm", "occurs_at", "harbour"), ("storm", "has_participant", "marsh_wolf")}
+    assert out["stats"].count() > 0

@@ -247,3 +247,29 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     versions = sorted((tmp_path / "out").iterdir(), key=lambda p: int(p.name[1:]))
     assert {r.id: r.label for r in spark.read.parquet(str(versions[-1])).collect()} == {"a": "xyz", "b": "b"}
+
+
+def test_more_operators(spark):
+    n = nodes(spark, ("c", "Cat", "Creature", 0), ("l", "Den", "Location", 1))
+    e = edges(spark, ("l", "c", "houses"))
+    assert keys(paths.pattern(n, e, "Creature", "Location"), "first", "second", "forward") == [("c", "l", False)]
+    assert keys(graph.within_chars(n, "label", 4), "id") == [("c",)]
+    assert [r.label for r in hetero.suggestions(n).collect()] == ["Cat", "Den"]
+    x = evaluate.extras(spark.createDataFrame([("Den",)], "name string"), n.select(F.col("label").alias("name"), "type"))
+    assert keys(x, "type", "name", "n") == [("Creature", "Cat", 1)]
+    got = parsers.parse_unified("<entities>\nEntity: A\n</entities>\n<events>\nEvent: B")
+    assert ([v["label"] for v in got["entities"]], [v["label"] for v in got["events"]]) == (["A"], ["B"])
+    emb = search.embedded(n, "label", search.HashingEmbedder(64))
+    assert "Den --[houses]--> Cat" in context.answer_query(emb, e, "Den", search.HashingEmbedder(64), top_k=1)["context"]
+
+
+def test_resolve_all(spark):
+    d = spark.createDataFrame([("f", json.dumps({"monster": [{"name": "Wolf", "source": "MM", "type": "beast"}], "spell": []}))], "doc_id string, body string")
+    refs = spark.createDataFrame([("creature", "Wolf|MM", "Wolf", "s"), ("creature", "Ghost|Q", "Ghost", "s"), ("spell", "Fog", "Fog", "s"), ("action", "Dash", "Dash", "s")], "entity_type string, identifier string, display_name string, source_id string")
+    got = resolve.resolve_all(refs, {k: catalogs.read_catalog(d, k) for k in ("creature", "spell")})
+    rows = {r.id: r for r in got.collect()}
+    assert json.loads(rows["ghost"].properties)["armor_class"] == 10
+    assert json.loads(rows["fog"].properties)["duration"] == "Unknown"
+    assert (rows["dash"].type, rows["dash"].source_file) == ("Item", "Adventure")
+    assert keys(resolve.seeds(got), "id", "creature_type", "location_type")[-1] == ("wolf", "beast", None)
+    assert {(r.entity_type, r.n, r.n_matched) for r in stats.resolution_stats(got).collect()} >= {(None, 4, 1), ("creature", 2, 1)}

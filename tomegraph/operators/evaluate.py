@@ -76,5 +76,15 @@ def best_matches(labels: list[str], extracted: DataFrame) -> DataFrame:
     return best.withColumn("bucket", bucket(F.col("score")))
 
 
+def extras(labels: DataFrame, extracted: DataFrame, n: int = 30) -> DataFrame:
+    """Extracted names (name, type) that no label equals: per type the first n by name, with their number."""
+    from pyspark.sql.window import Window
+
+    known = labels.select(normalized_name(F.col("name")).alias("form")).distinct()
+    left = extracted.withColumn("form", normalized_name(F.col("name"))).join(known, "form", "left_anti")
+    w = Window.partitionBy("type")
+    return left.withColumns({"n": F.count("*").over(w), "rank": F.row_number().over(w.orderBy("name"))}).where(F.col("rank") <= n).select("type", "name", "rank", "n")
+
+
 def bucket(score: Column) -> Column:
     return F.when(score >= 100, "exact").when(score >= 90, "high").when(score >= 80, "fair").when(score > 0, "low").otherwise("none")

@@ -139,6 +139,15 @@ def first_n(df: DataFrame, keys: Sequence[str], n: int, ord: str = "ord") -> Dat
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(ord))).where(F.col("rank") <= n)
 
 
+def within_chars(df: DataFrame, column: str, limit: int, keys: Sequence[str] = (), ord: str = "ord") -> DataFrame:
+    """Rows in order while the running length of column stays within the limit, by keys if given."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    total = F.sum(F.coalesce(F.length(column), F.lit(0))).over(w.orderBy(ord).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_total", total).where(F.col("_total") <= limit).drop("_total")
+
+
 def sample(nodes: DataFrame, edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """The n first nodes and the edges among them."""
     some = nodes.orderBy("ord").limit(n)

@@ -66,6 +66,11 @@ def entity_lookup(nodes: DataFrame) -> DataFrame:
     return graph.last_wins(keys.where(~T.is_blank(F.col("key"))), ["key"]).select("key", "id")
 
 
+def suggestions(nodes: DataFrame) -> DataFrame:
+    """Labels to offer in a search, sorted."""
+    return nodes.where(~T.is_blank(F.col("label"))).select("label").distinct().orderBy("label")
+
+
 def eligible_sections(sections: DataFrame, locations: DataFrame) -> DataFrame:
     """Sections with content and links or mapped locations; their locations as an array, empty if none."""
     mapped = locations.groupBy("section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "location_id"))), lambda s: s["location_id"]).alias("location_ids"))

@@ -88,6 +88,14 @@ def parse_report(text: str) -> dict:
     return out
 
 
+def parse_unified(text: str) -> dict:
+    """Entities and events of one reply; a summary means neither, an open events block counts."""
+    if not text or _block(text, "summary") is not None:
+        return {"entities": [], "events": []}
+    head = text.partition("<events>")[0]
+    return {"entities": parse_entities(head) if "<entities>" in text else [], "events": parse_events(text)}
+
+
 def entity_udf():
     @F.pandas_udf(f"array<{ENTITY}>")
     def run(text: pd.Series) -> pd.Series:

@@ -53,6 +53,15 @@ def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_edges: int,
     return seen.join(wanted, "node", "left_semi").where("start <> node").select("start", F.col("node").alias("end"), "path", "relations")
 
 
+def pattern(nodes: DataFrame, edges: DataFrame, first: str, second: str) -> DataFrame:
+    """Edges in either direction between a node of the first type and one of the second: first, second, relation, forward."""
+    a = nodes.where(F.col("type") == first).select(F.col("id").alias("first"))
+    b = nodes.where(F.col("type") == second).select(F.col("id").alias("second"))
+    ahead = edges.select(F.col("source").alias("first"), F.col("target").alias("second"), "relation", F.lit(True).alias("forward"))
+    back = edges.select(F.col("target").alias("first"), F.col("source").alias("second"), "relation", F.lit(False).alias("forward"))
+    return ahead.unionByName(back).join(a, "first", "left_semi").join(b, "second", "left_semi").select("first", "second", "relation", "forward")
+
+
 def focus(edges: DataFrame, node_id: str) -> DataFrame:
     """id of the node and its neighbours in both directions."""
     near = edges.where((F.col("source") == node_id) | (F.col("target") == node_id))

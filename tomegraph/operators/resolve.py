@@ -136,6 +136,8 @@ def spell_properties(body: Column) -> Column:
 
 
 PROPERTIES = {"creature": creature_properties, "item": item_properties, "spell": spell_properties}
+#: Records that stand in for those a catalog lacks, where their defaults differ from an empty record's.
+DEFAULT_BODIES = {"creature": '{"ac": 10}', "item": "{}", "spell": '{"duration": [{"type": "Unknown"}]}'}
 #: Node types of resolved kinds.
 NODE_TYPES = {"creature": "Creature", "item": "Item", "spell": "Item", "action": "Item", "background": "Group"}
 
@@ -152,7 +154,7 @@ def resolve(refs: DataFrame, catalog: DataFrame, kind: str) -> DataFrame:
     found = match(grouped.select("ref_id", "name", "source"), catalog.select("ord", "name", "source"), kind)
     records = catalog.select(F.col("ord").alias("matched_ord"), F.col("body"), F.col("source").alias("source_file"))
     out = grouped.join(found.select("ref_id", "tier", "matched_ord"), "ref_id").join(records, "matched_ord", "left")
-    body = F.parse_json(F.coalesce(F.col("body"), F.lit("{}")))
+    body = F.parse_json(F.coalesce(F.col("body"), F.lit(DEFAULT_BODIES[kind])))
     known = F.col("matched_ord").isNotNull()
     return out.select(
         T.snake_id(F.when(known, F.col("name")).otherwise(F.col("display_name"))).alias("id"),
@@ -166,6 +168,31 @@ def resolve(refs: DataFrame, catalog: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def resolve_all(refs: DataFrame, catalogs: dict[str, DataFrame]) -> DataFrame:
+    """References (entity_type, identifier, display_name, source_id) of every kind to one table of entities.
+
+    Kinds with a catalog are resolved, with default properties where nothing matches; the others are
+    kept as references. properties is JSON text.
+    """
+    out = None
+    for kind in PROPERTIES:
+        if kind in catalogs:
+            own = resolve(refs.where(F.col("entity_type") == kind), catalogs[kind], kind)
+            own = own.select("id", "label", "type", "source_file", "mentions", F.lit(kind).alias("entity_type"), "matched_ord", F.to_json("properties").alias("properties"))
+            out = own if out is None else out.unionByName(own)
+    rest = reference_only(refs.where(~F.col("entity_type").isin(*catalogs)))
+    rest = rest.select("id", "label", "type", "source_file", "mentions", F.col("reference_type").alias("entity_type"), F.lit(None).cast("long").alias("matched_ord"), F.to_json(F.struct("reference_type")).alias("properties"))
+    return rest if out is None else out.unionByName(rest)
+
+
+def seeds(entities: DataFrame) -> DataFrame:
+    """Resolved entities as nodes an extraction starts from: creature_type from a text, object or list, location_type `building` by default."""
+    p = F.try_parse_json("properties")
+    kind = F.coalesce(F.try_variant_get(p, "$.creature_type.type", "string"), F.try_variant_get(p, "$.creature_type[0]", "string"), F.try_variant_get(p, "$.creature_type", "string"))
+    place = F.coalesce(F.try_variant_get(p, "$.location_type", "string"), F.lit("building"))
+    return entities.select("id", "label", "type", F.when(F.col("type") == "Creature", kind).alias("creature_type"), F.when(F.col("type") == "Location", place).alias("location_type"), (T.is_generic_creature(F.col("label")) & (F.col("type") == "Creature")).alias("is_generic"))
+
+
 def reference_only(refs: DataFrame) -> DataFrame:
     """Entities for links that no catalog holds (actions, backgrounds)."""
     kind = F.when(F.col("entity_type") == "background", "Group").otherwise("Item")

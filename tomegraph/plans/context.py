@@ -51,6 +51,12 @@ def answer(question: str, context: str, client: Client | None = None) -> dict:
     return out
 
 
+def answer_query(nodes: DataFrame, edges: DataFrame, question: str, embedder: search.Embedder, client: Client | None = None, **how) -> dict:
+    """Retrieve for a question and answer it; without a client the prompt alone."""
+    vector = [float(x) for x in embedder.embed([question])[0]]
+    return answer(question, retrieve(nodes, edges, vector, **how), client)
+
+
 def append_history(history: DataFrame, turn: dict) -> DataFrame:
     """history (query, answer, context, prompt, n_prompt, n_context) with one turn more."""
     row = history.sparkSession.createDataFrame([(turn["query"], turn["answer"], turn["context"], turn["prompt"], len(turn["prompt"]), len(turn["context"]))], "query string, answer string, context string, prompt string, n_prompt int, n_context int")

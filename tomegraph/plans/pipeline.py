@@ -84,9 +84,11 @@ class Build:
         self._write(edges, "entity_edges")
         self._write(bad, "bad_rows")
 
-    def run(self, names: Sequence[str] = STAGES, dry_run: bool = False) -> list[str]:
-        """The named stages in the given order; `all` stands for every one."""
+    def run(self, names: Sequence[str] = STAGES, dry_run: bool = False, canonical: bool = False) -> list[str]:
+        """The named stages in the given order (or in that of the pipeline); `all` stands for every one."""
         order = [s for n in names for s in (STAGES if n == "all" else (n,))]
+        if canonical:
+            order = [s for s in STAGES if s in order] + [s for s in order if s not in STAGES]
         unknown = [s for s in order if s not in STAGES]
         if unknown:
             raise ValueError(f"no such stage: {', '.join(unknown)}")

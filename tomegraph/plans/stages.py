@@ -138,6 +138,34 @@ def resolve_groups(entities: DataFrame, client: Client, least: int = 10) -> Data
     return graph.longest_label(moved, ["group", "id"])
 
 
+def two_phase(sections: DataFrame, client: Client) -> tuple[DataFrame, DataFrame]:
+    """Recognise entities of sections (section_id, content), resolve them, then relate those that are mentioned together."""
+    found = recognise(sections.select(F.col("section_id").alias("key"), "content"), client)
+    found = materialise(found.withColumns({"group": F.col("type"), "ord": F.struct("key", "i")}).select("group", "id", "label", "type", "aliases", "ord"), "entities")
+    kept = graph.first_wins(resolve_groups(found.withColumn("ord", F.xxhash64("ord")), client), ["id"])
+    nodes = materialise(hetero.meaningful(kept), "nodes")
+    edges = relate(sections, canonical.alias_map(nodes), client)
+    return nodes, graph.induced(nodes, edges)
+
+
+def semantic(docs: DataFrame, catalogs: dict[str, DataFrame], client: Client) -> dict[str, DataFrame]:
+    """Parse, resolve, seed, extract in order, assemble: tables sections, references, entities, nodes, edges, stats."""
+    from ..operators import flatten, resolve, stats
+
+    sections = materialise(flatten.flatten(docs, "indexed"), "sections")
+    refs = materialise(flatten.external_refs(sections), "references")
+    entities = materialise(resolve.resolve_all(refs, catalogs), "entities")
+    extracted = materialise(extract_in_order(sections, client), "extracted")
+    own = resolve.seeds(entities).select("id", "label", "type", F.xxhash64("id").alias("ord"))
+    new = extracted.select("doc_id", "path", F.posexplode("entities").alias("i", "e")).select("e.id", "e.label", "e.type", F.xxhash64("doc_id", "path", "i").alias("ord"))
+    events = extracted.select("doc_id", "path", F.posexplode("events").alias("i", "e")).select("e.id", "e.label", "e.type", "e.participants", "e.location", "e.description", F.xxhash64("doc_id", "path", "i").alias("ord"))
+    relations = events.select(F.lit("").alias("source"), F.lit("").alias("target"), F.lit("").alias("relation"), F.lit("").alias("desc")).limit(0)
+    every = own.unionByName(new)
+    known = canonical.canonical_ids(every.select("id", "label"), every.withColumn("aliases", F.array().cast("array<string>"))).select("old_id", "new_id")
+    nodes, edges = hetero.assemble(every, events, relations, known)
+    return {"sections": sections, "references": refs, "entities": entities, "nodes": nodes, "edges": edges, "stats": stats.graph_totals(nodes, edges)}
+
+
 def explain_extraction(node: str, client: Client) -> dict:
     """Prompt, reply and parsed entities of one text."""
     reply, why = client.complete(f"### TEXT\n{node}", {"stage": "ner"})
