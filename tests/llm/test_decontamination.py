@@ -71,3 +71,9 @@ def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert sorted(tuple(r) for r in D.op9_decontamination(spark, sf).collect()) == brute(docs, items)
+
+
+def test_null_ids(spark):
+    docs = documents(spark, [(None, prose(500, 40)), (2, "a")])
+    got = D.verdicts(D.build_index(docs), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.contaminated) for r in got} == {(None, True), (2, False)}

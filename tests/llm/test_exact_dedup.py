@@ -55,3 +55,8 @@ def test_fuse_filter(n):
     blob = fuse.build(keys)
     assert fuse.contains(blob, keys).all()
     assert fuse.contains(blob, r.integers(0, 1 << 62, 100_000).astype(np.uint64)).mean() < 2e-4
+
+
+def test_null_ids(spark):
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in X.exact_groups(documents(spark, [(None, "a"), (3, "a"), (None, "b"), (4, None)])).collect()}
+    assert got == {(None, 3, 2, False), (3, 3, 2, True), (None, None, 1, False), (4, 4, 1, True)}

@@ -10,7 +10,7 @@ within that many extra words (proximity matches).
 Benchmark texts are queries against all rows; they are sent to the tasks in blocks of bounded size.
 
 Defined cases: null and empty texts have no words and are not contaminated; an item without words
-matches nothing; a null item_id counts as the empty string; repeated items count once; equal doc_ids
+matches nothing; a null item_id counts as the empty string, a null doc_id stays null; repeated items count once; equal doc_ids
 keep a row each; empty tables give no rows or no hits; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, scratch_path, slices, table
+from .common import NULL_ID, numbered, scratch_path, slices, table
 
 SEGMENT_TOKENS = 500_000
 #: Benchmark text sent to the tasks at once, in bytes.
@@ -73,7 +73,7 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
         if ids:
             yield segment()
 
-    id_text(docs.where("doc_id IS NOT NULL")).mapInArrow(run, INDEX).write.option("compression", "zstd").parquet(path)
+    numbered(docs).mapInArrow(run, INDEX).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 
@@ -197,7 +197,8 @@ def _searched(index: DataFrame, q: Queries, slop: int, share: int | None = None)
                 else:
                     yield _judged(pa.array(ids[lo:hi]), pa.array(n_words[lo:hi]), spans, share)
 
-    return index.mapInArrow(run, f"segment string, ord long, doc_id long, n_words long, spans {SPANS}" if share is None else VERDICTS)
+    out = index.mapInArrow(run, f"segment string, ord long, doc_id long, n_words long, spans {SPANS}" if share is None else VERDICTS)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
 VERDICTS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"

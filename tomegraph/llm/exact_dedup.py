@@ -5,7 +5,8 @@ bucket. An incoming batch is first grouped by digest, then its distinct digests
 only positives join the exact buckets, and whatever is left is new. Members of a group are held
 against the bytes of the row that stays, so an equal digest alone never drops a row.
 
-Defined cases: null text is empty text; empty texts are equal to each other; equal doc_ids count as
+Defined cases: null text is empty text; a row without doc_id is never the one that stays, so a group of such rows
+keeps none; empty texts are equal to each other; equal doc_ids count as
 rows of their own; an empty table gives no rows; other columns of the input are ignored.
 """
 
@@ -139,14 +140,14 @@ def _checked(docs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
     odd = materialise(member.join(keeper, "digest").where("body <> want").select("doc_id", "digest", "body"), "odd")
     plain = rows.join(groups.select("digest", "keep_id", "n"), "digest")
     if odd.isEmpty():
-        return plain.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"))
+        return plain.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("sha256").alias("text_sha256"))
     # equal digests, other bytes: these rows form groups of their own, by the whole text
     regroup = odd.groupBy("digest", "body").agg(F.min("doc_id").alias("keep2"), F.count("*").alias("n2"))
     moved = odd.join(regroup, ["digest", "body"]).select("doc_id", "digest", "keep2", "n2").distinct()
     less = odd.groupBy("digest").agg(F.count("*").alias("gone"))
     out = plain.join(moved, ["doc_id", "digest"], "left").join(less, "digest", "left")
     keep = F.coalesce("keep2", "keep_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n2", F.col("n") - F.coalesce("gone", F.lit(0))).alias("group_size"), (F.col("doc_id") == keep).alias("kept"), F.col("sha256").alias("text_sha256"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n2", F.col("n") - F.coalesce("gone", F.lit(0))).alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"), F.col("sha256").alias("text_sha256"))
 
 
 def _texts(docs: DataFrame, shared: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ reader fetches the two tables, then only the frames that hold the ids asked for.
 Files are named by task attempt and become visible only through the manifest, the Parquet table
 which Spark's committer writes from the attempts that succeeded; leftovers of lost tasks are never read.
 
-Defined cases: null text is empty text, a document without ids still has its end id; equal doc_ids
+Defined cases: null text is empty text, a document without ids still has its end id; null doc_ids come first; equal doc_ids
 keep a record each (equal rows in any order); an empty table gives no files; other columns are ignored.
 """
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, scratch_path, shuffle_partitions, slices, table
+from .common import NULL_ID, materialise, numbered, scratch_path, shuffle_partitions, slices, table
 from .tokens import encoder, vocabulary
 
 FRAME_TOKENS = 1 << 15
@@ -146,7 +146,7 @@ def _fs(path: str):
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Write all documents in ascending doc_id order; returns the manifest (part, path, n_docs, n_tokens)."""
     spark = docs.sparkSession
-    ordered = id_text(docs)
+    ordered = numbered(docs)
     ordered = ordered.repartitionByRange(partitions or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,8 @@ def read(manifest: DataFrame) -> DataFrame:
                             crc.append(c)
                         yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids[lo:hi]), pa.array(first + r.starts[lo:hi]), pa.array(r.counts[lo:hi]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
 def fetch(manifest: DataFrame, path: str, doc_ids: list[int]) -> dict[int, list[int]]:
