@@ -12,12 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomegraph.llm import decontamination, line_dedup, packing, quality, simhash
-from tomegraph.llm.common import materialise, table
+from tomegraph.llm.common import BROADCAST_BYTES, materialise, table
 from tomegraph.llm.tokens import vocabulary
 
 CAPACITY, END_ID = 4096, 1
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the ids in gone (_gone), which are broadcast while they are few."""
+    if gone.count() * 32 <= BROADCAST_BYTES // 4:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of these documents, accepts."""
     return quality.Classifier.fit(docs, table(spark, sf_dir, "labels")).accepted(docs)
@@ -37,7 +44,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The smallest doc_id of each group linked by five-word shingle similarities of 0.8 or more."""
     groups = simhash.near_groups(docs.select("doc_id", "text"))
     gone = materialise(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")), "near-copies")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return _without(docs, gone)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +52,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     index = decontamination.build_index(docs)
     found = decontamination.verdicts(index, table(spark, sf_dir, "benchmark"))
     gone = materialise(found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return _without(docs, gone)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,6 +93,14 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
+def _hid(h: bytes) -> int:
+    """What xxhash64(h) gives in SQL."""
+    import xxhash
+
+    code = xxhash.xxh64_intdigest(h, 42)
+    return code - (1 << 64) if code >> 63 else code
+
+
 def _digest(words: list[bytes]) -> bytes:
     import xxhash
 
@@ -114,9 +122,12 @@ def _lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
 
 
 def _candidates(first: DataFrame, near_words: int) -> DataFrame:
-    """h and mask of distinct lines that share a half with another line of fitting length."""
+    """hid (hash of h) and mask of distinct lines that share a half with another line of fitting length.
+
+    Two lines of one hid only add variants that nothing meets.
+    """
     near = first.where(F.col("n") >= near_words)
-    keyed = near.select("h", "n", F.posexplode("halves").alias("which", "key")).withColumn("low", F.col("which") >= 2)
+    keyed = near.select(F.xxhash64("h").alias("hid"), F.posexplode("halves").alias("which", "key")).withColumn("low", F.col("which") >= 2)
     size = keyed.groupBy("key").agg(F.count(F.when(~F.col("low"), 1)).alias("same"), F.count(F.when(F.col("low"), 1)).alias("longer")).where("same > 1 OR (same > 0 AND longer > 0)")
     own = keyed.join(size, "key")
     last = F.col("which") % 2 == 1
@@ -125,7 +136,7 @@ def _candidates(first: DataFrame, near_words: int) -> DataFrame:
         + F.when(~F.col("low") & (F.col("longer") > 0), WHOLE).otherwise(0)
         + F.when(F.col("low") & (F.col("same") > 0), F.when(last, DEL_1).otherwise(DEL_2)).otherwise(0)
     )
-    return own.groupBy("h").agg(F.bit_or(bits.cast("int")).alias("mask")).where("mask > 0")
+    return own.groupBy("hid").agg(F.bit_or(bits.cast("int")).alias("mask")).where("mask > 0")
 
 
 def _variant_rows(docs: DataFrame, candidates: DataFrame, near_words: int) -> DataFrame:
@@ -140,7 +151,7 @@ def _variant_rows(docs: DataFrame, candidates: DataFrame, near_words: int) -> Da
     names = ["h", "line", "keys", "kinds"]
     if candidates.count() * 9 * 8 < BROADCAST_BYTES:
         small = candidates.toPandas()
-        codes = np.array([int.from_bytes(x[:8], "little") for x in small["h"]], np.uint64)
+        codes = small["hid"].to_numpy(np.int64)
         order = np.argsort(codes)
         sent = spark.sparkContext.broadcast((codes[order], small["mask"].to_numpy(np.int64)[order] if len(small) else np.zeros(0, np.int64)))
 
@@ -154,7 +165,7 @@ def _variant_rows(docs: DataFrame, candidates: DataFrame, near_words: int) -> Da
                         if len(words) < near_words:
                             continue
                         h = _digest(words)
-                        code = np.uint64(int.from_bytes(h[:8], "little"))
+                        code = _hid(h)
                         at = int(np.searchsorted(codes, code))
                         if at < len(codes) and codes[at] == code and h not in seen:
                             seen.add(h)
@@ -167,7 +178,7 @@ def _variant_rows(docs: DataFrame, candidates: DataFrame, near_words: int) -> Da
     def all_lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it):
             got = [w for text in b.column(1).to_pylist() for w in line_words(text) if len(w) >= near_words]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(w) for w in got], pa.binary()), pa.array([b" ".join(w) for w in got], pa.binary())], ["h", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(w) for w in got], pa.binary()), pa.array([b" ".join(w) for w in got], pa.binary()), pa.array([_hid(_digest(w)) for w in got], pa.int64())], ["h", "line", "hid"])
 
     def expand(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -175,7 +186,7 @@ def _variant_rows(docs: DataFrame, candidates: DataFrame, near_words: int) -> Da
             got = [variants(x.split(), m) for x, m in zip(lines, b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.binary()), pa.array([k for k, _ in got], kinds[2]), pa.array([k for _, k in got], kinds[3])], names)
 
-    joined = id_text(docs).mapInArrow(all_lines, "h binary, line binary").join(candidates, "h")
+    joined = id_text(docs).mapInArrow(all_lines, "h binary, line binary, hid long").join(candidates, "hid")
     return joined.select("h", "line", "mask").mapInArrow(expand, fields)
 
 
@@ -213,6 +224,10 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
 def clean(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with its texts less the repeated lines, and the columns _lines, _dropped and _gone (the document goes)."""
     drops = dropped_lines(docs, min_words, near_words).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("_out"))
+    drops = materialise(drops, "dropped-lines")
+    size = drops.agg(F.sum(4 * F.size("_out") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES // 4:  # then the texts needn't move
+        drops = F.broadcast(drops)
     joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("_id"), "left")
     parts = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
     kept = F.filter("_parts", lambda x, i: ~F.array_contains("_out", i))
