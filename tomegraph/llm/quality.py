@@ -214,13 +214,13 @@ class Classifier:
             slots = Slots()
             for b in slices(it):
                 x = pooled(b.column(1).to_pylist(), *vectors.value, slots)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary())], ["doc_id", "x"])
 
         known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
         chosen = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labels")
         rows = id_text(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most train_rows labels
-        sample = rows.select("doc_id", "text").mapInArrow(pool, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
-        x = np.array(sample["x"].tolist()).reshape(len(sample), 3 * WIDTH + 1)
+        sample = rows.select("doc_id", "text").mapInArrow(pool, "doc_id long, x binary").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
+        x = np.frombuffer(b"".join(sample["x"]), "<f4").reshape(len(sample), 3 * WIDTH + 1).astype(float)
         own.network = own.spark.sparkContext.broadcast(Network().fit(x, (sample["y"].to_numpy(float) >= 0.5).astype(float)))
         return own
 
