@@ -42,12 +42,17 @@ def _id(prefix: str, column: str):
 # --- shared inputs ------------------------------------------------------------------------------
 
 
+def _line_ord(flag: str, values: str):
+    """Order number, line number, then the flag: lines that share the first two differ in the flag or not at all."""
+    return (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 4 + F.instr(F.lit(values), F.col(flag))
+
+
 def _supply_edges(spark, d) -> DataFrame:
     li = _t(spark, d, "lineitem")
-    return li.select(_id("p", "l_partkey").alias("source"), _id("s", "l_suppkey").alias("target"), F.col("l_returnflag").alias("relation"), F.col("l_linestatus").alias("desc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return li.select(_id("p", "l_partkey").alias("source"), _id("s", "l_suppkey").alias("target"), F.col("l_returnflag").alias("relation"), F.col("l_linestatus").alias("desc"), _line_ord("l_linestatus", "FO").alias("ord"))
 
 
-SUPPLY = "SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target, l_returnflag AS relation, l_linestatus AS \"desc\", l_orderkey * 10 + l_linenumber AS ord FROM lineitem"
+SUPPLY = "SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target, l_returnflag AS relation, l_linestatus AS \"desc\", (l_orderkey * 10 + l_linenumber) * 4 + strpos('FO', l_linestatus) AS ord FROM lineitem"
 
 
 def _place_edges(spark, d) -> DataFrame:
@@ -189,10 +194,10 @@ def remap_nodes(spark, d):
 
 
 @query("""
-WITH e AS (SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target, l_shipdate < TIMESTAMP '1995-01-01' AS old, l_returnflag AS relation, l_orderkey * 10 + l_linenumber AS ord FROM lineitem)
+WITH e AS (SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target, l_shipdate < TIMESTAMP '1995-01-01' AS old, l_returnflag AS relation, (l_orderkey * 10 + l_linenumber) * 4 + strpos('ANR', l_returnflag) AS ord FROM lineitem)
 SELECT source, target, CASE WHEN bool_or(old) THEN 'base' ELSE 'new' END AS origin, coalesce(arg_min(relation, ord) FILTER (WHERE old), arg_min(relation, ord)) AS relation FROM e GROUP BY source, target""")
 def incremental_edge_merge(spark, d):
-    e = _t(spark, d, "lineitem").select(_id("p", "l_partkey").alias("source"), _id("s", "l_suppkey").alias("target"), F.col("l_returnflag").alias("relation"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), (F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp")).alias("old"))
+    e = _t(spark, d, "lineitem").select(_id("p", "l_partkey").alias("source"), _id("s", "l_suppkey").alias("target"), F.col("l_returnflag").alias("relation"), _line_ord("l_returnflag", "ANR").alias("ord"), (F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp")).alias("old"))
     base, new = e.where("old").withColumn("origin", F.lit("base")), e.where("NOT old").withColumn("origin", F.lit("new"))
     return graph.add_missing(base, new, ["source", "target"]).select("source", "target", "origin", "relation")
 
