@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tomegraph.functions import similarity as S
 from tomegraph.operators import canonical, evaluate, graph, hetero, metrics, parsers, paths, resolve, search, stats, views
-from tomegraph.plans import context
+from tomegraph.plans import context, queries
 from tomegraph.plans.client import RuleClient
 from tomegraph.sources import catalogs, documents, graphs, sinks
 
@@ -273,3 +275,22 @@ def test_resolve_all(spark):
     assert (rows["dash"].type, rows["dash"].source_file) == ("Item", "Adventure")
     assert keys(resolve.seeds(got), "id", "creature_type", "location_type")[-1] == ("wolf", "beast", None)
     assert {(r.entity_type, r.n, r.n_matched) for r in stats.resolution_stats(got).collect()} >= {(None, 4, 1), ("creature", 2, 1)}
+
+
+def test_similar_pairs(spark):
+    """Without a common prefix, against all pairs."""
+    r = random.Random(3)
+    labels = {"", "a", "ab", "abc", "cold anvil", "old anvil", "Ünder the hill", "the hill", "𝄞 clef", "clef"}
+    labels |= {"".join(r.choice("abc ") for _ in range(r.choice((1, 2, 3, 5, 6, 9, 12, 15)))) for _ in range(90)}
+    labels |= {"".join(r.choice("xyz") if r.random() < 0.1 else c for c in r.choice("xyz") + base) for base in ("the old tower by the river", "a marsh of many names") for _ in range(15)}
+    df = spark.createDataFrame([(x,) for x in sorted(labels)], "label string")
+    a, b = df.select(F.col("label").alias("a")), df.select(F.col("label").alias("b"))
+    want = {tuple(x) for x in a.join(b, F.col("a") < F.col("b")).where(S.similar_labels(F.col("a"), F.col("b"))).collect()}
+    got = [tuple(x) for x in canonical.similar_pairs(df).collect()]
+    assert set(got) == want
+    assert len(got) == len(want) > 100
+    assert ("cold anvil", "old anvil") in want
+
+
+def test_similar_labels_all_finds_pairs(spark, sf):
+    assert ("cold anvil", "old anvil", 1) in {tuple(x) for x in queries.QUERIES["similar_labels_all"](spark, sf).collect()}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import containment
@@ -37,6 +38,60 @@ def mentions(sections: DataFrame, aliases: DataFrame, longest: int = 3, least: i
     return hit.where(F.size("ids") >= least)
 
 
+def _edits(longest: int) -> int:
+    """Edits that the label rule allows when the longer label has so many letters."""
+    return max(2, int(0.2 * longest))
+
+
+def _cuts(length: int) -> list[int]:
+    """Where a label of this length is cut into one piece more than it may have edits, so one stays whole."""
+    n = _edits(length) + 1
+    return [length * i // n for i in range(n + 1)]
+
+
+def _own_pieces(label: str) -> list[str]:
+    cuts = _cuts(len(label))
+    return [f"{len(label)}:{i}:{label[a:b]}" for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
+def _met_pieces(label: str) -> list[str]:
+    """Every piece that a label as long or longer, and within its edits, can have kept whole.
+
+    Piece i is no more than i places off, or has the pieces after it to make up for the rest.
+    """
+    out, n, longer = set(), len(label), len(label)
+    while longer - (d := _edits(longer)) <= n:
+        for i, (a, b) in enumerate(zip(cuts := _cuts(longer), cuts[1:], strict=False)):
+            low, high = max(0, a - i, a + n - longer - (d - i)), min(n - (b - a), a + i, a + n - longer + (d - i))
+            out.update(f"{longer}:{i}:{label[x : x + b - a]}" for x in range(low, high + 1))
+        longer += 1
+    return sorted(out)
+
+
+def _keys(label: Column, of) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([of(v) for v in x])
+
+    return run(label)
+
+
+def similar_pairs(labels: DataFrame) -> DataFrame:
+    """a < b of all the distinct labels (label) that the label rule holds similar; blank ones are like nothing.
+
+    Of a label cut into one piece more than the edits allowed, one piece at least is whole in the
+    other label, so pieces are exact keys; labels inside others are found by containment.
+    """
+    n = labels.select("label").where("label <> ''").distinct()
+    long = n.select(F.col("label").alias("x"), F.explode(_keys(F.col("label"), _own_pieces)).alias("key"))
+    short = n.select(F.col("label").alias("y"), F.explode(_keys(F.col("label"), _met_pieces)).alias("key"))
+    near = long.join(short, "key").where("x <> y").select("x", "y")
+    inside = containment.contained(n.select(F.col("label").alias("hay_id"), F.col("label").alias("hay")), n.select(F.col("label").alias("needle_id"), F.col("label").alias("needle")))
+    every = near.unionByName(inside.where("hay <> needle").select(F.col("hay").alias("x"), F.col("needle").alias("y")))
+    pairs = every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.where(similar_labels(F.col("a"), F.col("b")))
+
+
 def canonical_ids(raw: DataFrame, unique: DataFrame) -> DataFrame:
     """raw (id, label) to new_id of unique (id, label, aliases, ord): id, label, alias, then similar labels.
 

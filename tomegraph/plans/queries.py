@@ -538,6 +538,15 @@ def similar_labels(spark, d):
     return pairs.where(similarity.similar_labels(F.col("a"), F.col("b"))).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"))
 
 
+@query(f"""
+WITH n AS ({NAMES})
+SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name)::BIGINT AS distance FROM n a JOIN n b ON a.name < b.name
+WHERE ((contains(a.name, b.name) OR contains(b.name, a.name)) AND least(length(a.name), length(b.name)) >= 0.5 * greatest(length(a.name), length(b.name))) OR levenshtein(a.name, b.name) <= 2 OR levenshtein(a.name, b.name) <= 0.2 * greatest(length(a.name), length(b.name))""")
+def similar_labels_all(spark, d):
+    pairs = canonical.similar_pairs(_t(spark, d, "part").select(F.col("p_name").alias("label")))
+    return pairs.select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"))
+
+
 @query(f"""
 WITH n AS ({NAMES}), p AS (SELECT 100.0 * (1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name))) AS s FROM n a JOIN n b ON split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1) AND a.name <> b.name)
 SELECT CASE WHEN s >= 100 THEN 'exact' WHEN s >= 90 THEN 'high' WHEN s >= 80 THEN 'fair' WHEN s > 0 THEN 'low' ELSE 'none' END AS bucket, count(*) AS n FROM p GROUP BY 1""")
