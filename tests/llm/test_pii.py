@@ -69,3 +69,24 @@ def test_query(spark, sf):
         b = brute(src[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{KINDS[k][0]}:{s}:{e}" for s, k, e in b).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in b) for i in range(4)]
+
+
+def added(spark, rows):
+    text = dict(rows)
+    return collections.Counter(text[r.doc_id][s.start : s.stop] for r in P.sanitise(documents(spark, rows)).collect() for s in r.spans if s.kind >= 4)
+
+
+def test_values_of_one_text(spark):
+    """No value is in two texts: a term that goes with any phone number, and one that goes with a host."""
+    plain = [(1000 + i, prose(3000 + i, 40)) for i in range(400)]
+    phones = [(i, f"Hotline {prose(i, 60)} +49 30 1234{i:04d} {prose(50 + i, 20)}") for i in range(12)]
+    mails = [(100 + i, f"{prose(400 + i, 30)} u{i}@zq.example {prose(500 + i, 60)} Zarquon") for i in range(12)]
+    once = [(200, f"Quibble {prose(900, 30)} 10.1.2.3")]
+    got = added(spark, phones + mails + once + plain)
+    assert got["Hotline"] == got["Zarquon"] == 12
+    assert got["Quibble"] == 0
+
+
+def test_copies_are_one_text(spark):
+    same = f"Quibble {prose(1, 30)} 10.1.2.3"
+    assert added(spark, [(i, same) for i in range(30)] + [(100 + i, prose(100 + i, 40)) for i in range(400)]) == {}

@@ -1,17 +1,18 @@
 """Personal data and what gives it away, by DataFrame functions alone.
 
 Base spans are e-mail and IP addresses, card and telephone numbers, found by patterns and checked.
-Then the corpus tells which terms reveal a found value: for a term within CONTEXT characters of it,
-p = documents with both / documents with the term, and the pointwise mutual information in bits. A
-term seen with the value in two different texts or more, with p >= GENERALISE and at least MIN_BITS,
-discloses it: its places in those documents become spans as well, `general` (replace by a
-placeholder) or, from REMOVE on, `remove`. Terms inside a base span are left to it.
+Then the corpus tells which terms reveal a found value: for a term of a text that holds the value,
+p = texts with both / texts with the term, and the pointwise mutual information in bits; exact copies
+are one text. With p >= GENERALISE and at least MIN_BITS it discloses the value: its places in those
+texts become spans as well, `general` (replace by a placeholder) or, from REMOVE on, `remove`. A
+value in one text only has no such share of its own. It counts with all values of its kind, and of
+its host if it is an e-mail address: their shares have POOL texts of the corpus's average added to
+them, so a few chance meetings don't pass. Terms inside a base span are left to it.
 
 Positions are code points. The patterns are those of the contract written without the backtracking
 that long runs would cost: possessive repeats, and no start inside a run that was tried already.
 
-Defined cases: null and empty texts have no spans; equal doc_ids keep a row each and share their
-disclosing terms; an empty table gives no rows; other columns are ignored.
+Defined cases: null and empty texts have no spans; equal doc_ids keep a row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, materialise, table
 
-CONTEXT, GENERALISE, REMOVE, MIN_BITS = 120, 0.5, 0.9, 4.0
+GENERALISE, REMOVE, MIN_BITS = 0.5, 0.9, 4.0
+#: Texts of average share that are added to those of a pool.
+POOL = 4
 #: Names by number; spans are sorted by start, then in this order.
 KINDS = ("email", "ip", "card", "phone", "general", "remove")
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -107,40 +110,66 @@ def find(docs: DataFrame) -> DataFrame:
     return materialise(spans.select("doc_id", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "pii")
 
 
+def _entities(text: Column, spans: Column) -> Column:
+    """array<struct<pooled, entity>>: each value, and as pools its kind and an e-mail address's host."""
+
+    def of(s: Column) -> Column:
+        value = F.lower(F.substr(text, s["start"] + 1, s["stop"] - s["start"]))
+        host = F.when(s["kind"] == KINDS.index("email"), F.substring_index(value, "@", -1)).otherwise("")
+        named = lambda pooled, name: F.struct(F.lit(pooled).alias("pooled"), F.xxhash64(F.lit(pooled), s["kind"], name).alias("entity"))
+        return F.array(named(False, value), named(True, F.lit("")), named(True, host))
+
+    return F.array_distinct(F.flatten(F.transform(spans, of)))
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a blank for each span."""
+    begin = lambda i: F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0))
+    pieces = F.transform(spans, lambda s, i: F.substr(text, begin(i) + 1, F.greatest(F.lit(0), s["start"] - begin(i))))
+    return F.concat(F.concat_ws(" ", pieces), F.lit(" "), F.substr(text, F.element_at(spans, -1)["stop"] + 1))
+
+
+def _sent(df: DataFrame, bytes_each: int) -> DataFrame:
+    return F.broadcast(df) if df.count() * bytes_each <= BROADCAST_BYTES // 4 else df
+
+
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, term, kind (number) of the terms that reveal a value of that document."""
-    spark = docs.sparkSession
-    spans = found.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("copy"), F.explode("spans").alias("s"))
-    value = F.lower(F.substr("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")))
-    left = F.substr("text", F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT), F.least(F.lit(CONTEXT), F.col("s.start")))
-    right = F.substr("text", F.col("s.stop") + 1, F.lit(CONTEXT))
-    # a word cut by the edge of the context isn't a term of it
-    left = F.when(F.col("s.start") > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    near = spans.select("doc_id", "copy", F.xxhash64(F.col("s.kind"), value).alias("entity"), F.regexp_extract_all(F.lower(F.concat(left, F.lit(" "), right)), F.lit(_TERM), 0).alias("terms"))
-    context = materialise(near.select("doc_id", "copy", "entity", F.explode(F.array_distinct("terms")).alias("term")).distinct(), "pii-context")
-    held = context.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    joint = materialise(context.groupBy("entity", "term").agg(F.count("*").alias("n_joint"), F.min("copy").alias("c1"), F.max("copy").alias("c2")).where("c1 <> c2").drop("c1", "c2"), "pii-joint")
+    """copy (hash of a text), term, kind (number) of the terms that reveal a value of that text."""
+    rows = found.where("text IS NOT NULL").select(F.xxhash64("text").alias("copy"), "text", "spans").dropDuplicates(["copy"])
+    terms_of = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(_TERM), 0))
+    texts = rows.select("copy", _entities(F.col("text"), F.col("spans")).alias("es"), terms_of(let(F.struct("text", "spans"), lambda r: _outside(r["text"], r["spans"]))).alias("terms"))
+    texts = materialise(texts, "pii-texts")
+    all_copies = docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("copy")).groupBy("copy").agg(F.count("*").alias("n_copies"))
+    all_copies = materialise(all_copies, "pii-copies")
+    n_texts = float(max(all_copies.count(), 1))
+    each = texts.select("copy", F.explode("es").alias("e")).select("copy", "e.*")
+    # an entity of one text has no evidence of its own; its pools have
+    held = materialise(each.groupBy("entity", "pooled").agg(F.count("*").alias("n_entity")).where("n_entity > 1"), "pii-entities")
+    shared = each.join(_sent(held, 64), ["entity", "pooled"]).groupBy("copy").agg(F.collect_list(F.struct("entity", "pooled", "n_entity")).alias("es"))
+    context = texts.drop("es").join(shared, "copy").select("copy", "terms", F.explode("es").alias("e")).select("copy", "e.*", F.explode("terms").alias("term"))
+    context = materialise(context, "pii-context")
+    prior = F.col("n_entity") / n_texts
+    share = lambda n: F.when(F.col("pooled"), (F.col("n_joint") + POOL * prior) / (n + POOL)).otherwise(F.col("n_joint") / n)
+    enough = lambda p: (p >= GENERALISE) & (F.log2(p / prior) >= MIN_BITS)
+    joint = context.groupBy("entity", "pooled", "n_entity", "term").agg(F.count("*").alias("n_joint")).where("n_joint > 1")
+    joint = materialise(joint.where(enough(share(F.col("n_joint")))), "pii-joint")  # a term is in n_joint texts at least
     terms = materialise(joint.select("term").distinct(), "pii-terms")
-    own = docs.select(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), 0)).alias("w")).select(F.explode("w").alias("term"))
+    own = docs.select(F.xxhash64("text").alias("copy"), F.explode(terms_of(F.col("text").cast("string"))).alias("term"))
     size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES // 2:
-        counts = own.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        counts = own.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
-    n_docs = docs.count()
-    p = F.col("n_joint") / F.col("n_term")
-    bits = F.log2(p * F.lit(float(max(n_docs, 1))) / F.col("n_entity"))
+    own = own.join(F.broadcast(terms) if size <= BROADCAST_BYTES // 2 else terms, "term", "left_semi")
+    weighed = own.join(_sent(all_copies.where("n_copies > 1"), 64), "copy", "left")
+    counts = weighed.groupBy("term").agg(F.round(F.sum(1 / F.coalesce("n_copies", F.lit(1)))).alias("n_term"))
+    p = share(F.col("n_term"))
     kind = F.when(p >= REMOVE, KINDS.index("remove")).otherwise(KINDS.index("general"))
-    reveals = joint.join(counts, "term").join(held, "entity").where((p >= GENERALISE) & (bits >= MIN_BITS)).select("entity", "term", kind.alias("kind"))
-    return materialise(context.join(reveals, ["entity", "term"]).groupBy("doc_id", "term").agg(F.max("kind").alias("kind")), "pii-reveals")
+    reveals = joint.join(counts, "term").where(enough(p)).select("entity", "term", kind.alias("kind"))
+    return materialise(context.select("copy", "entity", "term").join(reveals, ["entity", "term"]).groupBy("copy", "term").agg(F.max("kind").alias("kind")), "pii-reveals")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id, base (array), spans (array with the added ones), clean_text (null where nothing was found)."""
     found = find(docs)
-    terms = disclosing(docs, found).groupBy(F.col("doc_id").alias("_d")).agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("_terms"))
-    some = found.where("text IS NOT NULL").join(terms, F.col("doc_id") == F.col("_d"), "left").drop("_d")
+    terms = disclosing(docs, found).groupBy(F.col("copy").alias("_d")).agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("_terms"))
+    some = found.where("text IS NOT NULL").join(terms, F.xxhash64("text") == F.col("_d"), "left").drop("_d")
     kind = lambda m: F.col("_terms")[F.lower(m["value"])]
     free = lambda m: ~F.exists("spans", lambda s: (s["start"] < m["stop"]) & (s["stop"] > m["start"]))
     hit = F.filter(occurrences(F.col("text"), _TERM), lambda m: kind(m).isNotNull() & free(m))
