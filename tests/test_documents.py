@@ -127,3 +127,35 @@ def test_semantic(spark):
     assert {r.id: r.node_type for r in out["nodes"].collect()} == {"marsh_wolf": "entity", "harbour": "entity", "storm": "event"}
     assert {(r.source, r.relation, r.target) for r in out["edges"].collect()} == {("storm", "occurs_at", "harbour"), ("storm", "has_participant", "marsh_wolf")}
     assert out["stats"].count() > 0
+
+
+class Recorder(Scripted):
+    """Keeps the prompts in a file, for calls run in other processes."""
+
+    def __init__(self, path, **replies):
+        super().__init__(**replies)
+        self.path = path
+
+    def complete(self, prompt, params):
+        with open(self.path, "a") as f:
+            f.write(f"<{params['stage']}>{prompt}\n")
+        return super().complete(prompt, params)
+
+
+def test_semantic_relations(spark, tmp_path):
+    """Seeds are known, and edges of the hierarchy and of relations come out beside the events'."""
+    from tomegraph.sources.catalogs import read_catalog
+
+    text = {"data": [{"type": "section", "name": "One", "id": "001", "entries": ["The Harbour has a Quay, where the {@creature Marsh Wolf|ABC} sleeps."]}]}
+    client = Recorder(
+        str(tmp_path / "prompts"),
+        events="<entities>\nEntity: Harbour\nType: Location\nID: harbour\n\nEntity: Quay\nType: Location\nID: quay\n</entities>",
+        hierarchy="Relation: part_of\nSource: quay\nTarget: harbour\nDescription: d",
+        relations="Relation: inhabits\nSource: marsh_wolf\nTarget: quay\nDescription: d",
+    )
+    catalog = read_catalog(docs(spark, {"monster": [{"name": "Marsh Wolf", "source": "ABC"}]}), "creature")
+    out = stages.semantic(docs(spark, text), {"creature": catalog}, client)
+    assert {(r.source, r.relation, r.target) for r in out["edges"].collect()} == {("quay", "part_of", "harbour"), ("marsh_wolf", "inhabits", "quay")}
+    asked = (tmp_path / "prompts").read_text()
+    assert "[marsh_wolf] Marsh Wolf" in asked.partition("<events>")[2]
+    assert "List the events" in asked.partition("<events>")[2]

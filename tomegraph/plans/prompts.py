@@ -14,11 +14,16 @@ _ASK = {
     "ner": "List the entities of the text between <entities> and </entities>, one per block of lines Entity, Type, ID, LocationType, CreatureType, IsGeneric, Aliases. If there are none, say so between <summary> and </summary>.",
     "events": "List the events of the text between <events> and </events>, one per block of lines Event, Type, ID, Participants, Location, Description.",
     "relations": "List relations between the known entities as blocks of lines Source, Relation, Target, Description, with a blank line between blocks.",
+    "hierarchy": "Say which of the known places lies in which, as blocks of lines Relation: part_of, Source (the inner place), Target (the outer place), Description, with a blank line between blocks.",
     "verify": "Check the list of places against the text. Answer lines `Is Complete: Yes or No`, `Missing Locations:` and `Issues:`, items as lines that start with a hyphen.",
     "answer": "Answer the question from the context alone. If the context doesn't tell, say so.",
 }
 
 
+#: Entities and events of one call.
+UNIFIED = f"{_ASK['ner']}\n{_ASK['events']}"
+
+
 def prompt(stage: str, text: Column, **parts: Column) -> Column:
     """The task, named parts that aren't blank, then the text."""
     out = [F.lit(_ASK[stage] + "\n\n")]

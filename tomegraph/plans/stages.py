@@ -11,7 +11,10 @@ from ..functions import text as T
 from ..operators import canonical, graph, hetero, parsers, traverse
 from ..session import materialise
 from .client import Client, call
-from .prompts import prompt
+from .prompts import UNIFIED, prompt
+
+#: Known entities of each type that a prompt shows.
+KNOWN = 20
 
 _GRAPH = "struct<nodes: array<struct<id: string, label: string, type: string>>, edges: array<struct<source: string, target: string, relationship: string, relation: string, desc: string>>>"
 
@@ -96,33 +99,47 @@ def recognise(nodes: DataFrame, client: Client, least: int = 50, most: int = 200
     return calls.select("key", F.posexplode(parsers.entities(T.strip_thinking(F.coalesce("response", F.lit(""))))).alias("i", "e")).select("key", "i", "e.*")
 
 
-def extract_in_order(nodes: DataFrame, client: Client, seeds: list[str] = ()) -> DataFrame:
+def extract_in_order(nodes: DataFrame, client: Client, seeds: list[tuple[str, str, str]] = ()) -> DataFrame:
     """Entities and events section by section in document order, each call knowing what came before.
 
-    The order is the semantics, so a document is one task; documents run beside each other.
+    `seeds` (id, label, type) are known from the start; of each type the first KNOWN are shown. The
+    order is the semantics, so a document is one task; documents run beside each other.
     """
     fields = f"doc_id string, path array<int>, entities array<{parsers.ENTITY}>, events array<{parsers.EVENT}>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known, out = list(seeds), []
+        known: dict[str, dict[str, str]] = {}
+        out = []
+
+        def learn(id: str, label: str, type: str) -> None:
+            known.setdefault(type, {}).setdefault(id, label)
+
+        for s in seeds:
+            learn(*s)
         for r in pdf.sort_values("path", key=lambda s: s.map(tuple)).itertuples():
+            lines = [x for t, of in known.items() for x in (f"{t}:", *(f"  - [{i}] {label}" for i, label in list(of.items())[:KNOWN]))]
+            before = "### KNOWN\n" + "\n".join(lines) + "\n\n" if lines else ""
             try:
-                reply, _ = client.complete(f"Known: {', '.join(known[-200:])}\n\n### TEXT\n{r.content or ''}", {"stage": "events", "temperature": 0.75})
+                reply, _ = client.complete(f"{UNIFIED}\n\n{before}### TEXT\n{r.content or ''}", {"stage": "events", "temperature": 0.75})
             except Exception:  # noqa: BLE001  a failed call has no entities
                 reply = ""
             entities, events = parsers.parse_entities(reply) if "<entities>" in reply else [], parsers.parse_events(reply)
-            known += [e["id"] for e in entities if e["id"] not in known]
+            for e in entities:
+                learn(e["id"], e["label"], e["type"])
             out.append((r.doc_id, list(r.path), entities, events))
         return pd.DataFrame(out, columns=["doc_id", "path", "entities", "events"])
 
     return nodes.select("doc_id", "path", "content").groupBy("doc_id").applyInPandas(run, fields)
 
 
-def relate(sections: DataFrame, aliases: DataFrame, client: Client) -> DataFrame:
-    """Relations of sections that mention two known entities or more; the first of each key holds."""
+def relate(sections: DataFrame, aliases: DataFrame, client: Client, stage: str = "relations") -> DataFrame:
+    """Relations of sections that mention two known entities or more; the first of each key holds.
+
+    The stage `hierarchy`, with the aliases of places, asks for the places that lie in others.
+    """
     named = canonical.mentions(sections, aliases, least=2)
-    asked = sections.join(named, "section_id").select(F.col("section_id").alias("key"), prompt("relations", F.col("content"), known=F.array_join("ids", ", ")).alias("prompt"))
-    calls = call(asked, client, "relations")
+    asked = sections.join(named, "section_id").select(F.col("section_id").alias("key"), prompt(stage, F.col("content"), known=F.array_join("ids", ", ")).alias("prompt"))
+    calls = call(asked, client, stage)
     each = calls.select("key", F.posexplode(parsers.relations(T.strip_thinking(F.coalesce("response", F.lit(""))))).alias("i", "r")).select("key", "i", "r.*")
     return graph.first_wins(each.withColumn("ord", F.struct("key", "i")), graph.EDGE_KEY)
 
@@ -149,19 +166,25 @@ def two_phase(sections: DataFrame, client: Client) -> tuple[DataFrame, DataFrame
 
 
 def semantic(docs: DataFrame, catalogs: dict[str, DataFrame], client: Client) -> dict[str, DataFrame]:
-    """Parse, resolve, seed, extract in order, assemble: tables sections, references, entities, nodes, edges, stats."""
+    """Parse, resolve, seed, extract in order, place in hierarchies, relate, assemble: tables sections, references, entities, nodes, edges, stats."""
     from ..operators import flatten, resolve, stats
 
     sections = materialise(flatten.flatten(docs, "indexed"), "sections")
     refs = materialise(flatten.external_refs(sections), "references")
     entities = materialise(resolve.resolve_all(refs, catalogs), "entities")
-    extracted = materialise(extract_in_order(sections, client), "extracted")
-    own = resolve.seeds(entities).select("id", "label", "type", F.xxhash64("id").alias("ord"))
-    new = extracted.select("doc_id", "path", F.posexplode("entities").alias("i", "e")).select("e.id", "e.label", "e.type", F.xxhash64("doc_id", "path", "i").alias("ord"))
+    none = F.array().cast("array<string>")
+    own = resolve.seeds(entities).select("id", "label", "type", none.alias("aliases"), F.xxhash64("id").alias("ord"))
+    shown = graph.first_n(own, ["type"], KNOWN).orderBy("type", "rank").collect()  # KNOWN rows a type
+    extracted = materialise(extract_in_order(sections, client, [(r.id, r.label, r.type) for r in shown]), "extracted")
+    new = extracted.select("doc_id", "path", F.posexplode("entities").alias("i", "e")).select("e.id", "e.label", "e.type", F.coalesce("e.aliases", none).alias("aliases"), F.xxhash64("doc_id", "path", "i").alias("ord"))
     events = extracted.select("doc_id", "path", F.posexplode("events").alias("i", "e")).select("e.id", "e.label", "e.type", "e.participants", "e.location", "e.description", F.xxhash64("doc_id", "path", "i").alias("ord"))
-    relations = events.select(F.lit("").alias("source"), F.lit("").alias("target"), F.lit("").alias("relation"), F.lit("").alias("desc")).limit(0)
-    every = own.unionByName(new)
-    known = canonical.canonical_ids(every.select("id", "label"), every.withColumn("aliases", F.array().cast("array<string>"))).select("old_id", "new_id")
+    every = materialise(own.unionByName(new), "every-entity")
+    texts = _path_key(sections).select(F.col("key").alias("section_id"), "content")
+    inside = relate(texts, canonical.alias_map(hetero.meaningful(every).where("type = 'Location'")), client, "hierarchy")
+    meant = relate(texts, canonical.alias_map(hetero.meaningful(every)), client)
+    ends = ("source", "target", "relation", "desc")
+    relations = materialise(inside.select(*ends).unionByName(meant.select(*ends)), "relations")
+    known = canonical.canonical_ids(every.select("id", "label", "aliases"), every).select("old_id", "new_id")
     nodes, edges = hetero.assemble(every, events, relations, known)
     return {"sections": sections, "references": refs, "entities": entities, "nodes": nodes, "edges": edges, "stats": stats.graph_totals(nodes, edges)}
 
