@@ -294,3 +294,9 @@ def test_similar_pairs(spark):
 
 def test_similar_labels_all_finds_pairs(spark, sf):
     assert ("cold anvil", "old anvil", 1) in {tuple(x) for x in queries.QUERIES["similar_labels_all"](spark, sf).collect()}
+
+
+def test_canonical_ids_by_own_alias_and_near_blocks(spark):
+    u = spark.createDataFrame([("door", "Door", [], 1), ("orc", "Orc", [], 2), ("mill", "Old Mill", [], 3), ("inn", "Inn", ["tavern"], 4), ("orca", "Orca", [], 5)], "id string, label string, aliases array<string>, ord long")
+    raw = spark.createDataFrame([("d", "Doors", []), ("o", "Orcs", None), ("w", "Windwheel", ["the wheel", "Old Mill"]), ("t", "Tavern", ["old mill"]), ("x", "Lantern", ["lamp"])], "id string, label string, aliases array<string>")
+    assert {r.old_id: (r.new_id, r.tier) for r in canonical.canonical_ids(raw, u).collect()} == {"d": ("door", 4), "o": ("orc", 4), "w": ("mill", 5), "t": ("mill", 5), "x": ("x", None)}

@@ -93,18 +93,30 @@ def similar_pairs(labels: DataFrame) -> DataFrame:
 
 
 def canonical_ids(raw: DataFrame, unique: DataFrame) -> DataFrame:
-    """raw (id, label) to new_id of unique (id, label, aliases, ord): id, label, alias, then similar labels.
+    """raw (id, label, aliases if it has them) to new_id of unique (id, label, aliases, ord), and the tier.
 
-    Labels are compared in normalised form; only those with equal first BLOCK_PREFIX letters are
-    measured, and among several the first by ord holds.
+    In this order: id (1), label (2), the raw entity's own aliases that are a label (5), its label as
+    an alias (3), similar labels (4). Labels are compared in normalised form. Similarity is measured
+    for blocks of the first BLOCK_PREFIX letters: the raw label's own, that less its last letter, and
+    that with an `a`; in a tier the first by block, then by ord, holds.
     """
+    forms = lambda of: F.transform(F.coalesce(of, F.array().cast("array<string>")), lambda a: T.normalized_label(a))
     norm = lambda c: T.normalized_label(F.col(c))
     r = raw.select("id", norm("label").alias("name")).distinct()
-    u = unique.select(F.col("id").alias("uid"), norm("label").alias("uname"), "ord", F.transform(F.coalesce("aliases", F.array()), lambda a: T.normalized_label(a)).alias("forms"))
-    by_id = r.join(u, r.id == u.uid).select("id", F.lit(1).alias("tier"), "ord", "uid")
-    by_name = r.join(u, (r.name == u.uname) & (F.col("name") != "")).select("id", F.lit(2).alias("tier"), "ord", "uid")
-    by_alias = r.join(u.select("uid", "ord", F.explode("forms").alias("form")), F.col("name") == F.col("form")).where("name <> ''").select("id", F.lit(3).alias("tier"), "ord", "uid")
-    near = r.join(u, F.substring("name", 1, BLOCK_PREFIX) == F.substring("uname", 1, BLOCK_PREFIX)).where(similar_labels(F.col("name"), F.col("uname"))).select("id", F.lit(4).alias("tier"), "ord", "uid")
-    every = by_id.unionByName(by_name).unionByName(by_alias).unionByName(near)
-    best = every.groupBy("id").agg(F.min(F.struct("tier", "ord", "uid")).alias("b"))
+    u = unique.select(F.col("id").alias("uid"), norm("label").alias("uname"), "ord", forms(F.col("aliases")).alias("forms"))
+
+    def hits(df: DataFrame, rank: int, tier: int, block=None) -> DataFrame:
+        return df.select("id", F.lit(rank).alias("rank"), (F.lit(0) if block is None else block).alias("block"), "ord", "uid", F.lit(tier).alias("tier"))
+
+    every = hits(r.join(u, r.id == u.uid), 1, 1)
+    every = every.unionByName(hits(r.join(u, (r.name == u.uname) & (F.col("name") != "")), 2, 2))
+    if "aliases" in raw.columns:
+        named = raw.select("id", F.explode(forms(F.col("aliases"))).alias("form")).where("form <> ''").distinct()
+        every = every.unionByName(hits(named.join(u, F.col("form") == F.col("uname")), 3, 5))
+    every = every.unionByName(hits(r.join(u.select("uid", "ord", F.explode("forms").alias("form")), F.col("name") == F.col("form")).where("name <> ''"), 4, 3))
+    first = F.substring("name", 1, BLOCK_PREFIX)
+    keyed = r.select("id", "name", F.posexplode(F.array(first, F.expr(f"left(name, least(length(name), {BLOCK_PREFIX}) - 1)"), F.concat(first, F.lit("a")))).alias("block", "key"))
+    near = keyed.where("key <> ''").join(u, F.col("key") == F.substring("uname", 1, BLOCK_PREFIX)).where(similar_labels(F.col("name"), F.col("uname")))
+    every = every.unionByName(hits(near, 5, 4, F.col("block")))
+    best = every.groupBy("id").agg(F.min(F.struct("rank", "block", "ord", "uid", "tier")).alias("b"))
     return r.select("id").distinct().join(best, "id", "left").select(F.col("id").alias("old_id"), F.coalesce("b.uid", "id").alias("new_id"), F.col("b.tier").alias("tier"))
