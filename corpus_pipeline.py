@@ -32,7 +32,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less the lines that an earlier document or line has; documents made of such lines go."""
-    cleaned = line_dedup.clean(docs).where("NOT _gone")
+    cleaned = line_dedup.clean(docs).where("NOT _spent")
     changed = F.col("_dropped") > 0
     new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

@@ -91,3 +91,17 @@ def test_columns_stay(spark):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept, r.text_sha256) for r in L.op6_line_dedup(spark, sf).collect()} == brute(rows)
+
+
+def test_short_new_lines_stay(spark):
+    """A document goes only if all that is left of it was seen before."""
+    footer = "all rights reserved by the keeper of this list"
+    data = [(1, f"head\n{footer}"), (2, f"red tin\n\nblue cup\n{footer}"), (3, f"HEAD\n{footer}"), (4, f"\n{footer}\n "), (None, f"green jar\n{footer}")]
+    spent = {r.doc_id: r["_spent"] for r in L.clean(documents(spark, data)).collect()}
+    assert spent == {1: False, 2: False, 3: True, 4: True, None: False}
+
+
+def test_scripts_without_blanks(spark):
+    line = "春眠不覚暁処処聞啼鳥夜来風雨声"
+    got = {r.doc_id: r["_dropped"] for r in L.clean(documents(spark, [(1, line), (2, f"新しい行です\n{line}"), (3, line[:7] + "猫" + line[8:])])).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}

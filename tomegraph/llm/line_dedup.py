@@ -3,7 +3,8 @@
 A line is dropped when an earlier line, in the order of (doc_id, line number), is equal to it or one
 word edit (insert, delete, replace) away. Lines are compared by their A-Z lower-cased words. Lines of
 fewer than MIN_WORDS words are left alone, those of fewer than NEAR_WORDS need an equal line. A
-document that loses lines and has no line of MIN_WORDS words left is dropped as a whole.
+document that loses lines is dropped as a whole when no line of MIN_WORDS words is left, nor a
+shorter one that is new. Characters of scripts without blanks count as words.
 
 Distinct lines are represented by their earliest occurrence. One edit leaves the first or the last
 half of the shorter line untouched, so only lines that share such a half with another line enter the
@@ -18,6 +19,7 @@ are taken as one place (ties go by line number); an empty table gives no rows; o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,15 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 SUB_2, SUB_1, WHOLE, DEL_2, DEL_1 = 1, 2, 4, 8, 16
 
 
+#: Thai, Lao, Burmese, Khmer, kana and Han are written without blanks: each character is a word.
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_EACH = re.compile(f"[{_UNSPACED}\U00020000-\U0003ffff]")
+_WORD = rf"[{_UNSPACED}\x{{20000}}-\x{{3ffff}}]|[^\x20\x09-\x0D{_UNSPACED}\x{{20000}}-\x{{3ffff}}]+"
+
+
 def line_words(text: str | None) -> list[list[bytes]]:
+    if text and not text.isascii() and _EACH.search(text):
+        text = _EACH.sub(r" \g<0> ", text)
     return [x.split() for x in (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n")]
 
 
@@ -222,7 +232,8 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
 
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """docs with its texts less the repeated lines, and the columns _lines, _dropped and _gone (the document goes)."""
+    """docs with its texts less the repeated lines, and the columns _lines, _dropped, _gone (no line of min_words words is left of one that lost lines), _text
+    and _spent (nor a shorter line that no earlier line equals: the document goes)."""
     drops = dropped_lines(docs, min_words, near_words).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("_out"))
     drops = materialise(drops, "dropped-lines")
     size = drops.agg(F.sum(4 * F.size("_out") + 64)).first()[0] or 0
@@ -232,14 +243,36 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
     parts = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
     kept = F.filter("_parts", lambda x, i: ~F.array_contains("_out", i))
     out = joined.withColumn("_parts", parts).withColumn("_kept", F.when(F.col("_out").isNull(), F.col("_parts")).otherwise(kept))
-    lasting = F.exists("_kept", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
-    return out.select(*docs.columns, F.size("_parts").alias("_lines"), F.coalesce(F.size("_out"), F.lit(0)).alias("_dropped"), F.when(F.col("_out").isNull(), F.lit(False)).otherwise(~lasting).alias("_gone"), F.concat_ws("\n", "_kept").alias("_text"))
+    lasting = F.exists("_kept", lambda x: F.regexp_count(x, F.lit(_WORD)) >= min_words)
+    out = out.select(*docs.columns, F.size("_parts").alias("_lines"), F.coalesce(F.size("_out"), F.lit(0)).alias("_dropped"), F.when(F.col("_out").isNull(), F.lit(False)).otherwise(~lasting).alias("_gone"), F.concat_ws("\n", "_kept").alias("_text"))
+    new = _with_new_lines(docs, out.where("_gone"), min_words)
+    new = F.broadcast(new) if new.count() * 32 <= BROADCAST_BYTES // 4 else new
+    out = out.join(new, F.col("doc_id").cast("long").eqNullSafe(F.col("_new_id")), "left")
+    return out.withColumn("_spent", F.col("_gone") & ~F.coalesce("_new", F.lit(False))).drop("_new_id", "_new")
+
+
+def _short_lines(texts: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, line_no, key of the lines of `texts` (doc_id, text) that have words, but fewer than min_words."""
+    each = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    folded = F.trim(F.regexp_replace(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
+    return each.where(F.regexp_count("line", F.lit(_WORD)).between(1, min_words - 1)).select("doc_id", "line_no", F.md5(folded).alias("key"))
+
+
+def _with_new_lines(docs: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
+    """_new_id, _new (true) of documents that hold the first of the short lines left in the rows `gone`."""
+    left = gone.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_text").alias("text"))
+    keys = materialise(_short_lines(left, min_words).select("key").distinct(), "short-lines")
+    if keys.count() * 128 <= BROADCAST_BYTES // 4:
+        keys = F.broadcast(keys)
+    every = _short_lines(id_text(docs), min_words).join(keys, "key", "left_semi")
+    first = every.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("e"))
+    return materialise(first.select(F.col("e.doc_id").alias("_new_id"), F.lit(True).alias("_new")).distinct(), "new-short-lines")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, kept (the document stays), text_sha256 of what is left of it."""
     got = clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return got.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), (~F.col("_gone")).alias("kept"), F.sha2("_text", 256).alias("text_sha256"))
+    return got.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), (~F.col("_spent")).alias("kept"), F.sha2("_text", 256).alias("text_sha256"))
 
 
 ORACLE: dict[str, str] = {}
