@@ -43,6 +43,57 @@ def test_vectors_are_the_sum_over_all_documents(spark):
     assert np.array_equal(a, b)
 
 
+def test_vectors_by_hand():
+    """Each slot's sum of the index vectors of words at most WINDOW places away in the same document."""
+    texts = ["a b c a a!! 12 X", "", "one", " ".join(prose(3, 400).split()), "b a"]
+    slots, index = Q.Slots(), Q.index_vectors()
+    want = np.zeros((Q.SLOTS, Q.WIDTH))
+    for t in texts:
+        w = Q.codes(t, slots)
+        for i, x in enumerate(w):
+            for j in range(max(0, i - Q.WINDOW), min(len(w), i + Q.WINDOW + 1)):
+                want[x] += index[w[j]] if j != i else 0
+    got = np.zeros_like(want)
+    wide = np.vstack([index, np.zeros((1, Q.WIDTH))]).astype(np.int8)
+    for chunk in (Q.CHUNK, 50):
+        got[:] = 0
+        for _, _, word, bounds in Q._batches(texts, slots):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(Q, "CHUNK", chunk)
+                Q._context(word, bounds, wide, got)
+        assert np.array_equal(got, want)
+
+
+def test_pooled_by_hand():
+    texts = ["a b c a a!! 12 X", None, "one", prose(3, 400)] + [prose(i, 3) for i in range(100)]
+    slots, index = Q.Slots(), Q.index_vectors()
+    vectors = np.random.default_rng(1).normal(size=index.shape).astype(np.float32)
+    got = Q.pooled(texts, vectors, index, slots)
+    for row, t in zip(got, texts, strict=True):
+        w = Q.codes(t, slots)
+        v = vectors[w].astype(float)
+        want = np.concatenate([index[w].mean(0), v.mean(0), v.std(0)]) if len(w) else np.zeros(3 * Q.WIDTH)
+        assert np.allclose(row, [*want, np.log1p(len(w))], atol=1e-5)
+
+
+def test_equal_ids_are_learnt_alike(spark):
+    """Rows of one id with different texts: the scores don't depend on how the rows are dealt."""
+    rows = [(i, prose(i, 40)) for i in range(60)] + [(100 + i, prose(i, 40).upper()) for i in range(60)] + [(i, prose(900 + i, 9)) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows[:120]], "doc_id long, quality int")
+    docs = documents(spark, rows)
+    score = lambda df: sorted((r.doc_id, round(r.score, 9)) for r in Q.scores(df, labels).collect())
+    assert score(docs) == score(docs.repartition(7, "n_chars"))
+
+
+def test_scores_are_calibrated(spark, sf):
+    """Among held-out documents a score means about the share of good ones."""
+    d = sf.replace("0.001", "0.1")
+    got = Q.op3_quality_classifier(spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id").query("held_out")
+    bins = np.minimum((got["score"] * 5).astype(int), 4)
+    gap = sum(abs(g["score"].mean() - g["quality"].mean()) * len(g) for _, g in got.groupby(bins)) / len(got)
+    assert gap < 0.03
+
+
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 

@@ -10,8 +10,10 @@ out; the temperature is fitted on a tenth of them kept aside.
 Labels are read for training only; lang, source and doc_id are never inputs of a score.
 
 Defined cases: null and empty texts get a score from the zero vector; with no usable label, or one
-only, every score is the labels' mean (0.5 without any); equal doc_ids keep a row each; repeated
-labels of a document count by their mean; an empty table gives no rows; other columns are ignored.
+only, every score is the labels' mean (0.5 without any); equal doc_ids keep a row each, and the one
+whose text has the smallest hash is learnt from; repeated labels of a document count by their mean;
+rows without a doc_id are scored, but have no label; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_text, materialise, slices, table
+from .common import bounded_batches, id_text, materialise, slices, table
 
 SLOTS, WIDTH, WINDOW = 1 << 13, 48, 2
 TRAIN_ROWS, HIDDEN, EPOCHS = 20_000, 24, 60
@@ -76,48 +78,50 @@ def _batches(column: list[str | None], slots: Slots) -> Iterator[tuple[int, int,
             at, held, n = i + 1, [], 0
 
 
-def _context(word: np.ndarray, doc: np.ndarray, index: np.ndarray, total: np.ndarray) -> None:
-    """Add each word's neighbours' index vectors to its slot's row; neighbours stay within a document."""
-    for lo in range(0, len(word), CHUNK):
-        hi = min(len(word), lo + CHUNK)
-        near = np.zeros((hi - lo, WIDTH), np.float32)
-        for step in range(1, WINDOW + 1):
-            a, b = max(lo, step), hi
-            if a < b:
-                same = (doc[a:b] == doc[a - step : b - step])[:, None]
-                near[a - lo : b - lo] += index[word[a - step : b - step]] * same
-            a, b = lo, min(hi, len(word) - step)
-            if a < b:
-                same = (doc[a:b] == doc[a + step : b + step])[:, None]
-                near[a - lo : b - lo] += index[word[a + step : b + step]] * same
+def _context(word: np.ndarray, bounds: np.ndarray, index: np.ndarray, total: np.ndarray) -> None:
+    """Add each word's neighbours' index vectors to its slot's row; neighbours stay within a document.
+
+    `index` has a row of zeros at SLOTS, of which WINDOW stand between documents, so the sums of all
+    neighbourhoods come from one running sum.
+    """
+    n = len(word)
+    place = np.arange(n) + WINDOW * (1 + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
+    padded = np.full((place[-1] if n else 0) + WINDOW + 1, SLOTS, np.int32)
+    padded[place] = word
+    for lo in range(0, n, CHUNK):
+        hi = min(n, lo + CHUNK)
+        first, at = place[lo] - WINDOW, place[lo:hi] - place[lo]
+        own = index[padded[first : place[hi - 1] + WINDOW + 1]]
+        run = np.zeros((len(own) + 1, WIDTH), np.int32)
+        np.cumsum(own, axis=0, out=run[1:])
+        near = (run[at + 2 * WINDOW + 1] - run[at] - own[at + WINDOW]).astype(np.int8)
         order = np.argsort(word[lo:hi], kind="stable")
-        own = word[lo:hi][order]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        total[own[first]] += np.add.reduceat(near[order], first, axis=0)
+        slot = word[lo:hi][order]
+        begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        total[slot[begin]] += np.add.reduceat(near[order], begin, axis=0, dtype=np.int32)
 
 
-def word_vectors(docs: DataFrame, label: str = "word-vectors") -> np.ndarray:
+def word_vectors(docs: DataFrame) -> np.ndarray:
     """Slots' vectors from all documents: tasks sum their own rows, Spark adds the sums slot by slot.
 
     The model has SLOTS x WIDTH numbers whatever the corpus, so it may come to the driver.
     """
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, slots = index_vectors(), Slots()
+        index, slots = np.vstack([index_vectors(), np.zeros((1, WIDTH))]).astype(np.int8), Slots()
         total = np.zeros((SLOTS, WIDTH))
         for b in slices(it):
             for _, _, word, bounds in _batches(b.column(0).to_pylist(), slots):
-                _context(word, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), index, total)
+                _context(word, bounds, index, total)
         used = np.flatnonzero(total.any(axis=1))
         for lo in range(0, len(used), 1024):
             part = used[lo : lo + 1024]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(total[part]), pa.list_(pa.float64()))], ["slot", "v"])
 
-    bound_batches(docs.sparkSession)
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "slot long, v array<double>")
     # sums of whole numbers: exact in any order
     summed = parts.groupBy("slot").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(WIDTH))).alias("v"))
     out = np.zeros((SLOTS, WIDTH))
-    for r in summed.toLocalIterator():
+    for r in materialise(summed, "word-vectors").toLocalIterator():
         out[r.slot] = r.v
     out = np.sign(out) * np.log1p(np.abs(out))
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -126,20 +130,20 @@ def word_vectors(docs: DataFrame, label: str = "word-vectors") -> np.ndarray:
 def pooled(column: list[str | None], vectors: np.ndarray, index: np.ndarray, slots: Slots) -> np.ndarray:
     """One row per text: mean index vector, mean corpus vector, spread of the latter, log size."""
     out = np.zeros((len(column), 3 * WIDTH + 1))
+    wide = vectors.astype(np.float64)
+    both = np.hstack([index, wide, wide**2])
     for lo, hi, word, bounds in _batches(column, slots):
         n = np.diff(bounds)
-        for k in range(hi - lo):
-            own = word[bounds[k] : bounds[k + 1]]
-            if not len(own):
-                continue
-            slot, times = np.unique(own, return_counts=True)
-            weight = times / n[k]
-            v = vectors[slot].astype(np.float64)
-            mean = weight @ v
-            out[lo + k, :WIDTH] = weight @ index[slot].astype(np.float64)
-            out[lo + k, WIDTH : 2 * WIDTH] = mean
-            out[lo + k, 2 * WIDTH : 3 * WIDTH] = np.sqrt(np.maximum(weight @ v**2 - mean**2, 0))
-            out[lo + k, -1] = np.log1p(n[k])
+        cell, times = np.unique(np.repeat(np.arange(hi - lo), n) * SLOTS + word, return_counts=True)
+        doc, slot = cell // SLOTS, cell % SLOTS
+        begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+        for k in range(0, len(begin), 64):  # a few documents' rows at a time
+            a, z = begin[k], begin[k + 64] if k + 64 < len(begin) else len(cell)
+            row = doc[begin[k : k + 64]]
+            sums = np.add.reduceat(both[slot[a:z]] * times[a:z, None], begin[k : k + 64] - a, axis=0) / n[row, None]
+            sums[:, 2 * WIDTH :] = np.sqrt(np.maximum(sums[:, 2 * WIDTH :] - sums[:, WIDTH : 2 * WIDTH] ** 2, 0))
+            out[lo + row, : 3 * WIDTH] = sums
+        out[lo:hi, -1] = np.log1p(n)
     return out
 
 
@@ -218,8 +222,9 @@ class Classifier:
 
         known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
         chosen = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labels")
-        rows = id_text(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most train_rows labels
-        sample = rows.select("doc_id", "text").mapInArrow(pool, "doc_id long, x binary").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
+        rows = id_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most train_rows labels
+        with bounded_batches(own.spark):
+            sample = rows.select("doc_id", "text").mapInArrow(pool, "doc_id long, x binary").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
         x = np.frombuffer(b"".join(sample["x"]), "<f4").reshape(len(sample), 3 * WIDTH + 1).astype(float)
         own.network = own.spark.sparkContext.broadcast(Network().fit(x, (sample["y"].to_numpy(float) >= 0.5).astype(float)))
         return own
@@ -234,12 +239,11 @@ class Classifier:
                 score = network.value.predict(pooled(b.column(1).to_pylist(), *vectors.value, slots))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-        out = id_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+        out = materialise(id_text(docs).mapInArrow(run, "doc_id long, score double, predicted int"), "scores")
         return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
     def accepted(self, docs: DataFrame, cut: float = CUT) -> DataFrame:
         """The rows of docs, all columns, whose score reaches the cut."""
-        bound_batches(self.spark)
         vectors, network, at = self.vectors, self.network, docs.columns.index("text")
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
