@@ -14,6 +14,6 @@ def test_all(spark):
     assert pii.sanitise(docs).count() == 4
     assert line_dedup.clean(docs).count() == 4
     assert quality.scores(docs, spark.createDataFrame([(3, 1)], "doc_id long, quality int")).count() == 4
-    assert {r.group_id for r in simhash.near_groups(docs).collect()} == {3, 4}
+    assert sorted((r.group_id is None, r.group_id or 0) for r in simhash.near_groups(docs).collect()) == [(False, 3), (False, 3), (False, 4), (True, 0)]
     rows = token_file.read(token_file.write(docs, scratch_path(spark, "t"), vocabulary(), 2)).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in rows) == [(False, 0), (False, 0), (True, 3), (True, 4)]

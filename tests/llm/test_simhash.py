@@ -7,6 +7,7 @@ import xxhash
 from tests.llm.fixtures import changed, documents, odd_rows, prose
 from tomegraph.llm import golay
 from tomegraph.llm import simhash as S
+from tomegraph.llm.common import identified
 
 
 def shingles(text, n):
@@ -114,3 +115,54 @@ def test_recall_at_the_threshold():
         total += 1
         hit += bool((x == y).any())
     assert hit / total > 0.99
+
+
+def test_rows_of_equal_and_no_id(spark):
+    """Rows of one id are told apart, the first of the smallest id stays, rows without an id come last."""
+    a, b = prose(1, 80), prose(2, 80)
+    data = [(None, a), (8, a), (5, b), (5, a), (5, a), (None, b), (None, "other words here"), (None, "other words here")]
+    known = identified(documents(spark, data).coalesce(1))
+    got = sorted(S.near_rows(known).collect(), key=lambda r: r.row)
+    place = [r.row for r in got]
+    assert [place.index(r.keep_row) for r in got] == [3, 3, 2, 3, 3, 2, 6, 6]
+    assert [r.group_id for r in got] == [5, 5, 5, 5, 5, 5, None, None]
+
+
+def crowd(spark, texts):
+    """Ids, sets and a single key of the given texts."""
+    data = [(i, t) for i, t in enumerate(texts)]
+    known = identified(documents(spark, data).coalesce(1))
+    rows = known.select("row", "doc.doc_id").collect()
+    keys = spark.createDataFrame([(1, r.row, len(data)) for r in rows], "key long, id long, n long")
+    return known, keys, {r.row: r.doc_id for r in rows}
+
+
+@pytest.mark.parametrize("block", [5, 256])
+def test_crowds_are_exact(spark, block, monkeypatch):
+    """Hub and spokes, chains, small groups and strangers under one key connect as all pairs do."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "PAIR_BUCKET", 1)
+    base, far = prose(400, 60), prose(401, 90)
+    texts = [changed(base, i, 1) for i in range(40)] + [base] + [changed(far, 50 + i, 1 + i % 3) for i in range(25)] + [prose(500 + i, 30 + i) for i in range(20)]
+    chain = prose(402, 100)
+    for i in range(12):
+        chain = changed(chain, 900 + i, 1)
+        texts.append(chain)
+    known, keys, doc = crowd(spark, texts)
+    want = roots(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    links = {(doc[r.a], doc[r.b]) for r in S.similar_links(known, keys, 5, 0.8).collect()}
+    assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in links)
+    assert roots(range(len(texts)), lambda a, b: (a, b) in links or (b, a) in links) == want
+
+
+def test_crowd_of_near_copies_stays_linear(spark, monkeypatch):
+    """20 000 near copies, half of them linked with each other by the original alone: no blocks of pairs."""
+    base = prose(77, 60)
+    words = base.split()
+    texts = [" ".join([*words[: i % 60], f"n{i}", *words[i % 60 + 1 :]]) for i in range(20_000)] + [base]
+    rows = []
+    spread = S._spread
+    monkeypatch.setattr(S, "_spread", lambda *a: rows.append(spread(*a).count()) or spread(*a))
+    groups = S.near_groups(documents(spark, list(enumerate(texts)))).collect()
+    assert {r.group_id for r in groups} == {0}
+    assert sum(rows) < 3 * len(texts)

@@ -15,7 +15,9 @@ threshold. A plain 64-bit SimHash is too coarse for that: at 0.8 similarity 9.7
 on average. Here a document has many 23-bit segments; segment i is the weighted SimHash
 of the shingles that come first in a random order of its own (weights fall with the square of the
 rank's hash), its nearest codeword absorbs up to three flipped bits, and three segments' codewords
-are a key. Sharing one of the BANDS keys makes a candidate; its true shingle sets decide.
+are a key. Sharing one of the BANDS keys makes a candidate; its true shingle sets decide. This is not
+the 64-bit join of `linked`: of that only the decoding of segments and the pigeonholed keys are kept.
+Keys that many texts share don't give their pairs: see `_crowd_links`.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import BROADCAST_BYTES, components, id_text, materialise, slices, table
+from .common import BROADCAST_BYTES, LAST_ID, components, id_text, identified, materialise, row_text, slices, table
 
 _SEG = ((0, 22), (22, 21), (43, 21))
 #: Members up to which a bucket's pairs are verified one by one; larger ones meet at midpoints.
@@ -99,7 +101,7 @@ def linked(fps: DataFrame) -> DataFrame:
             row, key = pigeonhole_keys(fp)
             yield pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(key)], ["fp", "key"])
 
-    keyed = fps.select("fp").mapInArrow(emit, "fp long, key long")
+    keyed = materialise(fps.select("fp").mapInArrow(emit, "fp long, key long"), "golay-keys")
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialise(keyed.join(size, "key"), "golay")
     few = shared.where(F.col("n") <= PAIR_BUCKET)
@@ -177,35 +179,35 @@ def band_keys(votes: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, copy (digest of the word sequence), keys (none for texts without words)."""
+def sketches(known: DataFrame, size: int = 5) -> DataFrame:
+    """row, doc_id, copy (digest of the word sequence), keys (none for texts without words) of identified() rows."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in slices(it, 256):
-            part = b.column(1).to_pylist()
+            part = b.column(2).to_pylist()
             copy = [xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8", "surrogatepass").translate(_UPPER).split())) for x in part]
             sets = [np.unique(shingle_hashes(x, size)) for x in part]
             keys = band_keys(np.stack([first_votes(h) for h in sets]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copy, pa.binary()), pa.array([k if len(h) else [] for k, h in zip(keys, sets, strict=True)], pa.list_(pa.int64()))], ["doc_id", "copy", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(copy, pa.binary()), pa.array([k if len(h) else [] for k, h in zip(keys, sets, strict=True)], pa.list_(pa.int64()))], ["row", "doc_id", "copy", "keys"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, copy binary, keys array<long>")
+    return row_text(known).mapInArrow(run, "row long, doc_id long, copy binary, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id and shingles (sorted distinct 32-bit hashes, little-endian) of the documents in ids (id).
+def shingle_sets(known: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id (a row number of identified() rows) and shingles (sorted distinct 32-bit hashes, little-endian) of the rows in ids.
 
     The ids go to the tasks as a filter while they are below BROADCAST_BYTES, else they are joined.
     """
-    spark = docs.sparkSession
-    texts = id_text(docs)
+    spark = known.sparkSession
+    texts = row_text(known).select("row", "text")
     n = ids.count()
     if n * 8 < BROADCAST_BYTES // 4:
         wanted = np.sort(np.fromiter((r[0] for r in ids.toLocalIterator()), np.int64, n))
         sent = spark.sparkContext.broadcast(wanted)
     else:
-        texts, sent = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id"), None
+        texts, sent = texts.join(ids.select(F.col("id").alias("row")), "row"), None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it):
@@ -214,7 +216,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             got = [np.unique((shingle_hashes(x, size) >> np.uint64(16)).astype("<u4")).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["id", "shingles"])
 
-    return texts.where("doc_id IS NOT NULL").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    return texts.mapInArrow(run, "id long, shingles binary")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -243,46 +245,124 @@ def block_links(a: list[bytes], b: list[bytes], threshold: float) -> np.ndarray:
     return np.argwhere(both >= threshold * np.maximum(size, 1) - 1e-6)
 
 
-def similar_links(docs: DataFrame, shared: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Links (a, b) between ids of shared (key, id, n): every pair under a common key is verified.
+def similar_links(known: DataFrame, shared: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) between ids of shared (key, id, n) that connect what the pairs under a common key connect.
 
-    Keys of at most PAIR_BUCKET ids give their pairs. Ids of larger ones are gathered to clusters by
-    those keys and held against each other in blocks of BLOCK texts, without a row for each pair.
+    Keys of at most PAIR_BUCKET ids give their pairs, the ids of larger ones go to _crowd_links.
     """
     shared = materialise(shared, "keys")
     ids = materialise(shared.select("id").distinct(), "candidates")
-    sets = materialise(shingle_sets(docs, ids, size), "shingles")
+    sets = materialise(shingle_sets(known, ids, size), "shingles")
     few = shared.where(F.col("n") <= PAIR_BUCKET)
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    links = materialise(_verified(pairs, sets, threshold), "links")
+    crowded = shared.where(F.col("n") > PAIR_BUCKET)
+    return links if crowded.isEmpty() else links.unionByName(_crowd_links(crowded, links, sets, threshold))
+
 
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ok = [jaccard(x, y) >= threshold - 1e-9 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    links = full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    crowded = shared.where(F.col("n") > PAIR_BUCKET)
-    if crowded.isEmpty():
-        return links
+    return full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+#: Rounds in which a crowd's open texts are held against a representative, and texts that shape one.
+STAR_ROUNDS, PROFILE = 3, 64
+
+
+def _crowd_links(crowded: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links within the crowds that keys of many ids form, exact in what they connect.
+
+    A round holds a crowd's open texts against one representative: the text nearest to the shingles
+    that half of a sample of them have. What is not yet connected with the bulk of its crowd stays
+    open. Texts still open at last are held against all texts of their crowd whose size allows the
+    threshold, in blocks. A crowd of near copies is done by one comparison a text; only texts that
+    share keys but are not similar cost more.
+    """
     low = crowded.groupBy("key").agg(F.min("id").alias("a"))
-    cluster = materialise(components(crowded.join(low, "key").select("a", F.col("id").alias("b"))), "clusters")
-    counts = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = cluster.join(counts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = placed.select("root", F.col("node").alias("id"), "own", other).select("root", "id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    crowd = components(crowded.join(low, "key").select("a", F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("root").alias("crowd"))
+    crowd = materialise(crowd.join(sets, "id").select("id", "crowd", (F.octet_length("shingles") / 4).alias("size")), "crowds")
+    every, open_, n_open = links, crowd, crowd.count()
+    new: list[DataFrame] = []
+    for _ in range(STAR_ROUNDS):
+        star = materialise(_verified(_stars(open_, sets), sets, threshold), "star-links")
+        new.append(star)
+        every = every.unionByName(star)
+        open_ = materialise(_unconnected(crowd, every), "open-texts")
+        left = open_.count()
+        if not left or left > 0.9 * n_open:
+            break
+        n_open = left
+    if not open_.isEmpty():
+        new.append(_block_links(open_, crowd, sets, threshold))
+    out = new[0]
+    for n in new[1:]:
+        out = out.unionByName(n)
+    return out
+
+
+def _unconnected(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of crowd (id, crowd, …) that links don't connect with the largest connected part of their crowd."""
+    part = components(links).select(F.col("node").alias("id"), F.col("root").alias("part"))
+    placed = crowd.join(part, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    bulk = placed.groupBy("crowd", "part").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("part", F.struct("n", "part")).alias("bulk"))
+    return placed.join(bulk, "crowd").where("part <> bulk").select(*crowd.columns)
+
+
+def _stars(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) with a the representative of b's crowd."""
+    import pandas as pd
+
+    count = open_.groupBy("crowd").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    sample = open_.join(count, "crowd").where((F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PROFILE)) == 0) | (F.col("id") == F.col("first")))
+
+    def profile(key, pdf):
+        shingle, n = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in pdf["shingles"]]), return_counts=True)
+        return pd.DataFrame({"crowd": [int(key[0])], "profile": [shingle[2 * n >= len(pdf)].tobytes()]})
+
+    shape = materialise(sample.join(sets, "id").select("crowd", "shingles").groupBy("crowd").applyInPandas(profile, "crowd long, profile binary"), "profiles")
+    if (shape.agg(F.sum(F.octet_length("profile") + 64)).first()[0] or 0) <= BROADCAST_BYTES // 4:
+        shape = F.broadcast(shape)
+
+    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            score = [jaccard(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], ["id", "crowd", "score"])
 
-    def block(pdf):
-        import pandas as pd
+    score = open_.join(sets, "id").join(shape, "crowd").select("id", "crowd", "shingles", "profile").mapInArrow(near, "id long, crowd long, score double")
+    centre = score.groupBy("crowd").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("a"))
+    return open_.join(materialise(centre, "centres"), "crowd").where("a <> id").select("a", F.col("id").alias("b"))
 
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
+
+def _spread(open_: DataFrame, crowd: DataFrame, threshold: float) -> DataFrame:
+    """crowd, class, i, j, side, id: the blocks of open texts (side 0) that meet blocks of all texts (side 1) of fitting size."""
+    step = F.floor(F.log(F.greatest("size", F.lit(1))) / float(-np.log(threshold))).cast("int")
+    left = open_.select("crowd", "id", step.alias("class"))
+    right = crowd.select("crowd", "id", F.explode(F.array(step - 1, step, step + 1)).alias("class"))
+    n_left = left.groupBy("crowd", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_i"))
+    n_right = right.groupBy("crowd", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_j"))
+    size = n_left.join(n_right, ["crowd", "class"])
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(size, ["crowd", "class"]).select("crowd", "class", place("n_i").alias("i"), each("n_j").alias("j"), F.lit(0).alias("side"), "id")
+    b = right.join(size, ["crowd", "class"]).select("crowd", "class", each("n_i").alias("i"), place("n_j").alias("j"), F.lit(1).alias("side"), "id")
+    return a.unionByName(b)
+
+
+def _block_links(open_: DataFrame, crowd: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    import pandas as pd
+
+    def block(pdf):
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         got = block_links(left["shingles"].tolist(), right["shingles"].tolist(), threshold)
         a, b = left["id"].to_numpy()[got[:, 0]], right["id"].to_numpy()[got[:, 1]]
         return pd.DataFrame(_forest(a, b), columns=["a", "b"])
 
-    dense = spread.join(sets, "id").groupBy("root", "i", "j").applyInPandas(block, "a long, b long")
-    return links.unionByName(dense)
+    return _spread(open_, crowd, threshold).join(sets, "id").groupBy("crowd", "class", "i", "j").applyInPandas(block, "a long, b long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -304,21 +384,34 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64).reshape(-1, 2)
 
 
-def near_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, group_id (its smallest doc_id) of all documents: links are similarities of at least the threshold.
+def near_rows(known: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """row, doc_id, keep_row, group_id of identified() rows: links are similarities of at least the threshold.
 
-    Texts of the same words count as copies and meet first, so each distinct text is searched once;
-    texts without words are copies of each other. Null doc_ids are absent from the result, equal ones
-    come once, with the text that sorts first among their copies; an empty table gives no rows.
+    The row that stays has the smallest doc_id of its group, among equal ones the first place; rows
+    without a doc_id come last. Texts of the same words count as copies and meet first, so each
+    distinct text is searched once; texts without words are copies of each other.
     """
-    rows = materialise(sketches(docs.where("doc_id IS NOT NULL"), size), "sketches")
-    texts = materialise(rows.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")
+    rows = materialise(sketches(known, size), "sketches")
+    texts = materialise(rows.groupBy("copy").agg(F.min("row").alias("id"), F.first("keys").alias("keys")), "texts")
     keyed = texts.select("id", F.explode("keys").alias("key"))
     held = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    links = materialise(similar_links(docs, keyed.join(held, "key"), size, threshold), "links")
-    group = materialise(components(links), "near-groups")
-    by_copy = texts.join(group, texts.id == group.node, "left").select("copy", F.coalesce("root", "id").alias("group_id"))
-    return rows.join(by_copy, "copy").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    links = materialise(similar_links(known, keyed.join(held, "key"), size, threshold), "links")
+    group = components(links)
+    by_copy = texts.join(group, texts.id == group.node, "left").select("copy", F.coalesce("root", "id").alias("part"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("ord"), "row", "doc_id"))
+    by_copy = materialise(by_copy.join(rows.groupBy("copy").agg(first.alias("first")), "copy"), "near-copies")
+    keeper = by_copy.groupBy("part").agg(F.min("first").alias("keep"))
+    kept = by_copy.join(keeper, "part").select("copy", F.col("keep.row").alias("keep_row"), F.col("keep.doc_id").alias("group_id"))
+    return rows.join(kept, "copy").select("row", "doc_id", "keep_row", "group_id")
+
+
+def near_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """doc_id, group_id (the smallest doc_id of its group) of every row, as near_rows tells them.
+
+    Equal and null doc_ids are rows of their own; a group of rows without ids has none; an empty
+    table gives no rows; other columns are ignored.
+    """
+    return near_rows(identified(docs.select("doc_id", "text")), size, threshold).select("doc_id", "group_id")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
