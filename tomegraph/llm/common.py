@@ -62,24 +62,24 @@ BATCH_ROWS = 1000
 
 
 @contextlib.contextmanager
-def bounded_batches(spark: SparkSession) -> Iterator[None]:
-    """Within the block texts go to Python in batches of BATCH_ROWS rows at most; the setting is put back."""
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within the block texts go to Python in batches of that many rows at most; the setting is put back."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(old), BATCH_ROWS) if int(old) > 0 else BATCH_ROWS))
+    spark.conf.set(name, str(min(int(old), rows) if int(old) > 0 else rows))
     try:
         yield
     finally:
         spark.conf.set(name, old)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    return _written(df, scratch_path(df.sparkSession, label))
+    return _written(df, scratch_path(df.sparkSession, label), batch_rows)
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    with bounded_batches(df.sparkSession):
+def _written(df: DataFrame, path: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    with bounded_batches(df.sparkSession, batch_rows):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
