@@ -8,6 +8,7 @@ from tests.harness import oracle, rows
 from tests.llm.fixtures import documents, odd_rows
 from tomegraph.llm import exact_dedup as X
 from tomegraph.llm import fuse
+from tomegraph.llm.common import identified
 
 
 def brute(data):
@@ -34,6 +35,29 @@ def test_bytes_decide_when_digests_are_equal(spark):
     assert sorted(tuple(r) for r in X.exact_groups(documents(spark, [(i, f"t{i}") for i in range(600)]), 2, digest_bytes=1).collect()) == brute([(i, f"t{i}") for i in range(600)])
 
 
+@pytest.mark.parametrize("batches", [1, 2, 3, 4, 5])
+def test_sizes_with_any_number_of_batches(spark, batches):
+    """Groups that reach over all slices, repeated ids among them."""
+    data = [(i // 2, f"text {i % 7}  x") for i in range(210)] + [(500 + i, f"single {i}") for i in range(20)] + [(900, "text 1 x")] * 5
+    got = X.exact_groups(documents(spark, data), batches)
+    assert sorted(tuple(r) for r in got.collect()) == brute(data)
+
+
+def test_a_task_moves_a_body_once(spark):
+    """Of a group of thousands of copies at most one body a task is written."""
+    known = identified(documents(spark, [(i, "the same text  again") for i in range(4000)]).repartition(4))
+    rows = X.digests(known, 1)
+    shared = X._grouped(rows, "keep_id", "n").where("n > 1")
+    assert X._bodies(known, shared).count() <= 8
+
+
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_memory_of_bodies(spark, held, monkeypatch):
+    monkeypatch.setattr(X, "HELD_BYTES", held)
+    data = odd_rows() * 2
+    assert sorted((tuple(r) for r in X.exact_groups(documents(spark, data), 2, digest_bytes=1).collect())) == brute(data)
+
+
 def test_empty(spark):
     assert X.exact_groups(documents(spark, [(1, "a")]).where("doc_id < 0")).count() == 0
 

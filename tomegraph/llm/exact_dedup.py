@@ -2,12 +2,14 @@
 
 A snapshot keeps one row per distinct digest, dealt into buckets by the digest, and one filter per
 bucket. An incoming batch is first grouped by digest, then its distinct digests pass the filters;
-only positives join the exact buckets, and whatever is left is new. Members of a group are held
-against the bytes of the row that stays, so an equal digest alone never drops a row.
-
-Defined cases: null text is empty text; a row without doc_id is never the one that stays, so a group of such rows
-keeps none; empty texts are equal to each other; equal doc_ids count as
-rows of their own; an empty table gives no rows; other columns of the input are ignored.
+only positives join the exact buckets, and whatever is left is new. An equal digest alone never drops
+a row: the bytes of all members are compared, first within each task, so that of a group one body a
+task is moved at most; groups whose bytes differ are told apart by their whole texts.
+
+Defined cases: null text is empty text; a row without doc_id is never the one that stays, so a group
+of such rows keeps none; empty texts are equal to each other; rows of equal doc_id count as rows of
+their own, and of equal rows all that carry the kept doc_id are marked kept; an empty table gives no
+rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
-from .common import BROADCAST_BYTES, id_text, materialise, scratch_path, slices, table
+from .common import BROADCAST_BYTES, identified, materialise, row_text, scratch_path, slices, table
 
 #: Distinct digests aimed at for each bucket of a snapshot.
 BUCKET_KEYS = 100_000
@@ -37,17 +39,21 @@ def normalise(text: str | None) -> bytes:
     return (b" " if raw[:1] in _SPACE else b"") + b" ".join(words) + (b" " if raw[-1:] in _SPACE else b"")
 
 
-def digests(docs: DataFrame, batches: int = 2, digest_bytes: int = 32) -> DataFrame:
-    """doc_id, sha256 (hex), digest (its first digest_bytes), key (uint64 as long), batch (by a hash of doc_id)."""
+def _key(digest: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(digest, digest_size=8).digest(), "little", signed=True)
+
+
+def digests(known: DataFrame, batches: int = 2, digest_bytes: int = 32) -> DataFrame:
+    """row, doc_id, sha256 (hex), digest (its first digest_bytes), key (uint64 as long), batch (by a hash of row), of identified() rows."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it):
-            full = [hashlib.sha256(normalise(x)).digest() for x in b.column(1).to_pylist()]
-            keys = np.array([int.from_bytes(hashlib.blake2b(d[:digest_bytes], digest_size=8).digest(), "little", signed=True) for d in full], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d.hex() for d in full], pa.string()), pa.array([d[:digest_bytes] for d in full], pa.binary()), pa.array(keys)], ["doc_id", "sha256", "digest", "key"])
+            full = [hashlib.sha256(normalise(x)).digest() for x in b.column(2).to_pylist()]
+            keys = np.array([_key(d[:digest_bytes]) for d in full], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([d.hex() for d in full], pa.string()), pa.array([d[:digest_bytes] for d in full], pa.binary()), pa.array(keys)], ["row", "doc_id", "sha256", "digest", "key"])
 
-    out = id_text(docs).mapInArrow(run, "doc_id long, sha256 string, digest binary, key long")
-    return out.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    out = row_text(known).mapInArrow(run, "row long, doc_id long, sha256 string, digest binary, key long")
+    return out.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int"))
 
 
 def _bucket(buckets: int):
@@ -69,10 +75,9 @@ class Snapshot:
         return self.spark.read.schema("bucket int, blob binary").parquet(f"{self.path}/filters")
 
     @classmethod
-    def build(cls, rows: DataFrame, path: str) -> Snapshot:
-        """From rows of digests(): group, deal into buckets, build the filters."""
-        spark = rows.sparkSession
-        grouped = materialise(rows.groupBy("digest", "key").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "snapshot")
+    def build(cls, grouped: DataFrame, path: str) -> Snapshot:
+        """From groups (digest, key, keep_id, n): deal them into buckets, build the filters."""
+        spark = grouped.sparkSession
         buckets = max(1, -(-grouped.count() // BUCKET_KEYS))
         own = cls(spark, path, buckets)
         grouped.select(_bucket(buckets).alias("bucket"), "digest", "key", "keep_id", "n").write.parquet(f"{path}/groups")
@@ -102,6 +107,10 @@ class Snapshot:
         return dealt.groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInPandas(passed, schema)
 
 
+def _grouped(rows: DataFrame, keep: str, n: str) -> DataFrame:
+    return rows.groupBy("digest", "key").agg(F.min("doc_id").alias(keep), F.count("*").alias(n))
+
+
 def exact_groups(docs: DataFrame, batches: int = 2, digest_bytes: int = 32) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -110,53 +119,52 @@ def exact_groups(docs: DataFrame, batches: int = 2, digest_bytes: int = 32) -> D
     digest_bytes shortens the digest that groups (tests use it to force the byte check to act).
     """
     spark = docs.sparkSession
-    rows = materialise(digests(docs, batches, digest_bytes), "digests")
-    snapshot = Snapshot.build(rows.where("batch = 0"), scratch_path(spark, "snapshot"))
-    groups = snapshot.groups.select("digest", "key", "keep_id", "n")
+    known = identified(docs.select("doc_id", "text"))
+    rows = materialise(digests(known, batches, digest_bytes), "digests")
+    groups = materialise(_grouped(rows.where("batch = 0"), "keep_id", "n"), "groups")
     for step in range(1, batches):
-        incoming = rows.where(F.col("batch") == step).groupBy("digest", "key").agg(F.min("doc_id").alias("new_id"), F.count("*").alias("new_n"))
-        incoming = materialise(incoming, "incoming")
+        snapshot = Snapshot.build(groups, scratch_path(spark, "snapshot"))
+        incoming = materialise(_grouped(rows.where(F.col("batch") == step), "new_id", "new_n"), "incoming")
         hits = materialise(snapshot.screen(incoming).join(snapshot.groups.select("digest", "keep_id", "n"), "digest"), "hits")
         fresh = incoming.join(hits.select("digest"), "digest", "left_anti").select("digest", "key", F.col("new_id").alias("keep_id"), F.col("new_n").alias("n"))
         merged = hits.select("digest", "key", F.least("keep_id", "new_id").alias("keep_id"), (F.col("n") + F.col("new_n")).alias("n"))
         old = groups.join(hits.select("digest"), "digest", "left_anti")
         groups = materialise(old.unionByName(merged).unionByName(fresh), "groups")
-        if step + 1 < batches:
-            unrolled = groups.select("digest", "key", F.col("keep_id").alias("doc_id"))
-            snapshot = Snapshot.build(unrolled, scratch_path(spark, "snapshot"))
-            snapshot.groups  # noqa: B018  the sizes are kept in `groups`
-    return _checked(docs, rows, groups)
+    return _checked(known, rows, groups)
 
 
-def _checked(docs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Hold every member's bytes against those of the row that stays; rows that differ are grouped by their bytes."""
-    spark = docs.sparkSession
-    shared = materialise(groups.where("n > 1").select("digest", "key", "keep_id", "n"), "shared")
-    texts = _texts(docs, shared)
-    member = texts.join(shared.select("digest", "keep_id"), "digest")
-    # the row that stays is found by its own id, so a large group's rows don't meet for it
-    own = texts.join(shared.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"])
-    keeper = own.groupBy("digest", "doc_id").agg(F.min("body").alias("want")).drop("doc_id")
-    odd = materialise(member.join(keeper, "digest").where("body <> want").select("doc_id", "digest", "body"), "odd")
+def _checked(known: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with their groups; where the bytes of a digest's members differ, its rows are grouped by their texts."""
+    shared = groups.where("n > 1").select("digest", "key")
+    body = _bodies(known, shared)
+    odd = materialise(body.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("digest"), "odd")
     plain = rows.join(groups.select("digest", "keep_id", "n"), "digest")
-    if odd.isEmpty():
-        return plain.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("sha256").alias("text_sha256"))
-    # equal digests, other bytes: these rows form groups of their own, by the whole text
-    regroup = odd.groupBy("digest", "body").agg(F.min("doc_id").alias("keep2"), F.count("*").alias("n2"))
-    moved = odd.join(regroup, ["digest", "body"]).select("doc_id", "digest", "keep2", "n2").distinct()
-    less = odd.groupBy("digest").agg(F.count("*").alias("gone"))
-    out = plain.join(moved, ["doc_id", "digest"], "left").join(less, "digest", "left")
-    keep = F.coalesce("keep2", "keep_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n2", F.col("n") - F.coalesce("gone", F.lit(0))).alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"), F.col("sha256").alias("text_sha256"))
-
-
-def _texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """doc_id, digest, body of the documents whose digest is shared by several rows.
-
-    A filter of the shared digests keeps other texts from being moved; it is sent to the tasks while
-    it stays under BROADCAST_BYTES, beyond that the digests are joined instead.
+    if not odd.isEmpty():
+        member = rows.join(odd, "digest").select("row", "digest").join(row_text(known), "row").select("row", "doc_id", "digest", "text")
+
+        def bodies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(it):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([normalise(x) for x in b.column(3).to_pylist()], pa.binary())], ["row", "doc_id", "digest", "body"])
+
+        whole = materialise(member.mapInArrow(bodies, "row long, doc_id long, digest binary, body binary"), "odd-texts")
+        own = whole.groupBy("digest", "body").agg(F.min("doc_id").alias("keep2"), F.count("*").alias("n2"))
+        split = whole.join(own, ["digest", "body"]).select("row", "keep2", "n2")
+        plain = plain.join(split, "row", "left")
+        plain = plain.withColumns({"keep_id": F.when(F.col("n2").isNull(), F.col("keep_id")).otherwise(F.col("keep2")), "n": F.coalesce("n2", "n")})
+    return plain.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("sha256").alias("text_sha256"))
+
+
+#: Bytes of bodies that a task remembers, to compare further members with.
+HELD_BYTES = 32 << 20
+
+
+def _bodies(known: DataFrame, shared: DataFrame) -> DataFrame:
+    """digest, body of the texts whose digest several rows share, once for each text that a task meets.
+
+    A filter of the shared digests keeps other texts in place; it is sent to the tasks while it stays
+    under BROADCAST_BYTES, beyond that the digests are joined instead.
     """
-    spark = docs.sparkSession
+    spark = known.sparkSession
     n = shared.count()
     width = len(shared.select("digest").first()[0]) if n else 32
     blob = None
@@ -165,17 +173,30 @@ def _texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
         blob = spark.sparkContext.broadcast(fuse.build(keys.view(np.uint64)) if n else b"")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, bytes] = {}
+        size = 0
         for b in slices(it):
-            bodies = [normalise(x) for x in b.column(1).to_pylist()]
+            if blob is not None and not blob.value:
+                continue
+            bodies = [normalise(x) for x in b.column(0).to_pylist()]
             cut = [hashlib.sha256(x).digest()[:width] for x in bodies]
+            take = range(len(cut))
             if blob is not None:
-                keys = np.array([int.from_bytes(hashlib.blake2b(d, digest_size=8).digest(), "little", signed=True) for d in cut], np.int64)
-                take = np.flatnonzero(fuse.contains(blob.value, keys.view(np.uint64))) if blob.value else []
-            else:
-                take = range(len(cut))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array([cut[i] for i in take], pa.binary()), pa.array([bodies[i] for i in take], pa.binary())], ["doc_id", "digest", "body"])
-
-    return id_text(docs).mapInArrow(run, "doc_id long, digest binary, body binary")
+                take = np.flatnonzero(fuse.contains(blob.value, np.array([_key(d) for d in cut], np.int64).view(np.uint64))).tolist()
+            out = []
+            for i in take:
+                if held.get(cut[i]) != bodies[i]:
+                    out.append(i)
+                    if cut[i] not in held:
+                        if size > HELD_BYTES:
+                            held.clear()
+                            size = 0
+                        held[cut[i]] = bodies[i]
+                        size += len(bodies[i]) + 100
+            yield pa.RecordBatch.from_arrays([pa.array([cut[i] for i in out], pa.binary()), pa.array([bodies[i] for i in out], pa.binary())], ["digest", "body"])
+
+    found = row_text(known).select("text").mapInArrow(run, "digest binary, body binary")
+    return materialise(found.join(shared.select("digest"), "digest", "left_semi"), "bodies")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
