@@ -1,7 +1,12 @@
 import collections
 import hashlib
+import math
 import re
 
+import pytest
+import regex
+from pyspark.sql import functions as F
+
 from tests.llm.fixtures import documents, odd_rows, prose
 from tomegraph.llm import pii as P
 
@@ -33,7 +38,7 @@ HARD = [
 
 def test_base_spans(spark):
     data = odd_rows() + [(500 + i, t) for i, t in enumerate(HARD)]
-    got = {r.doc_id: [tuple(s) for s in r.spans] for r in P.find(documents(spark, data)).collect()}
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in P.sanitise(documents(spark, data)).select("doc_id", F.col("base").alias("spans")).collect()}
     assert got == {d: brute(t) for d, t in data}
 
 
@@ -42,14 +47,14 @@ def test_disclosing_terms(spark):
     plain = [(100 + i, f"{prose(200 + i, 60)} write to me about it at home") for i in range(250)]
     found = P.sanitise(documents(spark, secret + plain + [(999, None), (998, "")])).collect()
     text = dict(secret + plain)
-    terms = collections.Counter(text[r.doc_id][s.start : s.stop] for r in found for s in r.spans if s.kind >= 4)
+    terms = collections.Counter(text[r.doc_id][s.start : s.stop] for r in found for s in r.spans if s.kind > P.SECRET)
     assert terms["Zarquon"] == 6
     assert set(terms) <= {"Zarquon"} | {w for t in text.values() for w in t.split()}
     assert "write" not in terms
     assert "about" not in terms
     for r in found:
         assert [tuple(s) for s in r.base] == brute(text.get(r.doc_id))
-        assert r.base == [s for s in r.spans if s.kind < 4]
+        assert r.base == [s for s in r.spans if s.kind < P.SECRET]
         assert all(a.stop <= b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
     clean = {r.doc_id: r.text for r in P.redact(P.sanitise(documents(spark, secret + plain))).collect()}
     assert set(clean) == set(range(6))
@@ -73,7 +78,7 @@ def test_query(spark, sf):
 
 def added(spark, rows):
     text = dict(rows)
-    return collections.Counter(text[r.doc_id][s.start : s.stop] for r in P.sanitise(documents(spark, rows)).collect() for s in r.spans if s.kind >= 4)
+    return collections.Counter(text[r.doc_id][s.start : s.stop] for r in P.sanitise(documents(spark, rows)).collect() for s in r.spans if s.kind > P.SECRET)
 
 
 def test_values_of_one_text(spark):
@@ -90,3 +95,81 @@ def test_values_of_one_text(spark):
 def test_copies_are_one_text(spark):
     same = f"Quibble {prose(1, 30)} 10.1.2.3"
     assert added(spark, [(i, same) for i in range(30)] + [(100 + i, prose(100 + i, 40)) for i in range(400)]) == {}
+
+
+def secrets(text):
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+=])[A-Za-z0-9+=]{20,}", text or ""):
+        n = collections.Counter(m[0])
+        bits = -sum(c / len(m[0]) * math.log2(c / len(m[0])) for c in n.values())
+        free = all(m.end() <= s or m.start() >= e for s, _, e in brute(text))
+        if free and bits >= 3 - 1e-12 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+            out.append((m.start(), 4, m.end()))
+    return out
+
+
+def disclosed(texts):
+    """All spans of each distinct text, by counting every pair of entity and term in plain Python."""
+    texts = sorted(set(t or "" for t in texts))
+    spans = {t: sorted(brute(t) + secrets(t)) for t in texts}
+    terms = {t: set(regex.findall(r"\p{L}{3,}", t.lower())) for t in texts}
+    held, near = {}, {}
+    for t in texts:
+        if spans[t]:
+            held[t] = set()
+            rest, at = [], 0
+            for s, k, e in spans[t]:
+                value = t[s:e].lower()
+                held[t] |= {(False, k, value), (True, k, ""), (True, k, value.split("@")[-1] if k == 0 else "")}
+                rest.append(t[at : max(at, s)])
+                at = e
+            near[t] = set(regex.findall(r"\p{L}{3,}", " ".join([*rest, t[at:]]).lower()))
+    n_entity = collections.Counter(e for es in held.values() for e in es)
+    n_joint = collections.Counter((e, w) for t, es in held.items() for e in es if n_entity[e] > 1 for w in near[t])
+    wanted = {w for (_, w), n in n_joint.items() if n > 1}
+    n_term = collections.Counter(w for t in texts for w in terms[t] & wanted)
+    kind = {}
+    for (e, w), n in n_joint.items():
+        if n > 1:
+            prior = n_entity[e] / len(texts)
+            p = (n + P.POOL * prior) / (n_term[w] + P.POOL) if e[0] else n / n_term[w]
+            if p >= P.GENERALISE and math.log2(p / prior) >= P.MIN_BITS:
+                kind[e, w] = 6 if p >= P.REMOVE else 5
+    out = {}
+    for t in texts:
+        out[t] = list(spans[t])
+        own = {w: max(kind[e, w] for e in held[t] if (e, w) in kind) for w in near.get(t, ()) if any((e, w) in kind for e in held[t])}
+        for m in regex.finditer(r"\p{L}{3,}", t) if own else ():
+            if m[0].lower() in own and all(m.end() <= s or m.start() >= e for s, _, e in spans[t]):
+                out[t].append((m.start(), own[m[0].lower()], m.end()))
+        out[t].sort()
+    return out
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_all_spans_against_counting(spark, sf, scale):
+    """On the given tables the corpus adds terms; every span equals that of a count of all pairs."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', scale)}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    want = disclosed(text.values())
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in P.sanitise(docs).collect()}
+    assert got == {d: want[t or ""] for d, t in text.items()}
+    if scale == "0.01":
+        assert sum(s[1] > P.SECRET for spans in got.values() for s in spans) > 0
+
+
+def test_equal_and_missing_ids(spark):
+    """Ids play no part: rows of one id or none get the spans of their texts."""
+    rows = [(None, f"Hotline {prose(i, 30)} +49 30 1234{i:04d}") for i in range(12)] + [(7, f"Hotline {prose(i, 30)} +49 30 9234{i:04d}") for i in range(12)] + [(None, prose(900 + i, 40)) for i in range(700)]
+    want = disclosed([t for _, t in rows])
+    names = [f"{P.KINDS[k]}:{s}:{e}" for t in [t for _, t in rows] for s, k, e in want[t]]
+    got = [f"{P.KINDS[s.kind]}:{s.start}:{s.stop}" for r in P.sanitise(documents(spark, rows)).collect() for s in r.spans]
+    assert sorted(got) == sorted(names)
+    assert sum(n.startswith(("general", "remove")) for n in names) >= 24
+
+
+def test_secrets(spark):
+    data = [(1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (2, "a" * 19 + "1" + " " + "ab1" * 9 + " 12345678901234567890123 abcdefghijklmnopqrstuvwxyz"), (3, "x9Kq27LmPw8Zt4Rb1VnC0s@host.example"), (4, "x9Kq27LmPw8Zt4Rb1Vn")]
+    got = {r.doc_id: [(s.start, s.kind, s.stop) for s in r.spans if s.kind == P.SECRET] for r in P.sanitise(documents(spark, data)).collect()}
+    assert got == {d: secrets(t) for d, t in data}
+    assert [len(v) for _, v in sorted(got.items())] == [1, 0, 0, 0]

@@ -1,18 +1,22 @@
 """Personal data and what gives it away, by DataFrame functions alone.
 
-Base spans are e-mail and IP addresses, card and telephone numbers, found by patterns and checked.
-Then the corpus tells which terms reveal a found value: for a term of a text that holds the value,
-p = texts with both / texts with the term, and the pointwise mutual information in bits; exact copies
-are one text. With p >= GENERALISE and at least MIN_BITS it discloses the value: its places in those
-texts become spans as well, `general` (replace by a placeholder) or, from REMOVE on, `remove`. A
-value in one text only has no such share of its own. It counts with all values of its kind, and of
-its host if it is an e-mail address: their shares have POOL texts of the corpus's average added to
-them, so a few chance meetings don't pass. Terms inside a base span are left to it.
+Protected entities are e-mail and IP addresses, card and telephone numbers, found by patterns and
+checked (the base spans), and secrets: tokens of SECRET_CHARS letters and digits or more of at least
+SECRET_BITS bits of entropy a character. Then the corpus tells which terms reveal an entity: for a
+term (three letters or more) of a text that holds the entity, outside its spans, p = texts with both /
+texts with the term, and the pointwise mutual information in bits, log2(p / share of texts with the
+entity). Texts are whole and distinct: copies, whatever their ids, are one text. With p >= GENERALISE
+and at least MIN_BITS the term discloses the entity: its places in those texts become spans as well,
+`general` (replace by a placeholder) or, from REMOVE on, `remove`. An entity is a value, the kind of a
+value, or the host of an e-mail address; one that is in a single text has no evidence and reveals
+nothing. Shares of kinds and hosts have POOL texts of the corpus's average added to them, so a few
+chance meetings don't pass. Terms and secrets that overlap a base span are left to it.
 
 Positions are code points. The patterns are those of the contract written without the backtracking
 that long runs would cost: possessive repeats, and no start inside a run that was tried already.
 
-Defined cases: null and empty texts have no spans; equal doc_ids keep a row each; an empty table gives no rows; other columns are ignored.
+Defined cases: null and empty texts have no spans; rows of equal or null doc_id are rows of their own,
+judged by their text alone; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +32,14 @@ GENERALISE, REMOVE, MIN_BITS = 0.5, 0.9, 4.0
 #: Texts of average share that are added to those of a pool.
 POOL = 4
 #: Names by number; spans are sorted by start, then in this order.
-KINDS = ("email", "ip", "card", "phone", "general", "remove")
+KINDS = ("email", "ip", "card", "phone", "secret", "general", "remove")
+SECRET = KINDS.index("secret")
+SECRET_CHARS, SECRET_BITS = 20, 3.0
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+_SECRET = rf"(?<![A-Za-z0-9+=])[A-Za-z0-9+=]{{{SECRET_CHARS},}}+"
 _TERM = r"\p{L}{3,}+"
 _BLOCK = 64
 _SPAN = "array<struct<start: int, kind: int, stop: int>>"
@@ -103,10 +110,27 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(*k) for k in kinds)))
 
 
+def _entropy(v: Column) -> Column:
+    """Bits a character."""
+    share = lambda cs, c: F.size(F.filter(cs, lambda x: x == c)) / F.size(cs)
+    total = lambda cs: F.aggregate(F.array_distinct(cs), F.lit(0.0), lambda a, c: a - share(cs, c) * F.log2(share(cs, c)))
+    return let(F.split(v, ""), total)
+
+
+def secret_spans(text: Column, base: Column) -> Column:
+    """Spans of secrets that touch none of the base spans."""
+    free = lambda m: ~F.exists(base, lambda s: (s["start"] < m["stop"]) & (s["stop"] > m["start"]))
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
+    ok = F.filter(occurrences(text, _SECRET), lambda m: mixed(m["value"]) & free(m) & (_entropy(m["value"]) >= SECRET_BITS))
+    spans = F.transform(ok, lambda m: F.struct(m["start"].alias("start"), F.lit(SECRET).alias("kind"), m["stop"].alias("stop")))
+    return F.when(text.rlike(rf"[A-Za-z0-9+=]{{{SECRET_CHARS}}}"), spans).otherwise(F.array().cast(_SPAN))
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (base), text (null where there are none), uid of every document."""
+    """doc_id, spans (base ones and secrets), text (null where there are none) of every document."""
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = t.withColumn("spans", base_spans(F.col("text")))
+    spans = t.withColumn("base", base_spans(F.col("text")))
+    spans = spans.withColumn("spans", F.array_sort(F.concat("base", secret_spans(F.col("text"), F.col("base")))))
     return materialise(spans.select("doc_id", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "pii")
 
 
@@ -175,7 +199,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     hit = F.filter(occurrences(F.col("text"), _TERM), lambda m: kind(m).isNotNull() & free(m))
     added = F.transform(hit, lambda m: F.struct(m["start"].alias("start"), kind(m).alias("kind"), m["stop"].alias("stop")))
     some = some.withColumn("added", F.when(F.col("_terms").isNull(), F.array().cast(_SPAN)).otherwise(added))
-    some = some.select("doc_id", F.col("spans").alias("base"), F.array_sort(F.concat("spans", "added")).alias("spans"), "text")
+    base = F.filter("spans", lambda s: s["kind"] < SECRET).alias("base")
+    some = some.select("doc_id", base, F.array_sort(F.concat("spans", "added")).alias("spans"), "text")
     none = found.where("text IS NULL").select("doc_id", F.col("spans").alias("base"), "spans", "text")
     return some.unionByName(none)
 
@@ -197,9 +222,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*(F.lit(k) for k in KINDS))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
-    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    added = (F.size("spans") - F.size("base")).cast("long").alias("n_terms")
-    return got.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), added)
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:SECRET])]
+    other = lambda test, name: F.size(F.filter("spans", lambda s: test(s["kind"]))).cast("long").alias(name)
+    more = [other(lambda k: k == SECRET, "n_secret"), other(lambda k: k > SECRET, "n_terms"), F.size("spans").cast("long").alias("n_spans")]
+    return got.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), *more)
 
 
 ORACLE: dict[str, str] = {}
