@@ -124,6 +124,50 @@ def test_rules(spark):
     assert U.judge(df.limit(0), U.RULES).count() == 0
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_long_and_odd_suffixes(spark, limit, monkeypatch):
+    """Suffixes too long to be sent to the tasks are joined, with the same verdicts."""
+    urls = [(i, f"http://h{i % 9}.example.{('net', 'org', 'com')[i % 3]}/{('en', 'de', 'fr')[i // 3 % 3]}/{'x' * (i % 13)}{i * 7919 % 1000}") for i in range(200)]
+    pages = spark.createDataFrame(urls + [(900, "http://a." + "z" * 5000), (901, "http://a." + "z" * 5000 + "/en/"), (902, None)], "page_id long, url string")
+    short = {r.page_id: (r.verdict, r.score) for r in U.judge(pages.where("page_id < 900"), U.RULES).collect()}
+    if limit is not None:
+        monkeypatch.setattr(U, "BROADCAST_BYTES", limit)
+    got = {r.page_id: (r.verdict, r.score) for r in U.judge(pages, U.RULES).collect()}
+    assert len(got) == 203
+    assert {k: v for k, v in got.items() if k < 900} == short
+
+
+def test_a_repeated_url_is_one_training_row(spark):
+    urls = [(i, "http://a.example.net/x/") for i in range(500)] + [(600 + i, f"http://b{i}.example.org/fr/{i}") for i in range(40)]
+    _, y, host = U.training_rows(U.ruled_urls(spark.createDataFrame(urls, "page_id long, url string"), U.RULES), 30)
+    assert len(host) == 30
+    assert (host == "a.example.net").sum() <= 1
+
+
+def test_verdicts_on_held_out_hosts(spark):
+    """Labels that go with the looks of a URL are learnt over hosts, within one suffix too."""
+    r = np.random.default_rng(3)
+    urls, label = [], {}
+    for i in range(900):
+        bad = r.random() < 0.5
+        host = f"h{r.integers(200)}.example.com"
+        path = f"{r.integers(10**12)}/{r.integers(10**9)}?a={r.integers(99)}&b={r.integers(99)}" if bad else "/".join(prose(int(r.integers(999)), 3).split())
+        urls.append((i, f"http://{host}/{'bad' if bad else 'good'}/{path}"))
+        label[urls[-1][1]] = bad
+    rules = {"com/bad/": "block", "com/good/": "allow"}
+    x, y, host = U.training_rows(U.ruled_urls(spark.createDataFrame(urls, "page_id long, url string"), rules), 20_000)
+    fold = np.array([int(h[1:].split(".")[0]) % 4 == 0 for h in host])
+    m = U.BoostedTrees().fit(x[~fold], y[~fold])
+    assert ((m.predict(x[fold]) > 0.5) == y[fold]).mean() > 0.97
+
+
+def test_suffix_alone_decides_nothing(spark, sf):
+    """Pages of one top-level domain that no rule decides get both verdicts."""
+    got = U.judge(spark.read.parquet(f"{sf.replace('0.001', '0.1')}/pages.parquet"), U.RULES).where("rule IS NULL").toPandas()
+    for suffix in ("com", "org"):
+        assert set(got["verdict"][got["host"].str.endswith(suffix)]) == {"allow", "block"}
+
+
 def test_trees_learn():
     r = np.random.default_rng(2)
     x = r.normal(size=(3000, 5))

@@ -1,7 +1,9 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
-The trees learn from labelled URLs, here those a rule decides: TRAIN_ROWS of them at most, those with
-the smallest hash. The suffix statistics (labelled and blocked rows per last host label) count all rows.
+The trees learn from labelled URLs, here those a rule decides: TRAIN_ROWS distinct ones at most, those
+with the smallest hash. Suffix statistics (order of magnitude of the rows and hosts of the last host
+label, its length) count all pages and no labels: since rules name suffixes, a suffix's label rate
+would be the rule told again, and the trees would learn nothing else.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is judged
 by the trees; with no labelled row, or one label only, the trees answer that label (allow if none);
@@ -22,7 +24,7 @@ from .common import BROADCAST_BYTES, materialise, table
 TRAIN_ROWS = 20_000
 #: The rules of the query.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "params", "query_length", "suffix_length", "suffix_rows", "suffix_rate", "hyphens", "escapes")
+FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "params", "query_length", "suffix_length", "suffix_rows", "suffix_hosts", "hyphens", "escapes")
 
 
 def split_url(pages: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def apply_rules(urls: DataFrame, rules: dict[str, str]) -> DataFrame:
     return urls.withColumns({"rule": rule, "ruled": ruled})
 
 
-def features(urls: list[str | None], hosts: list[str], paths: list[str], rows: np.ndarray, rates: np.ndarray) -> np.ndarray:
+def features(urls: list[str | None], hosts: list[str], paths: list[str], suffix_rows: np.ndarray, suffix_hosts: np.ndarray) -> np.ndarray:
     out = np.zeros((len(urls), len(FEATURES)))
     for i, (url, host, path) in enumerate(zip(urls, hosts, paths, strict=True)):
         u = url or ""
@@ -53,7 +55,7 @@ def features(urls: list[str | None], hosts: list[str], paths: list[str], rows: n
         counts = np.unique(np.frombuffer(u.encode("utf-8", "replace"), np.uint8), return_counts=True)[1] if n else np.ones(1)
         p = counts / counts.sum()
         out[i] = (n, len(host), len(path), path.count("/"), host.count(".") + 1 if host else 0, sum(c.isdigit() for c in u) / max(n, 1), -(p * np.log2(p)).sum(), query.count("=") + query.count("&"), len(query), len(host.rpartition(".")[2]), 0, 0, u.count("-"), u.count("%"))
-    out[:, 10], out[:, 11] = np.log1p(rows), rates
+    out[:, 10], out[:, 11] = suffix_rows, suffix_hosts
     return out
 
 
@@ -125,30 +127,48 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-score))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (the trees' probability of block)."""
-    spark = pages.sparkSession
-    urls = apply_rules(split_url(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))), rules)
-    labelled = urls.where("ruled IS NOT NULL").withColumn("label", (F.col("ruled") == "block").cast("int"))
-    suffixes = materialise(labelled.groupBy("suffix").agg(F.count("*").alias("suffix_rows"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_rate")), "suffixes")
+_FIELDS = ["url", "host", "path", "suffix_rows", "suffix_hosts"]
+
+
+def with_suffixes(urls: DataFrame) -> DataFrame:
+    """Adds suffix_rows and suffix_hosts, decimal orders of magnitude over all of urls."""
+    size = lambda n: F.floor(F.log10(n)).cast("double")
+    suffixes = urls.groupBy("suffix").agg(size(F.count("*")).alias("suffix_rows"), size(F.greatest(F.approx_count_distinct("host"), F.lit(1))).alias("suffix_hosts"))
+    suffixes = materialise(suffixes, "suffixes")
     if suffixes.count() * 256 <= BROADCAST_BYTES:  # a host label has 63 bytes at most; longer text is no host but may occur
         longest = suffixes.agg(F.max(F.octet_length("suffix"))).first()[0] or 0
         suffixes = F.broadcast(suffixes) if longest <= 128 else suffixes
-    known = lambda df: df.join(suffixes, "suffix", "left").withColumns({"suffix_rows": F.coalesce("suffix_rows", F.lit(0)), "suffix_rate": F.coalesce("suffix_rate", F.lit(0.5))})
-    fields = ["url", "host", "path", "suffix_rows", "suffix_rate"]
-    sample = known(labelled.orderBy(F.xxhash64("url"), "page_id").limit(train_rows)).select(*fields, "label").toPandas().sort_values("url", kind="stable")
-    x = features(sample["url"].tolist(), sample["host"].tolist(), sample["path"].tolist(), sample["suffix_rows"].to_numpy(float), sample["suffix_rate"].to_numpy(float))
-    model = spark.sparkContext.broadcast(BoostedTrees().fit(x, sample["label"].to_numpy(float)))
+    return urls.join(suffixes, "suffix")
+
+
+def training_rows(urls: DataFrame, train_rows: int):
+    """Features, labels (1: block) and hosts of distinct labelled URLs, train_rows at most, on the driver."""
+    labelled = urls.where("ruled IS NOT NULL").select(*_FIELDS, (F.col("ruled") == "block").cast("int").alias("label")).distinct()
+    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(train_rows).toPandas().sort_values("url", kind="stable")
+    x = features(rows["url"].tolist(), rows["host"].tolist(), rows["path"].tolist(), rows["suffix_rows"].to_numpy(float), rows["suffix_hosts"].to_numpy(float))
+    return x, rows["label"].to_numpy(float), rows["host"].to_numpy()
+
+
+def ruled_urls(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """page_id, url, host, path, rule, ruled, suffix_rows, suffix_hosts of every page."""
+    return with_suffixes(apply_rules(split_url(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))), rules))
+
+
+def judge(pages: DataFrame, rules: dict[str, str], train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (the trees' probability of block)."""
+    urls = ruled_urls(pages, rules)
+    x, y, _ = training_rows(urls, train_rows)
+    model = pages.sparkSession.sparkContext.broadcast(BoostedTrees().fit(x, y))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            got = features(*(c[n].to_pylist() for n in fields[:3]), *(c[n].to_numpy(zero_copy_only=False).astype(float) for n in fields[3:]))
+            got = features(*(c[n].to_pylist() for n in _FIELDS[:3]), *(c[n].to_numpy(zero_copy_only=False).astype(float) for n in _FIELDS[3:]))
             score = model.value.predict(got)
             verdict = [r or ("block" if s >= threshold else "allow") for r, s in zip(c["ruled"].to_pylist(), score, strict=True)]
             yield pa.RecordBatch.from_arrays([c["page_id"], c["host"], c["path"], c["rule"], pa.array(verdict, pa.string()), pa.array(score)], ["page_id", "host", "path", "rule", "verdict", "score"])
 
-    return known(urls).select("page_id", *fields, "rule", "ruled").mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double")
+    return urls.select("page_id", *_FIELDS, "rule", "ruled").mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
