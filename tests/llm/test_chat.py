@@ -3,6 +3,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from tests.harness import oracle
+from tests.harness import rows as plain
 from tests.llm.fixtures import prose
 from tomegraph.llm import chat_format as C
 
@@ -62,3 +64,25 @@ def test_query(spark, sf):
     rows += [(-1, 0, "user", said, ""), (-1, 1, "assistant", said, "")]
     want = {c: (n, h, len(x), hashlib.sha256(x.encode()).hexdigest()) for c, (n, h, x) in brute(rows).items()}
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got.collect()} == want
+    assert plain(got.toPandas()) == plain(oracle(C.ORACLE["op1_chat_format"], sf))
+
+
+def test_odd_conversations_against_sql(spark, tmp_path):
+    """The whole query, formatted_chars included, on turns without ids, places, roles or texts and of any length."""
+    rows = [r[:4] for r in conversations()] + [(8, i, "assistant" if i % 3 else "user", prose(i, 700 + i)) for i in range(12)] + [(None, None, None, None)] * 3
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/w")
+    next((tmp_path / "w").glob("part-*")).rename(tmp_path / "conversations.parquet")
+    sql = C.ORACLE["op1_chat_format"].replace("FROM conversations", f"FROM read_parquet('{tmp_path}/conversations.parquet')")
+    import duckdb
+
+    assert sorted(map(tuple, C.op1_chat_format(spark, str(tmp_path)).collect()), key=repr) == sorted(duckdb.sql(sql).fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("history", [0, 20])
+def test_a_long_conversation_is_split(spark, history):
+    """Blocks of a conversation give the same windows as one block, and none holds much of it."""
+    turns = [(1, i, "system" if i == 0 else ("user", "assistant")[i % 2], prose(i, 1 + i % 40), "") for i in range(3000)] + [(None, 5, "user", "same", "")] * 2000
+    df = spark.createDataFrame(turns, SCHEMA)
+    one, many = ({(r.conv_id, r.window_no): (r.text, r.n_repeated, r.loss) for r in C.windows(df, 400, history, n).collect()} for n in (1, 12))
+    assert one == many
+    assert max(r["count"] for r in C._placed(df, 12).groupBy("conv", "block").count().collect()) < 1000

@@ -10,6 +10,10 @@ span. Only assistant texts of the span itself are under the loss mask; those rep
 Turns are written as `<s>[ROLE:role]\\ntext</s>\\n`. Inside roles and texts the characters `\\ < [ ]`
 become `\\0 \\1 \\2 \\3`, so no text can hold a control string, and unescape() gives it back.
 
+A conversation may be of any length: turns are range-partitioned by their order, a conversation's part
+in a partition is a block, and sums along it are taken within blocks and over the blocks' totals, so
+no task sees more of it than a block. Windows are bounded by the budget.
+
 Defined cases: null text and role are empty; turns go by turn, role, text (null turns first); equal
 rows are turns of their own; a null conv_id is a conversation; an empty table gives no rows; other
 columns are ignored. The query's digests read a conversation as a whole, the operator never does.
@@ -21,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import materialise, shuffle_partitions, table
 
 BUDGET, HISTORY = 2048, 512
 #: Tokens that the template adds to a turn.
 TURN_TOKENS = 4
+#: Windows of a conversation that share a copy of its system turn.
+SYSTEM_SHARE = 1000
 _ESCAPES = (("\\", "\\0"), ("<", "\\1"), ("[", "\\2"), ("]", "\\3"))
 
 
@@ -41,36 +47,70 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def _placed(turns: DataFrame, partitions: int) -> DataFrame:
+    """conv (struct conv_id), block, pos (rising with the order of all turns), role, text, tokens."""
+    t = turns.select(F.struct("conv_id").alias("conv"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    t = t.withColumn("tie", F.monotonically_increasing_id())  # rows that are equal in all else may be split as well
+    order = ["conv", "turn", "role", "text", "tie"]
+    t = t.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
+    tokens = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + TURN_TOKENS
+    return materialise(t.select("conv", F.shiftright("pos", 33).alias("block"), "pos", "role", "text", tokens.alias("tokens")), "turns")
+
+
+def _blocks(placed: DataFrame, budget: int, history: int) -> DataFrame:
+    """Per conversation and block: half (tokens of a span), system (its turn's place, tokens; or null), tokens before the block and the block's last turn before that."""
+    first = F.min_by(F.struct("pos", "role", "tokens"), "pos").alias("first")
+    b = placed.groupBy("conv", "block").agg(first, F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.max_by("tokens", "pos").alias("last"))
+    along = Window.partitionBy("conv").orderBy("block")  # at most one row a partition
+    b = b.withColumns({"head": F.first("first").over(along), "number": F.row_number().over(along)})
+    own = (F.col("number") == 1) & (F.col("head.role") == "system")
+    b = b.withColumn("system", F.when(F.col("head.role") == "system", F.struct("head.pos", "head.tokens")))
+    b = b.withColumns({"n": F.col("n") - own.cast("long"), "sum": F.col("sum") - F.when(own, F.col("system.tokens")).otherwise(0), "half": F.greatest(F.lit(16), F.floor((budget - history - F.coalesce(F.col("system.tokens"), F.lit(0))) / 2))})
+    some = b.where("n > 0").withColumn("before", F.sum("sum").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum")).withColumn("last_before", F.lag("last").over(along))
+    alone = b.where("n = 0 AND number = 1").withColumns({"before": F.lit(None).cast("long"), "last_before": F.lit(None).cast("long")})
+    return materialise(some.unionByName(alone).select("conv", "block", "n", "system", "half", "before", "last_before"), "turn-blocks")
+
+
+def _spans(placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """conv, pos, at, span, opens, system of every turn but the system ones."""
+    t = placed.select("conv", "block", "pos", "tokens").join(blocks, ["conv", "block"]).where("n > 0 AND (system IS NULL OR pos <> system.pos)")
+    inside = Window.partitionBy("conv", "block").orderBy("pos")
+    t = t.withColumn("at", F.col("before") + F.sum("tokens").over(inside) - F.col("tokens"))
+    cell = lambda at: F.floor(at / F.col("half"))
+    t = t.withColumn("own", F.struct((F.col("tokens") > F.col("half")).alias("long"), cell(F.col("at")).alias("cell")))
+    over = F.when(F.col("last_before").isNotNull(), F.struct((F.col("last_before") > F.col("half")).alias("long"), cell(F.col("before") - F.col("last_before")).alias("cell")))
+    t = t.withColumn("prior", F.coalesce(F.lag("own").over(inside), over))
+    t = t.withColumn("opens", F.col("prior").isNull() | F.col("own.long") | F.col("prior.long") | (F.col("own.cell") != F.col("prior.cell")))
+    t = t.withColumn("nth", F.sum(F.col("opens").cast("long")).over(inside))
+    t = materialise(t.select("conv", "block", "pos", "at", "opens", "nth", "system"), "turn-spans")
+    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = t.groupBy("conv", "block").agg(F.max("nth").alias("opened")).withColumn("base", F.coalesce(F.sum("opened").over(before), F.lit(0)))
+    return t.join(base.select("conv", "block", "base"), ["conv", "block"]).withColumn("span", F.col("base") + F.col("nth"))
+
+
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, partitions: int | None = None) -> DataFrame:
     """One row per window: conv_id, window_no, text, n_repeated, loss (array of start, stop), n_tokens, over_budget."""
-    t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    t = t.withColumn("seq", F.row_number().over(order).cast("long"))
-    t = t.withColumn("tokens", F.regexp_count("text", F.lit(r"\S+")).cast("long") + TURN_TOKENS)
-    by_seq = Window.partitionBy("conv_id").orderBy("seq")
-    is_system = (F.col("seq") == 1) & (F.col("role") == "system")
-    t = t.withColumn("system", F.first(F.when(is_system, F.struct("role", "text", "tokens"))).over(by_seq))
-    t = t.withColumn("after", F.sum(F.when(is_system, 0).otherwise(F.col("tokens"))).over(by_seq.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.withColumn("at", F.col("after") - F.when(is_system, 0).otherwise(F.col("tokens")))
-    half = F.greatest(F.lit(16), F.floor((budget - history - F.coalesce(F.col("system.tokens"), F.lit(0))) / 2))
-    t = t.withColumns({"half": half, "long": F.col("tokens") > half, "cell": F.floor(F.col("at") / half)})
-    body = t.where(~is_system)
-    lag = lambda c: F.lag(c).over(by_seq)
-    body = body.withColumn("opens", lag("seq").isNull() | F.col("long") | lag("long") | (F.col("cell") != lag("cell")))
-    body = body.withColumn("span", F.sum(F.col("opens").cast("long")).over(by_seq.rowsBetween(Window.unboundedPreceding, 0)))
-    # the spans that open within `history` tokens after this turn's start repeat it
-    ahead = Window.partitionBy("conv_id").orderBy("at").rangeBetween(1, history)
-    body = body.withColumn("later", F.collect_list(F.when(F.col("opens"), F.col("span"))).over(ahead))
-    own = F.struct(F.col("span").alias("window_no"), F.lit(False).alias("repeated"))
-    body = body.withColumn("use", F.explode(F.concat(F.array(own), F.transform("later", lambda s: F.struct(s.alias("window_no"), F.lit(True).alias("repeated"))))))
-    piece = F.struct("seq", F.col("use.repeated").alias("repeated"), "role", "text", "tokens")
-    w = body.groupBy("conv_id", F.col("use.window_no").alias("window_no")).agg(F.array_sort(F.collect_list(piece)).alias("turns"), F.first("system").alias("system"))
+    placed = _placed(turns, partitions or shuffle_partitions(turns.sparkSession))
+    blocks = _blocks(placed, budget, history)
+    spans = materialise(_spans(placed, blocks), "turn-windows")
+    # the spans that open within `history` tokens after a turn's start repeat it
+    cell = F.floor(F.col("at") / max(history, 1))
+    opening = spans.where("opens").select("conv", cell.alias("cell"), F.col("at").alias("opens_at"), F.col("span").alias("window_no"))
+    ahead = spans.select("conv", "pos", "at", F.explode(F.array(cell, cell + 1)).alias("cell"))
+    again = ahead.join(opening, ["conv", "cell"]).where((F.col("opens_at") > F.col("at")) & (F.col("opens_at") <= F.col("at") + history))
+    share = lambda n: F.floor(n / SYSTEM_SHARE)
+    own = spans.select("conv", F.col("span").alias("window_no"), "pos", F.lit(False).alias("repeated"), F.lit(0).cast("long").alias("copy"))
+    again = again.select("conv", "window_no", "pos", F.lit(True).alias("repeated"), F.lit(0).cast("long").alias("copy"))
     # a conversation that is nothing but its system turn is a window as well
-    alone = t.where(is_system).join(body.select(F.col("conv_id").alias("c")).distinct(), F.col("conv_id").eqNullSafe(F.col("c")), "left_anti")
-    alone = alone.select("conv_id", F.lit(1).cast("long").alias("window_no"), F.array().cast(w.schema["turns"].dataType).alias("turns"), "system")
-    head = F.when(F.col("system").isNotNull(), F.array(F.struct(F.lit(0).cast("long").alias("seq"), (F.col("window_no") > 1).alias("repeated"), "system.role", "system.text", "system.tokens"))).otherwise(F.array())
-    w = w.unionByName(alone).withColumn("turns", F.concat(head, "turns"))
-    return _written(w, budget)
+    numbers = spans.where("opens AND system IS NOT NULL").select("conv", F.col("span").alias("window_no"), "system")
+    numbers = numbers.unionByName(blocks.where("before IS NULL").select("conv", F.lit(1).cast("long").alias("window_no"), "system"))
+    system = numbers.select("conv", "window_no", F.col("system.pos").alias("pos"), (F.col("window_no") > 1).alias("repeated"), share(F.col("window_no")).alias("copy"))
+    copies = numbers.groupBy(F.col("system.pos").alias("pos")).agg(share(F.max("window_no")).alias("copies"))
+    texts = placed.join(copies, "pos", "left").select("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(0).cast("long")))).alias("copy"), "role", "text", "tokens")
+    pieces = own.unionByName(again).unionByName(system).join(texts, ["pos", "copy"])
+    piece = F.struct("pos", "repeated", "role", "text", "tokens")
+    w = pieces.groupBy("conv", "window_no").agg(F.array_sort(F.collect_list(piece)).alias("turns"))
+    return _written(w.select("conv.conv_id", "window_no", "turns"), budget)
 
 
 def _written(w: DataFrame, budget: int) -> DataFrame:
@@ -116,4 +156,19 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.sha2(F.concat_ws("", F.transform("w", lambda x: x["all"])), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_chat_format": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (SELECT *, row_number() OVER w AS seq, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + {TURN_TOKENS} AS tokens,
+ 16 + length(role) + length(regexp_replace(role, '[^\\\\<\\[\\]]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\\\<\\[\\]]', '', 'g')) AS chars FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+y AS (SELECT *, seq = 1 AND role = 'system' AS sys, coalesce(max(tokens) FILTER (WHERE seq = 1 AND role = 'system') OVER (PARTITION BY conv_id), 0) AS head FROM s),
+b AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY seq) - tokens AS begun, greatest(16, ({BUDGET} - {HISTORY} - head) // 2) AS half FROM y WHERE NOT sys),
+o AS (SELECT *, coalesce(tokens > half OR lag(tokens > half) OVER w OR begun // half <> lag(begun // half) OVER w, true) AS opens FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY seq)),
+x AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY conv_id ORDER BY begun RANGE BETWEEN 1 FOLLOWING AND {HISTORY} FOLLOWING) AS later FROM o),
+f AS (SELECT conv_id, sum(chars * (1 + later)) AS chars, count(*) FILTER (WHERE opens) AS n FROM x GROUP BY conv_id)
+SELECT y.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ (coalesce(any_value(f.chars), 0) + coalesce(sum(y.chars) FILTER (WHERE sys), 0) * coalesce(any_value(f.n), 1))::BIGINT AS formatted_chars
+FROM y LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM y.conv_id GROUP BY y.conv_id"""
+}
