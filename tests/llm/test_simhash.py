@@ -166,3 +166,12 @@ def test_crowd_of_near_copies_stays_linear(spark, monkeypatch):
     groups = S.near_groups(documents(spark, list(enumerate(texts)))).collect()
     assert {r.group_id for r in groups} == {0}
     assert sum(rows) < 3 * len(texts)
+
+
+def test_fingerprint_query(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    fp = {d: brute_print(t) for d, t in docs.items()}
+    root = roots(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2)
+    got = S.op5_simhash_near_dedup(spark, sf)
+    assert got.columns == ["doc_id", "fingerprint", "component_id"]
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got.collect()} == {d: (f"{fp[d]:016x}", root[d]) for d in fp}

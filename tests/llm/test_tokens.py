@@ -104,3 +104,44 @@ def test_bounds_hold():
     assert P.lower_bound(np.array([51] * 7), 100) == 7
     assert P.lower_bound(np.array([34] * 6), 100) == 3
     assert P.lower_bound(np.zeros(0, np.int64), 100) == 0
+
+
+def test_token_query(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    at, want = 0, set()
+    for d, ids in zip(sorted(docs), plain([docs[d] for d in sorted(docs)], 2), strict=True):
+        want.add((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = F.op7_token_frames(spark, sf)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_one_id_over_several_files(spark):
+    data = [(3, prose(i, 30)) for i in range(200)] + [(None, prose(i, 20)) for i in range(100)] + [(1, "a")]
+    manifest = F.write(documents(spark, data).coalesce(1), scratch_path(spark, "t"), vocabulary(), 2, partitions=6)
+    assert max(r.n_docs for r in manifest.collect()) < 150
+    rows = sorted(F.read(manifest).collect(), key=lambda r: r.start)
+    order = sorted(range(len(data)), key=lambda i: (data[i][0] is not None, data[i][0] or 0, i))
+    want = plain([data[i][1] for i in order], 2)
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in rows] == [(data[i][0], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in zip(order, want, strict=True)]
+    assert [r.start for r in rows] == np.cumsum([0, *map(len, want)])[:-1].tolist()
+
+
+def test_packing_query(spark, sf):
+    """Every id of every document once, gapless sequences, and as few of them as the bound over all pieces allows."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = dict(zip(docs, plain(list(docs.values()), 1), strict=True))
+    got = P.op8_best_fit_packing(spark, sf)
+    rows = got.collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted((d, k, at, len(x[at : at + 4096]), zlib.crc32(np.array(x[at : at + 4096], "<u4").tobytes())) for d, x in ids.items() for k, at in enumerate(range(0, len(x), 4096)))
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        places.sort()
+        assert [o for o, _ in places] == np.cumsum([0, *(n for _, n in places)])[:-1].tolist()
+        assert sum(n for _, n in places) <= 4096
+    bound = P.total_bound(got.select("length"), 4096)
+    assert bound == P.lower_bound(np.array([r.length for r in rows]), 4096)
+    assert bound <= len(by) <= bound + 1

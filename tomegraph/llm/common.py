@@ -144,11 +144,6 @@ def without(known: DataFrame, gone: DataFrame) -> DataFrame:
 NULL_ID = -(1 << 63)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """id_text() with NULL_ID for null ids."""
-    return id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, so that only a slice's texts are Python objects at a time.
 

@@ -79,11 +79,14 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(filled, np.int64)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """No packing has fewer bins: the best of two families of dual-feasible functions and the plain volume."""
+def lower_bound(lengths: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """No packing has fewer bins: the best of two families of dual-feasible functions and the plain volume.
+
+    With `times`, lengths are distinct and occur so often.
+    """
     if not len(lengths):
         return 0
-    size, n = np.unique(lengths, return_counts=True)
+    size, n = np.unique(lengths, return_counts=True) if times is None else (lengths, times)
     best = -(-int((size * n).sum()) // capacity)
     # f_e: items over capacity - e count as whole bins, items under e as nothing
     for e in range(1, capacity // 2 + 1):
@@ -98,6 +101,12 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def total_bound(items: DataFrame, capacity: int) -> int:
+    """lower_bound() of all items at once; the driver sees at most `capacity` lengths and their numbers."""
+    rows = items.groupBy("length").agg(F.count("*").alias("n")).collect()
+    return lower_bound(np.array([r.length for r in rows], np.int64), capacity, np.array([r.n for r in rows], np.int64))
+
+
 def _pack(items: DataFrame, partitions: int, capacity: int, round_no: int) -> DataFrame:
     """One round: deal, pack, certify. Adds sequence_id, offset, filled, certified."""
     dealt = items.repartition(partitions, F.xxhash64("doc_id", "piece", "uid", F.lit(round_no)))

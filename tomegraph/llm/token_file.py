@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, materialise, numbered, scratch_path, shuffle_partitions, slices, table
+from .common import NULL_ID, identified, materialise, row_text, scratch_path, shuffle_partitions, slices, table
 from .tokens import encoder, vocabulary
 
 FRAME_TOKENS = 1 << 15
@@ -146,8 +146,9 @@ def _fs(path: str):
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Write all documents in ascending doc_id order; returns the manifest (part, path, n_docs, n_tokens)."""
     spark = docs.sparkSession
-    ordered = numbered(docs)
-    ordered = ordered.repartitionByRange(partitions or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = row_text(identified(docs.select("doc_id", "text"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", "row")
+    # rows of one id, or without one, may reach over several files, in the order of their places
+    ordered = ordered.repartitionByRange(partitions or shuffle_partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], np.uint32)
