@@ -23,20 +23,48 @@ def session(app: str = "tomegraph", **conf: str) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage; a temporary one only where none is set."""
+    """The shared folder for tables that cut lineage; a temporary one only on a local master without any."""
     import tempfile
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tomegraph-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+_KNOWN_ROOTS: set[str] = set()
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it goes when the driver ends."""
+    import atexit
+
+    root = f"{checkpoint_root(spark)}/steps-{spark.sparkContext.applicationId}"
+    if root not in _KNOWN_ROOTS:
+        _KNOWN_ROOTS.add(root)
+        atexit.register(remove, root)
+    return root
+
+
+def remove(path: str) -> None:
+    """Delete a table or folder, if the driver's JVM is still there."""
+    import contextlib
+
+    from pyspark import SparkContext
+
+    with contextlib.suppress(Exception):
+        jvm = SparkContext._gateway.jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+
+
 def materialise(df, label: str = "step"):
     """Write df to the shared folder and read it back."""
     import uuid
 
-    path = f"{checkpoint_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
