@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tomegraph.functions import containment
 from tomegraph.functions import similarity as S
 from tomegraph.operators import canonical, evaluate, graph, hetero, metrics, parsers, paths, resolve, search, stats, views
 from tomegraph.plans import context, queries
@@ -93,6 +94,20 @@ def test_metrics(spark):
     assert got == {"a": (2, 1, 1.0), "b": (2, 1, 1.0), "c": (3, 1, 0.333), "d": (1, 0, 0.0)}
     assert metrics.diameter(n.where("id <> 'e'"), e) == 2
     assert metrics.diameter(n, e) is None
+    r = random.Random(5)
+    for size, extra in ((1, 0), (12, 0), (30, 8), (25, 60)):
+        links = [(r.randrange(i) if extra else i - 1, i) for i in range(1, size)] + [(r.randrange(size), r.randrange(size)) for _ in range(extra)]
+        near = {i: {b for a, b in links + [(b, a) for a, b in links] if a == i} for i in range(size)}
+
+        def far(i):
+            seen, now, d = {i}, {i}, 0
+            while now := {b for a in now for b in near[a]} - seen:
+                seen |= now
+                d += 1
+            return d
+
+        g = spark.createDataFrame([(str(i),) for i in range(size)], "id string"), spark.createDataFrame([(str(a), str(b)) for a, b in links], "source string, target string")
+        assert metrics.diameter(*g) == max(map(far, range(size)))
     assert keys(stats.degrees(e), "id", "degree")[-1] == ("e", 2)
     assert keys(stats.degrees(e, loops_once=True), "id", "degree")[-1] == ("e", 1)
     assert stats.density(n.where("id = 'a'"), e.limit(0)).first().density == 0
@@ -197,6 +212,12 @@ def test_canonical(spark):
     a = canonical.alias_map(u)
     s = spark.createDataFrame([("s1", "Runara went to the_temple."), ("s2", "nothing"), ("s3", None)], "section_id string, content string")
     assert {r.section_id: r.ids for r in canonical.mentions(s, a).collect()} == {"s1": ["dragons_rest", "runara"]}
+    many = spark.createDataFrame([("marsh wolf den gate", "g"), ("cat", "c"), ("", "x"), ("Cat", "c2")], "alias string, id string")
+    t = spark.createDataFrame([("t1", "The marsh_wolf den gate."), ("t2", "Two CATS")], "section_id string, content string")
+    for size in (containment.TERM_BYTES, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(containment, "TERM_BYTES", size)
+            assert {r.section_id: r.ids for r in canonical.mentions(t, many).collect()} == {"t1": ["g"], "t2": ["c", "c2"]}
 
 
 def test_evaluation(spark):
@@ -204,13 +225,16 @@ def test_evaluation(spark):
     y = spark.createDataFrame([("Bell",), ("Lamp Post",), ("Gate",)], "name string")
     assert keys(evaluate.exact_matches(y, x), "form") == [("bell",)]
     assert keys(evaluate.exact_matches(y, x, underscores=True), "form") == [("bell",), ("lamp post",)]
-    got = evaluate.greedy_matches(["Bell", "Lamp Post", "Gate"], x)
-    assert [(m["human"], m["method"]) for m in got] == [("bell", "exact"), ("lamp post", "fuzzy")]
+    assert sorted((m.label, m.extracted, m.method) for m in evaluate.greedy_matches(y, x).collect()) == [("bell", "bell", "exact"), ("lamp post", "lamp_post", "fuzzy")]
+    # two labels name the same: the first by name has it, the other gets no second choice
+    both = spark.createDataFrame([("lamp posts",), ("lamp pos",), ("Tower",)], "name string")
+    more = spark.createDataFrame([("lamp post",), ("lamps",)], "name string")
+    assert [(m.label, m.extracted) for m in evaluate.greedy_matches(both, more).collect()] == [("lamp pos", "lamp post")]
     assert keys(evaluate.missing(y, x), "name") == [("Gate",), ("Lamp Post",)]
     r = spark.range(1).select(*evaluate.prf(F.lit(1), F.lit(3), F.lit(3))).first()
     assert [round(v, 1) for v in r] == [33.3, 33.3, 33.3]
     assert list(spark.range(1).select(*evaluate.prf(F.lit(0), F.lit(0), F.lit(0))).first()) == [0, 0, 0]
-    assert {r.label: r.bucket for r in evaluate.best_matches(["bell"], x).collect()} == {"bell": "exact"}
+    assert {r.label: r.bucket for r in evaluate.best_matches(spark.createDataFrame([("bell",)], "name string"), x).collect()} == {"bell": "exact"}
 
 
 def test_parsers(spark):
@@ -293,7 +317,7 @@ def test_similar_pairs(spark):
 
 
 def test_similar_labels_all_finds_pairs(spark, sf):
-    assert ("cold anvil", "old anvil", 1) in {tuple(x) for x in queries.QUERIES["similar_labels_all"](spark, sf).collect()}
+    assert ("cold anvil", "old anvil", 1) in {tuple(x) for x in queries.QUERIES["similar_labels"](spark, sf).collect()}
 
 
 def test_canonical_ids_by_own_alias_and_near_blocks(spark):

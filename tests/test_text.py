@@ -19,6 +19,9 @@ TAGS = [
     ("{@creature Élan|Q}", "Élan", [("Élan", "creature", ["Q"])], None),
     ("", "", [], None),
     (None, "", [], None),
+    ("{@creature " * 12 + "x" + "}" * 12, "x", [("x", "creature", [])], "{@creature " * 11 + "x" + "}" * 11),
+    ("{@{@b item} Lamp|Q} {x {@b y} z}", "Lamp {x y z}", [("Lamp", "item", ["Q"])], "{@item Lamp|Q} {x y z}"),
+    ("{{@a @item b|c} d} } {@b }", "b d } {@b }", [("@item b", "a", ["c"]), ("b d", "item", [])], "{@item b d} } {@b }"),
 ]
 
 
@@ -63,7 +66,8 @@ def test_names(spark):
     assert one(spark, T.label_kind(c), t="Dragon's Rest") == "creatures"
     assert one(spark, T.node_colour(c), t="npc") == "#f1ccb8"
     assert one(spark, T.alias_forms(c), t="Old_Mill Road") == ["old mill road", "old mill", "mill road"]
-    assert one(spark, T.area_code(c), t="A1: Cave") == "A1"
+    for title, code in (("A1: Cave", "A1"), ("Area C3: Hall", "C3"), ("A1:Name", "A1"), ("b2 Name", "b2"), ("area  d10\tx", "d10"), ("A1", ""), ("AB1: x", ""), ("A1. x", ""), ("A1:", "")):
+        assert one(spark, T.area_code(c), t=title) == code
 
 
 @pytest.mark.parametrize(("label", "want"), [("Orchid", True), ("Zombie Lord", True), ("James", True), ("Wolves", True), ("Dragonborn", True), ("Bats", False), (None, False)])
@@ -81,6 +85,29 @@ def test_weighted_ratio():
     assert S.weighted_ratio("lamp post", "post lamp") >= 90
     assert S.weighted_ratio("", "x") == 0
     assert S.weighted_ratio("tower", "gate") < 60
+    assert abs(S.weighted_ratio("this is a test", "this is a new test!!!") - 85.5) < 10
+    # by the definition: letters in common twice over all letters; tokens; runs of the longer text
+    assert S.weighted_ratio("kitten", "sitting") == pytest.approx(100 * 2 * 4 / 13)
+    assert S.weighted_ratio("old mill", "mill old") == pytest.approx(95)
+    assert S.weighted_ratio("mill", "the old mill by the sea") == pytest.approx(90)
+    assert S.weighted_ratio("mill", "x" * 40 + "mill") == pytest.approx(60)
+
+
+def test_common_subsequence():
+    import random
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abc ") for _ in range(r.randint(0, 40))) for _ in range(2))
+        assert S._common(a, b) == plain(a, b)
 
 
 def test_cosine(spark):

@@ -40,51 +40,91 @@ def contained(hay: DataFrame, needles: DataFrame) -> DataFrame:
     return out
 
 
-def occurrences(texts: DataFrame, terms: list[tuple[int, str]], context: int = 30) -> DataFrame:
+#: Terms that are sent to the tasks at once, in bytes.
+TERM_BYTES = 8 << 20
+
+
+def _blocks(terms: DataFrame | list[tuple]) -> Iterator[list[tuple]]:
+    """(term_id, term) in lists of TERM_BYTES at most, one of them on the driver at a time."""
+    rows = terms if isinstance(terms, list) else terms.select("term_id", "term").toLocalIterator()
+    block, size = [], 0
+    for i, t in rows:
+        if t:
+            if size > TERM_BYTES:
+                yield block
+                block, size = [], 0
+            block.append((i, t.lower()))
+            size += len(t) + 64
+    if block:
+        yield block
+
+
+def automaton(terms: list[tuple]):
+    """Finds all of the terms (id, lower-cased term) in one run over a text."""
+    import ahocorasick
+
+    ids: dict[str, list] = {}
+    for i, t in terms:
+        ids.setdefault(t, []).append(i)
+    auto = ahocorasick.Automaton()
+    for t, i in ids.items():
+        auto.add_word(t, (tuple(i), t))
+    auto.make_automaton()
+    return auto
+
+
+def occurrences(texts: DataFrame, terms: DataFrame | list[tuple[int, str]], context: int = 30) -> DataFrame:
     """Per text (id, text) and term: term_id, n (overlaps aside), first place and context of it; case aside.
 
-    The terms are a stated query set: an automaton of all of them runs over each text once.
+    The terms (term_id, term; a table or a list) are a stated query set in blocks of bounded size: an
+    automaton of a block runs over each text once.
     """
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast([(i, t.lower()) for i, t in terms if t])
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for i, t in sent.value:
-            auto.add_word(t, ((*(auto.get(t)[0] if t in auto else ()), i), t))
-        if sent.value:
-            auto.make_automaton()
-        for pdf in it:
-            rows = []
-            for key, text in zip(pdf["id"], pdf["text"], strict=True):
-                low = (text or "").lower()
-                found: dict[int, list] = {}
-                for end, (ids, t) in auto.iter(low) if sent.value else ():
-                    start = end - len(t) + 1
-                    for i in ids:
-                        f = found.setdefault(i, [0, start, -1, len(t)])
-                        if start > f[2]:
-                            f[0] += 1
-                            f[2] = end
-                rows += [(key, i, n, at, (text or "")[max(0, at - context) : at + size + context]) for i, (n, at, _, size) in sorted(found.items())]
-            yield pd.DataFrame(rows, columns=["id", "term_id", "n", "at", "context"])
-
-    return texts.select("id", "text").mapInPandas(run, "id long, term_id long, n long, at long, context string")
-
-
-def word_ngrams(text: Column, longest: int = 3) -> Column:
-    """Distinct runs of one to `longest` words of a lower-cased text, joined by blanks."""
-    words = F.regexp_extract_all(F.lower(F.replace(text, F.lit("_"), F.lit(" "))), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
-
-    def runs(w: Column) -> Column:
-        each = [_runs(w, n) for n in range(1, longest + 1)]
-        return F.array_distinct(F.flatten(F.array(*each)))
-
-    return F.element_at(F.transform(F.array(words), runs), 1)
-
-
-def _runs(w: Column, n: int) -> Column:
-    size = F.size(w)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, n)))).otherwise(F.array().cast("array<string>"))
+    kinds = "id long, term_id long, n long, at long, context string"
+
+    def found(block: list[tuple]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)  # bounded by TERM_BYTES
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            auto = automaton(sent.value)
+            for pdf in it:
+                rows = []
+                for key, text in zip(pdf["id"], pdf["text"], strict=True):
+                    hits: dict[int, list] = {}
+                    for end, (ids, t) in auto.iter((text or "").lower()):
+                        start = end - len(t) + 1
+                        for i in ids:
+                            f = hits.setdefault(i, [0, start, -1, len(t)])
+                            if start > f[2]:
+                                f[0] += 1
+                                f[2] = end
+                    rows += [(key, i, n, at, (text or "")[max(0, at - context) : at + size + context]) for i, (n, at, _, size) in sorted(hits.items())]
+                yield pd.DataFrame(rows, columns=["id", "term_id", "n", "at", "context"])
+
+        return texts.select("id", "text").mapInPandas(run, kinds)
+
+    out = spark.createDataFrame([], kinds)
+    for block in _blocks(terms):
+        out = out.unionByName(found(block))
+    return out
+
+
+def mentioned(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, term_id of texts (key, text) and terms (term_id, term, both strings) that stand anywhere in them, inside words too; case aside."""
+    spark = texts.sparkSession
+
+    def found(block: list[tuple]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)  # bounded by TERM_BYTES
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            auto = automaton(sent.value)
+            for pdf in it:
+                rows = [(key, i) for key, text in zip(pdf["key"], pdf["text"], strict=True) for i in sorted({i for _, (ids, _) in auto.iter((text or "").lower()) for i in ids})]
+                yield pd.DataFrame(rows, columns=["key", "term_id"])
+
+        return texts.select("key", "text").mapInPandas(run, "key string, term_id string")
+
+    out = spark.createDataFrame([], "key string, term_id string")
+    for block in _blocks(terms):
+        out = out.unionByName(found(block))
+    return out

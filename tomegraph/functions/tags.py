@@ -15,12 +15,12 @@ GROUPS = {
     "navigation": ("area", "adventure", "book", "quickref", "5etoolsImg"),
     "mechanic": ("dc", "dice", "skill", "condition", "sense"),
 }
-#: Tags are resolved from the inside out so many times; deeper ones stay in the text.
-MAX_NESTING = 8
+#: A brace that is still open where a tag begins: only then can a tag lie in another, or a new one come out of stripping.
+NESTED = r"\{[^{}]*\{@"
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\{@\w+\s+([^{}|]*)(?:\|[^{}]*)?\}", "$1")
+    return F.regexp_replace(text, r"(?U)\{@\w+\s+(?=[^{}])([^{}|]*)(?:\|[^{}]*)?\}", "$1")
 
 
 def _links(text: Column, raw: bool = False) -> Column:
@@ -39,14 +39,33 @@ def _links(text: Column, raw: bool = False) -> Column:
     return got
 
 
-def parse_and_clean(text: Column) -> Column:
-    """struct<text, links>: tags resolved from the inside out, links de-duplicated, formatting tags left out."""
-    state = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast(f"array<{LINK}>").alias("links"))
+def _depth(text: Column) -> Column:
+    """How deep braces nest: no text needs more passes."""
+    step = lambda s, x: F.struct((F.when(x == "{", s["open"] + 1).otherwise(F.greatest(s["open"] - 1, F.lit(0)))).alias("open"), F.greatest(s["most"], s["open"] + F.when(x == "{", 1).otherwise(0)).alias("most"))
+    return F.aggregate(F.regexp_extract_all(text, F.lit(r"[{}]"), F.lit(0)), F.struct(F.lit(0).alias("open"), F.lit(0).alias("most")), step, lambda s: s["most"])
+
+
+def clean_text(text: Column) -> Column:
+    """The text with its tags resolved from the inside out, until none is left."""
+    step = lambda s, _: F.when(s.rlike(TAG), _strip(s)).otherwise(s)
+    deep = F.aggregate(F.sequence(F.lit(1), _depth(text)), text, step)
+    return F.when(~F.contains(text, F.lit("{@")), text).when(text.rlike(NESTED), deep).otherwise(_strip(text))
+
+
+def all_links(text: Column) -> Column:
+    """Links of all passes in order, formatting tags left out, each once."""
+    none = F.array().cast(f"array<{LINK}>")
     once = lambda s: F.struct(_strip(s["text"]).alias("text"), F.concat(s["links"], _links(s["text"])).alias("links"))
-    step = lambda s, _: F.when(F.contains(s["text"], F.lit("{@")), once(s)).otherwise(s)
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_NESTING)), state, step, lambda s: F.struct(s["text"].alias("text"), F.array_distinct(F.filter(s["links"], lambda x: ~x["tag"].isin(*FORMATTING))).alias("links")))
-    plain = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast(f"array<{LINK}>").alias("links"))
-    return F.when(F.contains(text, F.lit("{@")), out).otherwise(plain)
+    step = lambda s, _: F.when(s["text"].rlike(TAG), once(s)).otherwise(s)
+    deep = F.aggregate(F.sequence(F.lit(1), _depth(text)), F.struct(text.alias("text"), none.alias("links")), step, lambda s: s["links"])
+    found = F.when(~F.contains(text, F.lit("{@")), none).when(text.rlike(NESTED), deep).otherwise(_links(text))
+    return F.array_distinct(F.filter(found, lambda x: ~x["tag"].isin(*FORMATTING)))
+
+
+def parse_and_clean(text: Column) -> Column:
+    """struct<text, links> of clean_text() and all_links(); a part that isn't asked for isn't worked out."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(clean_text(text).alias("text"), all_links(text).alias("links"))
 
 
 def parse_once(text: Column) -> Column:

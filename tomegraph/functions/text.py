@@ -140,8 +140,8 @@ def section_block(node_id: Column, parent: Column, title: Column, content: Colum
 
 
 def area_code(title: Column) -> Column:
-    """The code of titles such as `A1: Name`; empty where there is none."""
-    return F.regexp_extract(title, r"^([A-Z]\d+)[.:]?\s", 1)
+    """The code of titles such as `A1: Name`, `b2 Name` or `Area C3:Name`; empty where there is none."""
+    return F.regexp_extract(title, r"(?iU)^(?:area\s+)?([a-z][0-9]+)[:\s]\s*[^\n]+$", 1)
 
 
 def node_size(degree: Column) -> Column:

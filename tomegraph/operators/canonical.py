@@ -28,13 +28,15 @@ def alias_map(nodes: DataFrame, legacy: bool = False) -> DataFrame:
     return graph.last_wins(each, ["alias"]).select("alias", "id")
 
 
-def mentions(sections: DataFrame, aliases: DataFrame, longest: int = 3, least: int = 1) -> DataFrame:
-    """section_id, ids (sorted): aliases of up to `longest` words that stand as words in the content.
+def mentions(sections: DataFrame, aliases: DataFrame, least: int = 1) -> DataFrame:
+    """section_id, ids (sorted): aliases of any length that the content holds, inside words too.
 
-    Word runs are keys of an equi-join; sections with fewer than `least` different ids are left out.
+    Case aside, and underscores count as blanks. Sections with fewer than `least` different ids are
+    left out; rows of one section_id count together.
     """
-    runs = sections.select("section_id", F.explode(containment.word_ngrams(F.col("content"), longest)).alias("alias"))
-    hit = runs.join(aliases, "alias").groupBy("section_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    texts = sections.select(F.col("section_id").cast("string").alias("key"), F.replace("content", F.lit("_"), F.lit(" ")).alias("text"))
+    hit = containment.mentioned(texts, aliases.select(F.col("id").cast("string").alias("term_id"), F.col("alias").alias("term")))
+    hit = hit.groupBy(F.col("key").alias("section_id")).agg(F.array_sort(F.collect_set("term_id")).alias("ids"))
     return hit.where(F.size("ids") >= least)
 
 

@@ -32,48 +32,72 @@ def missing(labels: DataFrame, extracted: DataFrame) -> DataFrame:
     return form(labels).join(form(extracted).select("form").distinct(), "form", "left_anti")
 
 
-def scored(labels: list[str], extracted: DataFrame, threshold: float) -> DataFrame:
-    """label, name, score of pairs that reach the threshold. The labels are the stated query set, held against all rows."""
+#: Labels that are held against all rows at once, in bytes.
+LABEL_BYTES = 1 << 20
+
+
+def _label_blocks(labels: DataFrame) -> Iterator[list[str]]:
+    block, size = [], 0
+    for r in labels.select("name").toLocalIterator():
+        if size > LABEL_BYTES:
+            yield block
+            block, size = [], 0
+        block.append(r.name)
+        size += len(r.name) + 64
+    if block:
+        yield block
+
+
+def scored(labels: DataFrame, extracted: DataFrame, threshold: float) -> DataFrame:
+    """label, name, score: for each label (name) and task the best of the names (name) that reach the threshold, the smallest of equals.
+
+    The labels are the stated query set, held against all rows block by block; a task gives one row a label at most.
+    """
     spark = extracted.sparkSession
-    sent = spark.sparkContext.broadcast(labels)
+    kinds = "label string, name string, score double"
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [(q, n, s) for n in pdf["name"] for q in sent.value if (s := weighted_ratio(q, n)) >= threshold]
-            yield pd.DataFrame(rows, columns=["label", "name", "score"])
+    def held(block: list[str]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)  # bounded by LABEL_BYTES
 
-    return extracted.select(normalized_name(F.col("name")).alias("name")).distinct().mapInPandas(run, "label string, name string, score double")
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: dict[str, tuple[float, str]] = {}
+            for pdf in it:
+                for n in pdf["name"]:
+                    for q in sent.value:
+                        s = weighted_ratio(q, n)
+                        if s >= threshold and (q not in best or (-s, n) < best[q]):
+                            best[q] = (-s, n)
+            yield pd.DataFrame([(q, n, -s) for q, (s, n) in best.items()], columns=["label", "name", "score"])
 
+        return extracted.select("name").mapInPandas(run, kinds)
 
-def greedy_matches(labels: list[str], extracted: DataFrame, threshold: float = 80.0) -> list[dict]:
-    """Exact forms first, then each label in order of name takes its best free partner of the threshold or more.
+    out = spark.createDataFrame([], kinds)
+    for block in _label_blocks(labels):
+        out = out.unionByName(held(block))
+    return out.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b")).select("label", "b.name", (-F.col("b.s")).alias("score"))
 
-    Greedy choice is sequential; what comes to one place are the pairs that reach the threshold.
+
+def _forms(df: DataFrame) -> DataFrame:
+    return df.select(normalized_name(F.col("name")).alias("name")).where("name <> ''").distinct()
+
+
+def greedy_matches(labels: DataFrame, extracted: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """label, extracted, score, method, one to one, of names in evaluation form.
+
+    Equal forms first. Then each label left over names the best of all names left over, from the
+    threshold on; of several labels that name the same, the first by name has it and the others none.
     """
-    out, used = [], set()
-    forms = sorted({x.strip().lower() for x in labels if x.strip()})
-    pairs: dict[str, list[tuple[float, str]]] = {}
-    for r in scored(forms, extracted, threshold).toLocalIterator():
-        pairs.setdefault(r.label, []).append((-r.score, r.name))
-    left = []
-    for x in forms:
-        if any(n == x for _, n in pairs.get(x, [])):
-            used.add(x)
-            out.append({"human": x, "extracted": x, "score": 100.0, "method": "exact"})
-        else:
-            left.append(x)
-    for x in left:
-        best = min((p for p in pairs.get(x, []) if p[1] not in used), default=None)
-        if best:
-            used.add(best[1])
-            out.append({"human": x, "extracted": best[1], "score": -best[0], "method": "fuzzy"})
-    return out
-
-
-def best_matches(labels: list[str], extracted: DataFrame) -> DataFrame:
+    a, b = _forms(labels), _forms(extracted)
+    exact = a.join(b, "name")
+    rest = scored(a.join(b, "name", "left_anti"), b.join(a, "name", "left_anti"), threshold)
+    fuzzy = rest.groupBy(F.col("name").alias("extracted")).agg(F.min(F.struct("label", "score")).alias("b"))
+    out = exact.select(F.col("name").alias("label"), F.col("name").alias("extracted"), F.lit(100.0).alias("score"), F.lit("exact").alias("method"))
+    return out.unionByName(fuzzy.select("b.label", "extracted", "b.score", F.lit("fuzzy").alias("method")))
+
+
+def best_matches(labels: DataFrame, extracted: DataFrame) -> DataFrame:
     """label, name, score, bucket of the best partner of each label; several labels may share one."""
-    best = scored(labels, extracted, 0.0).groupBy("label").agg(F.max_by(F.struct("name", "score"), F.struct("score", "name")).alias("b")).select("label", "b.*")
-    return best.withColumn("bucket", bucket(F.col("score")))
+    return scored(_forms(labels), _forms(extracted), 0.0).withColumn("bucket", bucket(F.col("score")))
 
 
 def extras(labels: DataFrame, extracted: DataFrame, n: int = 30) -> DataFrame:

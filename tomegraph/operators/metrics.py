@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: Nodes up to which the diameter is computed; all-pairs distances grow with their square.
-DIAMETER_NODES = 5_000
+#: Nodes whose distances to all others are worked out at a time.
+SOURCES = 8
 
 
 def clean_relations(edges: DataFrame) -> DataFrame:
@@ -56,20 +56,42 @@ def clustering(edges: DataFrame) -> DataFrame:
     return out.withColumn("coefficient", F.when(F.col("degree") < 2, 0.0).otherwise(2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))))
 
 
-def diameter(nodes: DataFrame, edges: DataFrame) -> int | None:
-    """Longest shortest path of a connected undirected graph; None if it isn't connected."""
-    n = nodes.count()
-    if n > DIAMETER_NODES:
-        raise ValueError(f"diameter: {n} nodes, more than {DIAMETER_NODES}")
-    both = edges.select("source", "target").where("source <> target")
-    both = materialise(both.union(both.select("target", "source")).distinct(), "both-ways")
-    seen = materialise(nodes.select(F.col("id").alias("start"), "id"), "seen")
-    frontier, k = seen, 0
+def distances(both: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, id, d of all nodes reached from starts (start) over edges given in both directions."""
+    seen = materialise(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("d")), "seen")
+    frontier, d = seen, 0
     while True:
+        d += 1
         new = frontier.join(both, frontier.id == both.source).select("start", F.col("target").alias("id")).distinct()
-        frontier = materialise(new.join(seen, ["start", "id"], "left_anti"), "frontier")
+        frontier = materialise(new.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("d", F.lit(d)), "frontier")
         if frontier.isEmpty():
-            break
-        k += 1
-        seen = materialise(seen.unionByName(frontier), "seen")
-    return k if seen.count() == n * n else None
+            return seen
+        seen = seen.unionByName(frontier)
+
+
+def diameter(nodes: DataFrame, edges: DataFrame) -> int | None:
+    """Longest shortest path of a connected undirected graph; None if it isn't connected, 0 without nodes.
+
+    Distances from a few nodes bound every node's longest one from both sides; nodes that can't be
+    above the best known are done with, so of most graphs few nodes are ever tried, and a table never
+    holds more than SOURCES rows a node.
+    """
+    n = nodes.select("id").distinct().count()
+    both = edges.select("source", "target").where("source <> target")
+    both = materialise(both.union(both.select("target", "source")).distinct(), "both-ways")
+    open_ = materialise(nodes.select("id").distinct().withColumns({"low": F.lit(0), "high": F.lit(n)}), "bounds")
+    best = 0
+    while not open_.isEmpty():
+        far = open_.orderBy(F.desc("high"), "low", "id").limit(SOURCES // 2)
+        near = open_.orderBy("low", F.desc("high"), "id").limit(SOURCES - SOURCES // 2)
+        starts = materialise(far.union(near).select(F.col("id").alias("start")).distinct(), "starts")
+        d = distances(both, starts)
+        longest = materialise(d.groupBy("start").agg(F.max("d").alias("longest"), F.count("*").alias("n")), "longest")
+        if not longest.where(F.col("n") != n).isEmpty():
+            return None
+        best = max(best, longest.agg(F.max("longest")).first()[0])
+        bound = d.join(F.broadcast(longest), "start").groupBy("id").agg(F.max(F.greatest("d", F.col("longest") - F.col("d"))).alias("l"), F.min(F.col("longest") + F.col("d")).alias("h"))  # SOURCES rows
+        tight = open_.join(bound, "id").select("id", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high"))
+        best = max(best, tight.agg(F.max("low")).first()[0])
+        open_ = materialise(tight.where(F.col("high") > best), "bounds")
+    return best

@@ -138,12 +138,9 @@ def relations(text: Column) -> Column:
     blocks = F.split(body, r"\n\s*\n")
 
     def record(block: Column) -> Column:
-        """The last value of each key, by one pass over the block's lines."""
-        lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.split(x, ":", 2)), lambda p: F.size(p) == 2)
-        pairs = F.transform(lines, lambda p: F.struct(F.lower(F.trim(F.get(p, 0))).alias("k"), F.trim(F.get(p, 1)).alias("v")))
-        blank = F.struct(*(F.lit("").alias(n) for n in ("source", "target", "relation", "desc")))
-        keep = lambda s, p, n, k: F.when(p["k"] == k, p["v"]).otherwise(s[n]).alias(n)
-        return F.aggregate(pairs, blank, lambda s, p: F.struct(keep(s, p, "source", "source"), keep(s, p, "target", "target"), keep(s, p, "relation", "relation"), keep(s, p, "desc", "description")))
+        """The last value of each key: all lines before it are skipped as far as they go."""
+        last = lambda key: F.trim(F.regexp_extract(block, rf"(?i)^(?s:.*\n)? *{key} *:([^\n]*)", 1))
+        return F.struct(last("source").alias("source"), last("target").alias("target"), last("relation").alias("relation"), last("description").alias("desc"))
 
     return F.filter(F.transform(blocks, record), lambda r: (r["source"] != "") & (r["target"] != "") & (r["relation"] != ""))
 

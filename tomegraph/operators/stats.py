@@ -63,9 +63,17 @@ def relation_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "relation")
 
 
+def mention_sections(mentions: DataFrame) -> DataFrame:
+    """entity_type, identifier, display_name, section_id, n: a row for each section that mentions an entity."""
+    return mentions.groupBy("entity_type", "identifier", "display_name", "section_id").agg(F.count("*").alias("n"))
+
+
 def mention_ranking(mentions: DataFrame, n: int | None = None) -> DataFrame:
-    """entity_type, identifier, display_name, n_mentions, sections (sorted), the most mentioned first."""
-    out = mentions.groupBy("entity_type", "identifier", "display_name").agg(F.count("*").alias("n_mentions"), F.array_sort(F.collect_set("section_id")).alias("sections"))
+    """entity_type, identifier, display_name, n_mentions, n_sections, the most mentioned first.
+
+    The sections themselves are mention_sections(): no entity's are gathered in one place.
+    """
+    out = mention_sections(mentions).groupBy("entity_type", "identifier", "display_name").agg(F.sum("n").alias("n_mentions"), F.count("*").alias("n_sections"))
     out = out.orderBy(F.desc("n_mentions"), "identifier")
     return out if n is None else out.limit(n)
 

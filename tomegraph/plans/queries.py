@@ -487,7 +487,7 @@ def external_refs(spark, d):
 
 @query(f"SELECT entity_type, identifier, display_name, count(*) AS n_mentions, count(DISTINCT section_id) AS n_sections FROM ({REFS}) GROUP BY 1, 2, 3")
 def mention_ranking(spark, d):
-    return stats.mention_ranking(_refs(spark, d)).select("entity_type", "identifier", "display_name", "n_mentions", F.size("sections").cast("long").alias("n_sections"))
+    return stats.mention_ranking(_refs(spark, d))
 
 
 @query(f"SELECT DISTINCT 'item' AS kind, p_name AS name, p_brand AS source FROM ({TAGGED}) UNION ALL SELECT DISTINCT 'creature', s_name, NULL FROM ({TAGGED})")
@@ -527,22 +527,11 @@ def generic_and_meaningless(spark, d):
 NAMES = "SELECT DISTINCT p_name AS name FROM part"
 
 
-@query(f"""
-WITH n AS ({NAMES})
-SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name)::BIGINT AS distance FROM n a JOIN n b ON substr(a.name, 1, 5) = substr(b.name, 1, 5) AND a.name < b.name
-WHERE ((contains(a.name, b.name) OR contains(b.name, a.name)) AND least(length(a.name), length(b.name)) >= 0.5 * greatest(length(a.name), length(b.name))) OR levenshtein(a.name, b.name) <= 2 OR levenshtein(a.name, b.name) <= 0.2 * greatest(length(a.name), length(b.name))""")
-def similar_labels(spark, d):
-    n = _t(spark, d, "part").select("p_name").distinct()
-    a, b = n.select(F.col("p_name").alias("a")), n.select(F.col("p_name").alias("b"))
-    pairs = a.join(b, (F.substring("a", 1, 5) == F.substring("b", 1, 5)) & (F.col("a") < F.col("b")))
-    return pairs.where(similarity.similar_labels(F.col("a"), F.col("b"))).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"))
-
-
 @query(f"""
 WITH n AS ({NAMES})
 SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name)::BIGINT AS distance FROM n a JOIN n b ON a.name < b.name
 WHERE ((contains(a.name, b.name) OR contains(b.name, a.name)) AND least(length(a.name), length(b.name)) >= 0.5 * greatest(length(a.name), length(b.name))) OR levenshtein(a.name, b.name) <= 2 OR levenshtein(a.name, b.name) <= 0.2 * greatest(length(a.name), length(b.name))""")
-def similar_labels_all(spark, d):
+def similar_labels(spark, d):
     pairs = canonical.similar_pairs(_t(spark, d, "part").select(F.col("p_name").alias("label")))
     return pairs.select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"))
 
@@ -589,20 +578,22 @@ def substring_join(spark, d):
 
 
 @query("""
-WITH a AS (SELECT alias, max(item_id) AS id FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS alias FROM benchmark) GROUP BY alias),
-w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+')) AS alias FROM documents)
-SELECT doc_id, count(DISTINCT id) AS n_items, min(id) AS first_item FROM w JOIN a USING (alias) GROUP BY doc_id""")
+WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+a AS (SELECT item_id AS id, array_to_string(w[1 : 2 + item_id % 5], ' ') AS alias FROM w UNION ALL SELECT item_id, w[3] || w[4][1 : 2] FROM w UNION ALL SELECT item_id, substr(w[2], 1, 5) FROM w WHERE length(w[2]) > 5)
+SELECT doc_id, count(DISTINCT id) AS n_items, min(id::VARCHAR) AS first_item FROM documents JOIN a ON alias <> '' AND contains(replace(lower(text), '_', ' '), alias) GROUP BY doc_id""")
 def alias_mentions(spark, d):
-    each = _t(spark, d, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("alias"))
-    aliases = each.groupBy("alias").agg(F.max("item_id").alias("id"))
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("section_id"), F.replace("text", F.lit("_"), F.lit("_")).alias("content"))
-    m = canonical.mentions(docs, aliases, longest=1)
-    return m.select(F.col("section_id").alias("doc_id"), F.size("ids").cast("long").alias("n_items"), F.array_min("ids").alias("first_item"))
+    w = _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    runs = w.select("id", F.array_join(F.slice("w", F.lit(1), (2 + F.col("id") % 5).cast("int")), " ").alias("alias"))
+    odd = w.select("id", F.concat(F.get("w", 2), F.substring(F.get("w", 3), 1, 2)).alias("alias"))
+    heads = w.where(F.length(F.get("w", 1)) > 5).select("id", F.substring(F.get("w", 1), 1, 5).alias("alias"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("section_id"), F.col("text").alias("content"))
+    m = canonical.mentions(docs, runs.unionByName(odd).unionByName(heads))
+    return m.select(F.col("section_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_items"), F.array_min("ids").alias("first_item"))
 
 
 @query("SELECT doc_id, item_id, (strpos(lower(d.text), lower(b.text)) - 1)::BIGINT AS at FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def label_containment(spark, d):
-    terms = [(r.item_id, r.text) for r in _t(spark, d, "benchmark").toLocalIterator()]
+    terms = _t(spark, d, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term"))
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return containment.occurrences(docs, terms).select(F.col("id").alias("doc_id"), F.col("term_id").alias("item_id"), "at")
 
