@@ -17,7 +17,7 @@ def oracle(sql: str, sf: str):
 
 
 def plain(v):
-    if v is None or v != v or str(v) == "<NA>":
+    if v is None or str(v) == "<NA>" or v != v:
         return None
     if hasattr(v, "item"):
         v = v.item()

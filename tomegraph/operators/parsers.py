@@ -120,6 +120,16 @@ def report_udf():
     return run
 
 
+def unified(text: Column | str) -> Column:
+    """struct<entities, events> of one reply."""
+
+    @F.pandas_udf(f"struct<entities: array<{ENTITY}>, events: array<{EVENT}>>")
+    def run(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_unified(x or "") for x in text], columns=["entities", "events"])
+
+    return run(text)
+
+
 def entities(text: Column | str) -> Column:
     return entity_udf()(text)
 

@@ -21,6 +21,12 @@ def ego_context(nodes: DataFrame, edges: DataFrame, hits: DataFrame, hops: int =
     return named.select(F.col("seed_ord").alias("seed_rank"), F.col("source").alias("source_id"), F.col("relation").alias("relationship"), F.col("target").alias("target_id"), line.alias("line"))
 
 
+def edge_lines(nodes: DataFrame, edges: DataFrame, query: list[float], k: int = TOP_EDGES) -> DataFrame:
+    """score, ord, line of the k edges closest to a query vector."""
+    named = graph.labelled(search.top_k(edges.where("embedding IS NOT NULL"), query, k), nodes)
+    return named.select("score", "ord", T.edge_line(F.col("source_label"), F.col("relation"), F.col("target_label"), F.col("desc")).alias("line"))
+
+
 def retrieve(nodes: DataFrame, edges: DataFrame, query: list[float], top_k: int = TOP_NODES, top_k_edges: int = TOP_EDGES, hops: int = HOPS) -> str:
     """Context of a query vector: lines around the closest nodes, then those of the closest edges (may repeat)."""
     hits = search.top_k(nodes.where("embedding IS NOT NULL").select("id", "embedding", "ord"), query, top_k)
@@ -31,9 +37,7 @@ def retrieve(nodes: DataFrame, edges: DataFrame, query: list[float], top_k: int
         seeds = spark.createDataFrame(ranked, "id string, seed_ord int")
         lines += [r.line for r in ego_context(nodes, edges, seeds, hops).orderBy("seed_rank", "source_id", "target_id").toLocalIterator()]
     if "embedding" in edges.columns and top_k_edges:
-        close = search.top_k(edges.where("embedding IS NOT NULL"), query, top_k_edges)
-        named = graph.labelled(close, nodes)
-        lines += [r.line for r in named.select("score", "ord", T.edge_line(F.col("source_label"), F.col("relation"), F.col("target_label"), F.col("desc")).alias("line")).orderBy(F.desc("score"), F.desc("ord")).collect()]
+        lines += [r.line for r in edge_lines(nodes, edges, query, top_k_edges).orderBy(F.desc("score"), F.desc("ord")).collect()]  # top_k_edges rows
     return "\n".join(lines) or NOTHING
 
 

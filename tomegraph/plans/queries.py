@@ -731,3 +731,6 @@ def chat_history(spark, d):
     c = _t(spark, d, "conversations").where("role <> 'system'")
     c = c.withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     return c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"), "answer", F.length("text").cast("long").alias("n_query"))
+
+
+from . import queries_documents, queries_graphs  # noqa: E402, F401  they register themselves
