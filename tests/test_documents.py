@@ -159,3 +159,15 @@ def test_semantic_relations(spark, tmp_path):
     asked = (tmp_path / "prompts").read_text()
     assert "[marsh_wolf] Marsh Wolf" in asked.partition("<events>")[2]
     assert "List the events" in asked.partition("<events>")[2]
+
+
+def test_the_summarised_table_comes_first(spark, tmp_path):
+    from tomegraph.sources import documents
+
+    plain, summarised = f"{tmp_path}/tree", f"{tmp_path}/tree_summary"
+    spark.range(3).write.parquet(plain)
+    assert documents.read_first(spark, summarised, plain).count() == 3
+    spark.range(5).write.parquet(summarised)
+    assert documents.read_first(spark, summarised, plain).count() == 5
+    with pytest.raises(FileNotFoundError):
+        documents.read_first(spark, f"{tmp_path}/none")

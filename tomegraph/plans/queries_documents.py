@@ -29,17 +29,14 @@ def _contents(spark, d, entries: Column, profile: str = "shadow") -> DataFrame:
     return flatten.flatten(_forms(spark, d, entries), profile).where("depth = 0").select(F.col("doc_id").cast("long").alias("p_partkey"), "content", F.size("links").alias("n_links"), "ignored")
 
 
-NAME, BRAND, TYPE, SIZE = (F.col(c) for c in ("p_name", "p_brand", "p_type", "p_size"))
-
-
 # --- content forms ------------------------------------------------------------------------------
 
 
 @query("""
 SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '- ' || p_name || chr(10) ELSE '' END || '- **' || p_brand || '**: ' || p_type || chr(10) || '- The ' || p_name || chr(10) || 'End.' AS content, 1 AS n_links, 0 AS ignored FROM part""")
 def content_lists(spark, d):
-    first = F.when(SIZE % 2 == 0, _cat('"', NAME, '"')).otherwise("7")
-    items = _cat('{"type": "list", "items": [', first, ', {"name": "', BRAND, '", "entry": "', TYPE, '"}, {"entry": "The {@item ', NAME, "|", BRAND, '}"}, {"name": "lost", "entries": ["x"]}]}, "End."')
+    first = F.when(F.col("p_size") % 2 == 0, _cat('"', F.col("p_name"), '"')).otherwise("7")
+    items = _cat('{"type": "list", "items": [', first, ', {"name": "', F.col("p_brand"), '", "entry": "', F.col("p_type"), '"}, {"entry": "The {@item ', F.col("p_name"), "|", F.col("p_brand"), '}"}, {"name": "lost", "entries": ["x"]}]}, "End."')
     return _contents(spark, d, items)
 
 
@@ -47,42 +44,42 @@ def content_lists(spark, d):
 SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '**Table: ' || p_type || ' of ' || p_name || '**' || chr(10) ELSE '' END || p_name || ' | ' || p_size || chr(10) || 'True | None | ' || p_brand || chr(10) || '{"w": ' || p_size || '}' || chr(10) || 'alone' AS content,
  CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS n_links, 0 AS ignored FROM part""")
 def content_tables(spark, d):
-    caption = F.when(SIZE % 3 == 0, _cat('"caption": "', TYPE, " of {@item ", NAME, '}", ')).otherwise("")
-    return _contents(spark, d, _cat('{"type": "table", ', caption, '"rows": [["', NAME, '", ', SIZE, '], [true, null, "{@b ', BRAND, '}"], [{"w": ', SIZE, '}], "alone"]}'))
+    caption = F.when(F.col("p_size") % 3 == 0, _cat('"caption": "', F.col("p_type"), " of {@item ", F.col("p_name"), '}", ')).otherwise("")
+    return _contents(spark, d, _cat('{"type": "table", ', caption, '"rows": [["', F.col("p_name"), '", ', F.col("p_size"), '], [true, null, "{@b ', F.col("p_brand"), '}"], [{"w": ', F.col("p_size"), '}], "alone"]}'))
 
 
 @query("""
 SELECT p_partkey, 'Start' || CASE WHEN p_size % 3 = 0 THEN chr(10) || '[Image (map): ' || p_name || ']' WHEN p_size % 3 = 1 THEN chr(10) || '[Image: ' || p_name || ']' ELSE '' END || chr(10) || 'End' AS content, 0 AS n_links, 0 AS ignored FROM part""")
 def content_images(spark, d):
-    more = F.when(SIZE % 3 == 0, _cat(', "title": "', NAME, '", "imageType": "map"')).when(SIZE % 3 == 1, _cat(', "title": "', NAME, '"')).otherwise(', "title": "", "imageType": "map"')
+    more = F.when(F.col("p_size") % 3 == 0, _cat(', "title": "', F.col("p_name"), '", "imageType": "map"')).when(F.col("p_size") % 3 == 1, _cat(', "title": "', F.col("p_name"), '"')).otherwise(', "title": "", "imageType": "map"')
     return _contents(spark, d, _cat('"Start", {"type": "image"', more, '}, "", "End"'))
 
 
 @query("""
 SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '**Gallery:**' || chr(10) || '[Image: ' || p_name || ']' || chr(10) || '[Image (art): ' || p_brand || ']' || chr(10) ELSE '' END || 'End' AS content, 0 AS n_links, 0 AS ignored FROM part""")
 def content_galleries(spark, d):
-    shown = F.when(SIZE % 2 == 0, _cat('{"title": "', NAME, '"}, {"title": ""}, {"title": "', BRAND, '", "imageType": "art"}')).otherwise('{"title": ""}, {}')
+    shown = F.when(F.col("p_size") % 2 == 0, _cat('{"title": "', F.col("p_name"), '"}, {"title": ""}, {"title": "', F.col("p_brand"), '", "imageType": "art"}')).otherwise('{"title": ""}, {}')
     return _contents(spark, d, _cat('{"type": "gallery", "images": [', shown, ']}, "End"'))
 
 
 @query("""
 SELECT p_partkey, '> Said ' || p_name || chr(10) || '> again' AS content, 1 AS n_links, 0 AS ignored FROM part""")
 def content_quotes(spark, d):
-    return _contents(spark, d, _cat('{"type": "quote", "entries": ["Said {@creature ', NAME, '}", {"type": "entries", "entries": ["lost"]}, 5, "again"]}'))
+    return _contents(spark, d, _cat('{"type": "quote", "entries": ["Said {@creature ', F.col("p_name"), '}", {"type": "entries", "entries": ["lost"]}, 5, "again"]}'))
 
 
 @query("""
 SELECT p_partkey, 'a' || chr(10) || 'b' AS content, 0 AS n_links, 1 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS ignored FROM part""")
 def content_unknown_types(spark, d):
-    more = F.when(SIZE % 2 == 0, _cat(', {"type": "', TYPE, '", "text": "lost"}')).otherwise("")
-    return _contents(spark, d, _cat('"a", {"type": "mystery", "entries": ["dropped ', NAME, '"]}', more, ', "b"'))
+    more = F.when(F.col("p_size") % 2 == 0, _cat(', {"type": "', F.col("p_type"), '", "text": "lost"}')).otherwise("")
+    return _contents(spark, d, _cat('"a", {"type": "mystery", "entries": ["dropped ', F.col("p_name"), '"]}', more, ', "b"'))
 
 
 @query("""
 SELECT p_partkey, 'a' || chr(10) || 'kept ' || p_name || chr(10) || 'inner ' || p_brand || chr(10) || '- {@x ' || p_type || '}' || chr(10) || '**Gallery:**' || chr(10) || 'b' AS content, 1 AS n_links, 0 AS ignored FROM part""")
 def content_indexed(spark, d):
     """Containers without an id belong to the section around them; table cells stay as they are."""
-    return _contents(spark, d, _cat('"a", {"type": "mystery", "entries": ["kept {@item ', NAME, '}", {"type": "entries", "name": "no id", "entries": ["inner ', BRAND, '"]}]}, {"type": "table", "rows": [["- {@x ', TYPE, '}"]]}, {"type": "gallery", "images": []}, "b"'), "indexed")
+    return _contents(spark, d, _cat('"a", {"type": "mystery", "entries": ["kept {@item ', F.col("p_name"), '}", {"type": "entries", "name": "no id", "entries": ["inner ', F.col("p_brand"), '"]}]}, {"type": "table", "rows": [["- {@x ', F.col("p_type"), '}"]]}, {"type": "gallery", "images": []}, "b"'), "indexed")
 
 
 @query("""
@@ -90,14 +87,14 @@ SELECT p_partkey::VARCHAR AS doc_id, 's' AS node_id, 0 AS depth, p_name AS title
 UNION ALL SELECT p_partkey::VARCHAR, '', 1, p_brand, 'inset', p_size, 'in' FROM part
 UNION ALL SELECT p_partkey::VARCHAR, 'deep', 2, 'Untitled Section', 'insetReadaloud', -1, p_type FROM part WHERE p_size % 2 = 0""")
 def nested_sections(spark, d):
-    deep = F.when(SIZE % 2 == 0, _cat(', {"type": "insetReadaloud", "id": "deep", "page": "x", "entries": ["', TYPE, '"]}')).otherwise("")
-    entries = _cat('"a", {"type": "inset", "name": "', BRAND, '", "page": ', SIZE, ', "entries": ["in"', deep, ']}, "c"')
+    deep = F.when(F.col("p_size") % 2 == 0, _cat(', {"type": "insetReadaloud", "id": "deep", "page": "x", "entries": ["', F.col("p_type"), '"]}')).otherwise("")
+    entries = _cat('"a", {"type": "inset", "name": "', F.col("p_brand"), '", "page": ', F.col("p_size"), ', "entries": ["in"', deep, ']}, "c"')
     return flatten.flatten(_forms(spark, d, entries)).select("doc_id", "node_id", "depth", "title", "type", F.coalesce("page", S(-1)).alias("page"), "content")
 
 
 @query("SELECT unnest(['section', 'list', 'mystery', 'image']) AS type UNION SELECT p_type FROM part WHERE p_size % 2 = 0")
 def entry_types(spark, d):
-    more = F.when(SIZE % 2 == 0, _cat(', {"a": {"type": "', TYPE, '"}}')).otherwise(', {"type": 4}')
+    more = F.when(F.col("p_size") % 2 == 0, _cat(', {"a": {"type": "', F.col("p_type"), '"}}')).otherwise(', {"type": 4}')
     docs = _forms(spark, d, _cat('{"type": "list", "items": [{"type": "mystery"}, "type"]}, {"x": [[{"type": "image"}]]}', more))
     return flatten.entry_types(docs.unionByName(spark.createDataFrame([("bad", "{"), ("none", None)], "doc_id string, body string")))
 
@@ -117,9 +114,9 @@ def parsed_totals(spark, d):
 SELECT p_partkey, repeat('<', p_size % 3) || p_name || ' of ' || p_brand || ' {' || p_type || '}' AS clean, 'creature:' || p_name || ':' || p_brand || CASE WHEN p_size % 14 > 0 THEN ';item:' || p_name || ' of ' || p_brand || ':' ELSE '' END AS links FROM part""")
 def tags_nested(spark, d):
     """Tags in tags, up to fourteen deep, with plain braces beside them."""
-    inner = _cat("{@creature ", NAME, "|", BRAND, "} of {@b ", BRAND, "}")
-    deep = F.concat(F.repeat(S("{@item "), SIZE % 14), inner, F.repeat(S("}"), SIZE % 14))
-    got = _t(spark, d, "part").select("p_partkey", tags.parse_and_clean(F.concat(F.repeat(S("<"), SIZE % 3), deep, S(" {"), TYPE, S("}"))).alias("r"))
+    inner = _cat("{@creature ", F.col("p_name"), "|", F.col("p_brand"), "} of {@b ", F.col("p_brand"), "}")
+    deep = F.concat(F.repeat(S("{@item "), F.col("p_size") % 14), inner, F.repeat(S("}"), F.col("p_size") % 14))
+    got = _t(spark, d, "part").select("p_partkey", tags.parse_and_clean(F.concat(F.repeat(S("<"), F.col("p_size") % 3), deep, S(" {"), F.col("p_type"), S("}"))).alias("r"))
     listed = F.transform("r.links", lambda x: F.concat_ws(":", x["tag"], x["text"], F.array_join(x["attrs"], "|")))
     return got.select("p_partkey", "r.text", F.array_join(listed, ";").alias("links")).withColumnRenamed("text", "clean")
 
@@ -127,14 +124,14 @@ def tags_nested(spark, d):
 @query("""
 SELECT p_partkey, '{@note ' || p_name || ' and ' || p_brand || '}' AS clean, 'b|{@b ' || p_name || '};item|{@item ' || p_brand || '|X}' AS links FROM part""")
 def tags_single_pass(spark, d):
-    got = _t(spark, d, "part").select("p_partkey", tags.parse_once(_cat("{@note {@b ", NAME, "} and {@item ", BRAND, "|X}}")).alias("r"))
+    got = _t(spark, d, "part").select("p_partkey", tags.parse_once(_cat("{@note {@b ", F.col("p_name"), "} and {@item ", F.col("p_brand"), "|X}}")).alias("r"))
     listed = F.array_join(F.transform("r.links", lambda x: F.concat_ws("|", x["tag"], x["raw"])), ";")
     return got.select("p_partkey", F.col("r.text").alias("clean"), listed.alias("links"))
 
 
 @query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'A' || p_size WHEN 1 THEN 'c' || p_size WHEN 2 THEN 'D' || p_size ELSE '' END AS code FROM part")
 def area_codes(spark, d):
-    title = F.when(SIZE % 5 == 0, _cat("A", SIZE, ": ", NAME)).when(SIZE % 5 == 1, _cat("area  c", SIZE, ":", NAME)).when(SIZE % 5 == 2, _cat("D", SIZE, " ", NAME)).when(SIZE % 5 == 3, _cat("AB", SIZE, ": ", NAME)).otherwise(_cat("A", SIZE, ". ", NAME))
+    title = F.when(F.col("p_size") % 5 == 0, _cat("A", F.col("p_size"), ": ", F.col("p_name"))).when(F.col("p_size") % 5 == 1, _cat("area  c", F.col("p_size"), ":", F.col("p_name"))).when(F.col("p_size") % 5 == 2, _cat("D", F.col("p_size"), " ", F.col("p_name"))).when(F.col("p_size") % 5 == 3, _cat("AB", F.col("p_size"), ": ", F.col("p_name"))).otherwise(_cat("A", F.col("p_size"), ". ", F.col("p_name")))
     return _t(spark, d, "part").select("p_partkey", T.area_code(title).alias("code"))
 
 
@@ -232,16 +229,16 @@ SELECT p_partkey, replace(lower(p_name), ' ', '_') AS suggested, replace(replace
  CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE 'Old_' END || CASE WHEN p_size % 3 = 2 THEN 'Mill' ELSE '' END AS label FROM part""")
 def default_names(spark, d):
     p = _t(spark, d, "part")
-    label = F.when(SIZE % 3 == 0, _cat(" ", NAME, " ")).otherwise(" ")
-    aliases = F.when(SIZE % 3 == 1, F.array(_cat("'", BRAND, "'"))).otherwise(F.array().cast("array<string>"))
+    label = F.when(F.col("p_size") % 3 == 0, _cat(" ", F.col("p_name"), " ")).otherwise(" ")
+    aliases = F.when(F.col("p_size") % 3 == 1, F.array(_cat("'", F.col("p_brand"), "'"))).otherwise(F.array().cast("array<string>"))
     named = T.default_label(label, aliases, S("old_mill"))
-    return p.select("p_partkey", T.suggested_id(NAME).alias("suggested"), T.default_id(_cat(NAME, "'s ", TYPE)).alias("default_id"), F.when(SIZE % 3 == 2, F.replace(named, S(" "), S("_"))).otherwise(named).alias("label"))
+    return p.select("p_partkey", T.suggested_id(F.col("p_name")).alias("suggested"), T.default_id(_cat(F.col("p_name"), "'s ", F.col("p_type"))).alias("default_id"), F.when(F.col("p_size") % 3 == 2, F.replace(named, S(" "), S("_"))).otherwise(named).alias("label"))
 
 
 @query("SELECT DISTINCT p_name, unnest([lower(p_name) || ' of ' || lower(p_type), lower(p_name), lower(split_part(p_name, ' ', 2)) || ' of', 'of ' || lower(p_type)]) AS alias FROM part WHERE p_name LIKE '% %'")
 def alias_forms(spark, d):
     p = _t(spark, d, "part").where("p_name LIKE '% %'")
-    return p.select("p_name", F.explode(T.alias_forms(F.concat_ws("_of ", NAME, TYPE))).alias("alias")).distinct()
+    return p.select("p_name", F.explode(T.alias_forms(F.concat_ws("_of ", F.col("p_name"), F.col("p_type")))).alias("alias")).distinct()
 
 
 @query("""
@@ -250,7 +247,7 @@ SELECT alias, arg_max(id, ord) AS id FROM k GROUP BY alias""")
 def alias_map(spark, d):
     from ..operators import canonical
 
-    p = _t(spark, d, "part").select(_id("p", "p_partkey").alias("id"), NAME.alias("label"), F.array(F.concat_ws("_", BRAND, TYPE), S(" ")).alias("aliases"), F.col("p_partkey").alias("ord"))
+    p = _t(spark, d, "part").select(_id("p", "p_partkey").alias("id"), F.col("p_name").alias("label"), F.array(F.concat_ws("_", F.col("p_brand"), F.col("p_type")), S(" ")).alias("aliases"), F.col("p_partkey").alias("ord"))
     return canonical.alias_map(p)
 
 
@@ -273,15 +270,15 @@ def thinking_stripped(spark, d):
 
 @query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '{"a": "' || p_name || '"}' WHEN 1 THEN '{"b": {"c": ' || p_size || '}}' END AS body FROM part""")
 def json_salvaged(spark, d):
-    text = F.when(SIZE % 3 == 0, _cat("Here: ```json\n{broken\n``` and ```\n", '{"a": "', NAME, '"}', "\n``` done {x}")).when(SIZE % 3 == 1, _cat('So {"b": {"c": ', SIZE, "}} it is")).otherwise(_cat("No {json of ", NAME, "} here"))
+    text = F.when(F.col("p_size") % 3 == 0, _cat("Here: ```json\n{broken\n``` and ```\n", '{"a": "', F.col("p_name"), '"}', "\n``` done {x}")).when(F.col("p_size") % 3 == 1, _cat('So {"b": {"c": ', F.col("p_size"), "}} it is")).otherwise(_cat("No {json of ", F.col("p_name"), "} here"))
     return _t(spark, d, "part").select("p_partkey", F.regexp_replace(T.salvage_json(text), r"\s+$", "").alias("body"))
 
 
 @query("""
 SELECT p_partkey, '- ' || p_name || ' (ID: p' || p_partkey || ', Type: ' || p_type || ')' AS node, '- ' || p_name || ' --[made_by]--> ' || p_brand || CASE WHEN p_size % 2 = 0 THEN ' (' || p_type || ')' ELSE '' END AS edge FROM part""")
 def prompt_lines(spark, d):
-    desc = F.when(SIZE % 2 == 0, TYPE).otherwise(" ")
-    return _t(spark, d, "part").select("p_partkey", T.node_line(NAME, _id("p", "p_partkey"), TYPE).alias("node"), T.edge_line(NAME, S("made_by"), BRAND, desc).alias("edge"))
+    desc = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(" ")
+    return _t(spark, d, "part").select("p_partkey", T.node_line(F.col("p_name"), _id("p", "p_partkey"), F.col("p_type")).alias("node"), T.edge_line(F.col("p_name"), S("made_by"), F.col("p_brand"), desc).alias("edge"))
 
 
 @query("""
@@ -289,14 +286,14 @@ SELECT p_partkey, replace(replace(replace(replace(replace(p_name || ' <&>"''', '
  CASE WHEN length(p_name || p_name) > greatest(4, floor((25 + least(p_size * 3, 60)) / 3.5)) THEN substr(p_name || p_name, 1, greatest(4, floor((25 + least(p_size * 3, 60)) / 3.5))::INT) || '..' ELSE p_name || p_name END AS shown,
  greatest(1.0, least(p_size / 3.0, 10.0))::DOUBLE AS width FROM part""")
 def display_formats(spark, d):
-    size = T.node_size(SIZE)
-    return _t(spark, d, "part").select("p_partkey", T.html_escape(_cat(NAME, " <&>\"'")).alias("escaped"), size.alias("size"), T.display_label(F.concat(NAME, NAME), size).alias("shown"), T.edge_width(SIZE / 3).alias("width"))
+    size = T.node_size(F.col("p_size"))
+    return _t(spark, d, "part").select("p_partkey", T.html_escape(_cat(F.col("p_name"), " <&>\"'")).alias("escaped"), size.alias("size"), T.display_label(F.concat(F.col("p_name"), F.col("p_name")), size).alias("shown"), T.edge_width(F.col("p_size") / 3).alias("width"))
 
 
 @query("""
 SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'creatures' WHEN 1 THEN 'locations' WHEN 2 THEN 'items' WHEN 3 THEN 'creatures' ELSE 'unknown' END AS kind, CASE p_size % 6 WHEN 0 THEN '#d9b8f1' WHEN 1 THEN '#f1b8f1' WHEN 2 THEN '#b8f1ed' WHEN 3 THEN '#b8f1cc' ELSE '#34CAF7' END AS colour FROM part""")
 def label_kinds(spark, d):
-    pick = lambda *names: F.when(SIZE % 6 == 0, names[0]).when(SIZE % 6 == 1, names[1]).when(SIZE % 6 == 2, names[2]).when(SIZE % 6 == 3, names[3]).otherwise(names[4])
+    pick = lambda *names: F.when(F.col("p_size") % 6 == 0, names[0]).when(F.col("p_size") % 6 == 1, names[1]).when(F.col("p_size") % 6 == 2, names[2]).when(F.col("p_size") % 6 == 3, names[3]).otherwise(names[4])
     label = F.concat_ws(" ", "p_partkey", pick("Young DRAGON", "East Tower", "crystal ball", "kobold cave", "qqq"))
     return _t(spark, d, "part").select("p_partkey", T.label_kind(label).alias("kind"), T.node_colour(pick("monster", "sub_location", "MAGIC ITEM", "event", "zzz")).alias("colour"))
 
@@ -305,9 +302,9 @@ def label_kinds(spark, d):
 SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'empty id' WHEN 1 THEN 'id is not snake case' WHEN 2 THEN 'unknown entity type' WHEN 3 THEN 'unknown event type' WHEN 6 THEN 'unknown entity type' END AS reason FROM part""")
 def invalid_nodes(spark, d):
     own = _cat("p_", F.col("p_partkey"))
-    node = F.when(SIZE % 7 == 0, " ").when(SIZE % 7 == 1, _cat("P-", F.col("p_partkey"))).otherwise(own)
-    kind = F.when(F.col("p_size") % 7 == 3, "event").when(SIZE % 7 == 5, "event").otherwise("entity")
-    of = F.when(SIZE % 7 == 2, "Spell").when(SIZE % 7 == 3, "Location").when(SIZE % 7 == 5, "quest").when(SIZE % 7 == 6, S(None).cast("string")).otherwise("Item")
+    node = F.when(F.col("p_size") % 7 == 0, " ").when(F.col("p_size") % 7 == 1, _cat("P-", F.col("p_partkey"))).otherwise(own)
+    kind = F.when(F.col("p_size") % 7 == 3, "event").when(F.col("p_size") % 7 == 5, "event").otherwise("entity")
+    of = F.when(F.col("p_size") % 7 == 2, "Spell").when(F.col("p_size") % 7 == 3, "Location").when(F.col("p_size") % 7 == 5, "quest").when(F.col("p_size") % 7 == 6, S(None).cast("string")).otherwise("Item")
     return _t(spark, d, "part").select("p_partkey", T.invalid_reason(node, kind, of).alias("reason"))
 
 
@@ -344,8 +341,8 @@ WITH e AS (SELECT p_partkey, 0 AS i, 'p_' || p_partkey AS id, p_name AS label, p
  UNION ALL SELECT p_partkey, 2, 'old_mill', 'Old Mill', 'Entity', '', false, NULL FROM part WHERE p_size % 5 <> 0)
 SELECT p_partkey, i, replace(id, '''', '') AS id, label, type, aliases, is_generic, place FROM e""")
 def parse_entities(spark, d):
-    text = _cat("Sure!\n<entities>\nEntity: ", NAME, "\nType: ", TYPE, "\nID: p_", F.col("p_partkey"), "\nAliases: [", BRAND, ", x ,]\nIsGeneric: ", F.when(SIZE % 2 == 0, "Yes").otherwise("no"), "\nEntity: ", BRAND, "'s hall\nLocationType: building\n\nEntity:\nID: old_mill\nEntity:\nAliases: gone\n</entities>\nEntity: outside")
-    text = F.when(SIZE % 5 == 0, _cat("<summary>nothing</summary>", text)).otherwise(text)
+    text = _cat("Sure!\n<entities>\nEntity: ", F.col("p_name"), "\nType: ", F.col("p_type"), "\nID: p_", F.col("p_partkey"), "\nAliases: [", F.col("p_brand"), ", x ,]\nIsGeneric: ", F.when(F.col("p_size") % 2 == 0, "Yes").otherwise("no"), "\nEntity: ", F.col("p_brand"), "'s hall\nLocationType: building\n\nEntity:\nID: old_mill\nEntity:\nAliases: gone\n</entities>\nEntity: outside")
+    text = F.when(F.col("p_size") % 5 == 0, _cat("<summary>nothing</summary>", text)).otherwise(text)
     got = _t(spark, d, "part").select("p_partkey", F.posexplode(parsers.entities(text)).alias("i", "e"))
     return got.select("p_partkey", "i", "e.id", "e.label", "e.type", F.array_join("e.aliases", ";").alias("aliases"), "e.is_generic", F.col("e.location_type").alias("place"))
 
@@ -363,15 +360,15 @@ def parse_events(spark, d):
 
 @query("SELECT p_partkey, p_size % 3 = 0 AS is_complete, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name || ';' || p_brand END AS missing, p_type AS issues FROM part")
 def parse_reports(spark, d):
-    found = F.when(SIZE % 3 == 0, "").otherwise(_cat("- ", NAME, "\n  -- ", BRAND, "\n"))
-    text = _cat("Is Complete: ", F.when(SIZE % 3 == 0, "YES").otherwise("No"), "\n- stray\nMissing Locations:\n", found, "\nIssues found:\nnone\n- ", TYPE, "\n")
+    found = F.when(F.col("p_size") % 3 == 0, "").otherwise(_cat("- ", F.col("p_name"), "\n  -- ", F.col("p_brand"), "\n"))
+    text = _cat("Is Complete: ", F.when(F.col("p_size") % 3 == 0, "YES").otherwise("No"), "\n- stray\nMissing Locations:\n", found, "\nIssues found:\nnone\n- ", F.col("p_type"), "\n")
     got = _t(spark, d, "part").select("p_partkey", parsers.report(text).alias("r"))
     return got.select("p_partkey", "r.is_complete", F.array_join("r.missing_locations", ";").alias("missing"), F.array_join("r.issues", ";").alias("issues"))
 
 
 @query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_name || ',' || p_brand WHEN 1 THEN p_name WHEN 2 THEN p_brand || ',' || p_brand ELSE '' END AS ids FROM part")
 def parse_location_answers(spark, d):
-    text = F.when(SIZE % 5 == 0, _cat('{"location_ids": ["', NAME, '", "', BRAND, '"], "location_id": "x"}')).when(SIZE % 5 == 1, _cat('{"location_id": "', NAME, '"}')).when(SIZE % 5 == 2, _cat('{"location_id": ["', BRAND, '", "', BRAND, '"]}')).when(SIZE % 5 == 3, '{"location_ids": null}').otherwise("not json")
+    text = F.when(F.col("p_size") % 5 == 0, _cat('{"location_ids": ["', F.col("p_name"), '", "', F.col("p_brand"), '"], "location_id": "x"}')).when(F.col("p_size") % 5 == 1, _cat('{"location_id": "', F.col("p_name"), '"}')).when(F.col("p_size") % 5 == 2, _cat('{"location_id": ["', F.col("p_brand"), '", "', F.col("p_brand"), '"]}')).when(F.col("p_size") % 5 == 3, '{"location_ids": null}').otherwise("not json")
     return _t(spark, d, "part").select("p_partkey", F.array_join(parsers.location_ids(text), ",").alias("ids"))
 
 
@@ -379,7 +376,7 @@ def parse_location_answers(spark, d):
 SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name || '|' || p_brand WHEN 1 THEN p_name WHEN 2 THEN '' ELSE p_brand END AS found FROM part""")
 def parse_unified(spark, d):
     """Entities and events of one reply: both, entities alone, a summary, an open block of events."""
-    some = _cat("<entities>\nEntity: ", NAME, "\n</entities>\n")
-    text = F.when(SIZE % 4 == 0, _cat(some, "<events>\nEvent: ", BRAND, "\n</events>")).when(SIZE % 4 == 1, some).when(SIZE % 4 == 2, _cat("<summary>x</summary>", some)).otherwise(_cat("<events>\nEvent: ", BRAND))
+    some = _cat("<entities>\nEntity: ", F.col("p_name"), "\n</entities>\n")
+    text = F.when(F.col("p_size") % 4 == 0, _cat(some, "<events>\nEvent: ", F.col("p_brand"), "\n</events>")).when(F.col("p_size") % 4 == 1, some).when(F.col("p_size") % 4 == 2, _cat("<summary>x</summary>", some)).otherwise(_cat("<events>\nEvent: ", F.col("p_brand")))
     got = _t(spark, d, "part").select("p_partkey", parsers.unified(text).alias("r"))
     return got.select("p_partkey", F.concat_ws("|", F.transform("r.entities", lambda x: x["label"]), F.transform("r.events", lambda x: x["label"])).alias("found"))

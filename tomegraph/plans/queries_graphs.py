@@ -12,16 +12,14 @@ from .queries import NATION_NODES, PLACES, SUPPLY, _brand_nodes, _events, _id, _
 from .queries_documents import _cat
 
 S = F.lit
-KEY, NAME, BRAND, TYPE, SIZE = (F.col(c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
-
 
 # --- catalogs -----------------------------------------------------------------------------------
 
 
 def _catalog_docs(spark, d) -> DataFrame:
     """A file a brand: records under two keys, a source that is a number, records without a name, and a file that isn't JSON."""
-    record = _cat('{"name": "', NAME, '", "source": ', F.when(SIZE % 5 == 0, SIZE.cast("string")).otherwise(_cat('"', TYPE, '"')), ', "key": ', KEY, "}")
-    p = _t(spark, d, "part").select(BRAND.alias("doc_id"), KEY, (SIZE % 2 == 0).alias("even"), record.alias("r"))
+    record = _cat('{"name": "', F.col("p_name"), '", "source": ', F.when(F.col("p_size") % 5 == 0, F.col("p_size").cast("string")).otherwise(_cat('"', F.col("p_type"), '"')), ', "key": ', F.col("p_partkey"), "}")
+    p = _t(spark, d, "part").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey"), (F.col("p_size") % 2 == 0).alias("even"), record.alias("r"))
     of = lambda even: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("even") == S(even), F.struct("p_partkey", "r")))), lambda x: x["r"]), ", ")
     docs = p.groupBy("doc_id").agg(_cat('{"other": [{"name": "no"}], "baseitem": [', of(True), ', {"source": "nameless"}], "item": [', of(False), "]}").alias("body"))
     return docs.unionByName(spark.createDataFrame([("Brand#0", "{broken"), ("Brand#00", None)], "doc_id string, body string"))
@@ -48,7 +46,7 @@ def catalog_index(spark, d):
 
 
 def _catalog(spark, d) -> DataFrame:
-    return _t(spark, d, "part").select(KEY.alias("ord"), NAME.alias("name"), BRAND.alias("source"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_brand").alias("source"))
 
 
 _FIRST = "WITH c AS (SELECT lower(p_name) AS t, min(p_partkey) AS ord FROM part GROUP BY 1), r AS (SELECT s_suppkey AS ref_id, p_name, p_brand, s_suppkey % 4 AS how FROM supplier JOIN part ON p_partkey = s_suppkey)"
@@ -70,7 +68,7 @@ SELECT ref_id, coalesce(min(CASE WHEN q = t THEN ord END), min(ord), -1) AS matc
 FROM n LEFT JOIN c ON contains(t, q) OR contains(q, t) GROUP BY ref_id, how""")
 def catalog_creature_lookup(spark, d):
     """Without case, a part of the name, more than the name, nothing."""
-    refs = _refs(spark, d, [F.upper(NAME), F.expr("substring(p_name, 2)"), _cat("the ", NAME, "s"), S("qqq")])
+    refs = _refs(spark, d, [F.upper(F.col("p_name")), F.expr("substring(p_name, 2)"), _cat("the ", F.col("p_name"), "s"), S("qqq")])
     return resolve.match(refs, _catalog(spark, d), "creature").select("ref_id", F.coalesce("matched_ord", S(-1)).alias("matched_ord"), F.coalesce("tier", S(0)).alias("tier"))
 
 
@@ -79,14 +77,14 @@ def catalog_creature_lookup(spark, d):
 SELECT ref_id, coalesce(min(CASE WHEN q = t THEN ord END), min(ord), -1) AS matched_ord, CASE WHEN count(t) = 0 THEN 0 WHEN bool_or(q = t) THEN CASE WHEN how = 0 THEN 3 ELSE 2 END ELSE 4 END AS tier
 FROM n LEFT JOIN c ON contains(t, q) GROUP BY ref_id, how""")
 def catalog_item_lookup(spark, d):
-    refs = _refs(spark, d, [F.upper(NAME), F.expr("substring(p_name, 2)"), _cat("the ", NAME, "s"), S("qqq")])
+    refs = _refs(spark, d, [F.upper(F.col("p_name")), F.expr("substring(p_name, 2)"), _cat("the ", F.col("p_name"), "s"), S("qqq")])
     return resolve.match(refs, _catalog(spark, d), "item").select("ref_id", F.coalesce("matched_ord", S(-1)).alias("matched_ord"), F.coalesce("tier", S(0)).alias("tier"))
 
 
 @query(f"""
 {_FIRST} SELECT ref_id, CASE WHEN how = 0 THEN ord ELSE coalesce((SELECT min(ord) FROM c x WHERE how = 1 AND x.t = substr(lower(p_name), 2)), -1) END AS matched_ord FROM r JOIN c ON t = lower(p_name)""")
 def catalog_spell_lookup(spark, d):
-    refs = _refs(spark, d, [F.upper(NAME), F.expr("substring(p_name, 2)"), _cat("the ", NAME, "s"), S("qqq")])
+    refs = _refs(spark, d, [F.upper(F.col("p_name")), F.expr("substring(p_name, 2)"), _cat("the ", F.col("p_name"), "s"), S("qqq")])
     return resolve.match(refs, _catalog(spark, d), "spell").select("ref_id", F.coalesce("matched_ord", S(-1)).alias("matched_ord"))
 
 
@@ -96,8 +94,8 @@ r AS (SELECT s_suppkey AS ref_id, p_name AS name, CASE WHEN s_suppkey % 2 = 0 TH
 SELECT ref_id, coalesce(source, f.s) AS source, l.ord AS hit FROM r JOIN f ON f.n = lower(name) JOIN l ON l.n = lower(name) AND l.s = lower(coalesce(source, f.s))""")
 def default_sources(spark, d):
     """Tags without a source take the first one seen, and the last record of that name and source."""
-    j = _t(spark, d, "supplier").join(_t(spark, d, "part"), KEY == F.col("s_suppkey"))
-    refs = j.select(F.col("s_suppkey").alias("ref_id"), F.upper(NAME).alias("name"), F.when(F.col("s_suppkey") % 2 == 0, BRAND).alias("source"))
+    j = _t(spark, d, "supplier").join(_t(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey"))
+    refs = j.select(F.col("s_suppkey").alias("ref_id"), F.upper(F.col("p_name")).alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.col("p_brand")).alias("source"))
     return resolve.with_default_source(refs, _catalog(spark, d)).select("ref_id", "source", F.col("record.ord").alias("hit"))
 
 
@@ -106,12 +104,12 @@ SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE lag(p_type, (p_pa
  CASE p_partkey % 3 WHEN 0 THEN 'the wolf runs' ELSE 'Rex runs' END AS text FROM part""")
 def record_inheritance(spark, d):
     """Every third record stands alone; the next copies it with patches, and the one after copies that."""
-    prior = _cat("n", KEY - 1)
-    alone = _cat('{"kind": "', TYPE, '", "size": ', SIZE, ', "hasToken": true, "action": [{"name": "A"}, {"name": "B"}, {"name": "C"}], "text": "the wolf runs"}')
-    patched = _cat('{"size": ', SIZE, ', "_copy": {"name": "', prior, '", "source": "X", "_mod": {"*": {"mode": "replaceTxt", "replace": "THE WOLF", "with": "Rex", "flags": "i"}, "action": [{"mode": "removeArr", "names": "A"}, {"mode": "replaceArr", "replace": "B", "items": {"name": "B2"}}, {"mode": "appendArr", "items": {"name": "D"}}]}}}')
-    last = _cat('{"size": ', SIZE, ', "_copy": {"name": "', F.upper(prior), '", "_mod": {"action": {"mode": "appendArr", "items": [{"name": "E"}]}, "none": {"mode": "appendArr", "items": 1}}}}')
-    body = F.when(KEY % 3 == 0, alone).when(KEY % 3 == 1, patched).otherwise(last)
-    catalog = _t(spark, d, "part").select(KEY.alias("ord"), _cat("n", KEY).alias("name"), S("X").alias("source"), body.alias("body"))
+    prior = _cat("n", F.col("p_partkey") - 1)
+    alone = _cat('{"kind": "', F.col("p_type"), '", "size": ', F.col("p_size"), ', "hasToken": true, "action": [{"name": "A"}, {"name": "B"}, {"name": "C"}], "text": "the wolf runs"}')
+    patched = _cat('{"size": ', F.col("p_size"), ', "_copy": {"name": "', prior, '", "source": "X", "_mod": {"*": {"mode": "replaceTxt", "replace": "THE WOLF", "with": "Rex", "flags": "i"}, "action": [{"mode": "removeArr", "names": "A"}, {"mode": "replaceArr", "replace": "B", "items": {"name": "B2"}}, {"mode": "appendArr", "items": {"name": "D"}}]}}}')
+    last = _cat('{"size": ', F.col("p_size"), ', "_copy": {"name": "', F.upper(prior), '", "_mod": {"action": {"mode": "appendArr", "items": [{"name": "E"}]}, "none": {"mode": "appendArr", "items": 1}}}}')
+    body = F.when(F.col("p_partkey") % 3 == 0, alone).when(F.col("p_partkey") % 3 == 1, patched).otherwise(last)
+    catalog = _t(spark, d, "part").select(F.col("p_partkey").alias("ord"), _cat("n", F.col("p_partkey")).alias("name"), S("X").alias("source"), body.alias("body"))
     b = F.from_json("body", "kind string, size int, text string, action array<struct<name: string>>, hasToken boolean, _copy string")
     got = resolve.inherited(catalog, "creature").select(F.col("ord").alias("p_partkey"), b.alias("b")).where("b.hasToken IS NULL AND b._copy IS NULL")
     return got.select("p_partkey", "b.kind", "b.size", F.array_join(F.transform("b.action", lambda a: a["name"]), ",").alias("action"), "b.text")
@@ -120,19 +118,19 @@ def record_inheritance(spark, d):
 @query("""
 SELECT p_partkey, p_size % 2 = 0 AS listed, CASE WHEN p_size % 2 = 0 THEN 'L' ELSE 'Unknown' END AS size, p_type AS creature_type, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END AS armor_class, p_size * 2 AS hit_points, p_size AS strength, 10 AS wisdom, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS senses, 'Bite,Howl' AS actions, CASE WHEN p_size % 2 = 0 THEN '1/2' ELSE 'Unknown' END AS rating FROM part""")
 def creature_properties(spark, d):
-    even = SIZE % 2 == 0
-    body = F.when(even, _cat('{"size": ["L", "M"], "type": {"type": "', TYPE, '"}, "ac": [{"ac": ', SIZE, '}], "hp": {"average": ', SIZE * 2, '}, "str": ', SIZE, ', "senses": ["', NAME, '"], "cr": {"cr": "1/2"}, "action": [{"name": "Bite"}, {"name": "Howl"}]}'))
-    body = F.when(even, body).otherwise(_cat('{"type": "', TYPE, '", "hp": {"average": ', SIZE * 2, '}, "str": ', SIZE, ', "action": [{"name": "Bite"}, {"name": "Howl"}]}'))
-    p = _t(spark, d, "part").select(KEY, even.alias("listed"), resolve.creature_properties(F.parse_json(body)).alias("x"))
+    even = F.col("p_size") % 2 == 0
+    body = F.when(even, _cat('{"size": ["L", "M"], "type": {"type": "', F.col("p_type"), '"}, "ac": [{"ac": ', F.col("p_size"), '}], "hp": {"average": ', F.col("p_size") * 2, '}, "str": ', F.col("p_size"), ', "senses": ["', F.col("p_name"), '"], "cr": {"cr": "1/2"}, "action": [{"name": "Bite"}, {"name": "Howl"}]}'))
+    body = F.when(even, body).otherwise(_cat('{"type": "', F.col("p_type"), '", "hp": {"average": ', F.col("p_size") * 2, '}, "str": ', F.col("p_size"), ', "action": [{"name": "Bite"}, {"name": "Howl"}]}'))
+    p = _t(spark, d, "part").select(F.col("p_partkey"), even.alias("listed"), resolve.creature_properties(F.parse_json(body)).alias("x"))
     return p.select("p_partkey", "listed", "x.size", "x.creature_type", "x.armor_class", "x.hit_points", "x.abilities.strength", "x.abilities.wisdom", F.array_join("x.senses", ",").alias("senses"), F.array_join("x.actions", ",").alias("actions"), F.col("x.challenge_rating").alias("rating"))
 
 
 @query("""
 SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'rare' ELSE 'Unknown' END AS rarity, CASE WHEN p_size % 3 = 0 THEN p_type ELSE 'Unknown' END AS type, p_size % 2 = 0 AS attunement, p_size % 3 = 0 AS wondrous, p_size::DOUBLE AS weight, CASE WHEN p_size % 2 = 0 THEN '1d6' ELSE '' END AS damage, CASE WHEN p_size % 6 = 0 THEN 'S' ELSE '' END AS damage_type FROM part""")
 def item_properties(spark, d):
-    a = F.when(SIZE % 2 == 0, ', "rarity": "rare", "reqAttune": "by a wizard", "dmg1": "1d6"').otherwise("")
-    b = F.when(SIZE % 3 == 0, _cat(', "type": "', TYPE, '", "wondrous": true, "dmgType": "S"')).otherwise("")
-    p = _t(spark, d, "part").select(KEY, resolve.item_properties(F.parse_json(_cat('{"weight": ', SIZE, a, b, "}"))).alias("x"))
+    a = F.when(F.col("p_size") % 2 == 0, ', "rarity": "rare", "reqAttune": "by a wizard", "dmg1": "1d6"').otherwise("")
+    b = F.when(F.col("p_size") % 3 == 0, _cat(', "type": "', F.col("p_type"), '", "wondrous": true, "dmgType": "S"')).otherwise("")
+    p = _t(spark, d, "part").select(F.col("p_partkey"), resolve.item_properties(F.parse_json(_cat('{"weight": ', F.col("p_size"), a, b, "}"))).alias("x"))
     return p.select("p_partkey", "x.rarity", "x.type", F.col("x.requires_attunement").alias("attunement"), "x.wondrous", "x.weight", F.coalesce("x.damage", S("")).alias("damage"), F.coalesce("x.damage_type", S("")).alias("damage_type"))
 
 
@@ -140,27 +138,27 @@ def item_properties(spark, d):
 SELECT p_partkey, p_size % 10 AS level, CASE WHEN p_size % 2 = 0 THEN p_size || ' bonus' ELSE 'Unknown' END AS casting_time, CASE WHEN p_size % 3 = 0 THEN 'point ' || p_size || ' feet' ELSE 'Unknown' END AS range,
  CASE WHEN p_size % 4 = 0 THEN p_size || ' minute' WHEN p_size % 4 = 1 THEN 'permanent' ELSE 'Instant' END AS duration, p_size % 4 = 0 AS concentration, p_type AS damage FROM part""")
 def spell_properties(spark, d):
-    time = F.when(SIZE % 2 == 0, _cat(', "time": [{"number": ', SIZE, ', "unit": "bonus"}]')).otherwise("")
-    far = F.when(SIZE % 3 == 0, _cat(', "range": {"type": "point", "distance": {"type": "feet", "amount": ', SIZE, "}}")).otherwise("")
-    lasts = F.when(SIZE % 4 == 0, _cat(', "duration": [{"type": "timed", "duration": {"type": "minute", "amount": ', SIZE, '}, "concentration": true}]')).when(SIZE % 4 == 1, ', "duration": [{"type": "permanent"}]').otherwise("")
-    p = _t(spark, d, "part").select(KEY, resolve.spell_properties(F.parse_json(_cat('{"level": ', SIZE % 10, time, far, lasts, ', "damageInflict": ["', TYPE, '"]}'))).alias("x"))
+    time = F.when(F.col("p_size") % 2 == 0, _cat(', "time": [{"number": ', F.col("p_size"), ', "unit": "bonus"}]')).otherwise("")
+    far = F.when(F.col("p_size") % 3 == 0, _cat(', "range": {"type": "point", "distance": {"type": "feet", "amount": ', F.col("p_size"), "}}")).otherwise("")
+    lasts = F.when(F.col("p_size") % 4 == 0, _cat(', "duration": [{"type": "timed", "duration": {"type": "minute", "amount": ', F.col("p_size"), '}, "concentration": true}]')).when(F.col("p_size") % 4 == 1, ', "duration": [{"type": "permanent"}]').otherwise("")
+    p = _t(spark, d, "part").select(F.col("p_partkey"), resolve.spell_properties(F.parse_json(_cat('{"level": ', F.col("p_size") % 10, time, far, lasts, ', "damageInflict": ["', F.col("p_type"), '"]}'))).alias("x"))
     return p.select("p_partkey", "x.level", "x.casting_time", "x.range", "x.duration", F.col("x.requires_concentration").alias("concentration"), F.array_join("x.damage_types", ",").alias("damage"))
 
 
 def _external(spark, d) -> DataFrame:
     """References of suppliers' sections: items that the catalog holds or not, and backgrounds."""
-    j = _t(spark, d, "supplier").join(_t(spark, d, "part"), KEY == F.col("s_suppkey"))
+    j = _t(spark, d, "supplier").join(_t(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey"))
     known = F.col("s_suppkey") % 3
-    name = F.when(known == 1, _cat("zz", NAME)).otherwise(NAME)
+    name = F.when(known == 1, _cat("zz", F.col("p_name"))).otherwise(F.col("p_name"))
     kind = F.when(known == 2, "background").otherwise("item")
-    return j.select(kind.alias("entity_type"), F.when(known == 2, name).otherwise(F.concat_ws("|", name, BRAND)).alias("identifier"), name.alias("display_name"), _id("s", "s_suppkey").alias("source_id"))
+    return j.select(kind.alias("entity_type"), F.when(known == 2, name).otherwise(F.concat_ws("|", name, F.col("p_brand"))).alias("identifier"), name.alias("display_name"), _id("s", "s_suppkey").alias("source_id"))
 
 
 _EXTERNAL = "SELECT CASE WHEN s_suppkey % 3 = 2 THEN 'background' ELSE 'item' END AS kind, CASE WHEN s_suppkey % 3 = 1 THEN 'zz' ELSE '' END || p_name AS name, p_brand AS brand, 's' || s_suppkey AS source_id, s_suppkey FROM supplier JOIN part ON p_partkey = s_suppkey"
 
 
 def _resolved(spark, d) -> DataFrame:
-    p = _t(spark, d, "part").select(KEY.alias("ord"), NAME.alias("name"), BRAND.alias("source"), _cat('{"rarity": "', TYPE, '"}').alias("body"))
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_brand").alias("source"), _cat('{"rarity": "', F.col("p_type"), '"}').alias("body"))
     return resolve.resolve_all(_external(spark, d), {"item": p})
 
 
@@ -186,14 +184,14 @@ def resolution_totals(spark, d):
 @query("""
 SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_type WHEN 1 THEN p_type || '2' WHEN 2 THEN 'text' ELSE '' END AS creature_type, CASE WHEN p_size % 4 = 3 THEN CASE WHEN p_size % 8 = 3 THEN 'cave' ELSE 'building' END ELSE '' END AS location_type, p_size % 4 <> 3 AND (p_name LIKE '%s' AND length(p_name) > 4) AS is_generic FROM part""")
 def seed_nodes(spark, d):
-    p = F.when(SIZE % 4 == 0, _cat('{"creature_type": {"type": "', TYPE, '"}}')).when(SIZE % 4 == 1, _cat('{"creature_type": ["', TYPE, '2", "x"]}')).when(SIZE % 4 == 2, '{"creature_type": "text"}').when(SIZE % 8 == 3, '{"location_type": "cave"}').otherwise("{}")
-    e = _t(spark, d, "part").select(KEY.cast("string").alias("id"), NAME.alias("label"), F.when(SIZE % 4 == 3, "Location").otherwise("Creature").alias("type"), p.alias("properties"))
+    p = F.when(F.col("p_size") % 4 == 0, _cat('{"creature_type": {"type": "', F.col("p_type"), '"}}')).when(F.col("p_size") % 4 == 1, _cat('{"creature_type": ["', F.col("p_type"), '2", "x"]}')).when(F.col("p_size") % 4 == 2, '{"creature_type": "text"}').when(F.col("p_size") % 8 == 3, '{"location_type": "cave"}').otherwise("{}")
+    e = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("label"), F.when(F.col("p_size") % 4 == 3, "Location").otherwise("Creature").alias("type"), p.alias("properties"))
     return resolve.seeds(e).select(F.col("id").cast("long").alias("p_partkey"), F.coalesce("creature_type", S("")).alias("creature_type"), F.coalesce("location_type", S("")).alias("location_type"), "is_generic")
 
 
 @query("SELECT md5(lower('item:' || p_name || ':' || p_brand)) AS id, 'Item' AS label, p_name AS name, p_brand AS source, p_type AS kind FROM part JOIN (SELECT max(p_partkey) AS k FROM part GROUP BY p_name, p_brand) ON k = p_partkey")
 def catalog_vertices(spark, d):
-    catalog = _t(spark, d, "part").select(KEY.alias("ord"), NAME.alias("name"), BRAND.alias("source"), _cat('{"kind": "', TYPE, '"}').alias("body"))
+    catalog = _t(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_brand").alias("source"), _cat('{"kind": "', F.col("p_type"), '"}').alias("body"))
     refs = catalog.select("name", "source").distinct()
     v = resolve.vertices(refs, catalog, "item")
     return v.select("id", "label", "name", "source", F.get_json_object("attributes", "$.kind").alias("kind"))
@@ -250,7 +248,7 @@ WITH k AS (SELECT 'p' || p_partkey AS id FROM part ORDER BY p_partkey LIMIT 100)
 SELECT DISTINCT 'p' || a AS source, 'p' || b AS target FROM s WHERE 'p' || a IN (SELECT id FROM k) AND 'p' || b IN (SELECT id FROM k)""")
 def sampled_graph(spark, d):
     """The first hundred nodes and the edges among them: the operator is a sample."""
-    n = _t(spark, d, "part").select(_id("p", "p_partkey").alias("id"), KEY.alias("ord"))
+    n = _t(spark, d, "part").select(_id("p", "p_partkey").alias("id"), F.col("p_partkey").alias("ord"))
     e = _t(spark, d, "lineitem").select(_id("p", "l_partkey").alias("source"), F.concat(S("p"), F.col("l_partkey") + 1).alias("target")).distinct()
     return graph.sample(n, e, 100)[1]
 
@@ -275,7 +273,7 @@ def relations_by_pattern(spark, d):
 
 @query("SELECT DISTINCT p_name AS label FROM part")
 def search_suggestions(spark, d):
-    p = _t(spark, d, "part").select(NAME.alias("label"))
+    p = _t(spark, d, "part").select(F.col("p_name").alias("label"))
     return hetero.suggestions(p.unionByName(spark.createDataFrame([(" ",), (None,)], "label string")))
 
 
@@ -313,7 +311,7 @@ def keyed_graph_upsert(spark, d):
 
 @query("SELECT count(*) AS n, 'Item' AS label, max(p_partkey) AS biggest FROM part")
 def vertex_export(spark, d):
-    v = _t(spark, d, "part").select(_id("p", "p_partkey").alias("id"), S("Item").alias("label"), NAME.alias("name"), BRAND.alias("source"), S("{}").alias("attributes"))
+    v = _t(spark, d, "part").select(_id("p", "p_partkey").alias("id"), S("Item").alias("label"), F.col("p_name").alias("name"), F.col("p_brand").alias("source"), S("{}").alias("attributes"))
     b = F.from_json("body", "meta struct<stats: map<string, long>, description: string>, nodes array<struct<id: string>>")
     out = sinks.vertex_export(v, "parts", "part.json").select(b.alias("b"))
     return out.select(F.col("b.meta.stats")["Item"].alias("n"), S("Item").alias("label"), F.array_max(F.transform("b.nodes", lambda x: F.substr(x["id"], S(2)).cast("long"))).alias("biggest"))
@@ -401,7 +399,7 @@ def dimmed_nodes(spark, d):
 
 @query("SELECT 'p' || p_partkey AS id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'unknown' END AS type FROM part WHERE p_size % 5 <> 0")
 def evaluation_entities(spark, d):
-    n = _t(spark, d, "part").select(_id("p", "p_partkey").alias("id"), F.when(SIZE % 10 == 0, " ").otherwise(_cat(" ", NAME)).alias("label"), F.when(SIZE % 2 == 0, TYPE).alias("type"), F.when(SIZE % 10 == 5, "event").otherwise("entity").alias("node_type"))
+    n = _t(spark, d, "part").select(_id("p", "p_partkey").alias("id"), F.when(F.col("p_size") % 10 == 0, " ").otherwise(_cat(" ", F.col("p_name"))).alias("label"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("type"), F.when(F.col("p_size") % 10 == 5, "event").otherwise("entity").alias("node_type"))
     return graphs.evaluation_entities(n)
 
 
@@ -424,14 +422,14 @@ def extra_labels(spark, d):
 @query("SELECT DISTINCT lower(p_name) AS label, lower(p_name) AS name, 100.0::DOUBLE AS score, 'exact' AS bucket FROM part")
 def best_label_matches(spark, d):
     """Every name against all: each finds itself first."""
-    p = _t(spark, d, "part").select(NAME.alias("name"))
+    p = _t(spark, d, "part").select(F.col("p_name").alias("name"))
     return evaluate.best_matches(p, p.select(F.upper("name").alias("name")))
 
 
 @query("""
 SELECT DISTINCT lower(p_name) AS label, CASE WHEN length(p_name) % 2 = 0 THEN lower(p_name) ELSE lower(p_name) || '!' END AS extracted, CASE WHEN length(p_name) % 2 = 0 THEN 100.0 ELSE round(200.0 * length(p_name) / (2 * length(p_name) + 1), 6) END::DOUBLE AS score, CASE WHEN length(p_name) % 2 = 0 THEN 'exact' ELSE 'fuzzy' END AS method FROM part""")
 def one_to_one_matches(spark, d):
-    p = _t(spark, d, "part").select(NAME.alias("name"))
+    p = _t(spark, d, "part").select(F.col("p_name").alias("name"))
     found = p.select(F.when(F.length("name") % 2 == 0, F.upper("name")).otherwise(F.concat("name", S("!"))).alias("name"))
     return evaluate.greedy_matches(p, found).withColumn("score", F.round("score", 6))
 
@@ -492,7 +490,7 @@ def history_sizes(spark, d):
 @query("SELECT p_brand AS type, string_agg(word, ',' ORDER BY word) AS words FROM (SELECT DISTINCT p_brand, split_part(p_name, ' ', 1) AS word FROM part) GROUP BY p_brand")
 def embedding_groups(spark, d):
     """Equal texts get equal vectors: one row a brand and vector."""
-    word = F.get(F.split(NAME, " "), 0)
-    p = _t(spark, d, "part").select(BRAND.alias("type"), word.alias("word"))
+    word = F.get(F.split(F.col("p_name"), " "), 0)
+    p = _t(spark, d, "part").select(F.col("p_brand").alias("type"), word.alias("word"))
     v = search.embedded(p, "word", search.HashingEmbedder(512)).groupBy("type", F.xxhash64("embedding").alias("v")).agg(F.min("word").alias("word"), F.max("word").alias("last"))
     return v.groupBy("type").agg(F.array_join(F.array_sort(F.collect_set("word")), ",").alias("words"))
