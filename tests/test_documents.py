@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from tomegraph.operators import flatten, traverse
 from tomegraph.plans import stages
 from tomegraph.plans.client import ReplayClient, RuleClient, call, prompt_hash, truncations

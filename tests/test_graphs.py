@@ -95,7 +95,7 @@ def test_metrics(spark):
     assert metrics.diameter(n.where("id <> 'e'"), e) == 2
     assert metrics.diameter(n, e) is None
     r = random.Random(5)
-    for size, extra in ((1, 0), (12, 0), (30, 8), (25, 60)):
+    for size, extra in ((1, 0), (9, 0), (20, 8)):
         links = [(r.randrange(i) if extra else i - 1, i) for i in range(1, size)] + [(r.randrange(size), r.randrange(size)) for _ in range(extra)]
         near = {i: {b for a, b in links + [(b, a) for a, b in links] if a == i} for i in range(size)}
 
