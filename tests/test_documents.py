@@ -173,3 +173,14 @@ def test_the_summarised_table_comes_first(spark, tmp_path):
     assert documents.read_first(spark, summarised, plain).count() == 5
     with pytest.raises(FileNotFoundError):
         documents.read_first(spark, f"{tmp_path}/none")
+
+
+def test_trees(spark):
+    docs = spark.createDataFrame([("a", json.dumps(BOOK)), ("none", "{")], "doc_id string, body string")
+    nodes = flatten.flatten(docs)
+    got = {r.doc_id: json.loads(r.body) for r in traverse.trees(nodes).collect()}
+    assert [(x["title"], [(y["title"], y["content"], y["children"]) for y in x["children"]]) for x in got["a"]] == [("Harbour", [("Pier", "Planks.", [])])]
+    assert set(got) == {"a"}
+    assert traverse.trees(nodes.where("doc_id = 'none'")).count() == 0
+    orphan = {r.doc_id: json.loads(r.body) for r in traverse.trees(nodes.where("depth = 1")).collect()}
+    assert [x["title"] for x in orphan["a"]] == ["Pier"]

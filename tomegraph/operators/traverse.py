@@ -109,6 +109,30 @@ def roll_up(nodes: DataFrame, summarise: Callable[[DataFrame], DataFrame] | None
     return empty if done is None else done.select("doc_id", "path", "summary")
 
 
+def trees(nodes: DataFrame, fields: tuple[str, ...] = ("node_id", "title", "type", "content")) -> DataFrame:
+    """doc_id, body: the flat table as one JSON array of roots a document, children inside their parents in order.
+
+    Built level by level from the leaves; a section whose parent is absent counts as a root.
+    """
+    known = nodes.select("doc_id", F.col("path").alias("parent_path"), F.lit(True).alias("_up"))
+    placed = nodes.join(known, ["doc_id", "parent_path"], "left").select("doc_id", "path", "parent_path", "depth", F.coalesce("_up", F.lit(False)).alias("inside"), *fields)
+    levels = placed.agg(F.max("depth")).first()[0]
+    joined = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "body"))), lambda x: x["body"]), ",")
+    below, top = None, None
+    for depth in range(levels if levels is not None else -1, -1, -1):
+        level = placed.where(F.col("depth") == depth)
+        level = level.withColumn("kids", F.lit("")) if below is None else level.join(below, ["doc_id", "path"], "left")
+        own = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+        body = F.concat(F.substr(own, F.lit(1), F.length(own) - 1), F.lit(',"children":['), F.coalesce("kids", F.lit("")), F.lit("]}"))
+        level = materialise(level.select("doc_id", "path", "parent_path", "inside", body.alias("body")), "tree-level")
+        below = level.where("inside").groupBy("doc_id", F.col("parent_path").alias("path")).agg(joined().alias("kids"))
+        roots_ = level.where("NOT inside").select("doc_id", "path", "body")
+        top = roots_ if top is None else top.unionByName(roots_)
+    if top is None:
+        return nodes.select("doc_id", F.lit("").alias("body")).limit(0)
+    return top.groupBy("doc_id").agg(F.concat(F.lit("["), joined(), F.lit("]")).alias("body"))
+
+
 def accumulated(entities: DataFrame) -> DataFrame:
     """Entities (doc_id, path, id, label, ord) of each section and all below it, each id once, own ones first."""
     up = entities.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", 1, i))))

@@ -221,6 +221,19 @@ def accumulated_entities(spark, d):
     return traverse.accumulated(own).select("doc_id", F.array_join("at", ".").alias("section"), "id", "label")
 
 
+@query("""
+SELECT 'r' || r_regionkey AS doc_id, r_name AS root, n.n AS n_nations, n.first AS first_nation, c.n AS n_customers, c.last AS last_customer FROM region
+JOIN (SELECT n_regionkey, count(*) AS n, arg_min(n_name, n_nationkey) AS first FROM nation GROUP BY 1) n ON n.n_regionkey = r_regionkey
+JOIN (SELECT n_regionkey, count(*) AS n, arg_max(c_name, n_nationkey * 10000000 + c_custkey) AS last FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) c ON c.n_regionkey = r_regionkey""")
+def section_trees(spark, d):
+    """The flat sections as nested documents, read back by their nesting."""
+    leaf = "struct<title: string, children: array<string>>"
+    tree = f"array<struct<title: string, children: array<struct<title: string, children: array<{leaf}>>>>>"
+    got = traverse.trees(_places(spark, d)).select("doc_id", F.from_json("body", tree).alias("t")).select("doc_id", F.get("t", 0).alias("r"))
+    leaves = F.flatten(F.transform("r.children", lambda x: x["children"]))
+    return got.select("doc_id", F.col("r.title").alias("root"), F.size("r.children").cast("long").alias("n_nations"), F.get("r.children", 0)["title"].alias("first_nation"), F.size(leaves).cast("long").alias("n_customers"), F.element_at(leaves, -1)["title"].alias("last_customer"))
+
+
 # --- names --------------------------------------------------------------------------------------
 
 
