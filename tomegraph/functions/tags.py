@@ -15,6 +15,8 @@ GROUPS = {
     "navigation": ("area", "adventure", "book", "quickref", "5etoolsImg"),
     "mechanic": ("dc", "dice", "skill", "condition", "sense"),
 }
+#: More parts than a tag can have.
+MOST = 1 << 30
 #: A brace that is still open where a tag begins: only then can a tag lie in another, or a new one come out of stripping.
 NESTED = r"\{[^{}]*\{@"
 
@@ -28,9 +30,8 @@ def _links(text: Column, raw: bool = False) -> Column:
     names, bodies = (F.regexp_extract_all(text, F.lit(TAG), F.lit(i)) for i in (1, 2))
 
     def link(tag: Column, body: Column) -> Column:
-        parts = F.split(body, r"\|")
-        fields = [F.get(parts, 0).alias("text"), tag.alias("tag"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("attrs")]
-        return F.struct(*fields)
+        attrs = F.slice(F.split(body, r"\|"), 2, MOST)
+        return F.struct(F.substring_index(body, "|", 1).alias("text"), tag.alias("tag"), attrs.alias("attrs"))
 
     got = F.zip_with(names, bodies, link)
     if raw:
