@@ -112,6 +112,18 @@ class Scripted:
         return self.replies.get(params["stage"], ""), "stop"
 
 
+def test_sub_locations_and_their_report(spark):
+    """A further spatial pass brings only places that aren't known, each edge once; the report tells what is missing."""
+    place, edge = (lambda i: {"id": i, "label": i.title(), "type": "location"}), {"source": "mill", "target": "loft", "relation": "contains"}
+    client = Scripted(graph=json.dumps({"nodes": [place("mill"), place("loft")], "edges": [edge, edge]}), verify="Is complete: no\nMissing locations:\n- Cellar\nIssues:\n- a loop")
+    parents = spark.createDataFrame([("mill", "The mill has a loft.", 1)], "key string, text string, ord long")
+    n, e = stages.sub_locations(parents, client, spark.createDataFrame([("mill",)], "id string"))
+    assert [(r.id, r.label) for r in n.collect()] == [("loft", "Loft")]
+    assert [(r.source, r.relation, r.target) for r in e.collect()] == [("mill", "contains", "loft")]
+    r = stages.verify(parents, client).first()
+    assert (r.key, r.is_complete, r.missing_locations, r.issues) == ("mill", False, ["Cellar"], ["a loop"])
+
+
 def test_two_phase(spark):
     client = Scripted(ner="<entities>\nEntity: Old Mill\nType: Location\nEntity: Ann\nType: Creature\n</entities>", relations="Source: ann\nRelation: lives_in\nTarget: old_mill\nDescription: d")
     sections = spark.createDataFrame([("s1", "Ann went to the Old Mill and stayed there for the long cold winter."), ("s2", "short")], "section_id string, content string")
