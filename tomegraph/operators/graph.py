@@ -143,8 +143,12 @@ def within_chars(df: DataFrame, column: str, limit: int, keys: Sequence[str] = (
     """Rows in order while the running length of column stays within the limit, by keys if given."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    total = F.sum(F.coalesce(F.length(column), F.lit(0))).over(w.orderBy(ord).rowsBetween(Window.unboundedPreceding, 0))
+    from .ranks import running
+
+    length = F.coalesce(F.length(column), F.lit(0))
+    if not keys:
+        return running(df.orderBy(ord), length, "_total").where(F.col("_total") <= limit).drop("_total")
+    total = F.sum(length).over(Window.partitionBy(*keys).orderBy(ord).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_total", total).where(F.col("_total") <= limit).drop("_total")
 
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import containment, tags
 from ..functions import text as T
-from ..operators import flatten, parsers, stats, traverse
+from ..operators import flatten, parsers, ranks, stats, traverse
 from .queries import TREE, _id, _t, _tree_docs, query
 
 S = F.lit
@@ -157,19 +156,14 @@ UNION ALL SELECT 'r' || n_regionkey, [n_regionkey, n_nationkey], 1, 'n' || n_nat
 UNION ALL SELECT 'r' || n_regionkey, [n_regionkey, n_nationkey, c_custkey::INT], 2, lower(c_mktsegment), c_name, 'customer', c_name || chr(10) || c_mktsegment, n_name, 'creature' FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 
-def _ranked(df: DataFrame) -> DataFrame:
-    """Rows with their place in the order they come in."""
-    return df.withColumn("i", F.monotonically_increasing_id()).withColumn("rank", F.row_number().over(Window.orderBy("i")).cast("long"))
-
-
 @query(f"SELECT doc_id, node_id, title, row_number() OVER (ORDER BY doc_id, path) AS rank FROM ({PLACES_SQL})")
 def sections_in_preorder(spark, d):
-    return _ranked(traverse.preorder(_places(spark, d)).select("doc_id", "node_id", "title")).select("doc_id", "node_id", "title", "rank")
+    return ranks.numbered(traverse.preorder(_places(spark, d)).select("doc_id", "node_id", "title"))
 
 
 @query(f"SELECT doc_id, node_id, title, row_number() OVER (ORDER BY doc_id, list_append(path, 2147483647)) AS rank FROM ({PLACES_SQL})")
 def sections_in_postorder(spark, d):
-    return _ranked(traverse.postorder(_places(spark, d)).select("doc_id", "node_id", "title")).select("doc_id", "node_id", "title", "rank")
+    return ranks.numbered(traverse.postorder(_places(spark, d)).select("doc_id", "node_id", "title"))
 
 
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) >= 1000")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import canonical, evaluate, graph, hetero, metrics, paths, resolve, search, stats, views
+from ..operators import canonical, evaluate, graph, hetero, metrics, paths, ranks, resolve, search, stats, views
 from ..sources import catalogs, graphs, sinks
 from .queries import NATION_NODES, PLACES, SUPPLY, _brand_nodes, _events, _id, _nation_nodes, _place_edges, _supply_edges, _t, query
 from .queries_documents import _cat
@@ -30,11 +30,9 @@ _SOURCE = "CASE WHEN p_size % 5 = 0 THEN p_size::VARCHAR ELSE p_type END"
 
 @query(f"SELECT p_partkey, p_name AS name, {_SOURCE} AS source, row_number() OVER (ORDER BY p_brand, p_size % 2 = 0, p_partkey) AS place FROM part")
 def catalog_records(spark, d):
-    from pyspark.sql.window import Window
-
     c = catalogs.read_catalog(_catalog_docs(spark, d), "item")
     key = F.get_json_object("body", "$.key").cast("long")
-    return c.select(key.alias("p_partkey"), "name", "source", F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"))
+    return ranks.numbered(c.orderBy("ord").select(key.alias("p_partkey"), "name", "source"), "place")
 
 
 @query(f"""
