@@ -4,8 +4,8 @@ Each entry c becomes the whole number floor(SCALE * c) + SHIFT. A task cuts its
 bits (the highest one signed), multiplies limb matrices as float64, where every sum of a product stays below
 2**53 and is exact, and puts limbs together as big integers. Spark adds the moments of all tasks,
 entry by entry, each as two decimals, so they stay exact at any number of rows. The covariance
-(n M - S S') / n**2 is formed from them without cancellation; its eigenvectors by LAPACK are refined
-in extended precision. A second pass centres and projects the rows; a third, over what was written, measures the whitened
+(n M - S S') / n**2 is formed from them without cancellation; LAPACK gives its eigenvectors, and their
+quotients in extended precision the eigenvalues. A second pass centres and projects the rows; a third, over what was written, measures the whitened
 covariance. The driver gets width**2 numbers, whatever the table's length.
 
 Defined cases: vectors that are null or hold a null or non-finite entry are dropped; a shorter vector
@@ -158,26 +158,11 @@ def covariance(n: int, s: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.array([[np.longdouble(str(v)) / den for v in row] for row in top.tolist()], np.longdouble).reshape(top.shape)
 
 
-def eigen(v: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues, falling, and unit eigenvectors (columns) of a symmetric matrix, refined in its own precision.
-
-    A round corrects all vectors at once from what is left of X'VX and X'X off the diagonal; pairs whose values are
-    too close to part keep their plane and are only made orthogonal.
-    """
+def eigen(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, falling, and unit eigenvectors (columns) of a symmetric matrix; the values as quotients in v's own precision."""
     _, x = np.linalg.eigh(v.astype(np.float64))
     x = x.astype(np.longdouble)
-    one = np.eye(len(v), dtype=np.longdouble)
-    for _ in range(rounds):
-        off = one - x.T @ x
-        seen = x.T @ v @ x
-        value = np.diag(seen) / (1 - np.diag(off))
-        gap = value[None, :] - value[:, None]
-        near = np.abs(gap) <= 2 * (np.linalg.norm((seen - np.diag(value)).astype(np.float64)) + np.finfo(np.longdouble).eps * np.abs(value).max(initial=0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            step = np.where(near, 0, (seen + value[None, :] * off) / gap)
-        step = np.where(near | (np.abs(step) > 0.01), off / 2, step)  # a large step is beyond the first order
-        x = x + x @ step
-    value = np.diag(x.T @ v @ x)
+    value = np.diag(x.T @ v @ x) / np.diag(x.T @ x)
     order = np.argsort(-value, kind="stable")
     return value[order], x[:, order]
 
