@@ -95,7 +95,7 @@ def test_metrics(spark):
     assert metrics.diameter(n.where("id <> 'e'"), e) == 2
     assert metrics.diameter(n, e) is None
     r = random.Random(5)
-    for size, extra in ((1, 0), (9, 0), (20, 8)):
+    for size, extra in ((1, 0), (12, 0), (30, 8), (25, 60)):
         links = [(r.randrange(i) if extra else i - 1, i) for i in range(1, size)] + [(r.randrange(size), r.randrange(size)) for _ in range(extra)]
         near = {i: {b for a, b in links + [(b, a) for a, b in links] if a == i} for i in range(size)}
 
@@ -245,7 +245,14 @@ def test_parsers(spark):
     assert parsers.parse_entities("<summary>none</summary>") == []
     ev = parsers.parse_events("<events>\nEvent: The Fight!\nParticipants: [a, (b)]\nLocation: den\nEvent: Cut")
     assert [(e["id"], e["participants"], e["location"]) for e in ev] == [("the_fight", ["a", "(b)"], "den"), ("cut", [], None)]
-    assert parsers.parse_report("Is Complete: No\nMissing Locations: B2\n- C5\nIssues:\n- x") == {"is_complete": False, "missing_locations": ["C5"], "issues": ["x"]}
+    replies = [
+        "Is Complete: No\nMissing Locations: B2\n- C5\nIssues:\n- x", "", None, "- stray\nCOMPLETE: Yes\r\n- not one\n  Locations missing\n  -- A 1 \n no item\n- Issue: y\n- B\n", "is complete: yes\nIs complete: no", "issues:\n- a\nIs it complete: true\n- b\nissue\n-c", "complete: TRUE; missing location\n- d",
+    ]
+    got = spark.createDataFrame(list(enumerate(replies)), "i int, reply string").select("i", parsers.report("reply").alias("r")).select("i", "r.*")
+    assert keys(got, "i", "is_complete", "missing_locations", "issues") == [
+        (0, False, ["C5"], ["x"]), (1, False, [], []), (2, False, [], []), (3, True, ["A 1"], ["B"]), (4, False, [], []), (5, True, [], ["a", "c"]), (6, True, [], []),
+    ]
+    assert "Python" not in got._jdf.queryExecution().toString()
     one = lambda c, t: spark.createDataFrame([(t,)], "t string").select(c(F.col("t")).alias("v")).first().v
     rel = one(parsers.relations, "Source: a\nTarget: b\nRelation: r\nDescription: d\n\nSource: a\nRelation: r\n\nSource: c\nSource: d\nTarget: e\nRelation: q")
     assert [tuple(r) for r in rel] == [("a", "b", "r", "d"), ("d", "e", "q", "")]

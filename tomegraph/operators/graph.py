@@ -93,13 +93,13 @@ def mapped_array(df: DataFrame, column: str, mapping: DataFrame, key: Sequence[s
     return out.withColumn(column, F.coalesce(F.transform("_a", lambda s: s["v"]), empty)).select(df.columns)
 
 
-def transitive(mapping: DataFrame, hops: int = 5) -> DataFrame:
-    """mapping followed to its end, `hops` doublings at most."""
-    m = mapping
-    for _ in range(hops):
-        onward = m.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("_next"))
-        m = m.join(onward, "new_id", "left").select("old_id", F.coalesce("_next", "new_id").alias("new_id"))
-    return m
+def transitive(mapping: DataFrame) -> DataFrame:
+    """mapping followed to its end; ids in a cycle, or before one, map to the cycle's smallest id."""
+    from .chains import ends
+
+    out = ends(mapping.select(F.col("old_id").alias("id"), F.col("new_id").alias("parent"))).select(F.col("id").alias("old_id"), F.col("root").alias("new_id"))
+    still = mapping.where("old_id = new_id").select("old_id", "new_id").join(out, "old_id", "left_anti").distinct()
+    return out.unionByName(still)
 
 
 def remap(nodes: DataFrame, edges: DataFrame, mapping: DataFrame, keep_desc: bool = True) -> tuple[DataFrame, DataFrame]:

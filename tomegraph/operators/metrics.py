@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import Levels, materialise
 
 #: Nodes whose distances to all others are worked out at a time.
 SOURCES = 8
@@ -58,15 +58,12 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 def distances(both: DataFrame, starts: DataFrame) -> DataFrame:
     """start, id, d of all nodes reached from starts (start) over edges given in both directions."""
-    seen = materialise(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("d")), "seen")
-    frontier, d = seen, 0
+    spark = both.sparkSession
+    levels = Levels(spark, starts.select("start", F.col("start").alias("id"), F.lit(0).alias("d")))
     while True:
-        d += 1
-        new = frontier.join(both, frontier.id == both.source).select("start", F.col("target").alias("id")).distinct()
-        frontier = materialise(new.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("d", F.lit(d)), "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+        new = levels.last.join(both, F.col("id") == F.col("source")).select("start", F.col("target").alias("id")).distinct()
+        if not levels.add(new.join(levels.all.select("start", "id"), ["start", "id"], "left_anti").withColumn("d", F.lit(levels.n))):
+            return levels.all
 
 
 def diameter(nodes: DataFrame, edges: DataFrame) -> int | None:

@@ -72,22 +72,6 @@ def parse_events(text: str) -> list[dict]:
     return out
 
 
-def parse_report(text: str) -> dict:
-    out: dict = {"is_complete": False, "missing_locations": [], "issues": []}
-    section = None
-    for line in (x.strip() for x in (text or "").splitlines()):
-        low = line.lower()
-        if "is complete" in low or "complete:" in low:
-            out["is_complete"], section = "yes" in low or "true" in low, None
-        elif "missing" in low and "location" in low:
-            section = "missing_locations"
-        elif "issue" in low:
-            section = "issues"
-        elif line.startswith("-") and section:
-            out[section].append(line.lstrip("-").strip())
-    return out
-
-
 def parse_unified(text: str) -> dict:
     """Entities and events of one reply; a summary means neither, an open events block counts."""
     if not text or _block(text, "summary") is not None:
@@ -112,14 +96,6 @@ def event_udf():
     return run
 
 
-def report_udf():
-    @F.pandas_udf(REPORT)
-    def run(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_report(x or "") for x in text], columns=["is_complete", "missing_locations", "issues"])
-
-    return run
-
-
 def unified(text: Column | str) -> Column:
     """struct<entities, events> of one reply."""
 
@@ -138,8 +114,40 @@ def events(text: Column | str) -> Column:
     return event_udf()(text)
 
 
-def report(text: Column | str) -> Column:
-    return report_udf()(text)
+#: What makes a line of a report a heading, and of which part.
+REPORT_HEADINGS = {"is_complete": "is complete|complete:", "missing_locations": "missing.*location|location.*missing", "issues": "issue"}
+
+
+def report_sql(text: str) -> str:
+    """A struct of REPORT from the SQL expression of a text.
+
+    The text is cut before every heading, so a part is a heading and the lines that belong to it: its
+    `-` lines are its items. A heading counts for the first kind in REPORT_HEADINGS that it fits, and the
+    last heading on completeness decides.
+    """
+    quoted = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    every = "|".join(REPORT_HEADINGS.values())
+    parts = f"split(regexp_replace({text}, '\\\\R', '\\n'), {quoted(f'(?im)^(?=.*(?:{every}))')})"
+    heading = lambda p: f"lower(substring_index({p}, '\\n', 1))"
+    fits = lambda p, kind: f"rlike({heading(p)}, {quoted(REPORT_HEADINGS[kind])})"
+
+    def of(kind: str) -> str:
+        earlier = [k for k in REPORT_HEADINGS if list(REPORT_HEADINGS).index(k) < list(REPORT_HEADINGS).index(kind)]
+        return f"filter({parts}, p -> {' AND '.join([fits('p', kind), *(f'NOT {fits("p", k)}' for k in earlier)])})"
+
+    def items(kind: str) -> str:
+        below = "substring(p, length(substring_index(p, '\\n', 1)) + 1)"
+        found = f"regexp_extract_all({below}, {quoted('(?m)^[^\\S\\n]*-+(.*)$')}, 1)"
+        return f"transform(flatten(transform({of(kind)}, p -> {found})), x -> trim(x))"
+
+    complete = f"coalesce(rlike({heading(f'try_element_at({of("is_complete")}, -1)')}, 'yes|true'), false)"
+    none = "cast(array() AS array<string>)"
+    return f"named_struct('is_complete', {complete}, 'missing_locations', coalesce({items('missing_locations')}, {none}), 'issues', coalesce({items('issues')}, {none}))"
+
+
+def report(text: str) -> Column:
+    """struct of REPORT from a column of replies, by its name."""
+    return F.expr(report_sql(f"`{text}`"))
 
 
 def relations(text: Column) -> Column:

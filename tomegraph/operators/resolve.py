@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import json
 import re
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Callable, Iterator
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import containment, text as T
 from ..session import materialise
+from . import chains
 
 #: Keys that records lose, by kind.
 DROPPED = ("otherSources", "variant", "environment", "traitTags", "senseTags", "actionTags", "languageTags", "damageTags", "damageTagsLegendary", "miscTags", "hasToken", "hasFluff", "hasFluffImages")
@@ -209,34 +212,59 @@ def vertices(tag_refs: DataFrame, catalog: DataFrame, kind: str) -> DataFrame:
 # --- inheritance -------------------------------------------------------------------------------
 
 
-def inherited(catalog: DataFrame, kind: str) -> DataFrame:
+def _parent_keys(rows: DataFrame, index: DataFrame, default: DataFrame) -> DataFrame:
+    """rows (with pn, ps) and parent, the index key (name, source) they copy: as named, else of the name's first source."""
+    known = index.select("key")
+    named = rows.join(default.withColumnsRenamed({"_n": "_dn", "_d": "pd"}), F.col("pn") == F.col("_dn"), "left").drop("_dn")
+    named = named.withColumns({"_exact": F.struct(F.col("pn").alias("name"), F.col("ps").alias("source")), "_near": F.struct(F.col("pn").alias("name"), F.col("pd").alias("source"))})
+    named = named.join(known.withColumnRenamed("key", "_e"), F.col("_exact") == F.col("_e"), "left").join(known.withColumnRenamed("key", "_f"), F.col("_near") == F.col("_f"), "left")
+    return named.withColumn("parent", F.coalesce("_e", "_f")).drop("pn", "ps", "pd", "_exact", "_near", "_e", "_f")
+
+
+def copy_links(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The catalog's rows with their place (_i) and parent, and its index (key, body, parent): the last record of a name and source."""
+    key = lambda c: F.lower(F.trim(c))
+    copied = lambda body: F.try_parse_json(body)
+    rows = materialise(catalog.withColumn("_i", F.monotonically_increasing_id()), "catalog")
+    default = rows.groupBy(key("name").alias("_n")).agg(F.min_by(key("source"), "ord").alias("_d"))
+    index = rows.groupBy(F.struct(key("name").alias("name"), key("source").alias("source")).alias("key")).agg(F.max_by("body", "ord").alias("body"))
+    wanted = lambda t: t.withColumn("_v", copied("body")).withColumns({"pn": key(_get(F.col("_v"), "_copy.name")), "ps": key(_get(F.col("_v"), "_copy.source"))}).drop("_v")
+    index = materialise(index, "index")
+    return _parent_keys(wanted(rows), index, default), materialise(_parent_keys(wanted(index), index, default), "parents")
+
+
+def copy_cycles(catalog: DataFrame) -> DataFrame:
+    """name, source of the records whose `_copy` chain never ends, and the cycle's smallest name and source."""
+    links = copy_links(catalog)[1].select(F.col("key").alias("id"), "parent")
+    selves = links.where("id = parent").select("id", F.col("id").alias("root"))
+    return chains.cycles(links).unionByName(selves).select("id.name", "id.source", F.col("root.name").alias("cycle_name"), F.col("root.source").alias("cycle_source"))
+
+
+def inherited(catalog: DataFrame, kind: str, depth: int = MAX_DEPTH) -> DataFrame:
     """catalog (ord, name, source, body) with each body merged over its `_copy` parents and patched.
 
-    Parents are gathered by at most MAX_DEPTH self-joins, nearest first; a record's chain is then
-    merged in one place.
+    Parents are found for all records by pointer doubling, up to depth of them; a record's chain is then
+    merged in one place. A cycle is followed to that depth; copy_cycles() lists them.
     """
-    key = lambda c: F.lower(F.trim(c))
-    base = catalog.withColumn("_p", F.try_parse_json("body"))
-    index = catalog.groupBy(key("name").alias("_n"), key("source").alias("_s")).agg(F.max_by("body", "ord").alias("_body"))
-    default = catalog.groupBy(key("name").alias("_n")).agg(F.min_by(key("source"), "ord").alias("_d"))
-    parents = index.withColumn("_v", F.try_parse_json("_body")).select("_n", "_s", "_body", key(_get(F.col("_v"), "_copy.name")).alias("_pn"), key(_get(F.col("_v"), "_copy.source")).alias("_ps"))
-    parents = materialise(parents.join(default.withColumnRenamed("_n", "_dn"), F.col("_pn") == F.col("_dn"), "left").drop("_dn"), "parents")
-    full = base.select(*catalog.columns, key(_get(F.col("_p"), "_copy.name")).alias("pn"), key(_get(F.col("_p"), "_copy.source")).alias("ps"), F.array("body").alias("chain"))
-    full = full.join(default, F.col("pn") == F.col("_n"), "left").withColumnRenamed("_d", "pd").drop("_n")
-    for _ in range(MAX_DEPTH):
-        exact = parents.select(F.col("_n").alias("e_n"), F.col("_s").alias("e_s"), F.struct("_body", "_pn", "_ps", "_d").alias("e"))
-        near = parents.select(F.col("_n").alias("f_n"), F.col("_s").alias("f_s"), F.struct("_body", "_pn", "_ps", "_d").alias("f"))
-        step = full.join(exact, (F.col("pn") == F.col("e_n")) & (F.col("ps") == F.col("e_s")), "left").join(near, (F.col("pn") == F.col("f_n")) & (F.col("pd") == F.col("f_s")), "left")
-        hit = F.coalesce("e", "f")
-        full = step.withColumn("_h", hit).select(*catalog.columns, F.col("_h._pn").alias("pn"), F.col("_h._ps").alias("ps"), F.col("_h._d").alias("pd"), F.when(F.col("_h").isNull(), F.col("chain")).otherwise(F.concat("chain", F.array("_h._body"))).alias("chain"))
-        full = materialise(full, "chains")
-        if full.where("pn IS NOT NULL").isEmpty():
-            break
+    rows, index = copy_links(catalog)
+    above = chains.lineage(index.select(F.col("key").alias("id"), "parent"), depth - 1) if depth > 1 else None
+    chain = F.array("parent")
+    if above is not None:
+        rows = rows.join(above, F.col("parent") == F.col("id"), "left").drop("id")
+        own = F.col("parent")
+        loop = F.transform(F.sequence(F.lit(1), F.lit(depth - 1)), lambda _: own)
+        itself = index.where("key = parent").select(F.col("key").alias("_self"))
+        rows = rows.join(itself, F.col("parent") == F.col("_self"), "left")
+        chain = F.concat(chain, F.coalesce("ancestors", F.when(F.col("_self").isNotNull(), loop), F.slice(chain, 1, 0)))
+    rows = materialise(rows.withColumn("_chain", F.when(F.col("parent").isNotNull(), chain)).select(*catalog.columns, "_i", "_chain"), "lineages")
+    steps = rows.where("_chain IS NOT NULL").select("_i", F.posexplode("_chain").alias("_at", "key")).join(index.select("key", F.col("body").alias("_body")), "key")
+    bodies = steps.groupBy("_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_body"))), lambda s: s["_body"]).alias("_bodies"))
+    full = rows.join(bodies, "_i", "left").withColumn("chain", F.concat(F.array("body"), F.coalesce("_bodies", F.slice(F.array("body"), 1, 0))))
     gone = DROPPED_BY_KIND[kind]
 
     @F.pandas_udf("string")
-    def merged(chains: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in chains:
+    def merged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
             yield s.map(lambda c: json.dumps(merge_chain([json.loads(x) for x in c], gone), ensure_ascii=False, sort_keys=True))
 
     return full.withColumn("body", merged("chain")).select(catalog.columns)
@@ -246,40 +274,59 @@ def merge_chain(chain: list[dict], dropped: tuple[str, ...]) -> dict:
     """A record and its parents, nearest first: from the farthest on, patch what is there, then lay the record over it."""
     out: dict[str, Any] = {}
     for depth, record in enumerate(reversed(chain)):
-        copy = record.get("_copy") or {}
-        if depth and isinstance(copy.get("_mod"), dict):
-            for target, actions in copy["_mod"].items():
-                if target == "*":
-                    out = _replaced(out, actions if isinstance(actions, dict) else {})
-                elif isinstance(out.get(target), list):
-                    for a in actions if isinstance(actions, list) else [actions]:
-                        out[target] = _patched(out[target], a if isinstance(a, dict) else {})
+        patches = (record.get("_copy") or {}).get("_mod") if depth else None
+        for target, mod in patches.items() if isinstance(patches, dict) else ():
+            if target == "*":
+                out = with_texts(out, _text_change(mod))
+            elif isinstance(out.get(target), list):
+                for m in mod if isinstance(mod, list) else [mod]:
+                    out[target] = edited(out[target], m)
         out = {**out, **{k: v for k, v in record.items() if k not in ("_copy", "_mod", "_preserve")}}
         out = {k: v for k, v in out.items() if k not in dropped and not k.startswith("_")}
     return out
 
 
-def _replaced(x: Any, mod: dict) -> Any:
-    if mod.get("mode") != "replaceTxt":
-        return x
-    try:
-        pattern = re.compile(mod.get("replace"), re.IGNORECASE if "i" in (mod.get("flags") or "") else 0)
-        walk = lambda v: pattern.sub(mod.get("with"), v) if isinstance(v, str) else [walk(y) for y in v] if isinstance(v, list) else {k: walk(y) for k, y in v.items()} if isinstance(v, dict) else v
-        return walk(x)
-    except (re.error, TypeError):
-        return x  # a pattern that isn't one leaves the texts as they are
-
-
-def _patched(items: list, mod: dict) -> list:
-    name = lambda v: v.get("name") if isinstance(v, dict) else v
-    mode = mod.get("mode")
-    if mode == "removeArr":
-        names = mod.get("names")
-        return [v for v in items if name(v) not in ([names] if isinstance(names, str) else names or [])]
-    if mode == "replaceArr":
-        at = next((i for i, v in enumerate(items) if name(v) == mod.get("replace")), None)
-        return items if at is None else [*items[:at], mod.get("items"), *items[at + 1 :]]
-    if mode == "appendArr":
-        new = mod.get("items")
-        return [*items, *(new if isinstance(new, list) else [new])]
-    return items
+@functools.singledispatch
+def with_texts(x: Any, change: Callable[[str], str]) -> Any:
+    """x with every text inside changed; keys and other values stay."""
+    return x
+
+
+with_texts.register(str, lambda x, change: change(x))
+with_texts.register(list, lambda x, change: [with_texts(v, change) for v in x])
+with_texts.register(dict, lambda x, change: {k: with_texts(v, change) for k, v in x.items()})
+
+
+def _text_change(mod: Any) -> Callable[[str], str]:
+    """What a replaceTxt patch does to a text; anything else, and a pattern that isn't one, does nothing."""
+    wanted = {"mode": "", "replace": None, "with": None, "flags": ""} | (mod if isinstance(mod, dict) else {})
+    if wanted["mode"] == "replaceTxt" and isinstance(wanted["replace"], str) and isinstance(wanted["with"], str):
+        with contextlib.suppress(re.error):
+            pattern = re.compile(wanted["replace"], re.IGNORECASE * ("i" in (wanted["flags"] or "")))
+            pattern.sub(wanted["with"], "")
+            return functools.partial(pattern.sub, wanted["with"])
+    return str
+
+
+class ListEdit(NamedTuple):
+    """What a patch mode does to a list: which key names items, how many of those go, and where its items come in."""
+
+    named_by: str | None
+    most: int | None
+    put: str
+
+
+EDITS = {"removeArr": ListEdit("names", None, "nowhere"), "replaceArr": ListEdit("replace", 1, "there"), "appendArr": ListEdit(None, 0, "end")}
+
+
+def edited(items: list, mod: Any) -> list:
+    """The list after one patch; an unknown mode leaves it as it is."""
+    edit = EDITS.get(mod.get("mode")) if isinstance(mod, dict) else None
+    if edit is None:
+        return items
+    named = mod.get(edit.named_by)
+    names = [named] if edit.most == 1 or isinstance(named, str) else named or []
+    hits = [i for i, v in enumerate(items) if (v.get("name") if isinstance(v, dict) else v) in names][: edit.most]
+    new = mod.get("items")
+    kept = [new if i in hits else v for i, v in enumerate(items) if edit.put == "there" or i not in hits]
+    return kept + (new if isinstance(new, list) else [new]) if edit.put == "end" else kept

@@ -20,7 +20,7 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Signed hashing of words, normalised; deterministic and offline."""
+    """Signed hashing of words, normalised; deterministic and offline. The first 32 bits of a word's MD5 give slot and sign."""
 
     def __init__(self, width: int = 64):
         self.width = width
@@ -29,8 +29,8 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.width), np.float32)
         for i, t in enumerate(texts):
             for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.width] += 1 if h >> 63 else -1
+                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big")
+                out[i, h % self.width] += 1 if h >> 31 else -1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 

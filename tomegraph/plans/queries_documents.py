@@ -369,7 +369,7 @@ def parse_events(spark, d):
 def parse_reports(spark, d):
     found = F.when(F.col("p_size") % 3 == 0, "").otherwise(_cat("- ", F.col("p_name"), "\n  -- ", F.col("p_brand"), "\n"))
     text = _cat("Is Complete: ", F.when(F.col("p_size") % 3 == 0, "YES").otherwise("No"), "\n- stray\nMissing Locations:\n", found, "\nIssues found:\nnone\n- ", F.col("p_type"), "\n")
-    got = _t(spark, d, "part").select("p_partkey", parsers.report(text).alias("r"))
+    got = _t(spark, d, "part").select("p_partkey", text.alias("reply")).select("p_partkey", parsers.report("reply").alias("r"))
     return got.select("p_partkey", "r.is_complete", F.array_join("r.missing_locations", ";").alias("missing"), F.array_join("r.issues", ";").alias("issues"))
 
 

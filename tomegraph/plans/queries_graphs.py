@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import canonical, evaluate, graph, hetero, metrics, paths, ranks, resolve, search, stats, views
+from ..operators import canonical, chains, evaluate, graph, hetero, metrics, paths, ranks, resolve, search, stats, views
 from ..sources import catalogs, graphs, sinks
 from .queries import NATION_NODES, PLACES, SUPPLY, _brand_nodes, _events, _id, _nation_nodes, _place_edges, _supply_edges, _t, query
 from .queries_documents import _cat
@@ -451,17 +451,33 @@ def clean_relations(spark, d):
     return metrics.clean_relations(_t(spark, d, "orders").select("o_orderkey", source.alias("source"), target.alias("target"))).select("o_orderkey")
 
 
-@query("SELECT 4 AS diameter, -1 AS apart")
+_REACH = """
+WITH RECURSIVE e AS ({edges}), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS id FROM both_ways),
+reach(start, id, d) AS (SELECT id, id, 0 FROM n UNION SELECT start, b, d + 1 FROM reach JOIN both_ways ON a = id WHERE d < 9),
+dist AS (SELECT start, id, min(d) AS d FROM reach GROUP BY ALL)
+SELECT '{name}' AS graph, CASE WHEN count(*) = (SELECT count(*) * count(*) FROM n) THEN max(d) END AS diameter FROM dist"""
+_GRAPHS = {
+    "nations": "SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION SELECT 'n' || c_nationkey, c_mktsegment FROM customer",
+    "few customers": "SELECT 'c' || c_custkey AS a, c_mktsegment AS b FROM customer WHERE c_custkey % 20 = 0 UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey % 20 = 0",
+    "regions": "SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_REACH.format(name=name, edges=edges)})" for name, edges in _GRAPHS.items()))
 def graph_diameter(spark, d):
-    """Customers hang on nations and those on regions, which hang together; without that link the graph has no diameter."""
-    edges = _place_edges(spark, d).select("source", "target")
-    nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    nations = edges.where("source LIKE 'r%'").select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    hub = spark.createDataFrame([("r0", f"r{i}") for i in range(1, 5)], "source string, target string")
-    few = edges.where("source LIKE 'r%'").unionByName(hub)
-    whole = metrics.diameter(nations, few)
-    apart = metrics.diameter(nodes, edges)
-    return spark.createDataFrame([(whole, -1 if apart is None else apart)], "diameter int, apart int")
+    """Diameters of nations with regions and segments, of customers with segments and nations, and of regions (null: not connected)."""
+    n, c = _t(spark, d, "nation"), _t(spark, d, "customer")
+    some = c.where("c_custkey % 20 = 0")
+    pair = lambda t, a, b: t.select(a.alias("source"), b.alias("target"))
+    up = pair(n, _id("r", "n_regionkey"), _id("n", "n_nationkey"))
+    segments = pair(c, _id("n", "c_nationkey"), F.col("c_mktsegment"))
+    graphs_ = {
+        "nations": up.unionByName(segments),
+        "few customers": pair(some, _id("c", "c_custkey"), F.col("c_mktsegment")).unionByName(pair(some, _id("c", "c_custkey"), _id("n", "c_nationkey"))),
+        "regions": up,
+    }
+    found = [(name, metrics.diameter(e.select(F.explode(F.array("source", "target")).alias("id")).distinct(), e)) for name, e in graphs_.items()]
+    return spark.createDataFrame(found, "graph string, diameter int")
 
 
 @query("""
@@ -478,17 +494,36 @@ def edge_hits(spark, d):
     return edge_lines(nodes, edges, query_vector, 2).select("line")
 
 
-@query("SELECT doc_id, doc_id % 7 AS copy FROM documents WHERE doc_id < 0 UNION ALL SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 FROM embeddings WHERE vec_id < 0 UNION ALL SELECT conv_id, n FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
+@query("SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn % 2, turn) AS turns, count(*) AS n FROM conversations GROUP BY conv_id")
 def history_sizes(spark, d):
-    """Turns a conversation, appended one table to the next."""
-    c = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"))
-    return graph.stacked([c.where("ord % 2 = 0"), c.where("ord % 2 = 1")]).groupBy("doc_id").agg(F.count("*").alias("copy"))
+    """Turns of a conversation, the odd ones stacked behind the even ones: all of a table come before any of the next."""
+    c = _t(spark, d, "conversations").select("conv_id", "turn", F.col("turn").cast("long").alias("ord"))
+    both = graph.stacked([c.where("turn % 2 = 0"), c.where("turn % 2 = 1")]).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("ord", "turn"))).alias("t"))
+    return both.select("conv_id", F.array_join(F.transform("t", lambda x: x["turn"].cast("string")), ",").alias("turns"), F.size("t").cast("long").alias("n"))
 
 
-@query("SELECT p_brand AS type, string_agg(word, ',' ORDER BY word) AS words FROM (SELECT DISTINCT p_brand, split_part(p_name, ' ', 1) AS word FROM part) GROUP BY p_brand")
+@query("""
+WITH w AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name), ' +')) AS w FROM part),
+h AS (SELECT p_partkey, ('0x' || md5(w)[1:8])::BIGINT AS h FROM w WHERE w <> ''),
+v AS (SELECT p_partkey, h % 128 AS slot, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL)
+SELECT p_partkey, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY p_partkey)), 5) AS value FROM v WHERE v <> 0""")
 def embedding_groups(spark, d):
-    """Equal texts get equal vectors: one row a brand and vector."""
-    word = F.get(F.split(F.col("p_name"), " "), 0)
-    p = _t(spark, d, "part").select(F.col("p_brand").alias("type"), word.alias("word"))
-    v = search.embedded(p, "word", search.HashingEmbedder(512)).groupBy("type", F.xxhash64("embedding").alias("v")).agg(F.min("word").alias("word"), F.max("word").alias("last"))
-    return v.groupBy("type").agg(F.array_join(F.array_sort(F.collect_set("word")), ",").alias("words"))
+    """Every entry that isn't zero of the parts' vectors."""
+    v = search.embedded(_t(spark, d, "part").select("p_partkey", "p_name"), "p_name", search.HashingEmbedder(128))
+    return v.select("p_partkey", F.posexplode("embedding").alias("slot", "value")).where("value <> 0").select("p_partkey", F.col("slot").cast("long").alias("slot"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+_LINKS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 37 = 0 THEN CASE WHEN p_partkey // 37 % 5 = 4 THEN p_partkey + 36 END ELSE p_partkey - 1 END AS parent FROM part"
+
+
+@query(f"""
+WITH RECURSIVE l AS ({_LINKS}), alive AS (SELECT id, parent FROM l WHERE parent IS NOT NULL),
+walk(id, here, d) AS (SELECT id, parent, 1 FROM alive UNION ALL SELECT w.id, a.parent, d + 1 FROM walk w JOIN alive a ON w.here = a.id WHERE d < 80),
+far AS (SELECT id, max(d) AS d, arg_max(here, d) AS here FROM walk GROUP BY id),
+loops AS (SELECT w.id, min(w.here) AS low FROM walk w JOIN far f ON w.id = f.id WHERE f.d = 80 AND w.d > 40 GROUP BY w.id)
+SELECT id, coalesce(low, here) AS root, CASE WHEN low IS NULL THEN d END AS distance, low IS NOT NULL AS cyclic FROM far LEFT JOIN loops USING (id)""")
+def copy_chains(spark, d):
+    """Parts that copy the one before them: chains of up to 36 links, and cycles of 37."""
+    p = F.col("p_partkey")
+    ring = F.when((F.floor(p / 37) % 5) == 4, p + 36)
+    return chains.ends(_t(spark, d, "part").select(p.alias("id"), F.when(p % 37 == 0, ring).otherwise(p - 1).alias("parent")))

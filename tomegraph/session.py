@@ -61,6 +61,31 @@ def remove(path: str) -> None:
         where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
 
 
+class Levels:
+    """A table that grows level by level in one folder, so that its plan stays one scan."""
+
+    def __init__(self, spark: SparkSession, first):
+        import uuid
+
+        self.spark, self.schema, self.n = spark, first.schema, 0
+        self.path = f"{scratch_root(spark)}/levels-{uuid.uuid4().hex}"
+        self.add(first)
+
+    def add(self, rows) -> bool:
+        """Write the next level; whether it has rows."""
+        rows.select(self.schema.names).write.parquet(f"{self.path}/level-{self.n}")
+        self.n += 1
+        return not self.last.isEmpty()
+
+    @property
+    def last(self):
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/level-{self.n - 1}")
+
+    @property
+    def all(self):
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/level-{i}" for i in range(self.n)))
+
+
 def materialise(df, label: str = "step"):
     """Write df to the shared folder and read it back."""
     import uuid
