@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import containment, similarity, tags
 from ..functions import text as T
-from ..operators import canonical, evaluate, flatten, graph, hetero, metrics, parsers, paths, resolve, search, stats, traverse, views
+from ..operators import canonical, evaluate, flatten, graph, hetero, metrics, parsers, paths, resolve, search, stats, traverse, vector_index, views
+from ..session import scratch_root
 from ..sources import graphs, sinks
 from . import context
 
@@ -109,16 +110,41 @@ def vector_topk_nodes(spark, d):
     return search.top_k(e, q, 10, ord="vec_id").select("vec_id", "score")
 
 
-@query("""
+_TOPK = """
 WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM p)
-SELECT query_id, id, score, rank::INT AS rank FROM r WHERE rank <= 3""")
+SELECT query_id, id, score, rank::INT AS rank FROM r WHERE rank <= 3"""
+
+
+@query(_TOPK)
 def vector_topk_per_query(spark, d):
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return search.top_k_per_query(e, e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 3)
 
 
+def _indexed(spark, d, exact: bool) -> DataFrame:
+    """Search in an index of all embeddings, written first and opened anew."""
+    import uuid
+
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = f"{scratch_root(spark)}/vector-index-{uuid.uuid4().hex}"
+    vector_index.VectorIndex.build(e, path)
+    return vector_index.VectorIndex.open(spark, path).search(e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 3, exact=exact)
+
+
+@query(_TOPK)
+def vector_index_exact(spark, d):
+    """All true neighbours, from the cells that can hold them."""
+    return _indexed(spark, d, True)
+
+
+@query()
+def vector_index_topk(spark, d):
+    """Neighbours from the cells that a query looks into; recall is held by a test."""
+    return _indexed(spark, d, False)
+
+
 # --- nodes and edges ----------------------------------------------------------------------------
 
 
