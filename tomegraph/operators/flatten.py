@@ -1,134 +1,189 @@
 """Nested documents to tables of sections (DOC-1..10, 14, 15, 17, SRC-13).
 
-A document is walked by one task as a whole: entries nest without bound and mix strings with
-objects, and a recursive query would be bound by its row limit. The walk only cuts the document into
-sections and lines; tags are resolved by column expressions afterwards.
+A frontier of variant values goes down the documents level by level: each round explodes the `entries`
+of all containers found in the round before, over all documents at once, and writes what it found. So one
+huge book is spread over the tasks, no Python worker parses JSON, and there are as many rounds as the deepest
+nesting. Tags are resolved by column expressions afterwards.
 
 Two profiles: `shadow` opens a section at every structural entry and follows those alone; `indexed`
 asks for an id as well, takes other containers as part of the section around them, and leaves table
 cells and list marks outside tag parsing.
+
+Defined cases: a body that is null or no JSON (or repeats a key within an object) has no sections; one too large
+for a variant is an error; `entries`, `items` and the like that are no lists count as absent; an object or list
+as a table cell is written as JSON, its keys in alphabetical order; numbers are written without trailing zeros, and
+a page is a whole number or null.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tags
 from ..model import STRUCTURAL_TYPES
+from ..session import Levels, materialise
 
 _LINE = "struct<prefix: string, text: string, tagged: boolean>"
-RAW_NODES = f"doc_id string, path array<int>, parent_path array<int>, depth int, node_id string, title string, type string, page int, lines array<{_LINE}>, ignored int"
-
-
-def cell(x: Any) -> str:
-    return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) if isinstance(x, (dict, list)) else str(x)
-
-
-class _Walk:
-    def __init__(self, profile: str):
-        if profile not in ("shadow", "indexed"):
-            raise ValueError(f"no such profile: {profile}")
-        self.indexed = profile == "indexed"
-        self.nodes: list[dict] = []
-
-    def structural(self, e: Any) -> bool:
-        return isinstance(e, dict) and e.get("type") in STRUCTURAL_TYPES and (bool(e.get("id")) or not self.indexed)
-
-    def top(self, entries: list) -> None:
-        for i, e in enumerate(entries):
-            if self.structural(e):
-                self.section(e, [i], [])
-            elif self.indexed and isinstance(e, dict):
-                self.inside(e.get("entries") or [], None, [i], [])
-
-    def section(self, e: dict, path: list[int], parent: list[int]) -> None:
-        page = e.get("page")
-        node = {"path": path, "parent_path": parent, "depth": len(path) if not parent else self.depth_of(parent) + 1, "node_id": str(e.get("id") or ""), "title": str(e.get("name") or "Untitled Section"), "type": e["type"], "page": page if isinstance(page, int) else None, "lines": [], "ignored": 0}
-        if not parent:
-            node["depth"] = 0
-        self.nodes.append(node)
-        self.inside(e.get("entries") or [], node, path, path)
-
-    def depth_of(self, path: list[int]) -> int:
-        return next(n["depth"] for n in reversed(self.nodes) if n["path"] == path)
-
-    def inside(self, entries: list, node: dict | None, path: list[int], owner: list[int]) -> None:
-        for i, e in enumerate(entries):
-            if self.structural(e):
-                self.section(e, [*path, i], owner)
-            elif self.indexed and isinstance(e, dict) and isinstance(e.get("entries"), list) and e.get("type") != "quote":
-                self.inside(e["entries"], node, [*path, i], owner)
-            elif node is not None:
-                self.content(e, node)
-
-    def content(self, e: Any, node: dict) -> None:
-        put = lambda text, prefix="", tagged=True: node["lines"].append({"prefix": prefix, "text": text, "tagged": tagged}) if text else None
-        if isinstance(e, str):
-            put(e)
-            return
-        kind = e.get("type") if isinstance(e, dict) else None
-        if kind == "list":
-            for item in e.get("items") or []:
-                mark, text = "- ", item
-                if isinstance(item, dict):
-                    if "entry" not in item:
-                        continue
-                    mark, text = (f"- **{item['name']}**: " if item.get("name") else "- "), item["entry"]
-                if isinstance(text, str):
-                    put(text, mark) if self.indexed else put(mark + text)
-        elif kind == "table":
-            if e.get("caption"):
-                put(f"**Table: {e['caption']}**", tagged=not self.indexed)
-            for row in e.get("rows") or []:
-                put(" | ".join(map(cell, row if isinstance(row, list) else [row])), tagged=not self.indexed)
-        elif kind == "image":
-            put(self.image(e))
-        elif kind == "gallery":
-            shown = [x for x in map(self.image, e.get("images") or []) if x]
-            if shown or self.indexed:
-                put("**Gallery:**")
-            for x in shown:
-                put(x)
-        elif kind == "quote":
-            for x in e.get("entries") or []:
-                if isinstance(x, str):
-                    put(f"> {x}")
-        else:
-            node["ignored"] += 1
-
-    @staticmethod
-    def image(e: Any) -> str:
-        if not isinstance(e, dict) or not e.get("title"):
-            return ""
-        return f"[Image ({e['imageType']}): {e['title']}]" if e.get("imageType") else f"[Image: {e['title']}]"
-
-
-def walk(body: str | None, profile: str = "shadow") -> list[dict]:
-    """Sections of one JSON document; none for text that isn't JSON."""
-    try:
-        data = json.loads(body or "")
-    except ValueError:
-        return []
-    w = _Walk(profile)
-    entries = data.get("data") if isinstance(data, dict) else data
-    w.top(entries if isinstance(entries, list) else [])
-    return w.nodes
+PROFILES = ("shadow", "indexed")
+#: Bytes from which a body that can't be read may be too large instead of broken.
+LARGE_BYTES = 16 << 20
 
 
-def raw_nodes(docs: DataFrame, profile: str = "shadow") -> DataFrame:
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in RAW_NODES.split(", ") if not c.startswith(("text:", "tagged:"))]
-        for pdf in it:
-            rows = [{"doc_id": d, **n} for d, body in zip(pdf["doc_id"], pdf["body"], strict=True) for n in walk(body, profile)]
-            yield pd.DataFrame(rows, columns=names)
+# --- variants ------------------------------------------------------------------------------------
+
+
+def _get(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "variant")
+
+
+def _kind(v: Column) -> Column:
+    """STRING, BIGINT, OBJECT<...>, ARRAY<...>, VOID and so on."""
+    return F.schema_of_variant(v)
+
+
+def _is_text(v: Column) -> Column:
+    return F.coalesce(_kind(v) == "STRING", F.lit(False))
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.startswith(_kind(v), F.lit("OBJECT")), F.lit(False))
+
+
+def _is_list(v: Column) -> Column:
+    return F.coalesce(F.startswith(_kind(v), F.lit("ARRAY")), F.lit(False))
+
+
+def _items(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _string(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def _given(v: Column) -> Column:
+    """Neither absent, null, empty, zero nor false."""
+    return F.coalesce(v.isNotNull() & (_kind(v) != "VOID") & ~F.to_json(v).isin('""', "0", "0.0", "false", "[]", "{}"), F.lit(False))
+
+
+def _plain(v: Column) -> Column:
+    """Any value as text: words for truth values and null, JSON with blanks for objects and lists."""
+    spaced = F.regexp_replace(F.to_json(v), r'\G((?:"(?:[^"\\]|\\.)*+"|[^",:])*+)([:,])', "$1$2 ")
+    return F.when(_is_text(v), _string(v)).when(_kind(v) == "BOOLEAN", F.initcap(_string(v))).when(_kind(v) == "VOID", "None").when(_is_object(v) | _is_list(v), spaced).otherwise(_string(v))
+
+
+# --- content -------------------------------------------------------------------------------------
+
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("body").cast("string").alias("body")).mapInPandas(run, RAW_NODES)
+def _line(text: Column, prefix: Column | None = None, tagged: bool = True) -> Column:
+    return F.struct((F.lit("") if prefix is None else prefix).alias("prefix"), text.alias("text"), F.lit(tagged).alias("tagged"))
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{_LINE}>")
+
+
+def _one(condition: Column, line: Column) -> Column:
+    return F.when(condition, F.array(line)).otherwise(_none())
+
+
+def _image(v: Column) -> Column:
+    """The line of an image, null without a title."""
+    kind = F.when(_given(_get(v, "imageType")), F.concat(F.lit(" ("), _plain(_get(v, "imageType")), F.lit(")"))).otherwise("")
+    return F.when(_given(_get(v, "title")), F.concat(F.lit("[Image"), kind, F.lit(": "), _plain(_get(v, "title")), F.lit("]")))
+
+
+def _list_lines(e: Column, indexed: bool) -> Column:
+    def line(item: Column) -> Column:
+        mark = F.when(_is_object(item) & _given(_get(item, "name")), F.concat(F.lit("- **"), _plain(_get(item, "name")), F.lit("**: "))).otherwise("- ")
+        text = F.when(_is_object(item), F.when(_is_text(_get(item, "entry")), _string(_get(item, "entry")))).when(_is_text(item), _string(item))
+        return _line(text, mark) if indexed else _line(F.concat(mark, text))
+
+    kept = F.filter(F.transform(_items(_get(e, "items")), line), lambda x: x["text"].isNotNull())
+    return F.filter(kept, lambda x: x["text"] != "") if indexed else kept
+
+
+def _table_lines(e: Column, indexed: bool) -> Column:
+    caption = _one(_given(_get(e, "caption")), _line(F.concat(F.lit("**Table: "), _plain(_get(e, "caption")), F.lit("**")), tagged=not indexed))
+    row = lambda r: F.when(_is_list(r), F.array_join(F.transform(_items(r), _plain), " | ")).otherwise(_plain(r))
+    rows = F.transform(_items(_get(e, "rows")), lambda r: _line(row(r), tagged=not indexed))
+    return F.concat(caption, F.filter(rows, lambda x: x["text"] != ""))
+
+
+def _gallery_lines(e: Column, indexed: bool) -> Column:
+    shown = F.filter(F.transform(_items(_get(e, "images")), lambda v: _line(_image(v))), lambda x: x["text"].isNotNull())
+    return F.concat(_one(F.lit(True) if indexed else F.size(shown) > 0, _line(F.lit("**Gallery:**"))), shown)
+
+
+def _quote_lines(e: Column) -> Column:
+    said = F.transform(_items(_get(e, "entries")), lambda v: _line(F.when(_is_text(v), F.concat(F.lit("> "), _string(v)))))
+    return F.filter(said, lambda x: x["text"].isNotNull())
+
+
+def _lines(e: Column, kind: Column, indexed: bool) -> Column:
+    """Lines of an entry that is content; null if its form is unknown."""
+    return (
+        F.when(_is_text(e), _one(_string(e) != "", _line(_string(e))))
+        .when(kind == "list", _list_lines(e, indexed))
+        .when(kind == "table", _table_lines(e, indexed))
+        .when(kind == "image", _one(_image(e).isNotNull(), _line(_image(e))))
+        .when(kind == "gallery", _gallery_lines(e, indexed))
+        .when(kind == "quote", _quote_lines(e))
+    )
+
+
+# --- the frontier --------------------------------------------------------------------------------
+
+
+def _found(frontier: DataFrame, indexed: bool) -> DataFrame:
+    """What the entries (e) of a level are: sections, containers that are followed, or content of the owner."""
+    e, kind = F.col("e"), F.col("kind")
+    structural = F.coalesce(kind.isin(*STRUCTURAL_TYPES), F.lit(False)) & (_given(_get(e, "id")) if indexed else F.lit(True))
+    top = F.size("path") == 1
+    # a quote is a container only where no section is around it yet
+    through = F.when(top, _is_object(e)).otherwise(_is_list(_get(e, "entries")) & ~F.coalesce(kind == "quote", F.lit(False))) if indexed else F.lit(False)
+    role = F.when(structural, "section").when(through, "through").when(F.col("owner").isNotNull(), "content")
+    page = _get(e, "page")
+    is_section = F.col("role") == "section"
+    out = frontier.withColumn("kind", F.when(_is_text(_get(e, "type")), _string(_get(e, "type")))).withColumn("role", role).where("role IS NOT NULL")
+    of_section = lambda value: F.when(is_section, value)
+    return out.select(
+        "doc", "doc_id", "path", "owner", "role", F.when(is_section, F.coalesce(F.col("depth") + 1, F.lit(0))).otherwise(F.col("depth")).alias("depth"),
+        of_section(F.when(_given(_get(e, "id")), _plain(_get(e, "id"))).otherwise("")).alias("node_id"),
+        of_section(F.when(_given(_get(e, "name")), _plain(_get(e, "name"))).otherwise("Untitled Section")).alias("title"),
+        of_section(kind).alias("type"), of_section(F.when(~_kind(page).isin("STRING", "BOOLEAN") & F.rlike(_string(page), F.lit("^-?[0-9]+$")), F.try_variant_get(page, "$", "int"))).alias("page"),
+        F.when(F.col("role") == "content", _lines(e, kind, indexed)).alias("lines"), F.when(F.col("role") != "content", _get(e, "entries")).alias("entries"),
+    )
+
+
+def raw_nodes(docs: DataFrame, profile: str = "shadow") -> DataFrame:
+    """Sections (doc_id, path, parent_path, depth, node_id, title, type, page, lines, ignored) with their lines as found."""
+    if profile not in PROFILES:
+        raise ValueError(f"no such profile: {profile}")
+    indexed = profile == "indexed"
+    body = F.col("body")
+    read = docs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").cast("string").alias("doc_id"), F.col("body").cast("string").alias("body"))
+    read = read.withColumn("v", F.when(F.try_parse_json(body).isNull() & (F.octet_length(body) >= LARGE_BYTES), F.raise_error("a document is too large or no JSON").cast("variant")).otherwise(F.try_parse_json(body)))
+    start = read.select("doc", "doc_id", F.when(_is_list(F.col("v")), F.col("v")).otherwise(_get(F.col("v"), "data")).alias("entries"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("array<int>").alias("owner"), F.lit(None).cast("int").alias("depth"))
+
+    def below(t: DataFrame) -> DataFrame:
+        each = t.select("doc", "doc_id", "owner", "depth", "path", F.posexplode(_items(F.col("entries"))).alias("i", "e"))
+        return _found(each.select("doc", "doc_id", "owner", "depth", F.concat("path", F.array("i")).alias("path"), "e"), indexed)
+
+    # documents are parsed once, here, so that the numbers of rows hold
+    levels = Levels(docs.sparkSession, below(materialise(start, "documents")))
+    while True:
+        inner = levels.last.where("role <> 'content'").withColumn("owner", F.when(F.col("role") == "section", F.col("path")).otherwise(F.col("owner")))
+        if not levels.add(below(inner)):
+            break
+    every = levels.all
+    sections = every.where("role = 'section'").select("doc", "doc_id", "path", F.coalesce("owner", F.array().cast("array<int>")).alias("parent_path"), "depth", "node_id", "title", "type", "page")
+    content = every.where("role = 'content'").groupBy("doc", F.col("owner").alias("path")).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("lines") > 0, F.struct("path", "lines")))), lambda x: x["lines"])).alias("lines"), F.count(F.when(F.col("lines").isNull(), 1)).cast("int").alias("ignored")
+    )
+    out = sections.join(content, ["doc", "path"], "left")
+    return out.select("doc_id", "path", "parent_path", "depth", "node_id", "title", "type", "page", F.coalesce("lines", _none()).alias("lines"), F.coalesce("ignored", F.lit(0)).alias("ignored"))
 
 
 def flatten(docs: DataFrame, profile: str = "shadow") -> DataFrame:
@@ -153,26 +208,11 @@ def external_refs(nodes: DataFrame) -> DataFrame:
 
 
 def entry_types(docs: DataFrame) -> DataFrame:
-    """All distinct string `type` values anywhere in the documents, sorted."""
-
-    def types(x: Any) -> Iterator[str]:
-        if isinstance(x, dict):
-            if isinstance(x.get("type"), str):
-                yield x["type"]
-            for v in x.values():
-                yield from types(v)
-        elif isinstance(x, list):
-            for v in x:
-                yield from types(v)
-
-    @F.pandas_udf("array<string>")
-    def found(bodies: pd.Series) -> pd.Series:
-        def one(b):
-            try:
-                return sorted(set(types(json.loads(b or ""))))
-            except ValueError:
-                return []
-
-        return bodies.map(one)
-
-    return docs.select(F.explode(found(F.col("body").cast("string"))).alias("type")).distinct().orderBy("type")
+    """All distinct string `type` values anywhere in the documents, sorted.
+
+    In compact JSON a key stands right behind a brace or comma, and no text within quotes can look like that.
+    """
+    text = F.to_json(F.try_parse_json(F.col("body").cast("string")))
+    found = F.regexp_extract_all(text, F.lit(r'[{,]"type":"((?:[^"\\]|\\.)*)"'), 1)
+    plain = F.get_json_object(F.concat(F.lit('{"v":"'), F.col("t"), F.lit('"}')), "$.v")
+    return docs.select(F.explode(F.array_distinct(found)).alias("t")).distinct().select(plain.alias("type")).orderBy("type")
