@@ -102,6 +102,42 @@ def test_in_order(spark):
     assert out.count() == 5
 
 
+class Teller:
+    """One creature a section, named alike but with a label of the section's own; some calls fail, one is cut short."""
+
+    def complete(self, prompt, params):
+        body = prompt.rpartition("### TEXT\n")[2]
+        if "fails" in body:
+            raise TimeoutError("no answer")
+        return f"<entities>\nEntity: {body.strip()}\nID: same\nType: Creature\n</entities>", "length" if "long" in body else "stop"
+
+
+def test_document_order_and_failed_calls(spark):
+    """Sections 9 and 10 of two documents: neither hashes nor texts of paths give this order."""
+    entries = [{"type": "section", "id": f"s{i}", "entries": [f"Told {chr(65 + i)}" + (" fails" if i == 5 else " long" if i == 6 else "")]} for i in range(12)]
+    out = stages.semantic(docs(spark, entries, entries[3:]), {}, Teller())
+    assert [(r.id, r.label) for r in out["nodes"].collect()] == [("same", "Told G long")]  # the longest label wins, the first of those
+    calls = {r.key: (r.status, r.error, r.finish_reason) for r in out["calls"].collect()}
+    assert len(calls) == 21 and calls["d0/5"] == calls["d1/2"] == ("error", "TimeoutError: no answer", None)
+    assert sorted(r.key for r in truncations(out["calls"]).collect()) == ["d0/6", "d1/3"]
+    extracted = stages.extract_in_order(flatten.flatten(docs(spark, entries, entries[3:]), "indexed"), Teller())
+    told = extracted.selectExpr("doc_id", "path", "posexplode(entities) AS (i, e)").selectExpr("doc_id", "path", "i", "e.label")
+    rows = stages.in_document_order(told, "i").orderBy("ord").collect()
+    assert [r.label[5] for r in rows] == list("ABCDEGHIJKL") + list("DEGHIJKL")
+    assert [r.ord for r in rows] == list(range(1, 20))
+    from pyspark.sql import functions as F
+
+    assert [r.label for r in rows] != [r.label for r in sorted(told.withColumn("h", F.xxhash64("doc_id", "path", "i")).collect(), key=lambda r: r.h)]
+
+
+def test_calls_in_flight(monkeypatch):
+    from tomegraph.plans import client
+
+    assert (client.concurrency("qwen-7b"), client.concurrency("other")) == (5, 50)
+    monkeypatch.setenv("LLM_CONCURRENCY", "3")
+    assert client.concurrency("other") == 3
+
+
 class Scripted:
     """Fixed replies by stage."""
 

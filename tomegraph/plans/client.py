@@ -1,7 +1,7 @@
 """Calls to a language model as a replayable table (LLM-13, SNK-4).
 
-Replies are written to a table before anything reads them, so retries of tasks and new plans never
-pay for a call twice.
+Replies are written to a table before anything reads them, so later plans don't pay for a call again; a task
+that is lost before its part is committed does.
 """
 
 from __future__ import annotations
@@ -81,26 +81,30 @@ class HttpClient:
 
 
 def concurrency(model: str = "") -> int:
+    """Calls in flight a task: LLM_CONCURRENCY, else by the kind of model."""
     default = IN_FLIGHT_LOCAL if re.search("qwen|local", model.lower()) else IN_FLIGHT
     return int(os.environ.get("LLM_CONCURRENCY", default))
 
 
-def call(prompts: DataFrame, client: Client, stage: str, in_flight: int = IN_FLIGHT, **params) -> DataFrame:
-    """llm_calls of prompts (key, prompt): one row each, an error never fails the stage."""
+def attempt(client: Client, key: str, prompt: str, stage: str, **params) -> dict:
+    """One call as a row of LLM_CALLS; an error is the row's result."""
+    row = {"prompt_hash": prompt_hash(prompt, stage), "stage": stage, "key": key, "prompt": prompt, "response": None, "status": "ok", "error": None, "finish_reason": None}
+    try:
+        row["response"], row["finish_reason"] = client.complete(prompt, {"stage": stage, **params})
+    except Exception as e:  # noqa: BLE001
+        row |= {"status": "error", "error": f"{type(e).__name__}: {e}"}
+    return row
+
+
+def call(prompts: DataFrame, client: Client, stage: str, in_flight: int | None = None, **params) -> DataFrame:
+    """llm_calls of prompts (key, prompt): one row each, an error never fails the stage; in_flight calls a task, concurrency() by default."""
+    at_once = in_flight or concurrency(getattr(client, "model", ""))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(row: tuple[str, str]) -> tuple:
-            key, prompt = row
-            h = prompt_hash(prompt, stage)
-            try:
-                text, why = client.complete(prompt, {"stage": stage, **params})
-                return h, stage, key, prompt, text, "ok", None, why
-            except Exception as e:  # noqa: BLE001  the error is the row's result
-                return h, stage, key, prompt, None, "error", f"{type(e).__name__}: {e}", None
-
-        with ThreadPoolExecutor(in_flight) as pool:
+        with ThreadPoolExecutor(at_once) as pool:
             for pdf in it:
-                yield pd.DataFrame(list(pool.map(one, zip(pdf["key"], pdf["prompt"], strict=True))), columns=[c.split(" ")[0] for c in LLM_CALLS.split(", ")])
+                rows = pool.map(lambda row: attempt(client, *row, stage, **params), zip(pdf["key"], pdf["prompt"], strict=True))
+                yield pd.DataFrame(list(rows), columns=[c.split(" ")[0] for c in LLM_CALLS.split(", ")])
 
     return materialise(prompts.select(F.col("key").cast("string").alias("key"), "prompt").mapInPandas(run, LLM_CALLS), f"calls-{stage}")
 

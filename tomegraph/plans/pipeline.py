@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,8 +109,11 @@ def main(argv: Sequence[str] | None = None) -> int:
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--model")
     p.add_argument("--base-url")
+    p.add_argument("--concurrency", type=int, help="calls in flight a task; LLM_CONCURRENCY or the kind of model decide otherwise")
     a = p.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
+    if a.concurrency:
+        os.environ["LLM_CONCURRENCY"] = str(a.concurrency)
     client = HttpClient(a.base_url, a.model or "") if a.base_url else RuleClient()
     Build(session(), a.input, a.output, client, a.force).run(a.stage or ["all"], a.dry_run)
     return 0

@@ -387,3 +387,14 @@ def parse_unified(spark, d):
     text = F.when(F.col("p_size") % 4 == 0, _cat(some, "<events>\nEvent: ", F.col("p_brand"), "\n</events>")).when(F.col("p_size") % 4 == 1, some).when(F.col("p_size") % 4 == 2, _cat("<summary>x</summary>", some)).otherwise(_cat("<events>\nEvent: ", F.col("p_brand")))
     got = _t(spark, d, "part").select("p_partkey", parsers.unified(text).alias("r"))
     return got.select("p_partkey", F.concat_ws("|", F.transform("r.entities", lambda x: x["label"]), F.transform("r.events", lambda x: x["label"])).alias("found"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY (l_orderkey % 11)::VARCHAR, [l_partkey % 13, l_suppkey % 17], l_orderkey, l_linenumber, l_partkey) AS ord FROM lineitem")
+def entity_order(spark, d):
+    """Entities in the order of documents, paths and places: 10 comes after 9 in a path."""
+    from . import stages
+
+    i = _t(spark, d, "lineitem")
+    path = F.array((F.col("l_partkey") % 13).cast("int"), (F.col("l_suppkey") % 17).cast("int"))
+    rows = i.select((F.col("l_orderkey") % 11).cast("string").alias("doc_id"), path.alias("path"), "l_orderkey", "l_linenumber", "l_partkey")
+    return stages.in_document_order(rows, "l_orderkey", "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "ord")

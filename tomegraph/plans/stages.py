@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import canonical, graph, hetero, parsers, traverse
+from ..model import LLM_CALLS
+from ..operators import canonical, graph, hetero, parsers, ranks, traverse
 from ..session import materialise
-from .client import Client, call
+from .client import Client, attempt, call
 from .prompts import UNIFIED, prompt
 
 #: Known entities of each type that a prompt shows.
@@ -103,9 +104,11 @@ def extract_in_order(nodes: DataFrame, client: Client, seeds: list[tuple[str, st
     """Entities and events section by section in document order, each call knowing what came before.
 
     `seeds` (id, label, type) are known from the start; of each type the first KNOWN are shown. The
-    order is the semantics, so a document is one task; documents run beside each other.
+    order is the semantics, so a document is one task; documents run beside each other. A section whose call
+    failed has neither; the call's row (`call`, see sequential_calls) tells why.
     """
-    fields = f"doc_id string, path array<int>, entities array<{parsers.ENTITY}>, events array<{parsers.EVENT}>"
+    row = LLM_CALLS.replace(" string", ": string")
+    fields = f"doc_id string, path array<int>, entities array<{parsers.ENTITY}>, events array<{parsers.EVENT}>, call struct<{row}>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         known: dict[str, dict[str, str]] = {}
@@ -119,19 +122,28 @@ def extract_in_order(nodes: DataFrame, client: Client, seeds: list[tuple[str, st
         for r in pdf.sort_values("path", key=lambda s: s.map(tuple)).itertuples():
             lines = [x for t, of in known.items() for x in (f"{t}:", *(f"  - [{i}] {label}" for i, label in list(of.items())[:KNOWN]))]
             before = "### KNOWN\n" + "\n".join(lines) + "\n\n" if lines else ""
-            try:
-                reply, _ = client.complete(f"{UNIFIED}\n\n{before}### TEXT\n{r.content or ''}", {"stage": "events", "temperature": 0.75})
-            except Exception:  # noqa: BLE001  a failed call has no entities
-                reply = ""
+            key = f"{r.doc_id}/{'.'.join(map(str, r.path))}"
+            made = attempt(client, key, f"{UNIFIED}\n\n{before}### TEXT\n{r.content or ''}", "events", temperature=0.75)
+            reply = made["response"] or ""
             entities, events = parsers.parse_entities(reply) if "<entities>" in reply else [], parsers.parse_events(reply)
             for e in entities:
                 learn(e["id"], e["label"], e["type"])
-            out.append((r.doc_id, list(r.path), entities, events))
-        return pd.DataFrame(out, columns=["doc_id", "path", "entities", "events"])
+            out.append((r.doc_id, list(r.path), entities, events, made))
+        return pd.DataFrame(out, columns=["doc_id", "path", "entities", "events", "call"])
 
     return nodes.select("doc_id", "path", "content").groupBy("doc_id").applyInPandas(run, fields)
 
 
+def sequential_calls(extracted: DataFrame) -> DataFrame:
+    """The call of each section of extract_in_order(): prompt, reply, status, error and finish reason."""
+    return extracted.select("call.*")
+
+
+def in_document_order(rows: DataFrame, *place: str, after: int = 0) -> DataFrame:
+    """rows with ord, their place when ordered by document, path and what stands within it."""
+    return ranks.numbered(rows.orderBy("doc_id", "path", *place), "ord").withColumn("ord", F.col("ord") + after)
+
+
 def relate(sections: DataFrame, aliases: DataFrame, client: Client, stage: str = "relations") -> DataFrame:
     """Relations of sections that mention two known entities or more; the first of each key holds.
 
@@ -156,28 +168,40 @@ def resolve_groups(entities: DataFrame, client: Client, least: int = 10) -> Data
 
 
 def two_phase(sections: DataFrame, client: Client) -> tuple[DataFrame, DataFrame]:
-    """Recognise entities of sections (section_id, content), resolve them, then relate those that are mentioned together."""
+    """Recognise entities of sections (section_id, content), resolve them, then relate those that are mentioned together.
+
+    The first of several equal entities holds, in the order of the sections' ord where they have one, else of their ids.
+    """
     found = recognise(sections.select(F.col("section_id").alias("key"), "content"), client)
-    found = materialise(found.withColumns({"group": F.col("type"), "ord": F.struct("key", "i")}).select("group", "id", "label", "type", "aliases", "ord"), "entities")
-    kept = graph.first_wins(resolve_groups(found.withColumn("ord", F.xxhash64("ord")), client), ["id"])
+    if "ord" in sections.columns:
+        found = found.join(sections.select(F.col("section_id").alias("key"), F.col("ord").alias("at")), "key")
+    else:
+        found = found.withColumn("at", F.col("key"))
+    found = ranks.numbered(found.orderBy("at", "key", "i"), "ord").select(F.col("type").alias("group"), "id", "label", "type", "aliases", "ord")
+    kept = graph.first_wins(resolve_groups(found, client), ["id"])
     nodes = materialise(hetero.meaningful(kept), "nodes")
     edges = relate(sections, canonical.alias_map(nodes), client)
     return nodes, graph.induced(nodes, edges)
 
 
 def semantic(docs: DataFrame, catalogs: dict[str, DataFrame], client: Client) -> dict[str, DataFrame]:
-    """Parse, resolve, seed, extract in order, place in hierarchies, relate, assemble: tables sections, references, entities, nodes, edges, stats."""
+    """Parse, resolve, seed, extract in order, place in hierarchies, relate, assemble: tables sections, references, entities, nodes, edges, calls, stats.
+
+    Seeds stand in the order of their first references, before all that sections tell, which comes in document order.
+    """
     from ..operators import flatten, resolve, stats
 
     sections = materialise(flatten.flatten(docs, "indexed"), "sections")
     refs = materialise(flatten.external_refs(sections), "references")
     entities = materialise(resolve.resolve_all(refs, catalogs), "entities")
     none = F.array().cast("array<string>")
-    own = resolve.seeds(entities).select("id", "label", "type", none.alias("aliases"), F.xxhash64("id").alias("ord"))
+    first = ranks.numbered(refs.orderBy("doc_id", "path", "link_ord"), "at").groupBy(F.col("display_name").alias("label")).agg(F.min("at").alias("at"))
+    seeds = resolve.seeds(entities).join(first, "label", "left").select("id", "label", "type", none.alias("aliases"), "at")
+    own = ranks.numbered(seeds.orderBy("at", "id", "type"), "ord").drop("at")
     shown = graph.first_n(own, ["type"], KNOWN).orderBy("type", "rank").collect()  # KNOWN rows a type
     extracted = materialise(extract_in_order(sections, client, [(r.id, r.label, r.type) for r in shown]), "extracted")
-    new = extracted.select("doc_id", "path", F.posexplode("entities").alias("i", "e")).select("e.id", "e.label", "e.type", F.coalesce("e.aliases", none).alias("aliases"), F.xxhash64("doc_id", "path", "i").alias("ord"))
-    events = extracted.select("doc_id", "path", F.posexplode("events").alias("i", "e")).select("e.id", "e.label", "e.type", "e.participants", "e.location", "e.description", F.xxhash64("doc_id", "path", "i").alias("ord"))
+    new = in_document_order(extracted.select("doc_id", "path", F.posexplode("entities").alias("i", "e")), "i", after=own.count()).select("e.id", "e.label", "e.type", F.coalesce("e.aliases", none).alias("aliases"), "ord")
+    events = in_document_order(extracted.select("doc_id", "path", F.posexplode("events").alias("i", "e")), "i").select("e.id", "e.label", "e.type", "e.participants", "e.location", "e.description", "ord")
     every = materialise(own.unionByName(new), "every-entity")
     texts = _path_key(sections).select(F.col("key").alias("section_id"), "content")
     inside = relate(texts, canonical.alias_map(hetero.meaningful(every).where("type = 'Location'")), client, "hierarchy")
@@ -186,7 +210,7 @@ def semantic(docs: DataFrame, catalogs: dict[str, DataFrame], client: Client) ->
     relations = materialise(inside.select(*ends).unionByName(meant.select(*ends)), "relations")
     known = canonical.canonical_ids(every.select("id", "label", "aliases"), every).select("old_id", "new_id")
     nodes, edges = hetero.assemble(every, events, relations, known)
-    return {"sections": sections, "references": refs, "entities": entities, "nodes": nodes, "edges": edges, "stats": stats.graph_totals(nodes, edges)}
+    return {"sections": sections, "references": refs, "entities": entities, "nodes": nodes, "edges": edges, "calls": sequential_calls(extracted), "stats": stats.graph_totals(nodes, edges)}
 
 
 def explain_extraction(node: str, client: Client) -> dict:
