@@ -68,6 +68,26 @@ def test_texts_by_join_beyond_the_filter(spark, monkeypatch):
     assert sorted(tuple(r) for r in X.exact_groups(documents(spark, data)).collect()) == brute(data)
 
 
+def test_one_digest_meets_many(spark, tmp_path, monkeypatch):
+    """A small snapshot and a large batch: the batch's share of the only bucket goes in parts; a small batch reads its shelf alone."""
+    monkeypatch.setattr(X, "BUCKET_KEYS", 500)
+    many = X._grouped(X.digests(X.identified(documents(spark, [(i, f"text {i}") for i in range(6000)])), 1), "keep_id", "n")
+    one = many.where("keep_id = 17")
+    small = X.Snapshot.build(one, str(tmp_path / "one"))
+    assert (small.buckets, small.parts(6000)) == (1, 12)
+    passed = small.screen(many)
+    sizes = many.groupBy(X.F.pmod(X.F.shiftright("key", 40), X.F.lit(12)).alias("part")).count()
+    assert sizes.agg(X.F.max("count")).first()[0] < 800
+    new = passed.withColumnsRenamed({"keep_id": "new_id", "n": "new_n"})
+    assert [(r.new_id, r.keep_id) for r in small.known(new).collect()] == [(17, 17)]
+    large = X.Snapshot.build(many, str(tmp_path / "many"))
+    assert large.buckets == 12
+    hit = large.known(large.screen(one.withColumnsRenamed({"keep_id": "new_id", "n": "new_n"})))
+    assert [(r.new_id, r.keep_id) for r in hit.collect()] == [(17, 17)]
+    assert "PartitionFilters: [isnotnull(shelf" in hit._jdf.queryExecution().toString()
+    assert large.known(large.screen(new.limit(0))).count() == 0
+
+
 def test_query(spark, sf):
     assert rows(X.op10_exact_dedup(spark, sf).toPandas()) == rows(oracle(X.ORACLE["op10_exact_dedup"], sf))
 

@@ -1,8 +1,9 @@
 """Exact de-duplication against immutable snapshots screened by static binary-fuse filters.
 
 A snapshot keeps one row per distinct digest, dealt into buckets by the digest, and one filter per
-bucket. An incoming batch is first grouped by digest, then its distinct digests pass the filters;
-only positives join the exact buckets, and whatever is left is new. An equal digest alone never drops
+bucket. An incoming batch is first grouped by digest, then its distinct digests pass the filters, a large
+batch's share of a bucket in several parts with a copy of the filter each;
+only positives join the exact buckets, of which no others are read, and whatever is left is new. An equal digest alone never drops
 a row: the bytes of all members are compared, first within each task, so that of a group one body a
 task is moved at most; groups whose bytes differ are told apart by their whole texts.
 
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from . import fuse
 from .common import BROADCAST_BYTES, identified, materialise, row_text, scratch_path, slices, table
 
-#: Distinct digests aimed at for each bucket of a snapshot.
+#: Distinct digests aimed at for each bucket of a snapshot, and for each part of a batch that meets a filter.
 BUCKET_KEYS = 100_000
+#: Folders that a snapshot's buckets are laid in at most.
+SHELVES = 4096
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -61,14 +64,20 @@ def _bucket(buckets: int):
 
 
 class Snapshot:
-    """Immutable: groups (bucket, digest, key, keep_id, n) and filters (bucket, blob), both Parquet in one folder."""
+    """Immutable: groups (shelf, bucket, digest, key, keep_id, n), partitioned by shelf, and filters (bucket, blob), both Parquet in one folder."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
         self.spark, self.path, self.buckets = spark, path, buckets
 
     @property
     def groups(self) -> DataFrame:
-        return self.spark.read.schema("bucket int, digest binary, key long, keep_id long, n long").parquet(f"{self.path}/groups")
+        return self.spark.read.schema("bucket int, digest binary, key long, keep_id long, n long, shelf int").parquet(f"{self.path}/groups")
+
+    def known(self, passed: DataFrame) -> DataFrame:
+        """passed (what screen() let through) joined with its exact groups; only the shelves that it names are read."""
+        named = passed.withColumn("bucket", _bucket(self.buckets))
+        shelves = [r[0] for r in named.select(F.pmod("bucket", F.lit(SHELVES)).alias("shelf")).distinct().toLocalIterator()]  # SHELVES at most
+        return named.join(self.groups.where(F.col("shelf").isin(shelves)).select("bucket", "digest", "keep_id", "n"), ["bucket", "digest"]).drop("bucket")
 
     @property
     def filters(self) -> DataFrame:
@@ -80,7 +89,8 @@ class Snapshot:
         spark = grouped.sparkSession
         buckets = max(1, -(-grouped.count() // BUCKET_KEYS))
         own = cls(spark, path, buckets)
-        grouped.select(_bucket(buckets).alias("bucket"), "digest", "key", "keep_id", "n").write.parquet(f"{path}/groups")
+        dealt = grouped.select(_bucket(buckets).alias("bucket"), "digest", "key", "keep_id", "n").withColumn("shelf", F.pmod("bucket", F.lit(SHELVES)))
+        dealt.repartition("bucket").write.partitionBy("shelf").parquet(f"{path}/groups")
 
         def make(key, pdf):
             import pandas as pd
@@ -93,7 +103,9 @@ class Snapshot:
 
     def screen(self, groups: DataFrame) -> DataFrame:
         """groups (digest, key, …) that pass the filter of their bucket: all known digests, few others."""
-        dealt = groups.withColumn("bucket", _bucket(self.buckets))
+        parts = self.parts(groups.count())
+        dealt = groups.withColumns({"bucket": _bucket(self.buckets), "part": F.pmod(F.shiftright("key", 40), F.lit(parts)).cast("int")})
+        copies = self.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         schema = groups.schema
         names = groups.columns
 
@@ -104,7 +116,11 @@ class Snapshot:
                 return pd.DataFrame(pdf[names].iloc[:0])
             return pdf[names][fuse.contains(known["blob"].iloc[0], pdf["key"].to_numpy(np.int64).view(np.uint64))]
 
-        return dealt.groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInPandas(passed, schema)
+        return dealt.groupBy("bucket", "part").cogroup(copies.groupBy("bucket", "part")).applyInPandas(passed, schema)
+
+    def parts(self, incoming: int) -> int:
+        """Into how many parts each bucket's share of a batch is dealt, so that none has many more than BUCKET_KEYS digests."""
+        return max(1, -(-incoming // (self.buckets * BUCKET_KEYS)))
 
 
 def _grouped(rows: DataFrame, keep: str, n: str) -> DataFrame:
@@ -125,7 +141,7 @@ def exact_groups(docs: DataFrame, batches: int = 2, digest_bytes: int = 32) -> D
     for step in range(1, batches):
         snapshot = Snapshot.build(groups, scratch_path(spark, "snapshot"))
         incoming = materialise(_grouped(rows.where(F.col("batch") == step), "new_id", "new_n"), "incoming")
-        hits = materialise(snapshot.screen(incoming).join(snapshot.groups.select("digest", "keep_id", "n"), "digest"), "hits")
+        hits = materialise(snapshot.known(materialise(snapshot.screen(incoming), "passed")), "hits")
         fresh = incoming.join(hits.select("digest"), "digest", "left_anti").select("digest", "key", F.col("new_id").alias("keep_id"), F.col("new_n").alias("n"))
         merged = hits.select("digest", "key", F.least("keep_id", "new_id").alias("keep_id"), (F.col("n") + F.col("new_n")).alias("n"))
         old = groups.join(hits.select("digest"), "digest", "left_anti")
