@@ -29,10 +29,12 @@ def test_encoder_equals_the_library():
     assert [[*x.tolist(), 2] for x in e.many(HARD)] == plain(HARD, 2)
 
 
-def test_files_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize(("size", "n", "least"), [(F.FILE_TOKENS, F.FILE_DOCS, 1), (2000, 5, 6)])
+def test_files_round_trip(spark, size, n, least):
     data = odd_rows() + [(300 + i, t) for i, t in enumerate(HARD)]
     ids = dict(zip([d for d, _ in data], plain([t for _, t in data], 2), strict=True))
-    manifest = F.write(documents(spark, data), scratch_path(spark, "t"), vocabulary(), 2, partitions=3)
+    manifest = F.write(documents(spark, data), scratch_path(spark, "t"), vocabulary(), 2, partitions=3, file_tokens=size, file_docs=n)
+    assert manifest.count() >= least and manifest.where(f"n_docs > {n}").count() == 0
     at, want = 0, {}
     for d in sorted(ids):
         want[d] = (d, at, len(ids[d]), zlib.crc32(np.array(ids[d], "<u4").tobytes()))

@@ -10,6 +10,9 @@ A file holds the ids of consecutive documents as little-endian unsigned 32-bit i
 The seek frame is that of the public seekable zstd format, so its readers can open the data part. A
 reader fetches the two tables, then only the frames that hold the ids asked for.
 
+A task closes its file at FILE_TOKENS ids or FILE_DOCS documents and starts another, so a file's two tables stay small
+and fit into memory; a document is never cut.
+
 Files are named by task attempt and become visible only through the manifest, the Parquet table
 which Spark's committer writes from the attempts that succeeded; leftovers of lost tasks are never read.
 
@@ -35,7 +38,11 @@ from .tokens import encoder, vocabulary
 
 FRAME_TOKENS = 1 << 15
 SEEK_MAGIC, SKIP_SEEK, SKIP_DOCS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
-MANIFEST = "part int, path string, n_docs long, n_tokens long"
+MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
+#: A file is closed once it holds that many ids or documents: its tables stay small, whatever a task writes.
+FILE_TOKENS, FILE_DOCS = 1 << 26, 1 << 20
+#: Bytes of text aimed at for a task.
+TASK_BYTES = 512 << 20
 
 
 def _checksum(raw: bytes) -> int:
@@ -143,17 +150,29 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int | None = None) -> DataFrame:
-    """Write all documents in ascending doc_id order; returns the manifest (part, path, n_docs, n_tokens)."""
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int | None = None, file_tokens: int = FILE_TOKENS, file_docs: int = FILE_DOCS) -> DataFrame:
+    """Write all documents in ascending doc_id order; returns the manifest (part, seq, path, n_docs, n_tokens), a row a file."""
     spark = docs.sparkSession
     ordered = row_text(identified(docs.select("doc_id", "text"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", "row")
+    if not partitions:
+        size = ordered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(shuffle_partitions(spark), -(-size // TASK_BYTES))
     # rows of one id, or without one, may reach over several files, in the order of their places
-    ordered = ordered.repartitionByRange(partitions or shuffle_partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    ordered = ordered.repartitionByRange(partitions, "doc_id", "row").sortWithinPartitions("doc_id", "row")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], np.uint32)
-        part = TaskContext.get().partitionId()
+        part, seq = TaskContext.get().partitionId(), 0
         out = sink = fs = place = None
+
+        def closed() -> pa.RecordBatch:
+            nonlocal out, seq
+            out.close()
+            sink.close()
+            row = {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [f"{folder}/{place.rpartition('/')[2]}"], "n_docs": [len(out.docs)], "n_tokens": [out.n_tokens]}
+            out, seq = None, seq + 1
+            return pa.RecordBatch.from_pydict(row)
+
         for b in slices(it):
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.many(b.column(1).to_pylist()), strict=True):
                 if out is None:
@@ -162,11 +181,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions:
                     sink = fs.open_output_stream(place, compression=None)
                     out = Writer(sink)
                 out.add(doc_id, np.append(ids, end))
+                if out.n_tokens >= file_tokens or len(out.docs) >= file_docs:
+                    yield closed()
         if out is not None:
-            out.close()
-            sink.close()
-            name = f"{folder}/{place.rpartition('/')[2]}"
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [name], "n_docs": [len(out.docs)], "n_tokens": [out.n_tokens]})
+            yield closed()
 
     return materialise(ordered.mapInArrow(run, MANIFEST), "manifest")
 
@@ -176,7 +194,7 @@ def read(manifest: DataFrame) -> DataFrame:
     spark = manifest.sparkSession
     # one row per file: small, and the place of a file in the whole needs those before it
     base, rows = 0, []
-    for r in manifest.orderBy("part").toLocalIterator():
+    for r in manifest.orderBy("part", "seq").toLocalIterator():
         rows.append((r.path, base))
         base += r.n_tokens
     files = spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows)))
