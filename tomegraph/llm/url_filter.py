@@ -135,10 +135,12 @@ def with_suffixes(urls: DataFrame) -> DataFrame:
     size = lambda n: F.floor(F.log10(n)).cast("double")
     suffixes = urls.groupBy("suffix").agg(size(F.count("*")).alias("suffix_rows"), size(F.greatest(F.approx_count_distinct("host"), F.lit(1))).alias("suffix_hosts"))
     suffixes = materialise(suffixes, "suffixes")
-    if suffixes.count() * 256 <= BROADCAST_BYTES:  # a host label has 63 bytes at most; longer text is no host but may occur
-        longest = suffixes.agg(F.max(F.octet_length("suffix"))).first()[0] or 0
-        suffixes = F.broadcast(suffixes) if longest <= 128 else suffixes
-    return urls.join(suffixes, "suffix")
+    # a host label has 63 bytes at most; longer text is no host but may occur, and its few rows go by a join of their own
+    usual = F.octet_length("suffix") <= 128
+    short = suffixes.where(usual)
+    if short.count() * 256 <= BROADCAST_BYTES:
+        short = F.broadcast(short)
+    return urls.where(usual).join(short, "suffix").unionByName(urls.where(~usual).join(suffixes.where(~usual), "suffix"))
 
 
 def training_rows(urls: DataFrame, train_rows: int):
