@@ -115,3 +115,34 @@ def test_cosine(spark):
     r = df.select(S.cosine(F.col("a"), F.col("b")).alias("x"), S.cosine(F.col("a"), F.col("z")).alias("y")).first()
     assert abs(r.x - 0.5**0.5) < 1e-9
     assert r.y == 0
+
+
+def test_bounds_lose_no_partner():
+    """Same partners as scoring every pair, and few pairs scored."""
+    import random
+
+    from tomegraph.functions.similarity import Counted, best_partners, weighted_ratio
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh ij") for _ in range(r.randint(1, 9))) for _ in range(120)] + ["old mill", "the old mill", "mill", "mill mill", "é☃", " ", "wolf", "wolfs", "grey wolf den"]
+    name = lambda: " ".join(r.choice(words) for _ in range(r.randint(1, 4)))
+    labels, names = sorted({name() for _ in range(60)}), [name() for _ in range(300)]
+    counted = Counted(names)
+    for j, q in enumerate(labels):
+        bound = counted.bounds(Counted(labels), j)
+        assert all(weighted_ratio(q, n) <= b for n, b in zip(names, bound, strict=True))
+    for threshold in (0.0, 80.0):
+        best, scored = {}, 0
+        for lo in range(0, len(names), 90):
+            scored += best_partners(Counted(labels), Counted(names[lo : lo + 90]), threshold, best)
+        want = {q: min((-s, n) for n in names if (s := weighted_ratio(q, n)) >= threshold) for q in labels if any(weighted_ratio(q, n) >= threshold for n in names)}
+        assert best == want
+        assert scored < 0.5 * len(labels) * len(names)
+
+
+def test_places_where_lower_case_is_longer(spark):
+    from tomegraph.functions import containment
+
+    t = spark.createDataFrame([(1, "İİİ the end"), (2, "THE İ the"), (3, None), (4, "x" * 40 + "İthe" + "y" * 40)], "id long, text string")
+    got = {r.id: (r.n, r["at"], r.context) for r in containment.occurrences(t, [(0, "The")]).collect()}
+    assert got == {1: (1, 4, "İİİ the end"), 2: (2, 0, "THE İ the"), 4: (1, 41, "x" * 29 + "İthe" + "y" * 30)}

@@ -74,7 +74,7 @@ def automaton(terms: list[tuple]):
 
 
 def occurrences(texts: DataFrame, terms: DataFrame | list[tuple[int, str]], context: int = 30) -> DataFrame:
-    """Per text (id, text) and term: term_id, n (overlaps aside), first place and context of it; case aside.
+    """Per text (id, text) and term: term_id, n (overlaps aside), first place and context of it in the text as it is; case aside.
 
     The terms (term_id, term; a table or a list) are a stated query set in blocks of bounded size: an
     automaton of a block runs over each text once.
@@ -90,15 +90,18 @@ def occurrences(texts: DataFrame, terms: DataFrame | list[tuple[int, str]], cont
             for pdf in it:
                 rows = []
                 for key, text in zip(pdf["id"], pdf["text"], strict=True):
-                    hits: dict[int, list] = {}
-                    for end, (ids, t) in auto.iter((text or "").lower()):
+                    text = text or ""
+                    low, hits = text.lower(), {}
+                    for end, (ids, t) in auto.iter(low):
                         start = end - len(t) + 1
                         for i in ids:
                             f = hits.setdefault(i, [0, start, -1, len(t)])
                             if start > f[2]:
                                 f[0] += 1
                                 f[2] = end
-                    rows += [(key, i, n, at, (text or "")[max(0, at - context) : at + size + context]) for i, (n, at, _, size) in sorted(hits.items())]
+                    # some letters are longer in lower case: own[i] is the letter of the text that low[i] comes from
+                    own = range(len(text)) if len(low) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]
+                    rows += [(key, i, n, own[at], text[max(0, own[at] - context) : own[at + size - 1] + 1 + context]) for i, (n, at, _, size) in sorted(hits.items())]
                 yield pd.DataFrame(rows, columns=["id", "term_id", "n", "at", "context"])
 
         return texts.select("id", "text").mapInPandas(run, kinds)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,6 +84,77 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(best, scale * _partial(a, b), 0.95 * scale * _tokens(a, b, _partial))
 
 
+#: Classes that letters are counted in; letters of one class only raise a bound.
+LETTER_CLASSES = 64
+
+
+class Counted:
+    """Texts with their letters counted, as they are, with tokens sorted and with token sets: what weighted_ratio compares."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        tokens = [t.split() for t in texts]
+        forms = (texts, [" ".join(sorted(t)) for t in tokens], [" ".join(sorted(set(t))) for t in tokens])
+        self.length = [np.array([len(t) for t in form], np.int64) for form in forms]
+        self.letters = [self._letters(form) for form in forms]
+        self.holding: dict[str, list[int]] = {}
+        for i, t in enumerate(tokens):
+            for w in set(t):
+                self.holding.setdefault(w, []).append(i)
+
+    @staticmethod
+    def _letters(form: list[str]) -> np.ndarray:
+        out = np.zeros((len(form), LETTER_CLASSES), np.int32)
+        size = np.array([len(t) for t in form], np.int64)
+        codes = np.frombuffer("".join(form).encode("utf-32-le", "surrogatepass"), "<u4") % LETTER_CLASSES
+        np.add.at(out, (np.repeat(np.arange(len(form)), size), codes), 1)
+        return out
+
+    def bounds(self, other: Counted, j: int) -> np.ndarray:
+        """For each text at least its weighted_ratio with other's j-th one.
+
+        A common subsequence is no longer than what two texts have in common letter by letter, and no run of the longer
+        text fits the shorter one better than a run of just these letters. Texts that share a token may reach 100.
+        """
+        whole, part = [], []
+        for length, letters, n, own in zip(self.length, self.letters, other.length, other.letters, strict=True):
+            common = np.minimum(letters, own[j]).sum(axis=1)
+            least = np.minimum(length, n[j])
+            whole.append(200.0 * common / np.maximum(length + n[j], 1))
+            part.append(200.0 * common / np.maximum(least + common, 1))
+        shorter, longer = np.minimum(self.length[0], other.length[0][j]), np.maximum(self.length[0], other.length[0][j])
+        spread = longer / np.maximum(shorter, 1)
+        scale = np.where(spread <= 8, 0.9, 0.6)
+        near = np.maximum(whole[0], 0.95 * np.maximum(whole[1], whole[2]))
+        far = np.maximum(whole[0], scale * np.maximum(part[0], 0.95 * np.maximum(part[1], part[2])))
+        out = np.where(spread < 1.5, near, far) + 1e-9
+        out[(self.length[1] == 0) | (other.length[1][j] == 0)] = 100.0  # blanks alone
+        for w in set(other.texts[j].split()):
+            out[self.holding.get(w, [])] = 100.0
+        return out
+
+
+def best_partners(labels: Counted, names: Counted, threshold: float, best: dict[str, tuple[float, str]]) -> int:
+    """Put each label's best name, (-score, name), into best if it beats the one there; how many pairs were scored.
+
+    Names come by falling bound, and those that can't reach the best score so far are never scored.
+    """
+    scored = 0
+    for j, q in enumerate(labels.texts):
+        bound = names.bounds(labels, j)
+        bar = max(threshold, -best[q][0]) if q in best else threshold
+        able = np.flatnonzero(bound >= bar)
+        for i in able[np.argsort(-bound[able], kind="stable")].tolist():
+            if q in best and bound[i] < -best[q][0]:
+                break
+            scored += 1
+            n = names.texts[i]
+            s = weighted_ratio(q, n)
+            if s >= threshold and (q not in best or (-s, n) < best[q]):
+                best[q] = (-s, n)
+    return scored
+
+
 def weighted_score(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:

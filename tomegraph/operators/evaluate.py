@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import weighted_ratio
+from ..functions.similarity import Counted, best_partners
 from ..functions.text import normalized_name
 
 
@@ -52,6 +52,7 @@ def scored(labels: DataFrame, extracted: DataFrame, threshold: float) -> DataFra
     """label, name, score: for each label (name) and task the best of the names (name) that reach the threshold, the smallest of equals.
 
     The labels are the stated query set, held against all rows block by block; a task gives one row a label at most.
+    Bounds from letter counts keep most pairs from being scored, and lose none that could win.
     """
     spark = extracted.sparkSession
     kinds = "label string, name string, score double"
@@ -61,12 +62,9 @@ def scored(labels: DataFrame, extracted: DataFrame, threshold: float) -> DataFra
 
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best: dict[str, tuple[float, str]] = {}
+            asked = Counted(sent.value)
             for pdf in it:
-                for n in pdf["name"]:
-                    for q in sent.value:
-                        s = weighted_ratio(q, n)
-                        if s >= threshold and (q not in best or (-s, n) < best[q]):
-                            best[q] = (-s, n)
+                best_partners(asked, Counted(pdf["name"].tolist()), threshold, best)
             yield pd.DataFrame([(q, n, -s) for q, (s, n) in best.items()], columns=["label", "name", "score"])
 
         return extracted.select("name").mapInPandas(run, kinds)

@@ -332,10 +332,13 @@ def meaningless_patterns(spark, d):
 
 
 @query("""
-WITH t AS (SELECT 0 AS term_id, 'the' AS term UNION ALL SELECT 1, 'de ' UNION ALL SELECT 2, 'on'), f AS (SELECT doc_id, text, term_id, term, strpos(lower(text), term) - 1 AS begun FROM documents JOIN t ON contains(lower(text), term))
-SELECT doc_id, term_id::BIGINT AS term_id, ((length(text) - length(replace(lower(text), term, ''))) // length(term))::BIGINT AS n, begun::BIGINT AS "at", substr(text, greatest(begun - 30, 0)::INT + 1, (begun + length(term) + 30 - greatest(begun - 30, 0))::INT) AS context FROM f WHERE length(lower(text)) = length(text)""")
+WITH t AS (SELECT 0 AS term_id, 'the' AS term UNION ALL SELECT 1, 'de ' UNION ALL SELECT 2, 'on'), x AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, 'İİ' || text FROM benchmark),
+f AS (SELECT doc_id, text, term_id, term, strpos(lower(text), term) - 1 AS begun FROM x JOIN t ON contains(lower(text), term))
+SELECT doc_id, term_id::BIGINT AS term_id, ((length(text) - length(replace(lower(text), term, ''))) // length(term))::BIGINT AS n, begun::BIGINT AS "at", substr(text, greatest(begun - 30, 0)::INT + 1, (begun + length(term) + 30 - greatest(begun - 30, 0))::INT) AS context FROM f""")
 def term_search(spark, d):
-    docs = _t(spark, d, "documents").where("length(lower(text)) = length(text)").select(F.col("doc_id").alias("id"), "text")
+    """Terms in the documents, and in the benchmark's texts behind two letters that are longer in lower case."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = docs.unionByName(_t(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("id"), F.concat(S("İİ"), "text").alias("text")))
     return containment.occurrences(docs, [(0, "THE"), (1, "de "), (2, "on"), (3, "")]).withColumnRenamed("id", "doc_id")
 
 
