@@ -232,3 +232,32 @@ def test_trees(spark):
     assert traverse.trees(nodes.where("doc_id = 'none'")).count() == 0
     orphan = {r.doc_id: json.loads(r.body) for r in traverse.trees(nodes.where("depth = 1")).collect()}
     assert [x["title"] for x in orphan["a"]] == ["Pier"]
+
+
+def test_roll_up_in_one_pass(spark):
+    """Equal to the way level by level on random trees, in as many jobs for a long chain as for a short one."""
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for d in range(6):
+        places = [[0], [1]]
+        for _ in range(40):
+            up = r.choice(places)
+            places.append([*up, sum(p[:-1] == up for p in places)])
+        rows += [(f"d{d}", p, p[:-1], len(p) - 1, f"T{i}", r.choice(["", " ", "text", "two\nlines", traverse.NO_SPATIAL_INFO])) for i, p in enumerate(places)]
+    schema = "doc_id string, path array<int>, parent_path array<int>, depth int, title string, content string"
+    nodes = spark.createDataFrame(rows, schema)
+    key = lambda df: sorted((x.doc_id, x.path, x.summary or "-") for x in df.collect())
+    assert key(traverse.roll_up(nodes)) == key(traverse.roll_up(nodes, traverse.own_and_below))
+    orphans = nodes.where("depth <> 1")
+    assert key(traverse.roll_up(orphans)) == key(traverse.roll_up(orphans, traverse.own_and_below))
+
+    def jobs(n):
+        chain = spark.createDataFrame([("c", [0] * i, [0] * (i - 1), i - 1, f"{i}", "end" if i == n else "") for i in range(1, n + 1)], schema)
+        spark.sparkContext.setJobGroup(f"chain-{n}", "roll-up")
+        top = [x.summary for x in traverse.roll_up(chain).collect() if len(x.path) == 1]
+        assert top == ["".join(f"[{i}]: " for i in range(1, n + 1)) + "end"]
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{n}"))
+
+    assert jobs(700) == jobs(5) < 15

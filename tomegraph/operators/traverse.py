@@ -80,15 +80,45 @@ def breadcrumbs(nodes: DataFrame) -> DataFrame:
     return t.groupBy("doc_id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "title"))), lambda s: s["title"]), " > ").alias("breadcrumb"))
 
 
+def own_and_below(level: DataFrame) -> DataFrame:
+    """level (content, below) with both as the answer."""
+    return level.withColumn("answer", F.concat_ws("\n", F.when(~T.is_blank(F.col("content")), F.col("content")), "below"))
+
+
+def texts_below(nodes: DataFrame, sentinel: str = NO_SPATIAL_INFO) -> DataFrame:
+    """What roll_up() gives without a model, in two shuffles instead of two a level.
+
+    A section's summary is `[title]: content` of itself and of all sections below that tell something, in
+    preorder, with a line break behind each content but the last. So every such section is handed to all its
+    ancestors at once (its path's beginnings), as many rows as the summaries have parts. The
+    sections' parents must be in the table.
+    """
+    key, told = ["doc_id", "path"], ~T.is_blank(F.col("content"))
+    nodes = materialise(nodes.select(*key, "title", "content"), "sections")
+    upward = lambda t: t.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", 1, i))))
+    telling = nodes.where(told & (F.trim("content") != sentinel)).select(*key)
+    valid = upward(telling).select("doc_id", F.col("at").alias("path")).distinct()
+    parts = nodes.join(valid, key).select(*key, F.concat(F.lit("["), F.col("title"), F.lit("]: "), F.when(told, F.col("content")).otherwise("")).alias("part"), told.alias("ends"))
+    gathered = upward(parts).groupBy("doc_id", F.col("at").alias("path")).agg(F.array_sort(F.collect_list(F.struct(F.col("path").alias("place"), "part", "ends"))).alias("parts"))
+    pieces = F.transform("parts", lambda p, i: F.concat(p["part"], F.when(p["ends"] & (i + 1 < F.size("parts")), "\n").otherwise("")))
+    text = gathered.select(*key, F.array_join(pieces, "").alias("summary"))
+    # containers that are no sections have beginnings of paths too: only sections are kept
+    return nodes.join(text, key, "left").select(*key, F.when(F.col("summary").isNull() & told, F.lit(sentinel)).otherwise(F.col("summary")).alias("summary"))
+
+
 def roll_up(nodes: DataFrame, summarise: Callable[[DataFrame], DataFrame] | None = None, sentinel: str = NO_SPATIAL_INFO) -> DataFrame:
     """doc_id, path, summary from the leaves up.
 
+    Without summarise the summaries are texts made of texts, so all of them come from one pass over the
+    sections (see texts_below), however deep the tree; a model needs the answers below first and is asked level by level.
     Each level gets `below`, its children's summaries in order joined by a newline (blank ones and the
     sentinel left out), and becomes `[title]: …` by summarise (which adds `answer`; by default content
     and below). A section without content and valid children keeps a null summary, unlike one that
     answered the sentinel.
     """
-    answer = summarise or (lambda df: df.withColumn("answer", F.concat_ws("\n", F.when(~T.is_blank(F.col("content")), F.col("content")), "below")))
+    if summarise is None and nodes.where(F.size("parent_path") > 0).join(nodes.select("doc_id", F.col("path").alias("parent_path")), ["doc_id", "parent_path"], "left_anti").isEmpty():
+        return texts_below(nodes, sentinel)
+    answer = summarise or own_and_below
     levels = nodes.agg(F.max("depth")).first()[0]
     done = None
     for depth in range(levels if levels is not None else -1, -1, -1):
