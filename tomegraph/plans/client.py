@@ -1,7 +1,7 @@
 """Calls to a language model as a replayable table (LLM-13, SNK-4).
 
 Replies are written to a table before anything reads them, so later plans don't pay for a call again; a task
-that is lost before its part is committed does.
+that is lost before its part is committed does. `ledger.py` keeps calls over runs, in small parts.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import hashlib
 import json
 import os
 import re
+import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
@@ -44,6 +45,16 @@ class ReplayClient:
         return self.replies[prompt_hash(prompt, params.get("stage", ""))], "stop"
 
 
+class Known:
+    """A reply that is there already."""
+
+    def __init__(self, reply: tuple[str, str]):
+        self.reply = reply
+
+    def complete(self, prompt: str, params: dict) -> tuple[str, str]:
+        return self.reply
+
+
 class RuleClient:
     """Deterministic answers without a model: capitalised names are entities, the rest is echoed."""
 
@@ -86,19 +97,26 @@ def concurrency(model: str = "") -> int:
     return int(os.environ.get("LLM_CONCURRENCY", default))
 
 
-def attempt(client: Client, key: str, prompt: str, stage: str, **params) -> dict:
-    """One call as a row of LLM_CALLS; an error is the row's result."""
+#: Further tries of a call that fails, and seconds before the first of them; each waits twice as long as the one before.
+RETRIES, BACK_OFF = 0, 0.5
+
+
+def attempt(client: Client, key: str, prompt: str, stage: str, retries: int = RETRIES, back_off: float = BACK_OFF, **params) -> dict:
+    """One call as a row of LLM_CALLS; the last error is the row's result."""
     row = {"prompt_hash": prompt_hash(prompt, stage), "stage": stage, "key": key, "prompt": prompt, "response": None, "status": "ok", "error": None, "finish_reason": None}
-    try:
-        row["response"], row["finish_reason"] = client.complete(prompt, {"stage": stage, **params})
-    except Exception as e:  # noqa: BLE001
-        row |= {"status": "error", "error": f"{type(e).__name__}: {e}"}
+    for i in range(retries + 1):
+        try:
+            row["response"], row["finish_reason"] = client.complete(prompt, {"stage": stage, **params})
+            return row | {"status": "ok", "error": None}
+        except Exception as e:  # noqa: BLE001
+            row |= {"status": "error", "error": f"{type(e).__name__}: {e}"}
+            if i < retries:
+                time.sleep(back_off * 2**i)
     return row
 
 
-def call(prompts: DataFrame, client: Client, stage: str, in_flight: int | None = None, **params) -> DataFrame:
-    """llm_calls of prompts (key, prompt): one row each, an error never fails the stage; in_flight calls a task, concurrency() by default."""
-    at_once = in_flight or concurrency(getattr(client, "model", ""))
+def asked(prompts: DataFrame, client: Client, stage: str, at_once: int, **params) -> DataFrame:
+    """llm_calls of prompts (key, prompt), at_once calls in flight a task."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(at_once) as pool:
@@ -106,7 +124,17 @@ def call(prompts: DataFrame, client: Client, stage: str, in_flight: int | None =
                 rows = pool.map(lambda row: attempt(client, *row, stage, **params), zip(pdf["key"], pdf["prompt"], strict=True))
                 yield pd.DataFrame(list(rows), columns=[c.split(" ")[0] for c in LLM_CALLS.split(", ")])
 
-    return materialise(prompts.select(F.col("key").cast("string").alias("key"), "prompt").mapInPandas(run, LLM_CALLS), f"calls-{stage}")
+    return prompts.select(F.col("key").cast("string").alias("key"), "prompt").mapInPandas(run, LLM_CALLS)
+
+
+def call(prompts: DataFrame, client: Client, stage: str, in_flight: int | None = None, **params) -> DataFrame:
+    """llm_calls of prompts (key, prompt): one row each, an error never fails the stage; in_flight calls a task, concurrency() by default.
+
+    A client with a ledger (ledger.Recorded) is asked only what the ledger doesn't hold.
+    """
+    if (ledger := getattr(client, "ledger", None)) is not None:
+        return ledger.call(prompts, client.client, stage, in_flight=in_flight, **params)
+    return materialise(asked(prompts, client, stage, in_flight or concurrency(getattr(client, "model", "")), **params), f"calls-{stage}")
 
 
 def truncations(calls: DataFrame) -> DataFrame:

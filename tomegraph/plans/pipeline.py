@@ -15,6 +15,7 @@ from ..session import session
 from ..sources import documents as D
 from . import stages
 from .client import Client, HttpClient, RuleClient
+from .ledger import Ledger, Recorded
 
 log = logging.getLogger("tomegraph")
 STAGES = ("shadow", "spatial", "mapping", "entity")
@@ -115,7 +116,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     if a.concurrency:
         os.environ["LLM_CONCURRENCY"] = str(a.concurrency)
     client = HttpClient(a.base_url, a.model or "") if a.base_url else RuleClient()
-    Build(session(), a.input, a.output, client, a.force).run(a.stage or ["all"], a.dry_run)
+    spark = session()
+    client = Recorded(client, Ledger(spark, f"{a.output.rstrip('/')}/calls"))  # a run that was killed goes on from there
+    Build(spark, a.input, a.output, client, a.force).run(a.stage or ["all"], a.dry_run)
     return 0
 
 

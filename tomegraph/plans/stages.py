@@ -11,7 +11,8 @@ from ..functions import text as T
 from ..model import LLM_CALLS
 from ..operators import canonical, graph, hetero, parsers, ranks, traverse
 from ..session import materialise
-from .client import Client, attempt, call
+from .client import Client, Known, attempt, call, prompt_hash
+from .ledger import Ledger, in_steps
 from .prompts import UNIFIED, prompt
 
 #: Known entities of each type that a prompt shows.
@@ -100,17 +101,20 @@ def recognise(nodes: DataFrame, client: Client, least: int = 50, most: int = 200
     return calls.select("key", F.posexplode(parsers.entities(T.strip_thinking(F.coalesce("response", F.lit(""))))).alias("i", "e")).select("key", "i", "e.*")
 
 
-def extract_in_order(nodes: DataFrame, client: Client, seeds: list[tuple[str, str, str]] = ()) -> DataFrame:
+def extract_in_order(nodes: DataFrame, client: Client, seeds: list[tuple[str, str, str]] = (), ledger: Ledger | None = None) -> DataFrame:
     """Entities and events section by section in document order, each call knowing what came before.
 
     `seeds` (id, label, type) are known from the start; of each type the first KNOWN are shown. The
     order is the semantics, so a document is one task; documents run beside each other. A section whose call
-    failed has neither; the call's row (`call`, see sequential_calls) tells why.
+    failed has neither; the call's row (`call`, see sequential_calls) tells why. With a ledger the sections go a step
+    at a time, and a run that was killed goes on behind the last step that it committed.
     """
+    if (own := getattr(client, "ledger", None)) is not None:
+        client, ledger = client.client, ledger or own
     row = LLM_CALLS.replace(" string", ": string")
     fields = f"doc_id string, path array<int>, entities array<{parsers.ENTITY}>, events array<{parsers.EVENT}>, call struct<{row}>"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, replies: dict[str, tuple[str, str]] | None = None) -> pd.DataFrame:
         known: dict[str, dict[str, str]] = {}
         out = []
 
@@ -123,7 +127,9 @@ def extract_in_order(nodes: DataFrame, client: Client, seeds: list[tuple[str, st
             lines = [x for t, of in known.items() for x in (f"{t}:", *(f"  - [{i}] {label}" for i, label in list(of.items())[:KNOWN]))]
             before = "### KNOWN\n" + "\n".join(lines) + "\n\n" if lines else ""
             key = f"{r.doc_id}/{'.'.join(map(str, r.path))}"
-            made = attempt(client, key, f"{UNIFIED}\n\n{before}### TEXT\n{r.content or ''}", "events", temperature=0.75)
+            text = f"{UNIFIED}\n\n{before}### TEXT\n{r.content or ''}"
+            told = (replies or {}).get(prompt_hash(text, "events"))
+            made = attempt(client if told is None else Known(told), key, text, "events", temperature=0.75)
             reply = made["response"] or ""
             entities, events = parsers.parse_entities(reply) if "<entities>" in reply else [], parsers.parse_events(reply)
             for e in entities:
@@ -131,7 +137,10 @@ def extract_in_order(nodes: DataFrame, client: Client, seeds: list[tuple[str, st
             out.append((r.doc_id, list(r.path), entities, events, made))
         return pd.DataFrame(out, columns=["doc_id", "path", "entities", "events", "call"])
 
-    return nodes.select("doc_id", "path", "content").groupBy("doc_id").applyInPandas(run, fields)
+    sections = nodes.select("doc_id", "path", "content")
+    if ledger is not None:
+        return in_steps(ledger, "events", sections, run, fields)
+    return sections.groupBy("doc_id").applyInPandas(lambda pdf: run(pdf), fields)
 
 
 def sequential_calls(extracted: DataFrame) -> DataFrame:
