@@ -17,6 +17,8 @@ a page is a whole number or null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,8 +159,11 @@ def _found(frontier: DataFrame, indexed: bool) -> DataFrame:
     )
 
 
-def raw_nodes(docs: DataFrame, profile: str = "shadow") -> DataFrame:
-    """Sections (doc_id, path, parent_path, depth, node_id, title, type, page, lines, ignored) with their lines as found."""
+def raw_nodes(docs: DataFrame, profile: str = "shadow", line: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """Sections (doc_id, path, parent_path, depth, node_id, title, type, page, lines, ignored) with their lines as found.
+
+    line is applied to every line where it was found, before the lines of a section are brought together.
+    """
     if profile not in PROFILES:
         raise ValueError(f"no such profile: {profile}")
     indexed = profile == "indexed"
@@ -179,11 +184,12 @@ def raw_nodes(docs: DataFrame, profile: str = "shadow") -> DataFrame:
             break
     every = levels.all
     sections = every.where("role = 'section'").select("doc", "doc_id", "path", F.coalesce("owner", F.array().cast("array<int>")).alias("parent_path"), "depth", "node_id", "title", "type", "page")
-    content = every.where("role = 'content'").groupBy("doc", F.col("owner").alias("path")).agg(
+    content = every.where("role = 'content'").withColumn("lines", F.transform("lines", line)).groupBy("doc", F.col("owner").alias("path")).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("lines") > 0, F.struct("path", "lines")))), lambda x: x["lines"])).alias("lines"), F.count(F.when(F.col("lines").isNull(), 1)).cast("int").alias("ignored")
     )
     out = sections.join(content, ["doc", "path"], "left")
-    return out.select("doc_id", "path", "parent_path", "depth", "node_id", "title", "type", "page", F.coalesce("lines", _none()).alias("lines"), F.coalesce("ignored", F.lit(0)).alias("ignored"))
+    none = F.array().cast(content.schema["lines"].dataType)
+    return out.select("doc_id", "path", "parent_path", "depth", "node_id", "title", "type", "page", F.coalesce("lines", none).alias("lines"), F.coalesce("ignored", F.lit(0)).alias("ignored"))
 
 
 def flatten(docs: DataFrame, profile: str = "shadow") -> DataFrame:
@@ -192,9 +198,7 @@ def flatten(docs: DataFrame, profile: str = "shadow") -> DataFrame:
         clean = lambda x: tags.parse_once(x["text"])
     else:
         clean = lambda x: tags.parse_and_clean(x["text"])
-    raw = raw_nodes(docs, profile)
-    done = F.transform("lines", lambda x: F.struct(x["prefix"].alias("prefix"), x["text"].alias("text"), x["tagged"].alias("tagged"), clean(x).alias("parsed")))
-    raw = raw.withColumn("done", done)
+    raw = raw_nodes(docs, profile, lambda x: F.struct(x["prefix"].alias("prefix"), x["text"].alias("text"), x["tagged"].alias("tagged"), clean(x).alias("parsed"))).withColumnRenamed("lines", "done")
     text = F.array_join(F.transform("done", lambda x: F.concat(x["prefix"], F.when(x["tagged"], x["parsed"]["text"]).otherwise(x["text"]))), "\n")
     links = F.flatten(F.transform(F.filter("done", lambda x: x["tagged"]), lambda x: x["parsed"]["links"]))
     links = links if profile == "indexed" else F.array_distinct(links)
