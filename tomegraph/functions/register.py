@@ -20,7 +20,7 @@ _SQL = {
 
 def register(spark: SparkSession) -> None:
     """snake_id, normalized_label, md5_id, similar_labels, weighted_ratio, parse_entities, parse_events, parse_report."""
-    for head, body in {**_SQL, f"parse_report(reply STRING) RETURNS {parsers.REPORT.upper()}": parsers.report_sql("reply")}.items():
+    for head, body in {**_SQL, f"parse_report(reply STRING) RETURNS {parsers.REPORT}": parsers.report_sql("reply")}.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
     @F.pandas_udf("double")
