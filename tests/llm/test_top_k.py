@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests.harness import oracle, rows
 from tomegraph.llm import top_k
 
 VECTORS = "label int, embedding array<double>, vec_id long, row string"
@@ -82,3 +83,7 @@ def test_queries_in_blocks(spark, monkeypatch):
     r = random.Random(2)
     rows = [(1, [r.gauss(0, 1) for _ in range(6)], i * 10, "x") for i in range(100)]
     assert answer(spark, rows) == brute(rows, 5)
+
+
+def test_query(spark, sf):
+    assert rows(top_k.op11_exact_top_k(spark, sf).toPandas()) == rows(oracle(top_k.ORACLE["op11_exact_top_k"], sf))
