@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import graph
 from ..sources.documents import exists
+from ..sources.keyed import KeyedTable
 
 
 def merge_nodes(stream: DataFrame, path: str, checkpoint: str):
@@ -30,6 +31,15 @@ def merge_nodes(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
+def upserts(stream: DataFrame, table: KeyedTable, checkpoint: str, name: str, order: str | None = None):
+    """Batches upserted into a keyed table: each rewrites the files it touches, and one that is run again changes nothing."""
+
+    def upsert(batch: DataFrame, n: int) -> None:
+        table.upsert(batch, order, (name, n))
+
+    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+
+
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and type; events later than the watermark are left out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
