@@ -35,6 +35,25 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     raise RuntimeError(f"components: not stable after {rounds} rounds")
 
 
+def grown_components(labels: DataFrame, nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """id, component after a batch of nodes (id) and edges came to labels (id, component), the result for what was there.
+
+    The batch is contracted to links between components, so the rounds run over the batch alone; the
+    labels are read once to name its ends and once to take their new names. Only added edges are
+    handled: a deletion needs components() over what is left. Edges with an end in neither labels nor
+    nodes don't count; a batch that is run again changes nothing.
+    """
+    fresh = nodes.select("id").where("id IS NOT NULL").distinct().join(labels.select("id"), "id", "left_anti").withColumn("component", F.col("id"))
+    known = labels.select("id", "component").unionByName(fresh)
+    links = edges.select("source", "target").where("source <> target").distinct()
+    for end in ("source", "target"):
+        links = links.join(known.select(F.col("id").alias(end), F.col("component").alias(f"_{end}")), end)
+    links = materialise(links.select(F.col("_source").alias("source"), F.col("_target").alias("target")).where("source <> target").distinct(), "contracted")
+    roots = links.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    moved = components(roots, links, rounds).where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("_further"))
+    return known.join(moved, "component", "left").select("id", F.coalesce("_further", "component").alias("component"))
+
+
 def clustering(edges: DataFrame) -> DataFrame:
     """id, degree, triangles, coefficient of the undirected simple graph.
 

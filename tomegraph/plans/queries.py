@@ -759,4 +759,4 @@ def chat_history(spark, d):
     return c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"), "answer", F.length("text").cast("long").alias("n_query"))
 
 
-from . import queries_documents, queries_graphs  # noqa: E402, F401  they register themselves
+from . import queries_documents, queries_graphs, queries_stores  # noqa: E402, F401  they register themselves

@@ -307,21 +307,6 @@ def keyed_graph_upsert(spark, d):
     return nodes.select(S("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b")).unionByName(kept.select(S("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")))
 
 
-@query("SELECT count(*) AS n, 'Item' AS label, max(p_partkey) AS biggest FROM part")
-def vertex_export(spark, d):
-    v = _t(spark, d, "part").select(_id("p", "p_partkey").alias("id"), S("Item").alias("label"), F.col("p_name").alias("name"), F.col("p_brand").alias("source"), S("{}").alias("attributes"))
-    b = F.from_json("body", "meta struct<stats: map<string, long>, description: string>, nodes array<struct<id: string>>")
-    out = sinks.vertex_export(v, "parts", "part.json").select(b.alias("b"))
-    return out.select(F.col("b.meta.stats")["Item"].alias("n"), S("Item").alias("label"), F.array_max(F.transform("b.nodes", lambda x: F.substr(x["id"], S(2)).cast("long"))).alias("biggest"))
-
-
-@query("SELECT c_mktsegment AS section_id, string_agg('n' || k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT c_mktsegment, c_nationkey AS k FROM customer) GROUP BY 1")
-def section_map(spark, d):
-    rows = _t(spark, d, "customer").select(F.col("c_mktsegment").alias("section_id"), _id("n", "c_nationkey").alias("location_id"), F.col("c_nationkey").alias("ord")).distinct()
-    out = sinks.section_map_json(rows).select(F.explode(F.from_json("body", "map<string, array<string>>")).alias("section_id", "v"))
-    return out.select("section_id", F.array_join("v", ",").alias("ids"))
-
-
 # --- views --------------------------------------------------------------------------------------
 
 
