@@ -115,6 +115,23 @@ def test_metrics(spark):
     assert metrics.clean_relations(bad).count() == 1
 
 
+def test_diameter_of_alike_nodes_takes_few_rounds(spark, monkeypatch):
+    """A ring (no node can be left out), and customers that hang on the same two nodes (one stands for all)."""
+    rounds = []
+    distances = metrics.distances
+    monkeypatch.setattr(metrics, "distances", lambda both, starts: rounds.append(starts.count()) or distances(both, starts))
+    graph_ = lambda pairs: (spark.createDataFrame(sorted({(x,) for p in pairs for x in p}), "id int"), spark.createDataFrame(pairs, "source int, target int"))
+    assert metrics.diameter(*graph_([(i, (i + 1) % 13) for i in range(13)])) == 6
+    assert sum(rounds) <= 13 and len(rounds) <= 2
+    rounds.clear()
+    hubs = [(100 + i, k) for i in range(60) for k in (i % 3, 3 + i % 2)]
+    assert metrics.diameter(*graph_(hubs)) == 4
+    assert sum(rounds) <= 11 and len(rounds) <= 2
+    rounds.clear()
+    assert metrics.diameter(*graph_([(1, 2), (1, 3), (4, 5), (4, 6)])) is None
+    assert metrics.diameter(*graph_([(1, 2), (1, 3)])) == 2
+
+
 def test_views(spark):
     n = nodes(spark, ("location:a", "A", "location", 0), ("b", "B", "npc", 1))
     e = edges(spark, ("location:a", "b", "r"))
