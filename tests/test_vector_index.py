@@ -54,3 +54,21 @@ def test_small_and_empty(spark, tmp_path):
     for exact in (True, False):
         assert answers(index.search(q, 3, exact=exact)) == [(1, 1, 2, 0.0), (2, 1, 1, 0.0)]
     assert index.search(q.limit(0), 3).count() == 0
+
+
+def test_rows_held_don_t_grow_with_the_rows_seen():
+    """Many small cells: a task holds k rows a query and a bounded number of new ones, ties and the query itself in their places."""
+    r = np.random.default_rng(4)
+    n, k, ids = 300, 5, r.permutation(30_000)
+    score = np.round(r.normal(size=(n, len(ids))), 1)
+    own = ids[:n]
+    best, most = search.Best(n, k), 0
+    best.FRESH = 10_000
+    for lo in range(0, len(ids), 20):
+        best.add(np.arange(n), own, ids[lo : lo + 20], score[:, lo : lo + 20])
+        most = max(most, sum(len(x[0]) for x in best.held))
+    assert most <= n * k + best.FRESH + n * 20
+    query, row, found = best.rows()
+    for i in range(n):
+        order = [j for j in np.lexsort((-ids, -score[i])) if ids[j] != own[i]][:k]
+        assert row[query == i].tolist() == ids[order].tolist() and found[query == i].tolist() == score[i, order].tolist()

@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,40 +52,81 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 3, ord: str = "ord")
     return vectors.withColumn("score", score).orderBy(F.desc("score"), F.desc(ord)).limit(k)
 
 
+class Best:
+    """The k best rows of each of n queries so far, by score and then id, the last first; rows below a query's k-th are not held.
+
+    What is held is sorted whenever FRESH new rows have come, so it is bounded by n x k and not by the rows seen.
+    """
+
+    #: New rows held at most before they are settled, and scores worked out at a time.
+    FRESH, SCORES = 1 << 18, 1 << 20
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least, self.fresh = k, np.full(n, -np.inf), 0
+        self.held: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def step(self, rows: int) -> int:
+        """Queries that are scored against so many rows at a time."""
+        return max(1, self.SCORES // max(1, rows))
+
+    def add(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Scores, queries x ids; own: the queries' ids, which are no candidates."""
+        bar = self.least[queries]
+        if len(ids) > self.k:
+            # of rows that tie with the last of the k any may be wanted
+            bar = np.fmax(bar, np.partition(np.where(own[:, None] == ids[None, :], -np.inf, score), len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        j, i = np.nonzero(~(score < bar[:, None]) & (own[:, None] != ids[None, :]))
+        self.held.append((queries[j], ids[i], score[j, i]))
+        self.fresh += len(j)
+        if self.fresh >= self.FRESH:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, id and score of what is held."""
+        query, ids, score = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((-ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query, "left")
+        last = place == self.k - 1
+        self.least[query[last]] = score[last]
+        take = place < self.k
+        self.held, self.fresh = [(query[take], ids[take], score[take])], 0
+        return self.held[0]
+
+
 def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int = 3, block: int = 512) -> DataFrame:
     """query_id, id, rank, score of the k closest rows (id, embedding) of each query (query_id, embedding).
 
-    Queries come in blocks that fit a task; each task keeps k rows a query from its vectors, so only
-    queries x tasks x k rows are shuffled.
+    Queries come in blocks that fit a task; each task keeps k rows a query from its vectors, whatever
+    their number, so only queries x tasks x k rows are shuffled.
     """
     spark = vectors.sparkSession
     out = None
     held: list[tuple[int, list[float]]] = []
 
     def answer(part):
-        ids = np.array([i for i, _ in part])
+        ids = np.array([i for i, _ in part], np.int64)
         q = np.array([v for _, v in part], np.float64)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         sent = spark.sparkContext.broadcast((ids, q))
 
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            best = None
-            for pdf in it:
-                if not len(pdf):
-                    continue
-                x = np.array(pdf["embedding"].tolist(), np.float64)
-                s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 6)
-                v = np.broadcast_to(pdf["id"].to_numpy(), s.shape)
-                if best is not None:
-                    s, v = np.concatenate([best[0], s], 1), np.concatenate([best[1], v], 1)
-                order = np.lexsort((-v, -s), axis=1)[:, : k + 1]
-                best = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
-            if best is not None:
-                n = best[0].shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": best[1].ravel(), "score": best[0].ravel()})
-
-        return vectors.select("id", "embedding").mapInPandas(run, "query_id long, id long, score double")
+            best = Best(len(ids), k)
+            for b in it:
+                for lo in range(0, b.num_rows, 2048):
+                    part = b.slice(lo, 2048)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    step = best.step(len(x))
+                    for at in range(0, len(ids), step):
+                        here = np.arange(at, min(len(ids), at + step))
+                        best.add(here, ids[here], part.column(0).to_numpy(), np.round(q[here] @ x.T, 6))
+            j, row, score = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(row), pa.array(score)], ["query_id", "id", "score"])
+
+        rows = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding")
+        return rows.mapInArrow(run, "query_id long, id long, score double")
 
     for r in queries.select("query_id", "embedding").toLocalIterator():
         held.append((r.query_id, list(r.embedding)))

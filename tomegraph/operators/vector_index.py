@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import BROADCAST_BYTES, materialise, scratch_root
+from .search import Best
 
 SAMPLE_ROWS, TARGET = 20_000, 0.97
 GROUPS, WORDS = 16, 256
@@ -120,14 +121,6 @@ class Model:
         return out
 
 
-def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k best rows a query, by score and then id, the last first."""
-    order = np.lexsort((-ids, -score, query))
-    query, ids, score = query[order], ids[order], score[order]
-    take = np.arange(len(query)) - np.searchsorted(query, query, "left") < k
-    return query[take], ids[take], score[take]
-
-
 class VectorIndex:
     """An index that build() wrote; open() reads it in any later session."""
 
@@ -210,32 +203,22 @@ class VectorIndex:
         rest = (high >= least[:, None] - 2e-6) | ((self.angles >= np.pi / 2 - 1e-9) & (least[:, None] <= 0))
         return self._whole(ids, q, rest & (self.angles >= 0), k)
 
-    def _over_lists(self, column: str, wanted: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, score: Callable) -> DataFrame:
+    def _over_lists(self, column: str, wanted: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, read: Callable, score: Callable) -> DataFrame:
         """query_id, id, score: each task's k best rows a query in the cells that the query wants."""
         sent = self.spark.sparkContext.broadcast((wanted, ids, q, self.model))
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted, ids, q, model = sent.value
-            held: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-            n = 0
+            best = Best(len(ids), k)
             for b in it:
                 cell, row = b.column(2).to_numpy(), b.column(0).to_numpy()
                 for c in np.unique(cell):
                     asked, here = np.flatnonzero(wanted[:, c]), np.flatnonzero(cell == c)
-                    for lo in range(0, len(asked), 512):
-                        part = asked[lo : lo + 512]
-                        s = score(model, q[part], int(c), b.column(1).take(pa.array(here)))
-                        s[ids[part][:, None] == row[here][None, :]] = -np.inf
-                        top = np.argpartition(-s, min(k, len(here)) - 1, axis=1)[:, : min(k, len(here))] if len(here) > k else np.broadcast_to(np.arange(len(here)), (len(part), len(here)))
-                        # rows that tie with the last of the k may be the ones wanted
-                        bar = np.take_along_axis(s, top, 1).min(axis=1)
-                        j, i = np.nonzero((s >= bar[:, None]) & (s > -np.inf))
-                        held.append((part[j], row[here][i], s[j, i]))
-                        n += len(j)
-                if n > 1 << 20:
-                    held = [_best(*(np.concatenate(x) for x in zip(*held, strict=True)), k)]
-                    n = len(held[0][0])
-            j, i, s = _best(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
+                    x, step = read(model, b.column(1).take(pa.array(here))), best.step(len(here))
+                    for lo in range(0, len(asked), step):
+                        part = asked[lo : lo + step]
+                        best.add(part, ids[part], row[here], score(model, q[part], int(c), x))
+            j, i, s = best.rows()
             yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(i), pa.array(s)], ["query_id", "id", "score"])
 
         cells = np.flatnonzero(wanted.any(axis=0)).tolist()
@@ -244,10 +227,10 @@ class VectorIndex:
     def _near(self, ids: np.ndarray, q: np.ndarray, wanted: np.ndarray, most: int) -> DataFrame:
         """query_id, id: the candidates by their codes."""
 
-        def score(model: Model, q: np.ndarray, cell: int, codes: pa.Array) -> np.ndarray:
-            return model.rough(q, cell, np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1))
+        def read(model: Model, codes: pa.Array) -> np.ndarray:
+            return np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
 
-        rows = self._over_lists("code", wanted, ids, q, most, score)
+        rows = self._over_lists("code", wanted, ids, q, most, read, Model.rough)
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id"))
         return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("query_id", "id")
 
@@ -273,4 +256,4 @@ class VectorIndex:
 
     def _whole(self, ids: np.ndarray, q: np.ndarray, wanted: np.ndarray, k: int) -> DataFrame:
         """Scores on whole vectors of all rows in the cells wanted."""
-        return self._over_lists("embedding", wanted, ids, q, k, lambda model, q, cell, x: np.round(q @ unit(matrix(x, model.width)).T, 6) + 0.0)
+        return self._over_lists("embedding", wanted, ids, q, k, lambda model, x: unit(matrix(x, model.width)), lambda model, q, cell, x: np.round(q @ x.T, 6) + 0.0)
