@@ -60,3 +60,13 @@ def test_a_star_labels_each_leaf_once(spark):
     edges = [("hub", f"n{i}") for i in range(200)]
     table = landmarks.labels(spark.createDataFrame(edges, "source string, target string"), undirected=True)
     assert table.count() == 200
+
+
+def test_nodes_with_the_same_labels_are_asked_once(spark):
+    """200 leaves of two hubs make 10 000 pairs, but only the four meetings of their sets are worked out."""
+    edges = [(f"h{i % 2}", f"n{i:03}") for i in range(200)] + [("h0", "h1")]
+    table = landmarks.labels(spark.createDataFrame(edges, "source string, target string"), undirected=True)
+    pairs = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a in range(100) for b in range(100, 200)] + [("n000", "n000"), ("z", "z")], "start string, end string")
+    out, starts, ends, best = landmarks._best(table, pairs, None)
+    assert starts.select("set").distinct().count() == 2 and best.count() <= 4
+    assert {(x.start, x.end): x.d for x in out.collect()} == {("z", "z"): 0, ("n000", "n000"): 0} | {(f"n{a:03}", f"n{b:03}"): 2 + (a + b) % 2 for a in range(100) for b in range(100, 200)}

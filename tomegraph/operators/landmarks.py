@@ -59,35 +59,73 @@ def _covered(fresh: DataFrame, known: DataFrame, k: int, undirected: bool) -> Da
     return ways.where(F.col("d1") + F.col("d2") <= k).select("side", "id", "hub").distinct()
 
 
-def _best(table: DataFrame, pairs: DataFrame, max_edges: int | None) -> DataFrame:
-    """start, end, hub, d1, d2: the hub on a shortest way of each pair, the smallest of several."""
-    pairs = pairs.select("start", "end").where("start IS NOT NULL AND end IS NOT NULL").distinct()
+#: Rows of sets' best hubs and of broken ways that go to every task; beyond, they are joined by a shuffle.
+SMALL = 100_000
+
+
+def small(t: DataFrame) -> DataFrame:
+    return F.broadcast(t) if t.count() <= SMALL else t
+
+
+def _sets(table: DataFrame, asked: DataFrame, sides: tuple) -> tuple[DataFrame, DataFrame]:
+    """id, set of the nodes asked (id) and set, hub, d of their labels: nodes with the same labels share a set, named by one of them.
 
-    def of(end: str, sides: tuple, d: str) -> DataFrame:
-        asked = pairs.select(F.col(end).alias("id")).distinct()
-        held = table.where(F.col("side").isin(*sides)).join(asked, "id", "left_semi").select(F.col("id").alias(end), "hub", F.col("d").alias(d))
-        return held.unionByName(asked.select(F.col("id").alias(end), F.col("id").alias("hub"), F.lit(0).alias(d)))
+    A hub's label to itself counts here; that of other nodes tells nothing but that a node is 0 from itself.
+    """
+    own = table.where(F.col("side").isin(*sides)).join(asked, "id", "left_semi").select("id", "hub", "d")
+    hubs = table.select(F.col("hub").alias("id")).distinct().join(asked, "id", "left_semi")
+    held = own.unionByName(hubs.select("id", F.col("id").alias("hub"), F.lit(0).alias("d"))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("hub", "d"))).alias("ways"))
+    held = materialise(held, "held")
+    sets = materialise(held.groupBy("ways").agg(F.min("id").alias("set")), "sets")
+    return materialise(held.join(sets, "ways").select("id", "set"), "names"), sets.select("set", F.explode("ways").alias("w")).select("set", "w.*")
 
-    ways = pairs.join(of("start", ("out", "any"), "d1"), "start").join(of("end", ("in", "any"), "d2"), ["end", "hub"])
-    best = ways.groupBy("start", "end").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("d"), "hub", "d1", "d2")).alias("b"))
-    best = best.select("start", "end", "b.*")
-    return best.where(F.col("d") <= max_edges) if max_edges is not None else best
+
+def _best(table: DataFrame, pairs: DataFrame, max_edges: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """start, end, d, hub: the hub on a shortest way of each pair, the smallest of several; then the names of starts and of ends (id, set) and the sets' hubs.
+
+    The hub depends on the two sets of labels alone, so it is sought once for each two sets that meet, and pairs carry two names.
+    """
+    pairs = pairs.select("start", "end").where("start IS NOT NULL AND end IS NOT NULL").distinct()
+    pairs = materialise(pairs, "pairs")
+    named, ways = [], []
+    for end, sides in (("start", ("out", "any")), ("end", ("in", "any"))):
+        names, labels_ = _sets(table, pairs.select(F.col(end).alias("id")).distinct(), sides)
+        named.append(names)
+        ways.append(labels_)
+    at = pairs
+    for end, names in zip(("start", "end"), named, strict=True):
+        at = at.join(names.select(F.col("id").alias(end), F.col("set").alias(f"_{end}")), end, "left")
+    at = materialise(at, "named")
+    met = at.select("_start", "_end").where("_start IS NOT NULL AND _end IS NOT NULL").distinct()
+    both = met.join(ways[0].select(F.col("set").alias("_start"), "hub", F.col("d").alias("d1")), "_start").join(ways[1].select(F.col("set").alias("_end"), "hub", F.col("d").alias("d2")), ["_end", "hub"])
+    best = both.groupBy("_start", "_end").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("d"), "hub", "d1", "d2")).alias("b")).select("_start", "_end", "b.*")
+    best = materialise(best.where(F.col("d") <= max_edges) if max_edges is not None else best, "best")
+    same = F.col("start") == F.col("end")
+    out = at.join(small(best.select("_start", "_end", "d", "hub")), ["_start", "_end"], "left")
+    out = out.select("start", "end", F.when(same, 0).otherwise(F.col("d")).alias("d"), F.when(same, F.col("start")).otherwise(F.col("hub")).alias("hub")).where("d IS NOT NULL")
+    return out, *named, best
 
 
 def distances(table: DataFrame, pairs: DataFrame, max_edges: int | None = None) -> DataFrame:
     """start, end, d of the pairs (start, end) that a way connects."""
-    return _best(table, pairs, max_edges).select("start", "end", "d")
+    return _best(table, pairs, max_edges)[0].select("start", "end", "d")
+
+
+def _ways(table: DataFrame, names: DataFrame, hubs: DataFrame, side: str) -> DataFrame:
+    """id, hub, path of the nodes in names (id, set) and their sets' hubs (set, hub, d), over the next nodes."""
+    at = materialise(names.join(small(hubs.distinct()), "set").select("id", "hub", "d", F.array("id").alias("path")), "ways")
+    onward = table.where(F.col("side").isin(side, "any")).select(F.col("id").alias("_at"), F.col("hub").alias("_hub"), "next")
+    for _ in range(at.agg(F.max("d")).first()[0] or 0):
+        grown = at.join(onward, (F.element_at("path", -1) == F.col("_at")) & (F.col("hub") == F.col("_hub")), "left")
+        at = materialise(grown.withColumn("path", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next")))).select(at.columns), "ways")
+    return at.select("id", "hub", "path")
 
 
 def routes(table: DataFrame, pairs: DataFrame, max_edges: int | None = None) -> DataFrame:
-    """start, end, d, path: a shortest path of each pair, rebuilt over the next nodes on both sides of its hub."""
-    at = materialise(_best(table, pairs, max_edges).withColumns({"head": F.array("start"), "tail": F.array("end")}), "ends")
-    far = at.agg(F.max(F.greatest("d1", "d2"))).first()[0] or 0
-    for _ in range(far):
-        for side, path in (("out", "head"), ("in", "tail")):
-            onward = table.where(F.col("side").isin(side, "any")).select(F.col("id").alias("_at"), F.col("hub").alias("_hub"), "next")
-            last = F.element_at(path, -1)
-            grown = at.join(onward, (last == F.col("_at")) & (F.col("hub") == F.col("_hub")), "left")
-            at = grown.withColumn(path, F.when(F.col("next").isNull(), F.col(path)).otherwise(F.concat(path, F.array("next")))).select(at.columns)
-        at = materialise(at, "ends")
-    return at.select("start", "end", "d", F.concat("head", F.slice(F.reverse("tail"), F.lit(2), F.size("tail"))).alias("path"))
+    """start, end, d, path: a shortest path of each pair; the ways between a node and a hub are built once for all pairs they serve."""
+    at, starts, ends, best = _best(table, pairs, max_edges)
+    heads = _ways(table, starts, best.select(F.col("_start").alias("set"), "hub", F.col("d1").alias("d")), "out")
+    tails = _ways(table, ends, best.select(F.col("_end").alias("set"), "hub", F.col("d2").alias("d")), "in")
+    at = at.join(heads.select(F.col("id").alias("start"), "hub", F.col("path").alias("head")), ["start", "hub"], "left")
+    at = at.join(tails.select(F.col("id").alias("end"), "hub", F.slice(F.reverse("path"), F.lit(2), F.size("path")).alias("tail")), ["end", "hub"], "left")
+    return at.select("start", "end", "d", F.when(F.col("d") == 0, F.array("start")).otherwise(F.concat("head", "tail")).alias("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import landmarks, metrics, ranks
-from ..session import scratch_root
+from ..session import materialise, scratch_root
 from ..sources import sinks
 from ..sources.keyed import KeyedTable
 from .queries import _id, _t, query
@@ -131,10 +131,13 @@ def label_routes(spark, d):
     """A shortest path of each such pair, with whether every step of it is a link."""
     e = _trade_places(spark, d)
     links = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    routes = landmarks.routes(landmarks.labels(e, 5, undirected=True), _sold(spark, d), 5)
-    steps = routes.select("start", "end", "d", F.size("path").alias("nodes"), F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("source"), F.slice("path", F.lit(2), F.size("path") - 1).alias("target"))).alias("x"))
-    held = steps.select("*", "x.*").join(links.withColumn("held", F.lit(1)), ["source", "target"], "left")
-    return held.groupBy("start", "end", "d", "nodes").agg((F.count("held") == F.first("d")).alias("linked"))
+    routes = materialise(landmarks.routes(landmarks.labels(e, 5, undirected=True), _sold(spark, d), 5), "routes")
+    step = F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("source"), F.slice("path", F.lit(2), F.size("path") - 1).alias("target")))
+    # steps are shared by many paths: each is looked up once, and what isn't a link goes back to the paths that have it
+    astray = materialise(routes.select(step.alias("x")).select("x.*").distinct().join(links, ["source", "target"], "left_anti"), "astray")
+    broken = materialise(routes.select("start", "end", step.alias("x")).select("start", "end", "x.*").join(landmarks.small(astray), ["source", "target"]).select("start", "end").distinct(), "broken")
+    held = routes.join(landmarks.small(broken.withColumn("broken", F.lit(True))), ["start", "end"], "left")
+    return held.select("start", "end", "d", F.size("path").alias("nodes"), (F.col("broken").isNull() & (F.size("path") == F.col("d") + 1)).alias("linked"))
 
 
 @query("""
