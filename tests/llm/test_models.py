@@ -36,6 +36,17 @@ def test_quality_odd_tables(spark):
     assert kept.columns == docs.columns
 
 
+def test_accepted_texts_do_not_come_back_from_python(spark):
+    """Only the numbers of rejected rows do: an unbounded batch of whole texts took a gigabyte beside the heap."""
+    rows = [(i, prose(i, 30)) for i in range(40)] + [(7, None), (None, prose(99, 5))]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    kept = Q.Classifier.fit(docs, labels).accepted(docs, cut=0.0)
+    assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+
+
+
 def test_vectors_are_the_sum_over_all_documents(spark):
     docs = documents(spark, odd_rows())
     a = Q.word_vectors(docs)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_text, materialise, slices, table
+from .common import bounded_batches, id_text, identified, materialise, slices, table, without
 
 SLOTS, WIDTH, WINDOW = 1 << 13, 48, 2
 TRAIN_ROWS, HIDDEN, EPOCHS = 20_000, 24, 60
@@ -243,15 +243,17 @@ class Classifier:
         return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
     def accepted(self, docs: DataFrame, cut: float = CUT) -> DataFrame:
-        """The rows of docs, all columns, whose score reaches the cut."""
-        vectors, network, at = self.vectors, self.network, docs.columns.index("text")
+        """The rows of docs, all columns, whose score reaches the cut; texts go to Python but don't come back."""
+        vectors, network, known = self.vectors, self.network, identified(docs)
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = Slots()
             for b in slices(it):
-                yield b.filter(pa.array(network.value.predict(pooled(b.column(at).to_pylist(), *vectors.value, slots)) >= cut))
+                low = ~(network.value.predict(pooled(b.column(1).to_pylist(), *vectors.value, slots)) >= cut)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(low))], ["row"])
 
-        return docs.mapInArrow(run, docs.schema)
+        texts = known.select("row", F.col("doc.text").cast("string").alias("text"))
+        return without(known, materialise(texts.mapInArrow(run, "row long"), "rejected"))
 
 
 def scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cut: float = CUT) -> DataFrame:
