@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import LINK
 
-TAG = r"(?U)\{@(\w+)\s+([^{}]+)\}"
+TAG = r"(?U)\{@(\w++)\s+([^{}]+)\}"
 #: Tags that only format, and the groups of the others.
 FORMATTING = ("b", "i", "u", "s", "c", "color", "note", "bold", "italic", "strikethrough", "underline", "comic", "book", "filter")
 GROUPS = {
@@ -22,7 +22,7 @@ NESTED = r"\{[^{}]*\{@"
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\{@\w+\s+(?=[^{}])([^{}|]*)(?:\|[^{}]*)?\}", "$1")
+    return F.regexp_replace(text, r"(?U)\{@\w++\s+(?=[^{}])([^{}|]*)(?:\|[^{}]*)?\}", "$1")
 
 
 def _links(text: Column, raw: bool = False) -> Column:
@@ -63,10 +63,32 @@ def all_links(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: ~x["tag"].isin(*FORMATTING)))
 
 
+def _named(whole: Column) -> Column:
+    """Links of tags that were found, in their order."""
+
+    def link(w: Column) -> Column:
+        tag, body = (F.regexp_extract(w, TAG, i) for i in (1, 2))
+        return F.struct(F.substring_index(body, "|", 1).alias("text"), tag.alias("tag"), F.slice(F.split(body, r"\|"), 2, MOST).alias("attrs"))
+
+    return F.transform(whole, link)
+
+
 def parse_and_clean(text: Column) -> Column:
-    """struct<text, links> of clean_text() and all_links(); a part that isn't asked for isn't worked out."""
+    """struct<text, links> of clean_text() and all_links(), both from the same passes.
+
+    A pass looks for tags once: they are its links, and where there are none the text is done. Every pass takes a closing brace at least.
+    """
     text = F.coalesce(text, F.lit(""))
-    return F.struct(clean_text(text).alias("text"), all_links(text).alias("links"))
+    none = F.array().cast(f"array<{LINK}>")
+    kept = lambda links: F.array_distinct(F.filter(links, lambda x: ~x["tag"].isin(*FORMATTING)))
+    state = lambda t, links, *more: F.struct(t.alias("text"), links.alias("links"), *more)
+    open_ = lambda x: x.alias("open")
+    found = lambda t: F.regexp_extract_all(t, F.lit(TAG), F.lit(0))
+    once = lambda s, got: F.when(F.size(got) > 0, state(_strip(s["text"]), F.concat(s["links"], _named(got)), open_(F.lit(True)))).otherwise(state(s["text"], s["links"], open_(F.lit(False))))
+    step = lambda s, _: F.when(s["open"], F.get(F.transform(F.array(found(s["text"])), lambda got: once(s, got)), 0)).otherwise(s)
+    most = F.length(text) - F.length(F.replace(text, F.lit("}"), F.lit("")))
+    deep = F.aggregate(F.sequence(F.lit(0), most), state(text, none, open_(F.lit(True))), step, lambda s: state(s["text"], kept(s["links"])))
+    return F.when(~F.contains(text, F.lit("{@")), state(text, none)).when(text.rlike(NESTED), deep).otherwise(state(_strip(text), kept(_named(found(text)))))
 
 
 def parse_once(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import containment, tags
 from ..functions import text as T
 from ..operators import flatten, parsers, ranks, stats, traverse
+from ..session import spread
 from .queries import TREE, _id, _t, _tree_docs, query
 
 S = F.lit
@@ -115,7 +116,8 @@ def tags_nested(spark, d):
     """Tags in tags, up to fourteen deep, with plain braces beside them."""
     inner = _cat("{@creature ", F.col("p_name"), "|", F.col("p_brand"), "} of {@b ", F.col("p_brand"), "}")
     deep = F.concat(F.repeat(S("{@item "), F.col("p_size") % 14), inner, F.repeat(S("}"), F.col("p_size") % 14))
-    got = _t(spark, d, "part").select("p_partkey", tags.parse_and_clean(F.concat(F.repeat(S("<"), F.col("p_size") % 3), deep, S(" {"), F.col("p_type"), S("}"))).alias("r"))
+    text = F.concat(F.repeat(S("<"), F.col("p_size") % 3), deep, S(" {"), F.col("p_type"), S("}"))
+    got = spread(_t(spark, d, "part")).select("p_partkey", text.alias("t")).select("p_partkey", tags.parse_and_clean(F.col("t")).alias("r"))
     listed = F.transform("r.links", lambda x: F.concat_ws(":", x["tag"], x["text"], F.array_join(x["attrs"], "|")))
     return got.select("p_partkey", "r.text", F.array_join(listed, ";").alias("links")).withColumnRenamed("text", "clean")
 
@@ -123,7 +125,7 @@ def tags_nested(spark, d):
 @query("""
 SELECT p_partkey, '{@note ' || p_name || ' and ' || p_brand || '}' AS clean, 'b|{@b ' || p_name || '};item|{@item ' || p_brand || '|X}' AS links FROM part""")
 def tags_single_pass(spark, d):
-    got = _t(spark, d, "part").select("p_partkey", tags.parse_once(_cat("{@note {@b ", F.col("p_name"), "} and {@item ", F.col("p_brand"), "|X}}")).alias("r"))
+    got = spread(_t(spark, d, "part")).select("p_partkey", tags.parse_once(_cat("{@note {@b ", F.col("p_name"), "} and {@item ", F.col("p_brand"), "|X}}")).alias("r"))
     listed = F.array_join(F.transform("r.links", lambda x: F.concat_ws("|", x["tag"], x["raw"])), ";")
     return got.select("p_partkey", F.col("r.text").alias("clean"), listed.alias("links"))
 
