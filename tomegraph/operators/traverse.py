@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..model import NO_SPATIAL_INFO
-from ..session import materialise
+from ..session import materialise, spread
 from . import graph
 
 
@@ -164,7 +164,10 @@ def trees(nodes: DataFrame, fields: tuple[str, ...] = ("node_id", "title", "type
 
 
 def accumulated(entities: DataFrame) -> DataFrame:
-    """Entities (doc_id, path, id, label, ord) of each section and all below it, each id once, own ones first."""
-    up = entities.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", 1, i))))
+    """Entities (doc_id, path, id, label, ord) of each section and all below it, each id once, own ones first.
+
+    A task sorts its rows, one for each entity and ancestor, before it combines them: so each gets an even share.
+    """
+    up = spread(entities).withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", 1, i))))
     place = up.withColumn("_o", F.struct("path", "ord"))
     return graph.first_wins(place, ["doc_id", "at", "id"], ord="_o").drop("_o")
