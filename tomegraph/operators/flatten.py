@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags
 from ..model import STRUCTURAL_TYPES
-from ..session import Levels, materialise
+from ..session import Levels, materialise, spread
 
 _LINE = "struct<prefix: string, text: string, tagged: boolean>"
 PROFILES = ("shadow", "indexed")
@@ -168,8 +168,9 @@ def raw_nodes(docs: DataFrame, profile: str = "shadow", line: Callable[[Column],
         raise ValueError(f"no such profile: {profile}")
     indexed = profile == "indexed"
     body = F.col("body")
-    read = docs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").cast("string").alias("doc_id"), F.col("body").cast("string").alias("body"))
-    read = read.withColumn("v", F.when(F.try_parse_json(body).isNull() & (F.octet_length(body) >= LARGE_BYTES), F.raise_error("a document is too large or no JSON").cast("variant")).otherwise(F.try_parse_json(body)))
+    # the levels below are read from the files of this one, so documents dealt evenly keep all rounds even
+    read = spread(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("body").cast("string").alias("body"))).withColumn("doc", F.monotonically_increasing_id())
+    read = read.withColumn("v", F.when((F.octet_length(body) >= LARGE_BYTES) & F.try_parse_json(body).isNull(), F.raise_error("a document is too large or no JSON").cast("variant")).otherwise(F.try_parse_json(body)))
     start = read.select("doc", "doc_id", F.when(_is_list(F.col("v")), F.col("v")).otherwise(_get(F.col("v"), "data")).alias("entries"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("array<int>").alias("owner"), F.lit(None).cast("int").alias("depth"))
 
     def below(t: DataFrame) -> DataFrame:
