@@ -94,3 +94,19 @@ def test_many_phrases_in_chunks(spark, monkeypatch):
     items = [(1, "ka lo " * 9), (2, "lo ka lo"), (3, "ka"), (4, prose(3, 20)), (5, "ka ka lo")]
     got = D.verdicts(index_of(documents(spark, texts)), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(texts, items)
+
+
+def test_one_python_step_at_a_time(spark, monkeypatch):
+    """No table is written by a plan with two Python steps: each would hold a worker of every task."""
+    steps = []
+    plain = D.materialise
+
+    def told(df, *a, **k):
+        steps.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return plain(df, *a, **k)
+
+    monkeypatch.setattr(D, "materialise", told)
+    data = odd_rows() + [(100, prose(500, 40))]
+    got = D.verdicts(index_of(documents(spark, data)), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(data, ITEMS)
+    assert max(steps) == 1

@@ -1,13 +1,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import documents, odd_rows, prose
 from tomegraph.llm import packing as P
 from tomegraph.llm import token_file as F
-from tomegraph.llm.common import scratch_path
+from tomegraph.llm.common import scratch_path, slices
 from tomegraph.llm.tokens import Encoder, vocabulary
 
 HARD = [None, "", " ", "\x0b a\x0c\x1cb\x85c d  e", "a<|endoftext|>b <|startoftext|>", "x" * 9000, "\x00 \x00a", "é́ ́a ΑΣ Σ ς", "'s 't don'T 12 ½ ²", "　z y", "Zürich, ÉLAN. ßÿ", "i̇İ ﬁ ǅ"]
@@ -147,3 +148,19 @@ def test_packing_query(spark, sf):
     bound = P.total_bound(got.select("length"), 4096)
     assert bound == P.lower_bound(np.array([r.length for r in rows]), 4096)
     assert bound <= len(by) <= bound + 1
+
+
+def test_workers_drop_the_vocabulary_for_other_stages(spark):
+    """What tokenizing tasks keep in a Python worker goes when a task of another stage slices its texts there."""
+
+    def left(it):
+        import gc
+
+        for _ in slices(it):
+            pass
+        gc.collect()
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Encoder" for x in gc.get_objects())])], ["n"])
+
+    docs = documents(spark, odd_rows()).repartition(4)
+    P.pieces(docs, vocabulary(), 1, 64).write.format("noop").mode("overwrite").save()
+    assert {r.n for r in spark.range(400).repartition(8).mapInArrow(left, "n long").collect()} == {0}

@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], np.uint32)
-        for b in slices(it):
+        for b in slices(it, keep="encoder"):
             cols: list[list] = [[], [], [], [], []]
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.many(b.column(1).to_pylist()), strict=True):
                 ids = np.append(ids, end)

@@ -173,7 +173,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions:
             out, seq = None, seq + 1
             return pa.RecordBatch.from_pydict(row)
 
-        for b in slices(it):
+        for b in slices(it, keep="encoder"):
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.many(b.column(1).to_pylist()), strict=True):
                 if out is None:
                     fs, place = _fs(f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst")
@@ -197,7 +197,8 @@ def read(manifest: DataFrame) -> DataFrame:
     for r in manifest.orderBy("part", "seq").toLocalIterator():
         rows.append((r.path, base))
         base += r.n_tokens
-    files = spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows)))
+    held = pa.table({"path": pa.array([p for p, _ in rows], pa.string()), "base": pa.array([b for _, b in rows], pa.int64())})
+    files = spark.createDataFrame(held).repartition(max(1, len(rows)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import KEPT
+
 #: Chunks of the young cache; when it is full it becomes the elder one, whose entries go unless used again. About 190 bytes each.
 CACHE_CHUNKS = 400_000
 #: Longer chunks are encoded each time they come.
@@ -139,10 +141,16 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; its vocabulary and chunks (up to 200 MB) stay for tasks that slice with keep="encoder" and go with the first other one."""
+    KEPT["encoder"] = _encoder.cache_clear
+    return _encoder(path)
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Place of a public vocabulary file."""
     import public_tokenizers
