@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.fixtures import documents, odd_rows, prose
@@ -75,6 +76,25 @@ def test_vectors_by_hand():
         assert np.array_equal(got, want)
 
 
+def test_words_of_a_column_at_once():
+    """Equal to the words one by one, from Arrow's bytes; only long words and runs of marks are looked up singly."""
+    r = np.random.default_rng(5)
+    odd = ["".join(r.choice(list("aAbZ09 \t\n!?.,\x00\x1c\x85\xe9\xc9\u65e5 "), 60)) for _ in range(300)]
+    sizes = [" ".join((w * n)[:n] for w in ("A", "a", "Ab", "aB", "1", "!", "\xc9", "A\xc9", "\xe9A") for n in range(1, Q.LONG + 9))]
+    texts = [None, "", *odd, *sizes, "THE The tHE", "", None, "x" * (7 * Q.CHUNK), *(prose(i, 90) for i in range(300)), ""]
+    for column in (texts, pa.array(texts), pa.array(["cut", None, *texts, "off"], pa.large_string()).slice(2, len(texts))):
+        one, at = Q.Slots(), 0
+        for lo, hi, word, bounds in Q._batches(column, Q.Slots()):
+            assert lo == at and len(bounds) == hi - lo + 1 and bounds[-1] == len(word)
+            for i in range(lo, hi):
+                assert np.array_equal(word[bounds[i - lo] : bounds[i - lo + 1]], Q.codes(texts[i], one))
+            at = hi
+        assert at == len(texts)
+    singly = Q.Slots()
+    assert sum(len(w) for _, _, w, _ in Q._batches(pa.array([prose(i, 400) + " THE 12, \xc9t\xe9." for i in range(50)]), singly)) > 20_000
+    assert not singly
+
+
 def test_pooled_by_hand():
     texts = ["a b c a a!! 12 X", None, "one", prose(3, 400)] + [prose(i, 3) for i in range(100)]
     slots, index = Q.Slots(), Q.index_vectors()

@@ -19,6 +19,7 @@ ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +50,6 @@ class Slots(dict):
     """Token to slot, remembered up to a bound."""
 
     def __missing__(self, token: bytes) -> int:
-        import zlib
-
         if len(self) > 300_000:
             self.clear()
         word = token.lower() if not token.isupper() or len(token) < 2 else b"\x01" + token.lower()[:1]
@@ -63,42 +62,122 @@ class Slots(dict):
 
 
 def codes(text: str | None, slots: Slots) -> np.ndarray:
+    """Slots of a text's words, one by one; `_words` gives the same for many texts at once."""
     got = _TOKEN.findall((text or "").encode("utf-8", "replace"))
     return np.fromiter(map(slots.__getitem__, got), np.int32, len(got))
 
 
-def _batches(column: list[str | None], slots: Slots) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of documents: first, last, joined codes and the documents' bounds."""
-    at, held, n = 0, [], 0
-    for i, text in enumerate(column):
-        held.append(codes(text, slots))
-        n += len(held[-1])
-        if n >= CHUNK or i == len(column) - 1:
-            yield at, i + 1, np.concatenate(held), np.cumsum([0, *map(len, held)])
-            at, held, n = i + 1, [], 0
+#: What a byte is part of, as in _TOKEN.
+_BLANK, _LETTERS, _DIGITS, _MARKS = range(4)
+_KIND = bytes(_BLANK if b in b" \t\n\r\f\v" else _DIGITS if b in b"0123456789" else _LETTERS if b >= 128 or bytes([b]).isalpha() else _MARKS for b in range(256))
+_BYTES = [bytes([b]) for b in range(256)]
+_UPPER, _LOWER = np.array([b.isupper() for b in _BYTES]), np.array([b.islower() for b in _BYTES])
+#: Bytes of a word whose slot is worked out beside those of other words.
+LONG = 24
+#: A CRC is the exclusive or of what each byte adds at its distance from the end, and that of as many zeros.
+_ZEROS = np.array([zlib.crc32(bytes(n)) for n in range(LONG + 1)], np.uint32)
+_ADDS = np.array([[zlib.crc32(b.lower() + bytes(j)) ^ zlib.crc32(bytes(j + 1)) for b in _BYTES] for j in range(LONG)], np.uint32)
+_ONE = Slots()
+#: Slots of words in capitals by first byte, of numbers by length, of single marks.
+_CAPITALS = np.array([zlib.crc32(b"\x01" + b.lower()) % SLOTS for b in _BYTES], np.int32)
+_NUMBERS = np.array([_ONE[b"0" * max(n, 1)] for n in range(LONG + 1)], np.int32)
+_SINGLE = np.array([_ONE[b] for b in _BYTES], np.int32)
+
+
+def _token_slots(raw: bytes, begin: np.ndarray, end: np.ndarray, kind: np.ndarray, slots: Slots) -> np.ndarray:
+    """Slots of the tokens raw[begin:end], as `slots` has them."""
+    data, size = np.frombuffer(raw, np.uint8), end - begin
+    first = data.take(begin)
+    out = _SINGLE.take(first)
+    at = np.flatnonzero(kind == _DIGITS)
+    out[at] = _NUMBERS.take(np.minimum(size[at], LONG))
+    alone = (size > LONG) | ((kind == _MARKS) & (size > 1))
+    at = np.flatnonzero((kind == _LETTERS) & ~alone)
+    at = at[np.argsort((LONG - size[at]).astype(np.uint8), kind="stable")]  # longest first
+    n = size[at]
+    reach = len(n) - np.cumsum(np.bincount(n, minlength=LONG + 1))  # words of more than j bytes
+    place, crc = end[at], _ZEROS.take(n)
+    for j in range(n[0] if len(n) else 0):
+        m = reach[j]
+        place[:m] -= 1
+        crc[:m] ^= _ADDS[j].take(data.take(place[:m]))
+    out[at] = crc % SLOTS
+    at = at[~_LOWER.take(first[at]) & (n > 1)]
+    at = at[~_LOWER.take(data.take(begin[at] + 1))]
+    upper, lower, n = np.zeros(len(at), bool), np.zeros(len(at), bool), size[at]
+    reach = len(n) - np.cumsum(np.bincount(n, minlength=LONG + 1))
+    for j in range(n[0] if len(n) else 0):
+        byte = data.take(begin[at[: reach[j]]] + j)
+        upper[: reach[j]] |= _UPPER.take(byte)
+        lower[: reach[j]] |= _LOWER.take(byte)
+    at = at[upper & ~lower]
+    out[at] = _CAPITALS.take(first[at])
+    at = np.flatnonzero(alone)
+    out[at] = [slots[raw[a:z]] for a, z in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+    return out
 
 
-def _context(word: np.ndarray, bounds: np.ndarray, index: np.ndarray, total: np.ndarray) -> None:
+def _words(raw: bytes, bounds: np.ndarray, slots: Slots) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the words of the texts that `bounds` cuts raw into, and the texts' bounds among them."""
+    kind = np.frombuffer(raw.translate(_KIND), np.uint8)
+    change = np.ones(len(raw), bool)
+    np.not_equal(kind[1:], kind[:-1], out=change[1:])
+    change[bounds[bounds < len(raw)]] = True
+    begin = np.flatnonzero(change)
+    end, kind = np.append(begin, len(raw))[1:], kind.take(begin)
+    kept = np.flatnonzero(kind != _BLANK)
+    begin, end, kind = begin.take(kept), end.take(kept), kind.take(kept)
+    word = np.empty(len(begin), np.int32)
+    for lo in range(0, len(begin), CHUNK):
+        part = slice(lo, lo + CHUNK)
+        word[part] = _token_slots(raw, begin[part], end[part], kind[part], slots)
+    return word, np.searchsorted(begin, bounds)
+
+
+def _batches(column: pa.Array | list[str | None], slots: Slots) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of documents: first, last, joined codes and the documents' bounds."""
+    if not isinstance(column, pa.Array):
+        column = pa.array([(t or "").encode("utf-8", "replace") for t in column], pa.binary())
+    column = column.fill_null("").cast(pa.large_binary())
+    if not len(column):
+        return
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    at = 0
+    while at < len(column):
+        # the few rows keep row and slot within 32 bits
+        to = max(at + 1, min(at + 1000, int(np.searchsorted(ends, ends[at] + 6 * CHUNK, "right")) - 1))
+        raw = data[ends[at] : ends[to]].to_pybytes() if data else b""
+        yield at, to, *_words(raw, ends[at : to + 1] - ends[at], slots)
+        at = to
+
+
+def _places(index: np.ndarray) -> np.ndarray:
+    """Columns of each index vector's four entries, one row an entry; those of -1 are counted WIDTH further on."""
+    slot, column = np.nonzero(index[:SLOTS])
+    return np.ascontiguousarray((column + WIDTH * (index[slot, column] < 0)).reshape(SLOTS, -1).T)
+
+
+def _context(word: np.ndarray, bounds: np.ndarray, index: np.ndarray, total: np.ndarray, places: np.ndarray | None = None) -> None:
     """Add each word's neighbours' index vectors to its slot's row; neighbours stay within a document.
 
-    `index` has a row of zeros at SLOTS, of which WINDOW stand between documents, so the sums of all
-    neighbourhoods come from one running sum.
+    Entries of 1 and of -1 are counted by slot and column, four a neighbour.
     """
-    n = len(word)
-    place = np.arange(n) + WINDOW * (1 + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
-    padded = np.full((place[-1] if n else 0) + WINDOW + 1, SLOTS, np.int32)
-    padded[place] = word
-    for lo in range(0, n, CHUNK):
-        hi = min(n, lo + CHUNK)
-        first, at = place[lo] - WINDOW, place[lo:hi] - place[lo]
-        own = index[padded[first : place[hi - 1] + WINDOW + 1]]
-        run = np.zeros((len(own) + 1, WIDTH), np.int32)
-        np.cumsum(own, axis=0, out=run[1:])
-        near = (run[at + 2 * WINDOW + 1] - run[at] - own[at + WINDOW]).astype(np.int8)
-        order = np.argsort(word[lo:hi], kind="stable")
-        slot = word[lo:hi][order]
-        begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        total[slot[begin]] += np.add.reduceat(near[order], begin, axis=0, dtype=np.int32)
+    places = _places(index) if places is None else places
+    doc = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
+    for lo in range(0, len(word), CHUNK):
+        cells = []
+        for d in range(1, WINDOW + 1):
+            near = word[lo + d : lo + d + CHUNK]
+            own = word[lo : lo + len(near)]
+            both = np.flatnonzero(doc[lo : lo + len(near)] == doc[lo + d : lo + d + CHUNK])
+            own, near = own.take(both).astype(np.int64), near.take(both).astype(np.int64)
+            for a, b in ((own, near), (near, own)):
+                row = a * (2 * WIDTH)
+                cells += [p.take(b) + row for p in places]
+        count = np.bincount(np.concatenate(cells), minlength=SLOTS * 2 * WIDTH).reshape(SLOTS, 2 * WIDTH)
+        total += count[:, :WIDTH]
+        total -= count[:, WIDTH:]
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -107,11 +186,11 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     The model has SLOTS x WIDTH numbers whatever the corpus, so it may come to the driver.
     """
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, slots = np.vstack([index_vectors(), np.zeros((1, WIDTH))]).astype(np.int8), Slots()
-        total = np.zeros((SLOTS, WIDTH))
+        index, slots = index_vectors(), Slots()
+        places, total = _places(index), np.zeros((SLOTS, WIDTH))
         for b in slices(it):
-            for _, _, word, bounds in _batches(b.column(0).to_pylist(), slots):
-                _context(word, bounds, index, total)
+            for _, _, word, bounds in _batches(b.column(0), slots):
+                _context(word, bounds, index, total, places)
         used = np.flatnonzero(total.any(axis=1))
         for lo in range(0, len(used), 1024):
             part = used[lo : lo + 1024]
@@ -127,23 +206,24 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(column: list[str | None], vectors: np.ndarray, index: np.ndarray, slots: Slots) -> np.ndarray:
+def pooled(column: pa.Array | list[str | None], vectors: np.ndarray, index: np.ndarray, slots: Slots) -> np.ndarray:
     """One row per text: mean index vector, mean corpus vector, spread of the latter, log size."""
     out = np.zeros((len(column), 3 * WIDTH + 1))
     wide = vectors.astype(np.float64)
     both = np.hstack([index, wide, wide**2])
+    room = np.empty_like(both)
     for lo, hi, word, bounds in _batches(column, slots):
         n = np.diff(bounds)
-        cell, times = np.unique(np.repeat(np.arange(hi - lo), n) * SLOTS + word, return_counts=True)
-        doc, slot = cell // SLOTS, cell % SLOTS
-        begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-        for k in range(0, len(begin), 64):  # a few documents' rows at a time
-            a, z = begin[k], begin[k + 64] if k + 64 < len(begin) else len(cell)
-            row = doc[begin[k : k + 64]]
-            sums = np.add.reduceat(both[slot[a:z]] * times[a:z, None], begin[k : k + 64] - a, axis=0) / n[row, None]
-            sums[:, 2 * WIDTH :] = np.sqrt(np.maximum(sums[:, 2 * WIDTH :] - sums[:, WIDTH : 2 * WIDTH] ** 2, 0))
-            out[lo + row, : 3 * WIDTH] = sums
+        cell, times = np.unique(np.repeat(np.arange(hi - lo, dtype=np.int32), n) * SLOTS + word, return_counts=True)
+        ends, slot, times = np.searchsorted(cell, np.arange(hi - lo + 1) * SLOTS).tolist(), cell % SLOTS, times.astype(float)
+        for row in np.flatnonzero(n).tolist():
+            a, z = ends[row], ends[row + 1]
+            # not BLAS, which takes threads of its own for a text
+            np.einsum("i,ij->j", times[a:z], both.take(slot[a:z], axis=0, out=room[: z - a], mode="clip"), out=out[lo + row, : 3 * WIDTH])
+        out[lo:hi, : 3 * WIDTH] /= np.maximum(n, 1)[:, None]
         out[lo:hi, -1] = np.log1p(n)
+    mean, spread = out[:, WIDTH : 2 * WIDTH], out[:, 2 * WIDTH : 3 * WIDTH]
+    spread[:] = np.sqrt(np.maximum(spread - mean**2, 0))
     return out
 
 
@@ -217,7 +297,7 @@ class Classifier:
         def pool(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = Slots()
             for b in slices(it):
-                x = pooled(b.column(1).to_pylist(), *vectors.value, slots)
+                x = pooled(b.column(1), *vectors.value, slots)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary())], ["doc_id", "x"])
 
         known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
@@ -236,7 +316,7 @@ class Classifier:
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = Slots()
             for b in slices(it):
-                score = network.value.predict(pooled(b.column(1).to_pylist(), *vectors.value, slots))
+                score = network.value.predict(pooled(b.column(1), *vectors.value, slots))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
         out = materialise(id_text(docs).mapInArrow(run, "doc_id long, score double, predicted int"), "scores")
@@ -249,7 +329,7 @@ class Classifier:
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = Slots()
             for b in slices(it):
-                low = ~(network.value.predict(pooled(b.column(1).to_pylist(), *vectors.value, slots)) >= cut)
+                low = ~(network.value.predict(pooled(b.column(1), *vectors.value, slots)) >= cut)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(low))], ["row"])
 
         texts = known.select("row", F.col("doc.text").cast("string").alias("text"))
